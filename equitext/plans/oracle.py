@@ -64,12 +64,12 @@ FROM vocab_rank v JOIN embeddings e ON e.vec_id = v.r - 1""",
     ),
     "model": (
         [],
-        """SELECT list_transform(range(64), p -> CAST((p * 37 + 11) % 41 - 20 AS DOUBLE) / 5) AS w,
+        """SELECT list_transform(range(64), lambda p: CAST((p * 37 + 11) % 41 - 20 AS DOUBLE) / 5) AS w,
   -0.1 AS b""",
     ),
     "token_scores": (
         ["word_vectors", "model"],
-        """SELECT token, r, list_sum(list_transform(range(1, 65), i -> vec[i] * m.w[i])) AS s
+        """SELECT token, r, list_sum(list_transform(range(1, 65), lambda i: vec[i] * m.w[i])) AS s
 FROM word_vectors, model m""",
     ),
     "weights": (

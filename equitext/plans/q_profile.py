@@ -34,7 +34,7 @@ def _with(extra_sql: str, *views: str, memberships: bool = False) -> str:
 
 
 def _r(expr: str, alias: str) -> str:
-    return f"round(CAST({expr} AS DOUBLE), 6) AS {alias}"
+    return f"round(CAST({expr} AS DOUBLE), 6) + 0.0 AS {alias}"
 
 
 # ---------------------------------------------------------------------------

@@ -21,9 +21,10 @@ DIGITS = 6
 
 
 def finish(df: DataFrame) -> DataFrame:
-    """Round every double column to DIGITS places (names unchanged)."""
+    """Round every double column to DIGITS places (names unchanged); adding
+    0.0 turns a rounded -0.0 into 0.0."""
     cols = [
-        F.round(F.col(c), DIGITS).alias(c) if t in ("double", "float") else F.col(c)
+        (F.round(F.col(c), DIGITS) + F.lit(0.0)).alias(c) if t in ("double", "float") else F.col(c)
         for c, t in df.dtypes
     ]
     return df.select(*cols)
