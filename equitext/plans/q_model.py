@@ -1 +1,230 @@
-"""Queries: q_model."""
+"""Queries: model training, scoring, warm start, group model, routing."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from equitext.operators import embed as E
+from equitext.operators import metrics as M
+from equitext.operators import model as Mo
+from equitext.operators import split as X
+from equitext.operators.profile import any_group, prediction_label
+from equitext.plans.oracle import prelude
+from equitext.plans.q_debias import DIRS_SQL, apply_weights
+from equitext.plans.q_profile import GCOLS, MEMBERSHIPS, OVERALL_AUC_SQL, _r, _with, labelled
+from equitext.plans.q_split import NOGROUP, SPLIT_SQL
+from equitext.plans.registry import query
+from equitext.session import ensure_checkpoint_dir
+from equitext.sources import fixtures as fx
+
+
+def _ctx(spark: SparkSession, sf_dir: str):
+    df = labelled(spark, sf_dir)
+    wv = fx.word_vectors(spark, sf_dir)
+    k = fx.embedding_rows(spark, sf_dir)
+    dim = fx.embedding_dim(spark, sf_dir)
+    return df, wv, k, dim, fx.fixture_model(dim)
+
+
+SCORE_SQL = """ssc AS (SELECT t.id, count(*) AS n_known, avg(ts.s) AS z_mean, sum(ts.s) AS z_sum
+  FROM tok t JOIN token_scores ts ON t.token = ts.token GROUP BY t.id),
+scored AS (SELECT l.id, l.toxic, CAST(coalesce(ssc.n_known, 0) AS BIGINT) AS n_known,
+  1 / (1 + exp(-(coalesce(ssc.z_mean, 0.0) + m.b))) AS pred,
+  1 / (1 + exp(-(coalesce(ssc.z_sum, 0.0) + m.b))) AS pred_sum
+  FROM labelled l LEFT JOIN ssc ON ssc.id = l.id, model m)"""
+
+_SCORE_HEAD = prelude("labelled", "tok", "token_scores", "model").rstrip("\n") + ",\n" + SCORE_SQL
+
+
+@query("m06_score_mean", _SCORE_HEAD + f"\nSELECT id, n_known, {_r('pred', 'pred')} FROM scored")
+def m06_score_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scoring with a coefficient table: one score per vocabulary token,
+    one average per comment (mean-vector features)."""
+    df, wv, k, dim, model = _ctx(spark, sf_dir)
+    return Mo.score_docs(df, Mo.token_scores(wv, model), model.bias, "mean", bound_rows=k).select(
+        "id", "n_known", "pred"
+    )
+
+
+@query(
+    "m06_score_auc",
+    _SCORE_HEAD
+    + """,
+labelled2 AS (SELECT s.id, s.toxic, s.pred FROM scored s),
+overall_sc AS (SELECT pred AS score, count(*) FILTER (WHERE toxic) AS pos,
+  count(*) FILTER (WHERE NOT toxic) AS neg FROM labelled2 GROUP BY pred),
+overall_cum AS (SELECT *, coalesce(sum(neg) OVER (ORDER BY score
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nb FROM overall_sc)
+SELECT CAST(sum(pos) AS BIGINT) AS n_pos, CAST(sum(neg) AS BIGINT) AS n_neg,
+  round(CAST(sum(pos * (nb + neg / 2.0)) AS DOUBLE) / CAST(sum(pos) * sum(neg) AS DOUBLE), 6) + 0.0 AS auc
+FROM overall_cum""",
+)
+def m06_score_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ROC AUC of the coefficient-table model on every comment."""
+    df, wv, k, dim, model = _ctx(spark, sf_dir)
+    scored = Mo.score_docs(df, Mo.token_scores(wv, model), model.bias, "mean", bound_rows=k, keep=["toxic"])
+    return M.auc(scored)
+
+
+@query(
+    "m04_warm_start_step",
+    _SCORE_HEAD
+    + """,
+resid AS (SELECT id, n_known, pred - CAST(toxic AS DOUBLE) AS r FROM scored),
+tot AS (SELECT count(*) AS n, sum(r) AS sum_r FROM resid),
+c AS (SELECT t.token, sum(r.r / r.n_known) AS c FROM tok t JOIN token_scores ts ON t.token = ts.token
+  JOIN resid r ON r.id = t.id WHERE r.n_known > 0 GROUP BY t.token),
+g AS (SELECT pos, sum(c.c * w.vec[pos + 1]) AS g FROM c JOIN word_vectors w ON c.token = w.token,
+  range(64) p(pos) GROUP BY pos),
+wts AS (SELECT pos, m.w[pos + 1] AS w FROM range(64) p(pos), model m)
+SELECT CAST(wts.pos AS VARCHAR) AS feature,
+  round(wts.w - 0.1 * (coalesce(g.g, 0.0) / tot.n + 0.0001 * wts.w), 6) + 0.0 AS weight
+FROM wts LEFT JOIN g ON g.pos = wts.pos, tot
+UNION ALL SELECT 'bias', round(m.b - 0.1 * tot.sum_r / tot.n, 6) + 0.0 FROM model m, tot""",
+)
+def m04_warm_start_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One warm-start gradient step from a saved coefficient table."""
+    df, wv, k, dim, model = _ctx(spark, sf_dir)
+    return Mo.gradient_step(df.withColumn("label", F.col("toxic")), wv, model, lr=0.1, bound_rows=k)
+
+
+@query("m05_incremental_fit")
+def m05_incremental_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four warm-start steps over hash-ordered mini-batches."""
+    df, wv, k, dim, model = _ctx(spark, sf_dir)
+    m = Mo.incremental_fit(df.withColumn("label", F.col("toxic")), wv, model, batches=4, bound_rows=k)
+    return Mo.coefficient_table(spark, m)
+
+
+def _train_features(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None):
+    df, wv, k, dim, model = _ctx(spark, sf_dir)
+    rows = rows if rows is not None else df
+    vecs = E.doc_vectors(rows, wv, "mean", dim=dim, bound_rows=k)
+    return vecs.join(rows.select("id", F.col("toxic").cast("int").alias("label")), "id")
+
+
+@query("m03_train_logistic")
+def m03_train_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L2 logistic regression on mean word vectors of the training split;
+    returns the coefficient table."""
+    df = labelled(spark, sf_dir)
+    train = X.split_rows(df, X.balanced_split(df), "train")
+    m = Mo.train_logistic(_train_features(spark, sf_dir, train))
+    return Mo.coefficient_table(spark, m)
+
+
+@query("m26_nongroup_baseline")
+def m26_nongroup_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Second baseline trained on rows in no group (for the router)."""
+    df = labelled(spark, sf_dir)
+    m = Mo.train_logistic(_train_features(spark, sf_dir, df.where(~any_group())))
+    return Mo.coefficient_table(spark, m)
+
+
+@query("m19_group_model_train")
+def m19_group_model_train(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group-membership model: group rows (label 1, duplicates kept) and half
+    of the other rows (label 0), sum-vector features."""
+    df, wv, k, dim, model = _ctx(spark, sf_dir)
+    rows = X.group_vs_rest(df, keep=["comment_text"])
+    rows = X.downsample(rows, 0.5, 7, where=F.col("group_label") == 0)
+    rows = rows.withColumn("_rid", F.monotonically_increasing_id())
+    vecs = E.doc_vectors(rows, wv, "sum", id_col="_rid", dim=dim, bound_rows=k)
+    feats = vecs.join(rows.select("_rid", F.col("group_label").alias("label")), "_rid")
+    return Mo.coefficient_table(spark, Mo.train_logistic(feats))
+
+
+@query(
+    "m20_group_model_auc",
+    _with(SPLIT_SQL, "labelled", "tok", "token_scores", "model", memberships=True).rstrip("\n")
+    + """,
+test_ids AS (SELECT id FROM bsplit WHERE split = 'test'),
+gm AS (SELECT id, true AS y FROM memberships SEMI JOIN test_ids USING (id) WHERE gscore > 0.5
+  UNION ALL SELECT id, false FROM labelled SEMI JOIN test_ids USING (id) WHERE """ + NOGROUP + """),
+ssum AS (SELECT t.id, sum(ts.s) AS z FROM tok t JOIN token_scores ts ON t.token = ts.token GROUP BY t.id),
+sc AS (SELECT gm.y, 1 / (1 + exp(-(coalesce(ssum.z, 0.0) + m.b))) AS score
+  FROM gm LEFT JOIN ssum ON ssum.id = gm.id, model m),
+agg AS (SELECT score, count(*) FILTER (WHERE y) AS pos, count(*) FILTER (WHERE NOT y) AS neg FROM sc GROUP BY score),
+cum AS (SELECT *, coalesce(sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nb FROM agg)
+SELECT CAST(sum(pos) AS BIGINT) AS n_pos, CAST(sum(neg) AS BIGINT) AS n_neg,
+  round(CAST(sum(pos * (nb + neg / 2.0)) AS DOUBLE) / CAST(sum(pos) * sum(neg) AS DOUBLE), 6) + 0.0 AS auc FROM cum""",
+)
+def m20_group_model_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group-membership scores (sum-vector features) on the test split and
+    their AUC; a row in k groups counts k times as positive."""
+    df, wv, k, dim, model = _ctx(spark, sf_dir)
+    test = X.split_rows(df, X.balanced_split(df), "test")
+    gv = X.group_vs_rest(test)
+    scores = Mo.score_docs(test, Mo.token_scores(wv, model), model.bias, "sum", bound_rows=k)
+    rows = gv.join(scores.select("id", "pred"), "id").withColumn("y", F.col("group_label") == 1)
+    return M.auc(rows, score="pred", label="y")
+
+
+@query("m21_retrain_on_errors")
+def m21_retrain_on_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Retrain on the rows the previous model got wrong, at most 3 rounds
+    or until none is left; each round's rows are checkpointed to the shared
+    checkpoint folder so lineage stays short."""
+    ensure_checkpoint_dir(spark)
+    feats = _train_features(spark, sf_dir).checkpoint(eager=True)
+    rows, out = feats, []
+    for i in range(3):
+        n = rows.count()
+        if n == 0 or rows.select("label").distinct().count() < 2:
+            out.append((i + 1, n, None))
+            break
+        m = Mo.train_logistic(rows)
+        scored = rows.withColumn(
+            "pred", 1.0 / (1.0 + F.exp(-(F.aggregate(F.zip_with("vec", F.array(*[F.lit(w) for w in m.weights]),
+                                                              lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+                                        + F.lit(m.bias))))
+        )
+        wrong = scored.where(prediction_label("pred") != (F.col("label") == 1)).drop("pred")
+        rows = wrong.checkpoint(eager=True)
+        out.append((i + 1, n, rows.count()))
+    return spark.createDataFrame(out, "iteration int, n_rows long, n_errors long")
+
+
+@query("m22_cv_logistic")
+def m22_cv_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """5-fold cross-validation of the logistic model: accuracy and F1."""
+    return Mo.cross_validate(_train_features(spark, sf_dir), 5, kind="logistic")
+
+
+@query("m23_cv_svm")
+def m23_cv_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """5-fold cross-validation of a linear SVM: accuracy and F1."""
+    return Mo.cross_validate(_train_features(spark, sf_dir), 5, kind="svm")
+
+
+@query(
+    "m24_router",
+    prelude("labelled", "tok", "word_vectors", "pleasant_words", "unpleasant_words", "model",
+            "token_scores", "weights").rstrip("\n")
+    + DIRS_SQL
+    + """,
+adj AS (SELECT ts.token, ts.s, ts.s
+  + CASE WHEN w.add_pleasent IS NOT NULL AND w.sub_unpleasent IS NOT NULL
+    THEN w.add_pleasent * k.zP - w.sub_unpleasent * k.zU ELSE 0.0 END
+  + CASE WHEN w.sub_pleasent IS NOT NULL AND w.add_unpleasent IS NOT NULL
+    THEN w.add_unpleasent * k.zU - w.sub_pleasent * k.zP ELSE 0.0 END AS s_adj
+  FROM token_scores ts LEFT JOIN weights w ON ts.token = w.token, consts k),
+per AS (SELECT t.id, avg(a.s) AS zb, avg(a.s_adj) AS zd, sum(a.s) AS zg
+  FROM tok t JOIN adj a ON t.token = a.token GROUP BY t.id),
+p AS (SELECT l.id, 1 / (1 + exp(-(coalesce(zg, 0.0) + m.b))) AS p_group,
+  1 / (1 + exp(-(coalesce(zd, 0.0) + m.b))) AS p_debias,
+  1 / (1 + exp(-(coalesce(zb, 0.0) + m.b))) AS p_base
+  FROM labelled l LEFT JOIN per ON per.id = l.id, model m)
+SELECT id, CASE WHEN p_group > 0.5 THEN 'debiased' ELSE 'baseline' END AS route,
+  round(CASE WHEN p_group > 0.5 THEN p_debias ELSE p_base END, 6) + 0.0 AS pred FROM p""",
+)
+def m24_router(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted group members go to the debiased model, others to the
+    baseline (all three models given as coefficient tables)."""
+    df, wv, k, dim, model = _ctx(spark, sf_dir)
+    scores = Mo.token_scores(wv, model)
+    p_group = Mo.score_docs(df, scores, model.bias, "sum", bound_rows=k)
+    p_base = Mo.score_docs(df, scores, model.bias, "mean", bound_rows=k)
+    p_debias = apply_weights(spark, sf_dir, "all")
+    return Mo.route(p_group, p_debias, p_base)
