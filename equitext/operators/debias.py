@@ -38,6 +38,7 @@ from equitext.constants import (
 from equitext.functions import vectors as V
 from equitext.functions.text import word_tokens
 from equitext.operators.joins import lookup_join
+from equitext.operators.model import exact_mean
 from equitext.sources.fixtures import LinearModel
 
 
@@ -224,7 +225,7 @@ def score_with_weights(
     rows = docs.select(id_col, in_scope.alias("_scope"), F.explode(word_tokens(text_col)).alias("token"))
     j = lookup_join(rows, adjusted, "token", bound_rows=bound_rows)
     s = F.when(F.col("_scope"), F.col("s_adj")).otherwise(F.col("s"))
-    per = j.groupBy(id_col).agg(F.count(F.lit(1)).alias("n_known"), F.avg(s).alias("_z"))
+    per = j.groupBy(id_col).agg(F.count(F.lit(1)).alias("n_known"), exact_mean(s).alias("_z"))
     out = docs.select(id_col).join(per, id_col, "left")
     z = F.coalesce("_z", F.lit(0.0)) + F.lit(bias)
     return out.select(

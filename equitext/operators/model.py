@@ -26,6 +26,22 @@ from equitext.operators.joins import lookup_join
 from equitext.sources.fixtures import LinearModel
 
 L2 = 1e-4  # alpha of the original L2-penalised log-loss SGD
+# Token scores are summed in fixed point (units of 1e-12) so a document's
+# score does not depend on the order its tokens are added in: copies of a
+# text get exactly equal scores (ties) under any partitioning.
+SCORE_SCALE = 1e12
+
+
+def exact_sum(c) -> "Column":
+    """Order-independent sum of token scores (fixed point, exact)."""
+    col = F.col(c) if isinstance(c, str) else c
+    return F.sum(F.round(col * SCORE_SCALE).cast("long")).cast("double") / SCORE_SCALE
+
+
+def exact_mean(c) -> "Column":
+    """Order-independent mean of token scores."""
+    col = F.col(c) if isinstance(c, str) else c
+    return exact_sum(col) / F.count(col)
 
 
 def token_scores(vectors: DataFrame, model: LinearModel) -> DataFrame:
@@ -47,7 +63,7 @@ def score_docs(
     features, ``'sum'`` for sum-vector features; no known token -> sigmoid(b)."""
     occ = docs.select(id_col, F.explode(word_tokens(text_col)).alias("token"))
     j = lookup_join(occ, scores.select("token", "s"), "token", bound_rows=bound_rows)
-    agg = F.avg("s") if how == "mean" else F.sum("s")
+    agg = exact_mean("s") if how == "mean" else exact_sum("s")
     per = j.groupBy(id_col).agg(F.count(F.lit(1)).alias("n_known"), agg.alias("_z"))
     out = docs.select(id_col, *keep).join(per, id_col, "left")
     z = F.coalesce("_z", F.lit(0.0)) + F.lit(float(bias))

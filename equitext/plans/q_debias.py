@@ -155,7 +155,7 @@ adj AS (SELECT ts.token, ts.s, ts.s
     THEN w.add_unpleasent * k.zU - w.sub_pleasent * k.zP ELSE 0.0 END AS s_adj
   FROM token_scores ts LEFT JOIN weights w ON ts.token = w.token, consts k),
 scope AS (SELECT id, ({scope}) AS sc FROM labelled),
-per AS (SELECT t.id, count(*) AS n_known, avg(CASE WHEN sc.sc THEN a.s_adj ELSE a.s END) AS z
+per AS (SELECT t.id, count(*) AS n_known, (CAST(sum(CAST(round((CASE WHEN sc.sc THEN a.s_adj ELSE a.s END) * 1e12) AS BIGINT)) AS DOUBLE) / 1e12 / count(CASE WHEN sc.sc THEN a.s_adj ELSE a.s END)) AS z
   FROM tok t JOIN adj a ON t.token = a.token JOIN scope sc ON sc.id = t.id GROUP BY t.id)
 SELECT l.id, CAST(coalesce(per.n_known, 0) AS BIGINT) AS n_known,
   {_r(_SIG.format(z='coalesce(per.z, 0.0) + m.b'), 'pred')}

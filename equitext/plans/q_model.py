@@ -27,7 +27,7 @@ def _ctx(spark: SparkSession, sf_dir: str):
     return df, wv, k, dim, fx.fixture_model(dim)
 
 
-SCORE_SQL = """ssc AS (SELECT t.id, count(*) AS n_known, avg(ts.s) AS z_mean, sum(ts.s) AS z_sum
+SCORE_SQL = """ssc AS (SELECT t.id, count(*) AS n_known, (CAST(sum(CAST(round((ts.s) * 1e12) AS BIGINT)) AS DOUBLE) / 1e12 / count(ts.s)) AS z_mean, (CAST(sum(CAST(round((ts.s) * 1e12) AS BIGINT)) AS DOUBLE) / 1e12) AS z_sum
   FROM tok t JOIN token_scores ts ON t.token = ts.token GROUP BY t.id),
 scored AS (SELECT l.id, l.toxic, CAST(coalesce(ssc.n_known, 0) AS BIGINT) AS n_known,
   1 / (1 + exp(-(coalesce(ssc.z_mean, 0.0) + m.b))) AS pred,
@@ -142,7 +142,7 @@ def m19_group_model_train(spark: SparkSession, sf_dir: str) -> DataFrame:
 test_ids AS (SELECT id FROM bsplit WHERE split = 'test'),
 gm AS (SELECT id, true AS y FROM memberships SEMI JOIN test_ids USING (id) WHERE gscore > 0.5
   UNION ALL SELECT id, false FROM labelled SEMI JOIN test_ids USING (id) WHERE """ + NOGROUP + """),
-ssum AS (SELECT t.id, sum(ts.s) AS z FROM tok t JOIN token_scores ts ON t.token = ts.token GROUP BY t.id),
+ssum AS (SELECT t.id, (CAST(sum(CAST(round((ts.s) * 1e12) AS BIGINT)) AS DOUBLE) / 1e12) AS z FROM tok t JOIN token_scores ts ON t.token = ts.token GROUP BY t.id),
 sc AS (SELECT gm.y, 1 / (1 + exp(-(coalesce(ssum.z, 0.0) + m.b))) AS score
   FROM gm LEFT JOIN ssum ON ssum.id = gm.id, model m),
 agg AS (SELECT score, count(*) FILTER (WHERE y) AS pos, count(*) FILTER (WHERE NOT y) AS neg FROM sc GROUP BY score),
@@ -210,7 +210,7 @@ adj AS (SELECT ts.token, ts.s, ts.s
   + CASE WHEN w.sub_pleasent IS NOT NULL AND w.add_unpleasent IS NOT NULL
     THEN w.add_unpleasent * k.zU - w.sub_pleasent * k.zP ELSE 0.0 END AS s_adj
   FROM token_scores ts LEFT JOIN weights w ON ts.token = w.token, consts k),
-per AS (SELECT t.id, avg(a.s) AS zb, avg(a.s_adj) AS zd, sum(a.s) AS zg
+per AS (SELECT t.id, (CAST(sum(CAST(round((a.s) * 1e12) AS BIGINT)) AS DOUBLE) / 1e12 / count(a.s)) AS zb, (CAST(sum(CAST(round((a.s_adj) * 1e12) AS BIGINT)) AS DOUBLE) / 1e12 / count(a.s_adj)) AS zd, (CAST(sum(CAST(round((a.s) * 1e12) AS BIGINT)) AS DOUBLE) / 1e12) AS zg
   FROM tok t JOIN adj a ON t.token = a.token GROUP BY t.id),
 p AS (SELECT l.id, 1 / (1 + exp(-(coalesce(zg, 0.0) + m.b))) AS p_group,
   1 / (1 + exp(-(coalesce(zd, 0.0) + m.b))) AS p_debias,
