@@ -57,7 +57,7 @@ TWEET_RULES_BEFORE_HASHTAG = [
 ]
 TWEET_RULES_AFTER_HASHTAG = [
     (r"([!?.]){2,}", "$1 <repeat>"),
-    (r"(?U)\b(\S*?)(.)\2{2,}\b", "$1$2 <elong>"),
+    (r"(?Us)\b(\S*?)(.)\2{2,}\b", "$1$2 <elong>"),
     (r"([A-Z]){2,}", "$0 <allcaps>"),
 ]
 # Splits text into alternating runs of whitespace and non-whitespace.
