@@ -222,12 +222,9 @@ def score_with_weights(
 ) -> DataFrame:
     """(id, n_known, pred) with mean-vector features where rows
     matching ``in_scope`` use the weighted token vectors."""
-    rows = docs.select(id_col, in_scope.alias("_scope"), F.explode(word_tokens(text_col)).alias("token"))
-    j = lookup_join(rows, adjusted, "token", bound_rows=bound_rows)
+    rows = docs.select(id_col, in_scope.alias("_scope"), F.explode_outer(word_tokens(text_col)).alias("token"))
+    j = lookup_join(rows, adjusted, "token", how="left", bound_rows=bound_rows)
     s = F.when(F.col("_scope"), F.col("s_adj")).otherwise(F.col("s"))
-    per = j.groupBy(id_col).agg(F.count(F.lit(1)).alias("n_known"), exact_mean(s).alias("_z"))
-    out = docs.select(id_col).join(per, id_col, "left")
+    per = j.groupBy(id_col).agg(F.count(s).alias("n_known"), exact_mean(s).alias("_z"))
     z = F.coalesce("_z", F.lit(0.0)) + F.lit(bias)
-    return out.select(
-        id_col, F.coalesce("n_known", F.lit(0)).cast("bigint").alias("n_known"), V.sigmoid(z).alias("pred")
-    )
+    return per.select(id_col, F.col("n_known").cast("bigint").alias("n_known"), V.sigmoid(z).alias("pred"))

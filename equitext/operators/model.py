@@ -39,9 +39,9 @@ def exact_sum(c) -> "Column":
 
 
 def exact_mean(c) -> "Column":
-    """Order-independent mean of token scores."""
+    """Order-independent mean of token scores; NULL when there are none."""
     col = F.col(c) if isinstance(c, str) else c
-    return exact_sum(col) / F.count(col)
+    return F.try_divide(exact_sum(col), F.count(col).cast("double"))
 
 
 def token_scores(vectors: DataFrame, model: LinearModel) -> DataFrame:
@@ -60,16 +60,21 @@ def score_docs(
     keep: Sequence[str] = (),
 ) -> DataFrame:
     """M6: (id, keep..., n_known, logit, pred).  ``how='mean'`` for mean-vector
-    features, ``'sum'`` for sum-vector features; no known token -> sigmoid(b)."""
-    occ = docs.select(id_col, F.explode(word_tokens(text_col)).alias("token"))
-    j = lookup_join(occ, scores.select("token", "s"), "token", bound_rows=bound_rows)
+    features, ``'sum'`` for sum-vector features; no known token -> sigmoid(b).
+
+    One pass: token occurrences (``explode_outer`` keeps rows without
+    tokens) left-join the bounded score table and fold back into one row per
+    document.  The aggregate's partial step runs before any shuffle, and a
+    scan already hash-partitioned by id needs no exchange at all.
+    """
+    occ = docs.select(id_col, *keep, F.explode_outer(word_tokens(text_col)).alias("token"))
+    j = lookup_join(occ, scores.select("token", "s"), "token", how="left", bound_rows=bound_rows)
     agg = exact_mean("s") if how == "mean" else exact_sum("s")
-    per = j.groupBy(id_col).agg(F.count(F.lit(1)).alias("n_known"), agg.alias("_z"))
-    out = docs.select(id_col, *keep).join(per, id_col, "left")
+    per = j.groupBy(id_col, *keep).agg(F.count("s").alias("n_known"), agg.alias("_z"))
     z = F.coalesce("_z", F.lit(0.0)) + F.lit(float(bias))
-    return out.select(
+    return per.select(
         id_col, *keep,
-        F.coalesce("n_known", F.lit(0)).cast("bigint").alias("n_known"),
+        F.col("n_known").cast("bigint").alias("n_known"),
         z.alias("logit"),
         V.sigmoid(z).alias("pred"),
     )

@@ -98,8 +98,8 @@ def m15_template_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     accuracy and AUC of the model."""
     wv, k, model, scores = _ctx(spark, sf_dir)
     t = fx.templates(spark, sf_dir, wv).select("id", F.col("Text").alias("text"), (encode_label("Label") == 1).alias("y"))
-    scored = Pr.score_occurrences(Pr.occurrences(t), scores, model.bias, ["id"], bound_rows=k)
-    return Pr.evaluate(scored.join(t.select("id", "y"), "id"))
+    scored = Pr.score_texts(t, scores, model.bias, ["id", "y"], bound_rows=k)
+    return Pr.evaluate(scored)
 
 
 @query(
@@ -111,8 +111,8 @@ def m17_external_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """External labelled set (conversation turns): confusion, accuracy, AUC."""
     wv, k, model, scores = _ctx(spark, sf_dir)
     ext = fx.external_set(spark, sf_dir).select("id", F.col("comment").alias("text"), F.col("is_toxic").alias("y"))
-    scored = Pr.score_occurrences(Pr.occurrences(ext), scores, model.bias, ["id"], bound_rows=k)
-    return Pr.evaluate(scored.join(ext.select("id", "y"), "id"))
+    scored = Pr.score_texts(ext, scores, model.bias, ["id", "y"], bound_rows=k)
+    return Pr.evaluate(scored)
 
 
 FUZZ_SQL = """fmap AS (SELECT a.token AS src, b.token AS dst FROM identity_words a
@@ -150,14 +150,11 @@ def m16_fuzzed_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     for the next one: metrics per variant."""
     df = labelled(spark, sf_dir)
     wv, k, model, scores = _ctx(spark, sf_dir)
-    ident = fx.word_list(wv, "identity").select("token", "k")
-    mapping = ident.alias("a").join(
-        ident.alias("b"), F.col("b.k") == (F.col("a.k") + 1) % 10
-    ).select(F.col("a.token").alias("src"), F.col("b.token").alias("dst"))
-    occ = fx.token_occurrences(df)
-    f = Pr.fuzz(occ, mapping, bound_rows=10)
-    scored = Pr.score_occurrences(f, scores, model.bias, ["id", "variant"], bound_rows=k)
-    scored = scored.join(df.select("id", F.col("toxic").alias("y")), "id")
+    words = fx.word_list_values(wv, "identity")  # ten words on the driver
+    mapping = {w: words[(i + 1) % len(words)] for i, w in enumerate(words)}
+    f = Pr.fuzz(df, mapping, keep=["toxic"])
+    scored = Pr.score_token_arrays(f.withColumnRenamed("toxic", "y"), scores, model.bias,
+                                   ["id", "variant", "y"], bound_rows=k)
     return Pr.evaluate(scored, ["variant"])
 
 

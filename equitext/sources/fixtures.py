@@ -45,6 +45,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partition a scan by ``key`` only when it yields fewer partitions
+    than the cluster runs tasks at once (e.g. one large row group).  A scan
+    of many files is left alone, so nothing is shuffled at scale; a small
+    input is spread over every core, partitioned by the key later
+    aggregations group on."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want, key)
+    return df
+
+
 def _group_expr(i: int) -> str:
     m = GROUP_MULTIPLIERS[i]
     return (
@@ -67,7 +79,7 @@ PRED_EXPR = (
 
 def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Comment table: id, comment_text, target, nine group scores, pred."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     joined = docs.join(labels, "doc_id", "left")
     cols = [
@@ -117,7 +129,10 @@ def word_vectors(spark: SparkSession, sf_dir: str, corpus: DataFrame | None = No
 
     Rank r is 1-based by (document frequency desc, token asc); vec_id = r - 1.
     The top-k is a TakeOrderedAndProject bounded by the embedding row count,
-    then a row_number over those k rows only.
+    then a row_number over those k rows only.  The result (k rows) is
+    checkpointed to the shared checkpoint folder: word lists, directions and
+    joins then read it instead of re-tokenising the corpus, as a word-vector
+    file would be read.
     """
     k = embedding_rows(spark, sf_dir)
     corpus = corpus if corpus is not None else comments(spark, sf_dir)
@@ -129,7 +144,10 @@ def word_vectors(spark: SparkSession, sf_dir: str, corpus: DataFrame | None = No
         (F.col("vec_id") + 1).alias("r"),
         F.transform("embedding", lambda x: x.cast("double")).alias("vec"),
     )
-    return ranked.join(emb, "r").select("token", "r", "vec")
+    from equitext.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    return ranked.join(emb, "r").select("token", "r", "vec").checkpoint(eager=True)
 
 
 def _global_order_window():
