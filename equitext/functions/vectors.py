@@ -30,9 +30,11 @@ def norm(a: Column | str) -> Column:
 
 
 def unit(a: Column | str) -> Column:
-    """a / |a|; the zero vector stays zero."""
-    n = norm(a)
-    return F.when(n > 0, F.transform(_c(a), lambda x: x / n)).otherwise(_c(a))
+    """a / |a|; the zero vector stays zero.  The norm is evaluated once
+    per row (repeated into an array), not once per element."""
+    a = _c(a)
+    n = F.array_repeat(norm(a), F.size(a))
+    return F.zip_with(a, n, lambda x, m: F.when(m > 0, x / m).otherwise(x))
 
 
 def cosine(a: Column | str, b: Column | str) -> Column:

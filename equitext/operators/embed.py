@@ -123,8 +123,9 @@ def similarity_columns(vectors: DataFrame, anchors: Sequence[Sequence[float]], o
     a projection over the vocabulary, not a join.
     """
     units = [V.literal(_unit(a)) for a in anchors]
-    u = V.unit("vec")
-    return vectors.select("token", F.array(*[V.dot(u, a) for a in units]).alias(out))
+    # the unit vector is a column of its own, referenced once per anchor
+    u = vectors.select("token", V.unit("vec").alias("_u"))
+    return u.select("token", F.array(*[V.dot("_u", a) for a in units]).alias(out))
 
 
 def _unit(a: Sequence[float]) -> list[float]:

@@ -22,9 +22,10 @@ from pyspark.sql import functions as F
 from pyspark.ml.feature import Bucketizer
 
 from equitext.constants import GROUPS, OVERALL_MODEL_WEIGHT, POWER, THRESHOLD
-from equitext.session import ensure_checkpoint_dir
+from equitext.session import materialize
 
 AUC_BUCKETS = 512
+SINGLE_WINDOW_ROWS = 1_000_000  # distinct (key, score) rows one task sorts easily
 
 
 def nan_to_null(c: Column | str) -> Column:
@@ -97,7 +98,7 @@ def prefix_sums_below(
     """For each row, ``<v>_below`` = sum of v over rows of the same keys with a
     strictly smaller ``order_col`` (rows are distinct per keys + order_col).
 
-    Exact.  The input (already reduced to distinct scores) is checkpointed
+    Exact.  The input (already reduced to distinct scores) is written
     once to the shared checkpoint folder, so the two branches below do not
     recompute it.  Bucket bounds are approximate quantiles of ``order_col``
     (at most ``buckets - 1`` numbers reach the driver); ``Bucketizer`` maps
@@ -106,8 +107,12 @@ def prefix_sums_below(
     most keys x buckets rows.
     """
     keys = list(keys)
-    ensure_checkpoint_dir(df.sparkSession)
-    df = df.checkpoint(eager=True)
+    df = materialize(df, "score-counts")
+    # Row count of the written table comes from Parquet metadata.  A table
+    # small enough for one task per key needs no buckets (and no quantile
+    # pass); beyond that the window is split into quantile buckets.
+    if df.count() <= SINGLE_WINDOW_ROWS:
+        buckets = 1
     probs = [i / buckets for i in range(1, buckets)]
     qs = df.approxQuantile(order_col, probs, 1.0 / (10 * buckets)) if buckets > 1 else []
     inner_splits = sorted({float(q) for q in qs if q == q and abs(q) != float("inf")})

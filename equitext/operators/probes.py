@@ -13,7 +13,7 @@ from equitext.functions.text import word_tokens
 from equitext.operators import metrics as M
 from equitext.operators.joins import lookup_join
 from equitext.operators.model import exact_mean
-from equitext.session import ensure_checkpoint_dir
+from equitext.session import materialize
 
 
 def word_probe(words: DataFrame, scores: DataFrame, bias: float) -> DataFrame:
@@ -61,12 +61,11 @@ def score_texts(rows: DataFrame, scores: DataFrame, bias: float, keys: Sequence[
 def evaluate(scored: DataFrame, keys: Sequence[str] = (), label: str = "y", score: str = "pred") -> DataFrame:
     """(keys..., n, tp, fp, fn, tn, accuracy, auc) per key.
 
-    The scored rows are checkpointed once (one row per document, small
+    The scored rows are written once (one row per document, small
     next to the text), so the confusion counts and the AUC read them
     instead of scoring twice."""
     keys = list(keys)
-    ensure_checkpoint_dir(scored.sparkSession)
-    scored = scored.select(*keys, label, score).checkpoint(eager=True)
+    scored = materialize(scored.select(*keys, label, score), "scored")
     conf = M.with_rates(M.confusion_counts(scored, keys, label, score)).select(
         *keys, "n", "tp", "fp", "fn", "tn", "accuracy"
     )

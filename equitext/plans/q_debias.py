@@ -22,8 +22,8 @@ def setup(spark: SparkSession, sf_dir: str):
     """Comments, word vectors, model, directions and the vocabulary bound."""
     df = labelled(spark, sf_dir)
     wv = fx.word_vectors(spark, sf_dir)
-    k = fx.embedding_rows(spark, sf_dir)
-    model = fx.fixture_model(fx.embedding_dim(spark, sf_dir))
+    k, dim = fx.embedding_shape(spark, sf_dir)
+    model = fx.fixture_model(dim)
     P = E.collect_vector(E.mean_vector_long(wv, fx.word_list(wv, "pleasant")))
     U = E.collect_vector(E.mean_vector_long(wv, fx.word_list(wv, "unpleasant")))
     return df, wv, model, D.Directions(tuple(P), tuple(U)), k

@@ -15,15 +15,14 @@ from equitext.plans.q_debias import DIRS_SQL, apply_weights
 from equitext.plans.q_profile import GCOLS, MEMBERSHIPS, OVERALL_AUC_SQL, _r, _with, labelled
 from equitext.plans.q_split import NOGROUP, SPLIT_SQL
 from equitext.plans.registry import query
-from equitext.session import ensure_checkpoint_dir
+from equitext.session import ensure_checkpoint_dir, materialize
 from equitext.sources import fixtures as fx
 
 
 def _ctx(spark: SparkSession, sf_dir: str):
     df = labelled(spark, sf_dir)
     wv = fx.word_vectors(spark, sf_dir)
-    k = fx.embedding_rows(spark, sf_dir)
-    dim = fx.embedding_dim(spark, sf_dir)
+    k, dim = fx.embedding_shape(spark, sf_dir)
     return df, wv, k, dim, fx.fixture_model(dim)
 
 
@@ -101,7 +100,8 @@ def _train_features(spark: SparkSession, sf_dir: str, rows: DataFrame | None = N
     df, wv, k, dim, model = _ctx(spark, sf_dir)
     rows = rows if rows is not None else df
     vecs = E.doc_vectors(rows, wv, "mean", dim=dim, bound_rows=k)
-    return vecs.join(rows.select("id", F.col("toxic").cast("int").alias("label")), "id")
+    # written once: iterative fits and folds read it instead of re-tokenising
+    return materialize(vecs.join(rows.select("id", F.col("toxic").cast("int").alias("label")), "id"), "features")
 
 
 @query("m03_train_logistic")
@@ -164,10 +164,10 @@ def m20_group_model_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("m21_retrain_on_errors")
 def m21_retrain_on_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Retrain on the rows the previous model got wrong, at most 3 rounds
-    or until none is left; each round's rows are checkpointed to the shared
+    or until none is left; each round's rows are written to the shared
     checkpoint folder so lineage stays short."""
     ensure_checkpoint_dir(spark)
-    feats = _train_features(spark, sf_dir).checkpoint(eager=True)
+    feats = _train_features(spark, sf_dir)
     rows, out = feats, []
     for i in range(3):
         n = rows.count()
@@ -181,7 +181,7 @@ def m21_retrain_on_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
                                         + F.lit(m.bias))))
         )
         wrong = scored.where(prediction_label("pred") != (F.col("label") == 1)).drop("pred")
-        rows = wrong.checkpoint(eager=True)
+        rows = materialize(wrong, "errors")
         out.append((i + 1, n, rows.count()))
     return spark.createDataFrame(out, "iteration int, n_rows long, n_errors long")
 

@@ -23,8 +23,8 @@ from equitext.sources import tables as T
 
 def _ctx(spark: SparkSession, sf_dir: str):
     wv = fx.word_vectors(spark, sf_dir)
-    k = fx.embedding_rows(spark, sf_dir)
-    model = fx.fixture_model(fx.embedding_dim(spark, sf_dir))
+    k, dim = fx.embedding_shape(spark, sf_dir)
+    model = fx.fixture_model(dim)
     return wv, k, model, Mo.token_scores(wv, model)
 
 

@@ -116,7 +116,7 @@ WHERE c.id NOT IN (SELECT id FROM known)""",
 def a17_doc_mean_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean of known token vectors per comment (zero vector if none), long form."""
     c = fx.comments(spark, sf_dir)
-    k, dim = fx.embedding_rows(spark, sf_dir), fx.embedding_dim(spark, sf_dir)
+    k, dim = fx.embedding_shape(spark, sf_dir)
     dv = E.doc_vectors(c, fx.word_vectors(spark, sf_dir, c), "mean", dim=dim, bound_rows=k)
     return dv.select("id", F.posexplode("vec").alias("pos", "value")).select(
         "id", F.col("pos").cast("bigint").alias("pos"), "value"
@@ -137,7 +137,7 @@ FROM comments c LEFT JOIN agg a ON c.id = a.id""",
 def a18_doc_sum_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sum of known token vectors per comment: (id, n_known, norm, total)."""
     c = fx.comments(spark, sf_dir)
-    k, dim = fx.embedding_rows(spark, sf_dir), fx.embedding_dim(spark, sf_dir)
+    k, dim = fx.embedding_shape(spark, sf_dir)
     dv = E.doc_vectors(c, fx.word_vectors(spark, sf_dir, c), "sum", dim=dim, bound_rows=k)
     return dv.select(
         "id", "n_known", V.norm("vec").alias("norm"),
@@ -162,7 +162,7 @@ FROM comments c LEFT JOIN agg a ON c.id = a.id""",
 def a19_tfidf_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TF-IDF-weighted token vectors divided by the known-token count."""
     c = fx.comments(spark, sf_dir)
-    k, dim = fx.embedding_rows(spark, sf_dir), fx.embedding_dim(spark, sf_dir)
+    k, dim = fx.embedding_shape(spark, sf_dir)
     wv = fx.word_vectors(spark, sf_dir, c)
     tf = B.tfidf(c, B.idf_table(c, wv), bound_rows=k)
     dv = E.tfidf_doc_vectors(c, wv, tf, dim=dim, bound_rows=k)

@@ -54,3 +54,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path for an intermediate table below the shared checkpoint folder."""
     return os.path.join(ensure_checkpoint_dir(spark), name)
+
+
+def materialize(df, name: str = "table"):
+    """Write ``df`` once as Parquet below the shared checkpoint folder and
+    return a DataFrame reading it back.
+
+    This cuts lineage like ``checkpoint()`` but computes the plan exactly
+    once (an eager reliable checkpoint runs it a second time to write the
+    files unless persisted), stores it columnar, and the files outlive any
+    executor.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -115,13 +115,21 @@ def document_frequency(df: DataFrame, id_col: str = "id", text_col: str = "comme
     )
 
 
+def embedding_shape(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
+    """(rows, dim) of the embedding table in one small aggregate; vec_id is
+    contiguous from 0, so rows is a proven bound on the vocabulary."""
+    r = table(spark, sf_dir, "embeddings").agg(
+        F.max("vec_id").alias("m"), F.max(F.size("embedding")).alias("d")
+    ).first()
+    return int(r["m"]) + 1, int(r["d"])
+
+
 def embedding_rows(spark: SparkSession, sf_dir: str) -> int:
-    """Number of embedding rows (vec_id is contiguous from 0): a size bound."""
-    return int(table(spark, sf_dir, "embeddings").agg(F.max("vec_id")).first()[0]) + 1
+    return embedding_shape(spark, sf_dir)[0]
 
 
 def embedding_dim(spark: SparkSession, sf_dir: str) -> int:
-    return int(table(spark, sf_dir, "embeddings").select(F.size("embedding")).first()[0])
+    return embedding_shape(spark, sf_dir)[1]
 
 
 def word_vectors(spark: SparkSession, sf_dir: str, corpus: DataFrame | None = None) -> DataFrame:
@@ -130,7 +138,7 @@ def word_vectors(spark: SparkSession, sf_dir: str, corpus: DataFrame | None = No
     Rank r is 1-based by (document frequency desc, token asc); vec_id = r - 1.
     The top-k is a TakeOrderedAndProject bounded by the embedding row count,
     then a row_number over those k rows only.  The result (k rows) is
-    checkpointed to the shared checkpoint folder: word lists, directions and
+    written to the shared checkpoint folder: word lists, directions and
     joins then read it instead of re-tokenising the corpus, as a word-vector
     file would be read.
     """
@@ -144,10 +152,9 @@ def word_vectors(spark: SparkSession, sf_dir: str, corpus: DataFrame | None = No
         (F.col("vec_id") + 1).alias("r"),
         F.transform("embedding", lambda x: x.cast("double")).alias("vec"),
     )
-    from equitext.session import ensure_checkpoint_dir
+    from equitext.session import materialize
 
-    ensure_checkpoint_dir(spark)
-    return ranked.join(emb, "r").select("token", "r", "vec").checkpoint(eager=True)
+    return materialize(ranked.join(emb, "r").select("token", "r", "vec"), "word-vectors")
 
 
 def _global_order_window():
