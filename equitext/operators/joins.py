@@ -1,6 +1,6 @@
 """Joins of the comment pipeline (J1-J6) and the size-checked lookup join.
 
-The reference joins by list position and dictionary lookups; here every join
+The original scripts join by list position and dictionary lookups; here every join
 is an equi-join on an explicit key.
 """
 

@@ -228,3 +228,25 @@ def m24_router(spark: SparkSession, sf_dir: str) -> DataFrame:
     p_base = Mo.score_docs(df, scores, model.bias, "mean", bound_rows=k)
     p_debias = apply_weights(spark, sf_dir, "all")
     return Mo.route(p_group, p_debias, p_base)
+
+
+@query("m05_stream_incremental_fit")
+def m05_stream_incremental_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Warm-start training as a stream: the comments arrive as four files,
+    each micro-batch takes one gradient step from the previous version."""
+    import uuid
+
+    from equitext.operators.split import hash_uniform
+    from equitext.session import scratch_path
+    from equitext.streaming.incremental import latest_model, train_stream
+
+    df, wv, k, dim, model = _ctx(spark, sf_dir)
+    base = scratch_path(spark, f"stream-{uuid.uuid4().hex}")
+    rows = df.select("id", "comment_text", F.col("toxic").alias("label"))
+    part = F.floor(hash_uniform("id", 13, "file") * 4).cast("int")
+    rows.repartition(4, part).write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    q = train_stream(stream, wv, model, f"{base}/model", f"{base}/ckpt", bound_rows=k)
+    q.awaitTermination()
+    _, final = latest_model(spark, f"{base}/model", model)
+    return Mo.coefficient_table(spark, final)
