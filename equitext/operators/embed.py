@@ -68,21 +68,21 @@ def doc_vectors(
     """A17 (mean) / A18 (sum): (id, n_known, vec) for every row of ``docs``.
 
     Unknown tokens are skipped; a row without a known token gets the zero
-    vector (and n_known 0).
+    vector (and n_known 0).  One pass: ``explode_outer`` keeps rows without
+    tokens, unknown tokens contribute a zero vector to a ``Summarizer`` sum,
+    and the mean divides by the known-token count -- no second join.
     """
-    occ = docs.select(id_col, F.explode(word_tokens(text_col)).alias("token"))
-    j = lookup_join(occ, vectors.select("token", array_to_vector("vec").alias("v")), "token",
-                    bound_rows=bound_rows)
-    agg = Summarizer.mean(F.col("v")) if how == "mean" else Summarizer.sum(F.col("v"))
-    per_doc = j.groupBy(id_col).agg(F.count(F.lit(1)).alias("n_known"), agg.alias("v"))
-    per_doc = per_doc.select(id_col, "n_known", vector_to_array("v").alias("vec"))
-    all_docs = docs.select(id_col).join(per_doc, id_col, "left")
-    zero = V.zeros(dim) if dim else F.lit(None)
-    return all_docs.select(
-        id_col,
-        F.coalesce("n_known", F.lit(0)).cast("bigint").alias("n_known"),
-        F.coalesce("vec", zero).alias("vec"),
-    )
+    if dim is None:
+        raise ValueError("dim is required")
+    occ = docs.select(id_col, F.explode_outer(word_tokens(text_col)).alias("token"))
+    j = lookup_join(occ, vectors.select("token", "vec"), "token", how="left", bound_rows=bound_rows)
+    v = array_to_vector(F.coalesce("vec", V.zeros(dim)))
+    per = j.groupBy(id_col).agg(F.count("vec").alias("n_known"), Summarizer.sum(v).alias("v"))
+    total = vector_to_array("v")
+    if how == "mean":
+        n = F.col("n_known")
+        total = F.when(n > 0, F.transform(total, lambda x: x / n)).otherwise(total)
+    return per.select(id_col, F.col("n_known").cast("bigint").alias("n_known"), total.alias("vec"))
 
 
 def tfidf_doc_vectors(

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.ml.feature import Bucketizer
 
 from equitext.constants import GROUPS, OVERALL_MODEL_WEIGHT, POWER, THRESHOLD
-from equitext.session import materialize
+from equitext.session import literal_table, materialize
 
 AUC_BUCKETS = 512
 SINGLE_WINDOW_ROWS = 1_000_000  # distinct (key, score) rows one task sorts easily
@@ -235,7 +235,7 @@ def bias_aucs(
         _auc_ratio(F.col("n_bnsp"), sp, bn).alias("bnsp_auc"),
     )
     # Every group gets a row, also one without any annotated row.
-    names = df.sparkSession.createDataFrame([(g,) for g in groups], "subgroup string")
+    names = literal_table(df.sparkSession, [(g,) for g in groups], "subgroup string")
     return F.broadcast(names).join(res, "subgroup", "left").select(
         "subgroup",
         F.coalesce("subgroup_size", F.lit(0)).cast("bigint").alias("subgroup_size"),

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from equitext.functions import vectors as V
 from equitext.functions.text import word_tokens
 from equitext.operators.joins import lookup_join
+from equitext.session import literal_table
 from equitext.sources.fixtures import LinearModel
 
 L2 = 1e-4  # alpha of the original L2-penalised log-loss SGD
@@ -83,7 +84,7 @@ def score_docs(
 def coefficient_table(spark, model: LinearModel) -> DataFrame:
     """(feature, weight): 'bias' and the positions as strings."""
     rows = [("bias", float(model.bias))] + [(str(i), float(w)) for i, w in enumerate(model.weights)]
-    return spark.createDataFrame(rows, "feature string, weight double")
+    return literal_table(spark, rows, "feature string, weight double")
 
 
 # ---------------------------------------------------------------------------
@@ -178,9 +179,7 @@ def gradient_step(
         .groupBy("pos")
         .agg(F.sum(F.col("c") * F.col("x")).alias("g"))
     )
-    w = vectors.sparkSession.createDataFrame(
-        [(i, float(x)) for i, x in enumerate(model.weights)], "pos int, w double"
-    )
+    w = literal_table(vectors.sparkSession, [(i, float(x)) for i, x in enumerate(model.weights)], "pos int, w double")
     one = F.lit(1).alias("_one")
     wt = w.join(g, "pos", "left").select("*", one).join(totals.select("*", one), "_one")
     new_w = F.col("w") - lr * (F.coalesce("g", F.lit(0.0)) / F.col("n") + reg * F.col("w"))

@@ -15,7 +15,7 @@ from equitext.plans.q_debias import DIRS_SQL, apply_weights
 from equitext.plans.q_profile import GCOLS, MEMBERSHIPS, OVERALL_AUC_SQL, _r, _with, labelled
 from equitext.plans.q_split import NOGROUP, SPLIT_SQL
 from equitext.plans.registry import query
-from equitext.session import ensure_checkpoint_dir, materialize
+from equitext.session import ensure_checkpoint_dir, literal_table, materialize
 from equitext.sources import fixtures as fx
 
 
@@ -183,7 +183,7 @@ def m21_retrain_on_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
         wrong = scored.where(prediction_label("pred") != (F.col("label") == 1)).drop("pred")
         rows = materialize(wrong, "errors")
         out.append((i + 1, n, rows.count()))
-    return spark.createDataFrame(out, "iteration int, n_rows long, n_errors long")
+    return literal_table(spark, out, "iteration int, n_rows bigint, n_errors bigint")
 
 
 @query("m22_cv_logistic")

@@ -182,7 +182,12 @@ def u05_group_vs_rest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.group_vs_rest(labelled(spark, sf_dir))
 
 
-@query("s03_split_sink")
+@query(
+    "s03_split_sink",
+    _with(SPLIT_SQL, "labelled", memberships=True)
+    + f"""SELECT id, toxic, {_r('target', 'target')} FROM labelled
+SEMI JOIN (SELECT id FROM bsplit WHERE split = 'test') USING (id)""",
+)
 def s03_split_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the split rows partitioned by split to the shared checkpoint
     folder and read them back (partition pruning on ``split``)."""
@@ -196,3 +201,24 @@ def s03_split_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = spark.read.parquet(path)
     return back.where(F.col("split") == "test").select("id", "toxic", "target")
 
+
+
+@query("s04_reuse_or_build", _with(SPLIT_SQL, "labelled", memberships=True) + "SELECT id, split FROM bsplit")
+def s04_reuse_or_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The split table is built and written on first use, then read back
+    (no rebuild) on the second."""
+    import uuid
+
+    from equitext.session import scratch_path
+
+    path = scratch_path(spark, f"bsplit-{uuid.uuid4().hex}")
+    built = []
+
+    def build() -> DataFrame:
+        built.append(1)
+        return _split(spark, sf_dir)[1]
+
+    X.reuse_or_build(spark, path, build)
+    again = X.reuse_or_build(spark, path, build)
+    assert len(built) == 1
+    return again

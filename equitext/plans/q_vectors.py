@@ -15,7 +15,7 @@ from equitext.plans.oracle import prelude
 from equitext.plans.q_profile import MEMBERSHIPS, _r, labelled
 from equitext.plans.q_text import BOW_TOK, IDF_SQL
 from equitext.plans.registry import query
-from equitext.session import scratch_path
+from equitext.session import literal_table, scratch_path
 from equitext.sources import fixtures as fx
 
 # Each group's identity word: the group name itself, or the first keyword
@@ -44,7 +44,7 @@ def s08_word_vector_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = fx.embedding_rows(spark, sf_dir)
     dim = fx.embedding_dim(spark, sf_dir)
     path = scratch_path(spark, f"w2v-{uuid.uuid4().hex}")
-    header = spark.createDataFrame([(f"{n} {dim}",)], "value string")
+    header = literal_table(spark, [(f"{n} {dim}",)], "value string")
     body = wv.select(F.concat_ws(" ", "token", F.array_join(F.transform("vec", lambda x: x.cast("string")), " ")).alias("value"))
     header.unionByName(body).write.mode("overwrite").text(path)
     back = E.read_word2vec_text(spark, path)
@@ -201,7 +201,7 @@ def a22_identity_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
     wv = fx.word_vectors(spark, sf_dir)
     ident = wv.join(fx.word_list(wv, "identity").select("token", "k"), "token").orderBy("k")
     anchors = [list(r["vec"]) for r in ident.select("vec").collect()]  # 10 vectors
-    index = spark.createDataFrame(list(PROXIMITY_POSITIONS.items()), "subgroup string, k int")
+    index = literal_table(spark, PROXIMITY_POSITIONS.items(), "subgroup string, k int")
     rows = bag_union(df, keep=["id", "comment_text"])
     res = E.identity_proximity(rows, wv, anchors, index, bound_rows=k, self_similarity=SELF_SIMILARITY)
     return res

@@ -71,3 +71,22 @@ def materialize(df, name: str = "table"):
     path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def literal_table(spark: SparkSession, rows, schema: str):
+    """A small constant table built in the JVM (``range(1)`` + ``inline`` of
+    literal structs).  ``createDataFrame`` on a Python list goes through a
+    Python RDD and starts Python workers for a handful of rows.
+
+    ``schema`` is ``"name type, name type"``.
+    """
+    from pyspark.sql import functions as F
+
+    cols = [c.strip().split() for c in schema.split(",")]
+    rows = list(rows)
+    if not rows:
+        return spark.range(0).select(*[F.lit(None).cast(t).alias(n) for n, t in cols])
+    structs = [
+        F.struct(*[F.lit(v).cast(t).alias(n) for (n, t), v in zip(cols, row)]) for row in rows
+    ]
+    return spark.range(1).select(F.inline(F.array(*structs)))

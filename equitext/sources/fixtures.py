@@ -45,14 +45,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
+_FACTS: dict[tuple, object] = {}
+
+
+def file_fact(spark: SparkSession, path: str, what: str, compute):
+    """Memoise a fact about an input file (row count, scan partitions, shape)
+    for this application, keyed by path, size and modification time; a path
+    that cannot be stat-ed locally is computed every time."""
+    import os
+
+    try:
+        st = os.stat(path.replace("file:", ""))
+    except OSError:
+        return compute()
+    key = (spark.sparkContext.applicationId, path, what, st.st_size, st.st_mtime_ns)
+    if key not in _FACTS:
+        _FACTS[key] = compute()
+    return _FACTS[key]
+
+
+def spread(df: DataFrame, key: str, path: str | None = None) -> DataFrame:
     """Hash-partition a scan by ``key`` only when it yields fewer partitions
     than the cluster runs tasks at once (e.g. one large row group).  A scan
     of many files is left alone, so nothing is shuffled at scale; a small
     input is spread over every core, partitioned by the key later
     aggregations group on."""
     want = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
+    n = (file_fact(df.sparkSession, path, "partitions", lambda: df.rdd.getNumPartitions())
+         if path else df.rdd.getNumPartitions())
+    if n < want:
         return df.repartition(want, key)
     return df
 
@@ -79,9 +100,13 @@ PRED_EXPR = (
 
 def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Comment table: id, comment_text, target, nine group scores, pred."""
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id",
+                  f"{sf_dir}/documents.parquet")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    joined = docs.join(labels, "doc_id", "left")
+    # Broadcast the (doc_id, toxic) side only behind its row count (Parquet
+    # metadata); above the bound both sides shuffle by doc_id.
+    n_labels = file_fact(spark, f"{sf_dir}/labels.parquet", "rows", labels.count)
+    joined = lookup_join(docs, labels, "doc_id", how="left", bound_rows=n_labels)
     cols = [
         F.col("doc_id").alias("id"),
         F.col("text").alias("comment_text"),
@@ -118,10 +143,13 @@ def document_frequency(df: DataFrame, id_col: str = "id", text_col: str = "comme
 def embedding_shape(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
     """(rows, dim) of the embedding table in one small aggregate; vec_id is
     contiguous from 0, so rows is a proven bound on the vocabulary."""
-    r = table(spark, sf_dir, "embeddings").agg(
-        F.max("vec_id").alias("m"), F.max(F.size("embedding")).alias("d")
-    ).first()
-    return int(r["m"]) + 1, int(r["d"])
+    def compute() -> tuple[int, int]:
+        r = table(spark, sf_dir, "embeddings").agg(
+            F.max("vec_id").alias("m"), F.max(F.size("embedding")).alias("d")
+        ).first()
+        return int(r["m"]) + 1, int(r["d"])
+
+    return file_fact(spark, f"{sf_dir}/embeddings.parquet", "shape", compute)
 
 
 def embedding_rows(spark: SparkSession, sf_dir: str) -> int:
