@@ -23,6 +23,7 @@ from equitext.operators.metrics import group_memberships
 from equitext.operators.profile import any_group
 
 HASH_BUCKET_DIGITS = 3
+_RESIDUAL = "\u0000residual"  # stratum of rows in no group (not a group name)
 
 
 def hash_order(id_col: str, seed: int, stratum: Column | str) -> Column:
@@ -127,10 +128,31 @@ def balanced_split(
     several groups may be in both sets (as in the original); otherwise a row
     that is test for any group is test only.
     """
-    g = group_split(df, groups, label, id_col).select(id_col, "split")
-    # Rows in no group are exactly the rows left out of every group split.
+    # The per-group cuts and the residual down-sample are independent, so
+    # one exact rank serves both: the residual non-toxic rows are one more
+    # stratum.  Rows in no group are exactly the rows left out of every
+    # group split.
+    members = (
+        group_memberships(df, groups, keep=[id_col, label])
+        .where(F.col("gscore") > THRESHOLD)
+        .select(id_col, label, "subgroup", F.col("subgroup").alias("_name"))
+    )
     residual = df.where(~any_group(groups)).select(id_col, label)
-    kept = keep_first(residual.where(~F.col(label)), RESIDUAL_NONTOXIC_KEEP, "residual", id_col)
+    res_nt = residual.where(~F.col(label)).select(
+        id_col, label, F.lit(_RESIDUAL).alias("subgroup"), F.lit("residual").alias("_name")
+    )
+    both = members.unionByName(res_nt).withColumn("_h", hash_order(id_col, SPLIT_SEED, F.col("_name")))
+    ranked = exact_rank(both, ["subgroup", label], "_h")
+    is_res = F.col("subgroup") == _RESIDUAL
+    g = ranked.where(~is_res).select(
+        id_col,
+        F.when(F.col("rank") <= _test_count(F.col("rank_n"), TEST_FRACTION), F.lit("test"))
+        .otherwise(F.lit("train")).alias("split"),
+    )
+    keep_tenths = int(round(RESIDUAL_NONTOXIC_KEEP * 10))
+    kept = ranked.where(is_res & (F.col("rank") <= F.floor(F.col("rank_n") * keep_tenths / 10))).select(
+        id_col, label
+    )
     rest = kept.unionByName(residual.where(F.col(label)))
     r = stratified_split(rest, [label], "rest", id_col).select(id_col, "split")
     pairs = g.unionByName(r).distinct()
