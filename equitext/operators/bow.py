@@ -28,13 +28,28 @@ def document_frequency(df: DataFrame, text_col: str = "comment_text", tokens=bow
     )
 
 
+def top_k_by_df(dfreq: DataFrame, k: int) -> DataFrame:
+    """The k (token, df) rows with the highest df, ties by token.
+
+    A plain ``orderBy().limit(k)`` merges k rows from every partition in one
+    task.  Instead the k-th largest df value is found first from the small
+    histogram (df -> number of tokens; a scalar subquery, no driver round
+    trip), so only tokens at or above it enter the final top-k.
+    """
+    hist = dfreq.groupBy("df").agg(F.count(F.lit(1)).alias("n"))
+    cum = F.sum("n").over(Window.orderBy(F.desc("df")).rowsBetween(Window.unboundedPreceding, 0))
+    threshold = hist.select("df", cum.alias("cum")).where(F.col("cum") >= k).agg(F.max("df")).scalar()
+    cand = dfreq.where(F.col("df") >= F.coalesce(threshold, F.lit(0)))
+    return cand.orderBy(F.desc("df"), F.asc("token")).limit(k)
+
+
 def fit_vocabulary(df: DataFrame, k: int = VOCAB_SIZE, text_col: str = "comment_text") -> DataFrame:
     """(token, df, idx) of the top-k tokens by document frequency.
 
-    The top-k is a TakeOrderedAndProject (k rows per partition, merged);
-    the alphabetical index is a window over those k rows only.
+    The top-k reads only tokens at or above the k-th largest df; the
+    alphabetical index is a window over those k rows only.
     """
-    top = document_frequency(df, text_col).orderBy(F.desc("df"), F.asc("token")).limit(k)
+    top = top_k_by_df(document_frequency(df, text_col), k)
     return top.withColumn("idx", (F.row_number().over(Window.orderBy("token")) - 1).cast("bigint"))
 
 

@@ -164,15 +164,18 @@ def word_vectors(spark: SparkSession, sf_dir: str, corpus: DataFrame | None = No
     """(token, r, vec array<double>): the k most frequent tokens get vectors.
 
     Rank r is 1-based by (document frequency desc, token asc); vec_id = r - 1.
-    The top-k is a TakeOrderedAndProject bounded by the embedding row count,
-    then a row_number over those k rows only.  The result (k rows) is
+    The top-k reads only tokens at or above the k-th largest document
+    frequency (k = the embedding row count), then a row_number over those k
+    rows only.  The result (k rows) is
     written to the shared checkpoint folder: word lists, directions and
     joins then read it instead of re-tokenising the corpus, as a word-vector
     file would be read.
     """
     k = embedding_rows(spark, sf_dir)
     corpus = corpus if corpus is not None else comments(spark, sf_dir)
-    top = document_frequency(corpus).orderBy(F.desc("df"), F.asc("token")).limit(k)
+    from equitext.operators.bow import top_k_by_df
+
+    top = top_k_by_df(document_frequency(corpus), k)
     ranked = top.withColumn(
         "r", F.row_number().over(_global_order_window())
     )
