@@ -176,9 +176,7 @@ def word_vectors(spark: SparkSession, sf_dir: str, corpus: DataFrame | None = No
     from equitext.operators.bow import top_k_by_df
 
     top = top_k_by_df(document_frequency(corpus), k)
-    ranked = top.withColumn(
-        "r", F.row_number().over(_global_order_window())
-    )
+    ranked = top.withColumn("r", F.row_number().over(_global_order_window()).cast("bigint"))
     emb = table(spark, sf_dir, "embeddings").select(
         (F.col("vec_id") + 1).alias("r"),
         F.transform("embedding", lambda x: x.cast("double")).alias("vec"),
