@@ -6,7 +6,7 @@ neither partitioning nor row order, and the same SQL reproduces it.
 Exact cuts ("the first k rows of a stratum in hash order") need a rank.  A
 plain ``row_number() over (partition by stratum)`` puts a whole stratum
 (e.g. residual non-toxic rows, most of the data) in one task.  Instead rows
-are counted per (stratum, first 3 hex digits of the hash) -- 4096 buckets,
+are counted per (stratum, first 4 hex digits of the hash) -- 65,536 buckets,
 uniform by construction -- the small count table gives each bucket its
 offset, and the window runs inside (stratum, bucket) only.
 """
@@ -22,7 +22,7 @@ from equitext.constants import GROUPS, RESIDUAL_NONTOXIC_KEEP, SPLIT_SEED, TEST_
 from equitext.operators.metrics import group_memberships
 from equitext.operators.profile import any_group
 
-HASH_BUCKET_DIGITS = 3
+HASH_BUCKET_DIGITS = 4
 _RESIDUAL = "\u0000residual"  # stratum of rows in no group (not a group name)
 
 
