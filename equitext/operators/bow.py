@@ -34,8 +34,13 @@ def top_k_by_df(dfreq: DataFrame, k: int) -> DataFrame:
     A plain ``orderBy().limit(k)`` merges k rows from every partition in one
     task.  Instead the k-th largest df value is found first from the small
     histogram (df -> number of tokens; a scalar subquery, no driver round
-    trip), so only tokens at or above it enter the final top-k.
+    trip), so only tokens at or above it enter the final top-k.  The
+    (token, df) table is written once, so the histogram and the top-k read
+    it instead of tokenising the corpus twice.
     """
+    from equitext.session import materialize
+
+    dfreq = materialize(dfreq, "doc-freq")
     hist = dfreq.groupBy("df").agg(F.count(F.lit(1)).alias("n"))
     cum = F.sum("n").over(Window.orderBy(F.desc("df")).rowsBetween(Window.unboundedPreceding, 0))
     threshold = hist.select("df", cum.alias("cum")).where(F.col("cum") >= k).agg(F.max("df")).scalar()

@@ -75,9 +75,11 @@ def doc_vectors(
     if dim is None:
         raise ValueError("dim is required")
     occ = docs.select(id_col, F.explode_outer(word_tokens(text_col)).alias("token"))
-    j = lookup_join(occ, vectors.select("token", "vec"), "token", how="left", bound_rows=bound_rows)
-    v = array_to_vector(F.coalesce("vec", V.zeros(dim)))
-    per = j.groupBy(id_col).agg(F.count("vec").alias("n_known"), Summarizer.sum(v).alias("v"))
+    # convert the (bounded) vector table once, not every token occurrence
+    vv = vectors.select("token", array_to_vector("vec").alias("v"))
+    j = lookup_join(occ, vv, "token", how="left", bound_rows=bound_rows)
+    v = F.coalesce("v", array_to_vector(V.zeros(dim)))
+    per = j.groupBy(id_col).agg(F.count("v").alias("n_known"), Summarizer.sum(v).alias("v"))
     total = vector_to_array("v")
     if how == "mean":
         n = F.col("n_known")
