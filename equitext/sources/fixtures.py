@@ -140,6 +140,19 @@ def document_frequency(df: DataFrame, id_col: str = "id", text_col: str = "comme
     )
 
 
+def _stamp(sf_dir: str) -> str:
+    import os
+
+    parts = []
+    for name in ("embeddings", "labels"):
+        try:
+            st = os.stat(f"{sf_dir}/{name}.parquet")
+            parts.append(f"{st.st_size}:{st.st_mtime_ns}")
+        except OSError:
+            parts.append("?")
+    return "/".join(parts)
+
+
 def embedding_shape(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
     """(rows, dim) of the embedding table in one small aggregate; vec_id is
     contiguous from 0, so rows is a proven bound on the vocabulary."""
@@ -171,8 +184,15 @@ def word_vectors(spark: SparkSession, sf_dir: str, corpus: DataFrame | None = No
     joins then read it instead of re-tokenising the corpus, as a word-vector
     file would be read.
     """
+    if corpus is None:
+        # The view stands in for a word-vector input file: built once per
+        # application from the current files (keyed by their size and
+        # modification time), then read like that file would be.
+        return file_fact(
+            spark, f"{sf_dir}/documents.parquet", f"word-vectors:{_stamp(sf_dir)}",
+            lambda: word_vectors(spark, sf_dir, comments(spark, sf_dir)),
+        )
     k = embedding_rows(spark, sf_dir)
-    corpus = corpus if corpus is not None else comments(spark, sf_dir)
     from equitext.operators.bow import top_k_by_df
 
     top = top_k_by_df(document_frequency(corpus), k)
