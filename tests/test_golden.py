@@ -67,3 +67,29 @@ def test_overall_rates(spark, m):
     assert abs(r["acceptance_rate"] - accept) < 1e-3
     assert abs(r["tpr"] - tpr) < 1e-3
     assert abs(r["tnr"] - tnr) < 1e-3
+
+
+# Published per-group [[TP, FP], [FN, TN]] with acceptance, TPR and TNR (%),
+# bag-of-words configuration, nine groups in order.
+GROUP_MATRICES = [
+    ((328, 218, 1050, 4650), 8.742, 23.803, 95.522),
+    ((137, 101, 799, 12483), 1.760, 14.637, 99.197),
+    ((406, 224, 1583, 18563), 3.032, 20.412, 98.808),
+    ((146, 105, 731, 3468), 5.640, 16.648, 97.061),
+    ((72, 47, 300, 2789), 3.709, 19.355, 98.343),
+    ((392, 233, 1553, 15730), 3.490, 20.154, 98.540),
+    ((235, 154, 988, 6450), 4.970, 19.215, 97.668),
+    ((34, 11, 172, 1146), 3.302, 16.505, 99.049),
+    ((475, 296, 1555, 7918), 7.526, 23.399, 96.396),
+]
+
+
+def test_group_rates(spark):
+    rows = [(f"g{i}", sum(m), *m) for i, (m, *_r) in enumerate(GROUP_MATRICES)]
+    c = spark.createDataFrame(rows, "subgroup string, n long, tp long, fp long, fn long, tn long")
+    got = {r["subgroup"]: r for r in M.with_rates(c).collect()}
+    for i, (_m, accept, tpr, tnr) in enumerate(GROUP_MATRICES):
+        r = got[f"g{i}"]
+        assert abs(r["acceptance_rate"] - accept) < 1e-3
+        assert abs(r["tpr"] - tpr) < 1e-3
+        assert abs(r["tnr"] - tnr) < 1e-3
