@@ -13,7 +13,7 @@ from equitext.operators import model as Mo
 from equitext.operators import probes as Pr
 from equitext.operators.profile import encode_label, with_length
 from equitext.plans.oracle import prelude
-from equitext.plans.q_profile import BIAS_AUC_SQL, GCOLS, OVERALL_AUC_SQL, _r, _with, labelled
+from equitext.plans.q_profile import BIAS_AUC_SQL, OVERALL_AUC_SQL, _r, _with, labelled
 from equitext.plans.q_split import EXTERNAL
 from equitext.plans.registry import query
 from equitext.session import scratch_path
