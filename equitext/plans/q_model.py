@@ -108,8 +108,10 @@ def _train_features(spark: SparkSession, sf_dir: str, rows: DataFrame | None = N
 def m03_train_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L2 logistic regression on mean word vectors of the training split;
     returns the coefficient table."""
-    df = labelled(spark, sf_dir)
-    train = X.split_rows(df, X.balanced_split(df), "train")
+    from equitext.plans.q_split import _split
+
+    df, split = _split(spark, sf_dir)
+    train = X.split_rows(df, split, "train")
     m = Mo.train_logistic(_train_features(spark, sf_dir, train))
     return Mo.coefficient_table(spark, m)
 
@@ -153,8 +155,10 @@ SELECT CAST(sum(pos) AS BIGINT) AS n_pos, CAST(sum(neg) AS BIGINT) AS n_neg,
 def m20_group_model_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Group-membership scores (sum-vector features) on the test split and
     their AUC; a row in k groups counts k times as positive."""
+    from equitext.plans.q_split import _split
+
     df, wv, k, dim, model = _ctx(spark, sf_dir)
-    test = X.split_rows(df, X.balanced_split(df), "test")
+    test = X.split_rows(df, _split(spark, sf_dir)[1], "test")
     gv = X.group_vs_rest(test)
     scores = Mo.score_docs(test, Mo.token_scores(wv, model), model.bias, "sum", bound_rows=k)
     rows = gv.join(scores.select("id", "pred"), "id").withColumn("y", F.col("group_label") == 1)

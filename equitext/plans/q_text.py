@@ -73,8 +73,9 @@ vocab AS (SELECT token, df, CAST(row_number() OVER (ORDER BY token) - 1 AS BIGIN
 
 
 def _train_test(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    df = labelled(spark, sf_dir)
-    split = X.balanced_split(df)
+    from equitext.plans.q_split import _split
+
+    df, split = _split(spark, sf_dir)
     return X.split_rows(df, split, "train"), X.split_rows(df, split, "test")
 
 
@@ -141,7 +142,7 @@ idf AS (SELECT w.token, CAST(coalesce(b.df, 0) AS BIGINT) AS df,
 def a21_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Smooth IDF over the word-vector vocabulary."""
     c = fx.comments(spark, sf_dir)
-    return B.idf_table(c, fx.word_vectors(spark, sf_dir, c))
+    return B.idf_table(c, fx.word_vectors(spark, sf_dir))
 
 
 @query(
@@ -155,5 +156,5 @@ def a21_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-row L2-normalised TF-IDF over the word-vector vocabulary."""
     c = fx.comments(spark, sf_dir)
     k = fx.embedding_rows(spark, sf_dir)
-    idf = B.idf_table(c, fx.word_vectors(spark, sf_dir, c))
+    idf = B.idf_table(c, fx.word_vectors(spark, sf_dir))
     return B.tfidf(c, idf, bound_rows=k)
