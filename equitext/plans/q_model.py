@@ -88,7 +88,40 @@ def m04_warm_start_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Mo.gradient_step(df.withColumn("label", F.col("toxic")), wv, model, lr=0.1, bound_rows=k)
 
 
-@query("m05_incremental_fit")
+def _incremental_sql(batches: int = 4, lr: float = 0.1, reg: float = 1e-4) -> str:
+    """Warm-start steps over hash-ordered mini-batches, one CTE block per step."""
+    mean = "(CAST(sum(CAST(round((ts.s) * 1e12) AS BIGINT)) AS DOUBLE) / 1e12 / count(ts.s))"
+    parts = [
+        "m0 AS (SELECT w, b FROM model)",
+        f"""bt AS (SELECT id, toxic, CAST(floor(CAST(('0x' || substr(md5(CAST(id AS VARCHAR) || ':11:batch'), 1, 8))
+  AS BIGINT) / 4294967296.0 * {batches}) AS INTEGER) AS batch FROM labelled)""",
+    ]
+    for i in range(batches):
+        parts += [
+            f"""ts{i} AS (SELECT w.token, list_sum(list_transform(range(1, 65), lambda j: w.vec[j] * m.w[j])) AS s
+  FROM word_vectors w, m{i} m)""",
+            f"""ssc{i} AS (SELECT t.id, count(*) AS n_known, {mean} AS z FROM tok t JOIN ts{i} ts ON t.token = ts.token
+  JOIN bt ON bt.id = t.id WHERE bt.batch = {i} GROUP BY t.id)""",
+            f"""sc{i} AS (SELECT bt.id, coalesce(ssc.n_known, 0) AS n_known,
+  1 / (1 + exp(-(coalesce(ssc.z, 0.0) + m.b))) - CAST(bt.toxic AS DOUBLE) AS r
+  FROM bt LEFT JOIN ssc{i} ssc ON ssc.id = bt.id, m{i} m WHERE bt.batch = {i})""",
+            f"tot{i} AS (SELECT count(*) AS n, sum(r) AS sum_r FROM sc{i})",
+            f"""c{i} AS (SELECT t.token, sum(r.r / r.n_known) AS c FROM tok t JOIN ts{i} ts ON t.token = ts.token
+  JOIN sc{i} r ON r.id = t.id WHERE r.n_known > 0 GROUP BY t.token)""",
+            f"""g{i} AS (SELECT pos, sum(c.c * w.vec[pos + 1]) AS g FROM c{i} c JOIN word_vectors w ON c.token = w.token,
+  range(64) p(pos) GROUP BY pos)""",
+            f"""m{i + 1} AS (SELECT list(m.w[p.pos + 1] - {lr} * (coalesce(g.g, 0.0) / t.n + {reg} * m.w[p.pos + 1])
+  ORDER BY p.pos) AS w, any_value(m.b - {lr} * t.sum_r / t.n) AS b
+  FROM range(64) p(pos) LEFT JOIN g{i} g ON g.pos = p.pos, m{i} m, tot{i} t)""",
+        ]
+    head = prelude("labelled", "tok", "word_vectors", "model").rstrip("\n")
+    m = f"m{batches}"
+    return head + ",\n" + ",\n".join(parts) + f"""
+SELECT CAST(p.pos AS VARCHAR) AS feature, round(m.w[p.pos + 1], 6) + 0.0 AS weight FROM range(64) p(pos), {m} m
+UNION ALL SELECT 'bias', round(b, 6) + 0.0 FROM {m}"""
+
+
+@query("m05_incremental_fit", _incremental_sql())
 def m05_incremental_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four warm-start steps over hash-ordered mini-batches."""
     df, wv, k, dim, model = _ctx(spark, sf_dir)
