@@ -107,3 +107,26 @@ def test_debias_draws_meet_their_bands(spark):
         cos = cand @ v / (np.linalg.norm(cand) * np.linalg.norm(v))
         assert lo <= p <= hi and cos >= 0.8 - 1e-12, (tok, p, cos)
         assert abs(p - r["p_new"]) < 1e-9
+
+
+def test_results_independent_of_shuffle_partitions(spark):
+    from equitext.operators import debias as D
+
+    def run():
+        df = q_profile.labelled(spark, SMALL)
+        split = sorted(tuple(r) for r in X.balanced_split(df).collect())
+        bias = sorted((r["subgroup"], r["subgroup_auc"], r["bpsn_auc"]) for r in M.bias_aucs(df).collect())
+        _, wv, model, dirs, k = q_debias.setup(spark, SMALL)
+        w = sorted(tuple(r) for r in D.search_weights(q_debias.search_tokens(df, wv), wv, model, dirs,
+                                                       bound_rows=k).collect())
+        return split, bias, w
+
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "3")
+        a = run()
+        spark.conf.set("spark.sql.shuffle.partitions", "13")
+        b = run()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert a == b
