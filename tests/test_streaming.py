@@ -40,3 +40,16 @@ def test_one_version_per_micro_batch(spark):
     assert versions == 3
     _, final = latest_model(spark, f"{base}/model", model)
     assert final.bias != model.bias
+
+
+def test_stream_scores_equal_batch_scores(spark):
+    from equitext.streaming.incremental import score_stream
+
+    df, base, wv, k, model = _setup(spark, 2)
+    scores = Mo.token_scores(wv, model)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    score_stream(stream, scores, model.bias, f"{base}/preds", f"{base}/ckpt2", bound_rows=k).awaitTermination()
+    got = {r["id"]: r["pred"] for r in spark.read.parquet(f"{base}/preds").collect()}
+    want = {r["id"]: r["pred"] for r in Mo.score_docs(df, scores, model.bias, bound_rows=k).collect()}
+    assert got.keys() == want.keys()
+    assert all(abs(got[i] - want[i]) < 1e-12 for i in want)
