@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from equitext.llm import exact_blocks, simhash_tiles
+from equitext.llm import exact_blocks, simhash_tiles, toxicity_channel
 from equitext.llm.util import UPPER, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +46,10 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_tiles.near_duplicates(read(spark, sf_dir, "documents"), shingle=3, radius=2)
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
                       "component_id")
+
+
+@query("op4_toxicity_channel")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Restored text scored; labels are learned outside the held-out fold."""
+    out = toxicity_channel.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), folds=5)
+    return out.select(F.col("id").alias("doc_id"), "held_out", "score", "predicted")
