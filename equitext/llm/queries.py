@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from equitext.llm import exact_blocks, simhash_tiles, toxicity_channel
+from equitext.llm import decontam_seeds, exact_blocks, simhash_tiles, toxicity_channel
 from equitext.llm.util import UPPER, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +53,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Restored text scored; labels are learned outside the held-out fold."""
     out = toxicity_channel.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), folds=5)
     return out.select(F.col("id").alias("doc_id"), "held_out", "score", "predicted")
+
+
+@query("op10_decontam_seeds")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest verified overlap of each document with each benchmark
+    item: at least 13 words, 0.8 of them equal."""
+    out = decontam_seeds.find_overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return out.withColumnRenamed("id", "doc_id")
