@@ -5,10 +5,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from equitext.llm import decontam_seeds, exact_blocks, simhash_tiles, toxicity_channel
+from equitext.llm import bpe_tree, decontam_seeds, exact_blocks, simhash_tiles, toxicity_channel
 from equitext.llm.util import UPPER, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +62,21 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     item: at least 13 words, 0.8 of them equal."""
     out = decontam_seeds.find_overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return out.withColumnRenamed("id", "doc_id")
+
+
+@query("op8_bpe_tree")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text under the word-end BPE and their decoding."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    out = bpe_tree.decode(bpe_tree.encode(read(spark, sf_dir, "documents"), path), path)
+    return out.select(F.col("id").alias("doc_id"), F.floor(F.octet_length("ids") / 4).alias("n_tokens"),
+                      F.sha2("ids", 256).alias("ids_sha256"),
+                      F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"))
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of corpus_pipeline over ``documents``."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)

@@ -178,3 +178,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, seed: in
         reps.join(grouped.join(smallest, "root").select("fp", "least"), "fp", "left")
         .select("fp", F.coalesce("least", "first").alias("component_id")), "simhash-components")
     return fps.join(named, "fp").select("id", "fp", "component_id")
+
+
+def drop_near_copies(docs: DataFrame, shingle: int = 3, radius: int = 2, seed: int = 42,
+                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component: the one with the smallest id.
+
+    Rows with a NULL id cannot be told apart by it and stay.  Of repeated rows
+    with that id one stays.
+    """
+    found = near_duplicates(docs, shingle, radius, seed, id_col, text_col)
+    keep = saved(found.filter(F.col("id") == F.col("component_id")).select(F.col("id").alias("__keep")).distinct(),
+                 "simhash-kept")
+    named = docs.filter(F.col(id_col).isNotNull())
+    kept = named.join(keep, named[id_col] == keep["__keep"], "left_semi").dropDuplicates([id_col])
+    return kept.unionByName(docs.filter(F.col(id_col).isNull()))
