@@ -9,8 +9,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from equitext.llm import bpe_tree, decontam_seeds, exact_blocks, simhash_tiles, toxicity_channel
-from equitext.llm.util import UPPER, read
+from equitext.llm import (
+    bpe_tree,
+    decontam_seeds,
+    exact_blocks,
+    langid_unigram,
+    simhash_tiles,
+    toxicity_channel,
+)
+from equitext.llm.util import UPPER, fold, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -80,3 +87,12 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
+
+
+@query("op5_langid_unigram")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text; two of three folds are learned from."""
+    docs = read(spark, sf_dir, "documents")
+    model = langid_unigram.fit(docs, public_tokenizers.path("piece_bpe_32k.model"), folds=3, held_out=1)
+    out = langid_unigram.predict(docs, model)
+    return out.select(F.col("id").alias("doc_id"), (fold("id", 3) == 1).alias("held_out"), "lang_pred", "score")
