@@ -13,6 +13,7 @@ from equitext.llm import (
     bpe_tree,
     decontam_seeds,
     exact_blocks,
+    html_styletree,
     langid_unigram,
     simhash_tiles,
     toxicity_channel,
@@ -96,3 +97,10 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid_unigram.fit(docs, public_tokenizers.path("piece_bpe_32k.model"), folds=3, held_out=1)
     out = langid_unigram.predict(docs, model)
     return out.select(F.col("id").alias("doc_id"), (fold("id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+@query("op6_html_styletree")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    out = html_styletree.extract(read(spark, sf_dir, "pages"))
+    return out.select(F.col("id").alias("page_id"), "url", "text", F.char_length("text").cast("long").alias("n_chars"))
