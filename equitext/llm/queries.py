@@ -16,6 +16,8 @@ from equitext.llm import (
     html_styletree,
     langid_unigram,
     simhash_tiles,
+    suffix_lpf,
+    suffix_tree_words,
     toxicity_channel,
 )
 from equitext.llm.util import UPPER, fold, read
@@ -104,3 +106,24 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     out = html_styletree.extract(read(spark, sf_dir, "pages"))
     return out.select(F.col("id").alias("page_id"), "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def _span_sums(out: DataFrame) -> list:
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["begin"])
+    return [removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans")]
+
+
+@query("op2_suffix_lpf")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes covered by a 400-byte string that also starts elsewhere."""
+    out = suffix_lpf.remove_repeats(read(spark, sf_dir, "documents"), min_bytes=400)
+    return out.select(F.col("id").alias("doc_id"), "n_bytes", *_span_sums(out),
+                      F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op3_suffix_tree_words")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words covered by a 50-word window of a smaller doc_id."""
+    out = suffix_tree_words.remove_repeats(read(spark, sf_dir, "documents"), min_words=50)
+    return out.select(F.col("id").alias("doc_id"), "n_words", *_span_sums(out),
+                      F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
