@@ -14,6 +14,7 @@ from equitext.llm import (
     decontam_seeds,
     exact_blocks,
     html_styletree,
+    huffman_ids,
     langid_unigram,
     simhash_tiles,
     suffix_lpf,
@@ -127,3 +128,13 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_tree_words.remove_repeats(read(spark, sf_dir, "documents"), min_words=50)
     return out.select(F.col("id").alias("doc_id"), "n_words", *_span_sums(out),
                       F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
+@query("op9_huffman_ids")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids written as Huffman files in doc_id order and read back."""
+    target = huffman_ids.fresh_target(spark)
+    huffman_ids.write_ids(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), target, end=2)
+    out = huffman_ids.read_ids(spark, target)
+    return out.select(F.col("id").alias("doc_id"), "start", F.floor(F.octet_length("ids") / 4).alias("n_tokens"),
+                      F.crc32("ids").alias("ids_crc32"))
