@@ -61,7 +61,7 @@ TWEET_RULES_AFTER_HASHTAG = [
     (r"([A-Z]){2,}", "$0 <allcaps>"),
 ]
 # Splits text into alternating runs of whitespace and non-whitespace.
-_WS_BOUNDARY = r"(?<=\s)(?=\S)|(?<=\S)(?=\s)"
+_WS_BOUNDARY = r"(?U)(?<=\s)(?=\S)|(?<=\S)(?=\s)"
 
 
 def normalise_tweet(text: Column | str) -> Column:

@@ -85,23 +85,24 @@ def idf_table(df: DataFrame, vocabulary: DataFrame, text_col: str = "comment_tex
     dfreq = document_frequency(df, text_col)
     voc = vocabulary.select("token").distinct()
     j = voc.join(dfreq, "token", "left").select("token", F.coalesce("df", F.lit(0)).alias("df"))
-    one = F.lit(1).alias("_one")
-    return (
-        j.select("*", one)
-        .join(n.select("*", one), "_one")
-        .select(
-            "token",
-            F.col("df").cast("bigint").alias("df"),
-            (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf"),
-        )
+    return j.select(
+        "token",
+        F.col("df").cast("bigint").alias("df"),
+        (F.log((1.0 + n.scalar()) / (1.0 + F.col("df"))) + 1.0).alias("idf"),
     )
 
 
+def token_counts(df: DataFrame, id_col: str = "id", text_col: str = "comment_text", tokens=bow_tokens) -> DataFrame:
+    """(id, token, cnt).  Occurrences are counted before the shuffle (partial
+    aggregate); rows already partitioned by id are not shuffled again."""
+    occ = df.select(id_col, F.explode(tokens(text_col)).alias("token"))
+    return occ.groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("cnt"))
+
+
 def tfidf(df: DataFrame, idf: DataFrame, id_col: str = "id", text_col: str = "comment_text",
           bound_rows: int | None = None) -> DataFrame:
     """(id, token, tfidf), raw term count x idf, L2-normalised per row."""
-    occ = df.select(id_col, F.explode(bow_tokens(text_col)).alias("token"))
-    tf = occ.groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("tf"))
+    tf = token_counts(df, id_col, text_col).withColumnRenamed("cnt", "tf")
     j = lookup_join(tf, idf.select("token", "idf"), "token", bound_rows=bound_rows)
     w = j.withColumn("_v", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("_v") * F.col("_v")).over(Window.partitionBy(id_col)))

@@ -36,8 +36,11 @@ def read_word2vec_text(spark: SparkSession, path: str) -> DataFrame:
 
 def mean_vector_long(vectors: DataFrame, words: DataFrame) -> DataFrame:
     """Element-wise mean of the vectors of a word list, long form
-    (pos, value).  ``words`` is a (token) list; a missing word is an error
-    in the original, so callers check coverage with ``missing_words``."""
+    (pos, value).  ``words`` is a (token) list, small by definition; a word
+    without a vector is an error."""
+    absent = [r["token"] for r in missing_words(vectors, words).orderBy("token").take(10)]
+    if absent:
+        raise KeyError(f"words without a vector: {', '.join(absent)}")
     j = vectors.join(words.select("token"), "token", "left_semi")
     return (
         j.select(F.posexplode("vec").alias("pos", "x"))
@@ -77,7 +80,7 @@ def doc_vectors(
     occ = docs.select(id_col, F.explode_outer(word_tokens(text_col)).alias("token"))
     # convert the (bounded) vector table once, not every token occurrence
     vv = vectors.select("token", array_to_vector("vec").alias("v"))
-    j = lookup_join(occ, vv, "token", how="left", bound_rows=bound_rows)
+    j = lookup_join(occ, vv, "token", how="left", bound_rows=bound_rows, dim=dim)
     v = F.coalesce("v", array_to_vector(V.zeros(dim)))
     per = j.groupBy(id_col).agg(F.count("v").alias("n_known"), Summarizer.sum(v).alias("v"))
     total = vector_to_array("v")
@@ -155,7 +158,7 @@ def identity_proximity(
         id_col, "subgroup", "k", F.length(text_col).cast("bigint").alias("comment_length"),
         F.explode(word_tokens(text_col)).alias("token"),
     )
-    j = lookup_join(occ, cos, "token", bound_rows=bound_rows).withColumn(
+    j = lookup_join(occ, cos, "token", bound_rows=bound_rows, dim=len(anchors)).withColumn(
         "sim", F.element_at("cos", F.col("k").cast("int") + 1)
     )
     j = j.where(F.col("sim") < self_similarity)
@@ -172,7 +175,4 @@ def identity_proximity(
 
 def exclude_words(tokens: DataFrame, stop: DataFrame, bound_rows: int | None = None) -> DataFrame:
     """Tokens not in a (small) stop list."""
-    stop = stop.select("token")
-    if bound_rows is not None:
-        stop = F.broadcast(stop)
-    return tokens.join(stop, "token", "left_anti")
+    return lookup_join(tokens, stop.select("token"), "token", "left_anti", bound_rows)

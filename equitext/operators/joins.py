@@ -9,9 +9,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A side is broadcast only when its row count is bounded by this many rows.
-# A (token, score) row is well under 100 bytes, so 2M rows stay < 200 MB.
-BROADCAST_ROW_LIMIT = 2_000_000
+# A side is broadcast only when its rows times its row width stay below this.
+BROADCAST_BYTES = 64 << 20
+# Assumed widths in bytes (values plus row overhead) of columns by type.
+_FIXED_WIDTH = {"boolean": 8, "int": 8, "bigint": 8, "double": 8, "float": 8}
+_STRING_WIDTH = 64
+_ROW_OVERHEAD = 48
+
+
+def row_width(df: DataFrame, dim: int | None = None) -> int | None:
+    """Bytes of a row of ``df``; array columns hold ``dim`` eight-byte items.
+    None where a column's width is not known."""
+    total = _ROW_OVERHEAD
+    for _, t in df.dtypes:
+        if t in _FIXED_WIDTH:
+            total += _FIXED_WIDTH[t]
+        elif t == "string":
+            total += _STRING_WIDTH
+        elif (t.startswith("array<") or t.startswith("vector")) and dim is not None:
+            total += 16 + 8 * dim
+        else:
+            return None
+    return total
 
 
 def lookup_join(
@@ -20,15 +39,18 @@ def lookup_join(
     on: str | list[str],
     how: str = "inner",
     bound_rows: int | None = None,
+    dim: int | None = None,
 ) -> DataFrame:
     """Join ``big`` to a lookup table, broadcasting it only behind a size bound.
 
     ``bound_rows`` is a proven upper bound on the rows of ``small`` (e.g. the
-    number of embedding rows, the length of a word list).  Without a bound,
-    or above the limit, it is a shuffle join: AQE may still switch to a
-    broadcast from runtime sizes and splits skewed keys.
+    number of embedding rows, the length of a word list); times the row width
+    (``dim``: items of its array columns) it must stay below BROADCAST_BYTES.
+    Without a bound, or above the limit, it is a shuffle join: AQE may still
+    switch to a broadcast from runtime sizes and splits skewed keys.
     """
-    if bound_rows is not None and bound_rows <= BROADCAST_ROW_LIMIT:
+    width = row_width(small, dim)
+    if bound_rows is not None and width is not None and bound_rows * width <= BROADCAST_BYTES:
         small = F.broadcast(small)
     return big.join(small, on, how)
 
@@ -40,7 +62,7 @@ def attach_predictions(rows: DataFrame, preds: DataFrame, key: str = "id") -> Da
 
 def residual_rows(rows: DataFrame, taken: DataFrame, key: str = "id") -> DataFrame:
     """Rows whose key is in none of ``taken`` (left anti join)."""
-    return rows.join(taken.select(key).distinct(), key, "left_anti")
+    return rows.join(taken.select(key), key, "left_anti")
 
 
 def lookup_rows(rows: DataFrame, keys: DataFrame, key: str = "id") -> DataFrame:

@@ -25,7 +25,6 @@ from equitext.constants import GROUPS, OVERALL_MODEL_WEIGHT, POWER, THRESHOLD
 from equitext.session import literal_table, materialize
 
 AUC_BUCKETS = 512
-SINGLE_WINDOW_ROWS = 1_000_000  # distinct (key, score) rows one task sorts easily
 
 
 def nan_to_null(c: Column | str) -> Column:
@@ -52,9 +51,13 @@ def background(c: Column | str) -> Column:
 def confusion_counts(
     df: DataFrame, keys: Sequence[str] = (), label: str = "toxic", score: str = "pred"
 ) -> DataFrame:
-    """(keys, n, tp, fp, fn, tn) with prediction ``score > 0.5``."""
+    """(keys, n, tp, fp, fn, tn) with prediction ``score > 0.5``.
+
+    One rule for all metrics: a row without a score or without a label is in
+    neither the matrix nor the AUC."""
     y = F.col(label)
-    p = F.coalesce(positive(score), F.lit(False))
+    p = positive(score)
+    df = df.where(p.isNotNull() & y.isNotNull())
     aggs = [
         F.count(F.lit(1)).alias("n"),
         F.count_if(p & y).alias("tp"),
@@ -99,7 +102,7 @@ def prefix_sums_below(
     strictly smaller ``order_col`` (rows are distinct per keys + order_col).
 
     Exact.  The input (already reduced to distinct scores) is written
-    once to the shared checkpoint folder, so the two branches below do not
+    once to the shared checkpoint folder, so the steps below do not
     recompute it.  Bucket bounds are approximate quantiles of ``order_col``
     (at most ``buckets - 1`` numbers reach the driver); ``Bucketizer`` maps
     each row to its bucket by binary search.  The running sum is a window
@@ -108,11 +111,6 @@ def prefix_sums_below(
     """
     keys = list(keys)
     df = materialize(df, "score-counts")
-    # Row count of the written table comes from Parquet metadata.  A table
-    # small enough for one task per key needs no buckets (and no quantile
-    # pass); beyond that the window is split into quantile buckets.
-    if df.count() <= SINGLE_WINDOW_ROWS:
-        buckets = 1
     probs = [i / buckets for i in range(1, buckets)]
     qs = df.approxQuantile(order_col, probs, 1.0 / (10 * buckets)) if buckets > 1 else []
     inner_splits = sorted({float(q) for q in qs if q == q and abs(q) != float("inf")})
@@ -283,9 +281,9 @@ def final_metric(
     pm = power_means(bias, p)
     o = overall_auc.select(F.col("auc").alias("overall_auc"))
     bias_score = (F.col("pm_subgroup_auc") + F.col("pm_bpsn_auc") + F.col("pm_bnsp_auc")) / 3.0
-    # Both sides are single-row aggregates: an equi-join on a constant key.
-    one = F.lit(1).alias("_one")
-    return o.select("*", one).join(pm.select("*", one), "_one").select(
+    # The overall AUC is one value: a scalar subquery, not a join.
+    return pm.select(
+        o.select("overall_auc").scalar().alias("overall_auc"), *pm.columns).select(
         "overall_auc",
         "pm_subgroup_auc",
         "pm_bpsn_auc",
@@ -294,11 +292,73 @@ def final_metric(
     )
 
 
+def bias_summary(
+    df: DataFrame, groups: Sequence[str] = GROUPS, score: str = "pred", label: str = "toxic",
+    buckets: int = AUC_BUCKETS,
+) -> DataFrame:
+    """(scope, size, auc, bpsn_auc, bnsp_auc, tp, fp, fn, tn) for "overall" and
+    every group, from one scan.
+
+    Rows are reduced to one row per distinct score that holds the counts of
+    all groups side by side, so no row is copied once per group.  Running
+    sums over that table give every AUC, sums of it every matrix.
+    """
+    y, p = F.col("_y"), nan_to_null(score)
+    src = df.where(p.isNotNull() & F.col(label).isNotNull()).select(
+        p.alias("score"), F.col(label).alias("_y"), *[nan_to_null(g).alias(f"g{i}") for i, g in enumerate(groups)])
+    counts = [F.count_if(y).alias("sp"), F.count_if(~y).alias("sn")]
+    for i in range(len(groups)):
+        inside, outside = F.col(f"g{i}") > THRESHOLD, F.col(f"g{i}") <= THRESHOLD
+        counts += [F.count_if(inside & y).alias(f"sp{i}"), F.count_if(inside & ~y).alias(f"sn{i}"),
+                   F.count_if(outside & y).alias(f"bp{i}"), F.count_if(outside & ~y).alias(f"bn{i}")]
+    table = src.groupBy("score").agg(*counts).withColumn("_all", F.lit(1))
+    running = ["sn", *[f"{c}{i}" for i in range(len(groups)) for c in ("sn", "bn")]]
+    pre = prefix_sums_below(table, ["_all"], "score", running, buckets)
+    high = F.col("score") > THRESHOLD
+
+    def rank_sum(pos: str, neg: str) -> Column:
+        return F.sum(F.col(pos) * (F.col(f"{neg}_below") + F.col(neg) / 2.0))
+
+    def total(c: str, when: Column | None = None) -> Column:
+        return F.coalesce(F.sum(F.col(c) if when is None else F.when(when, F.col(c)).otherwise(0)), F.lit(0))
+
+    def fields(scope: str, i: str) -> list[Column]:
+        sp, sn, sub = f"sp{i}", f"sn{i}", [F.lit(scope).alias("scope")]
+        sub += [(total(sp) + total(sn)).alias("size"), _auc_ratio(rank_sum(sp, sn), total(sp), total(sn)).alias("auc")]
+        if i:
+            bp, bn = f"bp{i}", f"bn{i}"
+            sub += [_auc_ratio(rank_sum(bp, sn), total(bp), total(sn)).alias("bpsn_auc"),
+                    _auc_ratio(rank_sum(sp, bn), total(sp), total(bn)).alias("bnsp_auc")]
+        else:
+            sub += [F.lit(None).cast("double").alias("bpsn_auc"), F.lit(None).cast("double").alias("bnsp_auc")]
+        return sub + [total(sp, high).alias("tp"), total(sn, high).alias("fp"),
+                      total(sp, ~high).alias("fn"), total(sn, ~high).alias("tn")]
+
+    scopes = [("overall", ""), *[(g, str(i)) for i, g in enumerate(groups)]]
+    row = pre.agg(*[F.struct(*fields(s, i)).alias(f"s{k}") for k, (s, i) in enumerate(scopes)])
+    return row.select(F.inline(F.array(*[F.col(f"s{k}") for k in range(len(scopes))])))
+
+
+def final_from_summary(summary: DataFrame, p: float = POWER, w: float = OVERALL_MODEL_WEIGHT) -> DataFrame:
+    """A13/A14 of a ``bias_summary``: one row, no further scan."""
+    groups = F.col("scope") != "overall"
+    means = [F.pow(F.avg(F.when(groups, F.pow(F.col(c), F.lit(p)))), F.lit(1.0 / p)).alias(f"pm_{n}")
+             for c, n in (("auc", "subgroup_auc"), ("bpsn_auc", "bpsn_auc"), ("bnsp_auc", "bnsp_auc"))]
+    one = summary.agg(F.max(F.when(~groups, F.col("auc"))).alias("overall_auc"), *means)
+    bias_score = (F.col("pm_subgroup_auc") + F.col("pm_bpsn_auc") + F.col("pm_bnsp_auc")) / 3.0
+    return one.select("*", (F.lit(w) * F.col("overall_auc") + F.lit(1.0 - w) * bias_score).alias("final_metric"))
+
+
 def bias_report(
     df: DataFrame, groups: Sequence[str] = GROUPS, score: str = "pred", label: str = "toxic"
 ) -> DataFrame:
     """M18 per-group records: sizes, three AUCs, confusion and rates,
-    sorted by subgroup AUC ascending (O1)."""
-    aucs = bias_aucs(df, groups, score, label)
-    conf = subgroup_confusion(df, groups, score, label).drop("n")
-    return aucs.join(conf, "subgroup", "left").orderBy(F.asc_nulls_first("subgroup_auc"), "subgroup")
+    sorted by subgroup AUC ascending (O1); one scan of ``df``."""
+    per = bias_summary(df, groups, score, label).where(F.col("scope") != "overall")
+    n = F.nullif(F.col("size"), F.lit(0))
+    counts = per.select(
+        F.col("scope").alias("subgroup"), F.col("size").alias("subgroup_size"), F.col("auc").alias("subgroup_auc"),
+        "bpsn_auc", "bnsp_auc", n.alias("n"),
+        # a group without rows has no matrix
+        *[F.when(n.isNotNull(), F.col(c)).alias(c) for c in ("tp", "fp", "fn", "tn")])
+    return with_rates(counts).drop("n").orderBy(F.asc_nulls_first("subgroup_auc"), "subgroup")

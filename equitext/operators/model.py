@@ -17,13 +17,13 @@ from collections.abc import Sequence
 
 from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from equitext.functions import vectors as V
 from equitext.functions.text import word_tokens
 from equitext.operators.joins import lookup_join
-from equitext.session import literal_table
+from equitext.session import literal_table, materialize
 from equitext.sources.fixtures import LinearModel
 
 L2 = 1e-4  # alpha of the original L2-penalised log-loss SGD
@@ -33,13 +33,18 @@ L2 = 1e-4  # alpha of the original L2-penalised log-loss SGD
 SCORE_SCALE = 1e12
 
 
-def exact_sum(c) -> "Column":
-    """Order-independent sum of token scores (fixed point, exact)."""
+def exact_sum(c) -> Column:
+    """Order-independent sum of token scores (fixed point, exact).  Whole
+    units and the two halves of the fraction are summed apart, each as an
+    integer, so neither large scores nor very long documents overflow."""
     col = F.col(c) if isinstance(c, str) else c
-    return F.sum(F.round(col * SCORE_SCALE).cast("long")).cast("double") / SCORE_SCALE
+    whole = F.floor(col)
+    fraction = F.round((col - whole) * SCORE_SCALE).cast("long")
+    return F.sum(whole).cast("double") + F.sum(F.shiftright(fraction, 20)).cast("double") * (
+        (1 << 20) / SCORE_SCALE) + F.sum(fraction.bitwiseAND(F.lit((1 << 20) - 1))).cast("double") / SCORE_SCALE
 
 
-def exact_mean(c) -> "Column":
+def exact_mean(c) -> Column:
     """Order-independent mean of token scores; NULL when there are none."""
     col = F.col(c) if isinstance(c, str) else c
     return F.try_divide(exact_sum(col), F.count(col).cast("double"))
@@ -103,19 +108,40 @@ def train_logistic(features: DataFrame, label: str = "label", reg: float = L2, m
     return LinearModel(tuple(float(x) for x in m.coefficients), float(m.intercept))
 
 
+def stratified_folds(rows: DataFrame, k: int, label: str = "label", id_col: str = "id", seed: int = 5) -> DataFrame:
+    """Adds ``fold`` (1..k): rows are dealt to the folds in hash order inside
+    each label, so every fold has its share of a rare class.
+
+    The place in the order is the row's rank; it is taken inside (label,
+    first hash digits) with an offset from the small count table, so no
+    window holds a whole label.
+    """
+    from equitext.operators.split import HASH_BUCKET_DIGITS, hash_order
+
+    b = rows.withColumn("_h", hash_order(id_col, seed, "fold")).withColumn(
+        "_hb", F.substring("_h", 1, HASH_BUCKET_DIGITS))
+    counts = b.groupBy(label, "_hb").agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.partitionBy(label).orderBy("_hb").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(label, "_hb", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
+    rank = F.row_number().over(Window.partitionBy(label, "_hb").orderBy("_h")) - 1
+    ranked = b.withColumn("_r", rank).join(offsets, [label, "_hb"])
+    return ranked.withColumn("fold", (F.pmod(F.col("_off") + F.col("_r"), F.lit(k)) + 1).cast("int")).drop(
+        "_h", "_hb", "_r", "_off")
+
+
 def cross_validate(features: DataFrame, k: int = 5, label: str = "label", kind: str = "logistic",
                    id_col: str = "id", seed: int = 5) -> DataFrame:
-    """K hash folds; per fold accuracy and F1 of the positive class.
+    """K stratified folds; per fold accuracy and F1 of the positive
+    class.
 
     Each fold trains a distributed estimator on the other folds; only the
     per-fold metric rows are small.
     """
-    from equitext.operators.split import hash_uniform
-
-    f = features.withColumn("fold", F.floor(hash_uniform(id_col, seed, "fold") * k).cast("int"))
-    f = f.select("fold", array_to_vector("vec").alias("features"), F.col(label).cast("double").alias("label"))
+    f = stratified_folds(features, k, label, id_col, seed)
+    f = materialize(f.select("fold", "vec", F.col(label).cast("double").alias("label")), "folds").select(
+        "fold", array_to_vector("vec").alias("features"), "label")
     results = []
-    for i in range(k):
+    for i in range(1, k + 1):
         train = f.where(F.col("fold") != i)
         test = f.where(F.col("fold") == i)
         if kind == "svm":
@@ -128,7 +154,7 @@ def cross_validate(features: DataFrame, k: int = 5, label: str = "label", kind:
             F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("accuracy"),
             F.count_if(y & p).alias("tp"), F.count_if(~y & p).alias("fp"), F.count_if(y & ~p).alias("fn"),
         ).select(
-            F.lit(i + 1).alias("fold"), "accuracy",
+            F.lit(i).alias("fold"), "accuracy",
             F.try_divide(2.0 * F.col("tp"), (2 * F.col("tp") + F.col("fp") + F.col("fn")).cast("double")).alias("f1"),
         )
         results.append(m)
@@ -138,6 +164,50 @@ def cross_validate(features: DataFrame, k: int = 5, label: str = "label", kind:
     return out
 
 
+def vector_logit(vec: str, model: LinearModel) -> Column:
+    """w . x + b over an array column; the coefficients are literals."""
+    return V.dot(vec, V.literal(model.weights)) + F.lit(float(model.bias))
+
+
+def optimum_check(features: DataFrame, model: LinearModel, reg: float = L2, label: str = "label",
+                  tolerance: float = 1e-2) -> DataFrame:
+    """One row (n_rows, n_pos, n_features, at_optimum): whether every partial
+    derivative of the penalised mean log-loss is below ``tolerance``."""
+    r = features.select(
+        (V.sigmoid(vector_logit("vec", model)) - F.col(label).cast("double")).alias("r"), F.col(label).alias("y"), "vec")
+    dim = len(model.weights)
+    slopes = [F.abs(F.avg(F.col("r") * F.col("vec")[i]) + F.lit(reg * model.weights[i])) for i in range(dim)]
+    return r.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("y") == 1).alias("n_pos"),
+        F.lit(dim).cast("bigint").alias("n_features"),
+        (F.greatest(F.abs(F.avg("r")), *slopes) < tolerance).alias("at_optimum"))
+
+
+def retrain_on_errors(features: DataFrame, max_rounds: int, label: str = "label") -> list[tuple[int, int, int | None, bool]]:
+    """(round, rows, errors, converged) of refits on the rows that the
+    previous model got wrong.  Stops when no error is left (converged), when
+    only one class is left (errors unknown), when a round corrects nothing, or
+    after ``max_rounds``.  Each round's rows are written to the shared
+    checkpoint folder, so lineage stays one round long."""
+    rows, out = features, []
+    n = rows.count()
+    for i in range(1, max_rounds + 1):
+        if n == 0:
+            break
+        if rows.select(label).distinct().count() < 2:
+            out.append((i, n, None, False))
+            break
+        m = train_logistic(rows, label)
+        wrong = (V.sigmoid(vector_logit("vec", m)) > 0.5) != (F.col(label) == 1)
+        rows = materialize(rows.where(wrong), "errors")
+        left = rows.count()
+        out.append((i, n, left, left == 0))
+        if left in (0, n):
+            break
+        n = left
+    return out
+
+
 # ---------------------------------------------------------------------------
 # Warm start (M4, M5)
 # ---------------------------------------------------------------------------
@@ -180,8 +250,7 @@ def gradient_step(
         .agg(F.sum(F.col("c") * F.col("x")).alias("g"))
     )
     w = literal_table(vectors.sparkSession, [(i, float(x)) for i, x in enumerate(model.weights)], "pos int, w double")
-    one = F.lit(1).alias("_one")
-    wt = w.join(g, "pos", "left").select("*", one).join(totals.select("*", one), "_one")
+    wt = w.join(g, "pos", "left").select("*", totals.select("n").scalar().alias("n"))
     new_w = F.col("w") - lr * (F.coalesce("g", F.lit(0.0)) / F.col("n") + reg * F.col("w"))
     weights = wt.select(F.col("pos").cast("string").alias("feature"), new_w.alias("weight"))
     bias = totals.select(
@@ -239,10 +308,6 @@ def route(p_group: DataFrame, p_debias: DataFrame, p_base: DataFrame, id_col: st
     )
 
 
-def to_vector_features(vecs: DataFrame) -> DataFrame:
-    return vecs.withColumn("features", array_to_vector("vec"))
-
-
 __all__ = [
     "token_scores", "score_docs", "coefficient_table", "train_logistic", "cross_validate",
     "gradient_step", "model_from_table", "incremental_fit", "route", "vector_to_array",

@@ -71,6 +71,5 @@ def evaluate(scored: DataFrame, keys: Sequence[str] = (), label: str = "y", scor
     )
     a = M.auc(scored, keys, score, label).select(*keys, "auc")
     if not keys:
-        one = F.lit(1).alias("_one")
-        return conf.select("*", one).join(a.select("*", one), "_one").drop("_one")
+        return conf.select("*", a.scalar().alias("auc"))
     return conf.join(a, keys, "left")

@@ -17,8 +17,8 @@ from equitext.operators.metrics import group_memberships, nan_to_null, positive
 
 
 def binarise(df: DataFrame, col: str = "target", out: str = "toxic") -> DataFrame:
-    """``toxic = target > 0.5`` (strict)."""
-    return df.withColumn(out, nan_to_null(col) > THRESHOLD)
+    """``toxic = target > 0.5`` (strict); a missing target is not toxic."""
+    return df.withColumn(out, F.coalesce(nan_to_null(col) > THRESHOLD, F.lit(False)))
 
 
 def with_length(df: DataFrame, text_col: str = "comment_text", out: str = "length") -> DataFrame:
@@ -196,7 +196,8 @@ def false_positives(df: DataFrame, groups: Sequence[str] = GROUPS, score: str =
 
 
 def error_rows(df: DataFrame, score: str = "pred", label: str = "toxic") -> DataFrame:
-    """False positives and false negatives, with the error kind."""
-    p = prediction_label(score)
+    """False positives and false negatives, with the error kind; a row
+    without a prediction is neither."""
+    p = positive(score)
     y = F.col(label)
     return df.where(p != y).withColumn("error", F.when(p, F.lit("fp")).otherwise(F.lit("fn")))

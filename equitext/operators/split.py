@@ -3,17 +3,17 @@
 Random order is an md5 of ``id:seed:stratum``, so membership depends on
 neither partitioning nor row order, and the same SQL reproduces it.
 
-Exact cuts ("the first k rows of a stratum in hash order") need a rank.  A
-plain ``row_number() over (partition by stratum)`` puts a whole stratum
-(e.g. residual non-toxic rows, most of the data) in one task.  Instead rows
-are counted per (stratum, first 4 hex digits of the hash) -- 65,536 buckets,
-uniform by construction -- the small count table gives each bucket its
-offset, and the window runs inside (stratum, bucket) only.
+Exact cuts ("the first k rows of a stratum in hash order") need no rank of
+all rows.  Rows are counted per (stratum, first 4 hex digits of the hash) --
+65,536 buckets, uniform by construction; the small count table names the one
+bucket in which the cut lies, and only its rows are ranked (``exact_cut``).
+Every other row is decided by a comparison.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from equitext.constants import GROUPS, RESIDUAL_NONTOXIC_KEEP, SPLIT_SEED, TEST_FRACTION, THRESHOLD
 from equitext.operators.metrics import group_memberships
 from equitext.operators.profile import any_group
+from equitext.session import read_if_exists
 
 HASH_BUCKET_DIGITS = 4
-_RESIDUAL = "\u0000residual"  # stratum of rows in no group (not a group name)
 
 
 def hash_order(id_col: str, seed: int, stratum: Column | str) -> Column:
@@ -38,34 +38,50 @@ def hash_uniform(id_col: str, seed: int, salt: str = "") -> Column:
     return F.conv(F.substring(h, 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
-def exact_rank(df: DataFrame, strata: Sequence[str], order_col: str, out: str = "rank") -> DataFrame:
-    """1-based rank of each row by ``order_col`` (a hex hash, unique within a
-    stratum) inside its stratum, and the stratum size ``{out}_n``."""
-    strata = list(strata)
-    bucket = F.substring(order_col, 1, HASH_BUCKET_DIGITS)
-    b = df.withColumn("_hb", bucket)
-    counts = b.groupBy(*strata, "_hb").agg(F.count(F.lit(1)).alias("_c"))
-    w_off = Window.partitionBy(*strata).orderBy("_hb").rowsBetween(Window.unboundedPreceding, -1)
-    w_all = Window.partitionBy(*strata)
-    offsets = counts.select(
-        *strata,
-        "_hb",
-        F.coalesce(F.sum("_c").over(w_off), F.lit(0)).alias("_off"),
-        F.sum("_c").over(w_all).alias(f"{out}_n"),
-    )
-    w_in = Window.partitionBy(*strata, "_hb").orderBy(order_col)
-    ranked = b.withColumn("_rin", F.row_number().over(w_in))
-    return (
-        ranked.join(offsets, [*strata, "_hb"])
-        .withColumn(out, F.col("_off") + F.col("_rin"))
-        .drop("_hb", "_rin", "_off")
-    )
+def share(n: str, fraction: float, up: bool = False) -> Column:
+    """floor (or ceil) of ``fraction`` times the integer column ``n``, in
+    integer arithmetic on the decimal fraction as written (0.333 is
+    333/1000)."""
+    f = Fraction(str(fraction))
+    extra = f.denominator - 1 if up else 0
+    return F.expr(f"({n} * {f.numerator}L + {extra}L) div {f.denominator}L")
 
 
-def _test_count(n: Column, fraction: float) -> Column:
-    """ceil(fraction * n) in integer arithmetic (fraction in tenths)."""
-    tenths = int(round(fraction * 10))
-    return F.floor((n * tenths + 9) / 10).cast("bigint")
+def exact_cut(df: DataFrame, strata: Sequence[str], order_col: str, take: Column) -> DataFrame:
+    """(strata..., _cut): the hash of the last of the first ``take`` rows of
+    each stratum in hash order (NULL where none is taken); ``take`` is an
+    expression of the stratum size ``_n``.
+
+    One narrow pass counts rows per (stratum, first hex digits).  The small
+    count table names the bucket that holds the last row taken; only that
+    bucket's rows, one in 65,536, are ranked.  All others are decided by
+    comparing hashes.
+    """
+    strata = list(strata)
+    b = df.select(*strata, F.col(order_col).alias("_h"), F.substring(order_col, 1, HASH_BUCKET_DIGITS).alias("_hb"))
+    counts = b.groupBy(*strata, "_hb").agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(*strata).orderBy("_hb")
+    running = counts.select(
+        *strata, "_hb", "_c",
+        F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_upto"),
+        F.sum("_c").over(Window.partitionBy(*strata)).alias("_n"),
+    ).withColumn("_take", take)
+    # the bucket that holds the last row taken, and that row's place in it
+    last = running.where((F.col("_upto") >= F.col("_take")) & (F.col("_upto") - F.col("_c") < F.col("_take"))).select(
+        *strata, "_hb", (F.col("_take") - F.col("_upto") + F.col("_c")).alias("_place"))
+    inside = b.join(F.broadcast(last), [*strata, "_hb"])  # one row per stratum
+    rank = F.row_number().over(Window.partitionBy(*strata).orderBy("_h"))
+    return inside.withColumn("_rank", rank).where(F.col("_rank") == F.col("_place")).select(
+        *strata, F.col("_h").alias("_cut"))
+
+
+def _before_cut(df: DataFrame, strata: Sequence[str], order_col: str, take: Column) -> DataFrame:
+    """``df`` with ``_in``: whether the row is among the first ``take`` of its
+    stratum.  No shuffle of ``df``: one cut per stratum is joined."""
+    # strata are groups x labels: tens of rows
+    cuts = F.broadcast(exact_cut(df, strata, order_col, take))
+    j = df.join(cuts, list(strata), "left")
+    return j.withColumn("_in", F.coalesce(F.col(order_col) <= F.col("_cut"), F.lit(False))).drop("_cut")
 
 
 def stratified_split(
@@ -76,41 +92,34 @@ def stratified_split(
     test_fraction: float = TEST_FRACTION,
     seed: int = SPLIT_SEED,
 ) -> DataFrame:
-    """Per stratum, the first ceil(0.3 n) rows in hash order are 'test',
-    the rest 'train'.  Adds ``split``."""
+    """Per stratum, the first ceil(fraction * n) rows in hash order are
+    'test', the rest 'train'.  Adds ``split``."""
     h = df.withColumn("_h", hash_order(id_col, seed, stratum_name))
-    r = exact_rank(h, strata, "_h")
-    return r.withColumn(
-        "split",
-        F.when(F.col("rank") <= _test_count(F.col("rank_n"), test_fraction), F.lit("test")).otherwise(
-            F.lit("train")
-        ),
-    ).drop("_h", "rank", "rank_n")
+    r = _before_cut(h, strata, "_h", share("_n", test_fraction, up=True))
+    return r.withColumn("split", F.when(F.col("_in"), F.lit("test")).otherwise(F.lit("train"))).drop("_h", "_in")
 
 
 def group_split(
-    df: DataFrame, groups: Sequence[str] = GROUPS, label: str = "toxic", id_col: str = "id"
+    df: DataFrame, groups: Sequence[str] = GROUPS, label: str = "toxic", id_col: str = "id",
+    test_fraction: float = TEST_FRACTION,
 ) -> DataFrame:
     """X1 for every group at once: (id, subgroup, toxic, split) of group rows,
-    stratified on (subgroup, toxic).  One scan (long form), one rank."""
+    stratified on (subgroup, toxic).  One long form for all groups."""
     long = (
         group_memberships(df, groups, keep=[id_col, label])
         .where(F.col("gscore") > THRESHOLD)
         .drop("gscore")
     )
-    return stratified_split(long, ["subgroup", label], F.col("subgroup"), id_col)
+    return stratified_split(long, ["subgroup", label], F.col("subgroup"), id_col, test_fraction)
 
 
 def keep_first(
     df: DataFrame, fraction: float, stratum: str, id_col: str = "id", seed: int = SPLIT_SEED
 ) -> DataFrame:
     """Exactly floor(fraction * n) rows, the first in hash order."""
-    tenths = int(round(fraction * 10))
     h = df.withColumn("_h", hash_order(id_col, seed, stratum)).withColumn("_s", F.lit(stratum))
-    r = exact_rank(h, ["_s"], "_h")
-    return r.where(F.col("rank") <= F.floor(F.col("rank_n") * tenths / 10)).drop(
-        "_h", "_s", "rank", "rank_n"
-    )
+    r = _before_cut(h, ["_s"], "_h", share("_n", fraction))
+    return r.where("_in").drop("_h", "_s", "_in")
 
 
 def balanced_split(
@@ -128,39 +137,17 @@ def balanced_split(
     several groups may be in both sets (as in the original); otherwise a row
     that is test for any group is test only.
     """
-    # The per-group cuts and the residual down-sample are independent, so
-    # one exact rank serves both: the residual non-toxic rows are one more
-    # stratum.  Rows in no group are exactly the rows left out of every
-    # group split.
-    members = (
-        group_memberships(df, groups, keep=[id_col, label])
-        .where(F.col("gscore") > THRESHOLD)
-        .select(id_col, label, "subgroup", F.col("subgroup").alias("_name"))
-    )
+    g = group_split(df, groups, label, id_col).select(id_col, "split")
     residual = df.where(~any_group(groups)).select(id_col, label)
-    res_nt = residual.where(~F.col(label)).select(
-        id_col, label, F.lit(_RESIDUAL).alias("subgroup"), F.lit("residual").alias("_name")
-    )
-    both = members.unionByName(res_nt).withColumn("_h", hash_order(id_col, SPLIT_SEED, F.col("_name")))
-    ranked = exact_rank(both, ["subgroup", label], "_h")
-    is_res = F.col("subgroup") == _RESIDUAL
-    g = ranked.where(~is_res).select(
-        id_col,
-        F.when(F.col("rank") <= _test_count(F.col("rank_n"), TEST_FRACTION), F.lit("test"))
-        .otherwise(F.lit("train")).alias("split"),
-    )
-    keep_tenths = int(round(RESIDUAL_NONTOXIC_KEEP * 10))
-    kept = ranked.where(is_res & (F.col("rank") <= F.floor(F.col("rank_n") * keep_tenths / 10))).select(
-        id_col, label
-    )
+    kept = keep_first(residual.where(~F.col(label)), RESIDUAL_NONTOXIC_KEEP, "residual", id_col)
     rest = kept.unionByName(residual.where(F.col(label)))
     r = stratified_split(rest, [label], "rest", id_col).select(id_col, "split")
-    pairs = g.unionByName(r).distinct()
     if allow_overlap:
-        return pairs
-    return pairs.groupBy(id_col).agg(
-        F.when(F.max(F.col("split") == "test"), F.lit("test")).otherwise(F.lit("train")).alias("split")
-    )
+        # only a row of several groups occurs twice: residual rows need no distinct
+        return g.distinct().unionByName(r)
+    disjoint = g.groupBy(id_col).agg(
+        F.when(F.max(F.col("split") == "test"), F.lit("test")).otherwise(F.lit("train")).alias("split"))
+    return disjoint.unionByName(r)
 
 
 def split_rows(df: DataFrame, split: DataFrame, which: str, id_col: str = "id") -> DataFrame:
@@ -215,9 +202,11 @@ def write_split(df: DataFrame, split: DataFrame, path: str, id_col: str = "id")
 
 
 def reuse_or_build(spark, path: str, build) -> DataFrame:
-    """Read the table at ``path`` if it exists, else build, write, read."""
-    try:
-        return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - missing path
-        build().write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
+    """Read the table at ``path`` if it exists, else build, write, read.
+    Only a path that is not there is built; any other failure to read it is
+    raised, and nothing is ever overwritten."""
+    found = read_if_exists(spark, path)
+    if found is None:
+        build().write.mode("errorifexists").parquet(path)
+        found = spark.read.parquet(path)
+    return found

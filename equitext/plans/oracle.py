@@ -32,7 +32,8 @@ FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
     ),
     "labelled": (
         ["comments"],
-        "SELECT *, target > 0.5 AS toxic FROM comments",
+        """SELECT * REPLACE (CASE WHEN isnan(pred) THEN NULL ELSE pred END AS pred),
+  coalesce(target > 0.5, false) AS toxic FROM comments""",
     ),
     "tok": (
         ["comments"],

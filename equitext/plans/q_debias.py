@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +15,9 @@ from equitext.operators.profile import any_group
 from equitext.plans.oracle import prelude
 from equitext.plans.q_profile import GCOLS, _r, labelled
 from equitext.plans.registry import query
+from equitext.session import scratch_path
 from equitext.sources import fixtures as fx
+from equitext.sources import tables as T
 
 GATE_THRESHOLD = 0.25  # the published 0.70-0.85 select only the words themselves here
 
@@ -144,10 +148,13 @@ def j07_similarity_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.similar_tokens(wv, anchors, GATE_THRESHOLD)
 
 
-def apply_sql(scope: str) -> str:
-    head = prelude("labelled", "tok", "word_vectors", "pleasant_words", "unpleasant_words", "model",
-                   "token_scores", "weights").rstrip("\n")
-    return head + DIRS_SQL + f""",
+def apply_tail(scope: str, with_scores: bool = False) -> str:
+    """CTEs that apply the ``weights`` relation in ``scope``, and the query."""
+    scores = ""
+    if with_scores:
+        scores = f""",
+token_scores AS (SELECT token, {_dot('vec', 'm.w')} AS s FROM word_vectors, model m)"""
+    return scores + f""",
 adj AS (SELECT ts.token, ts.s, ts.s
   + CASE WHEN w.add_pleasent IS NOT NULL AND w.sub_unpleasent IS NOT NULL
     THEN w.add_pleasent * k.zP - w.sub_unpleasent * k.zU ELSE 0.0 END
@@ -162,6 +169,12 @@ SELECT l.id, CAST(coalesce(per.n_known, 0) AS BIGINT) AS n_known,
 FROM labelled l LEFT JOIN per ON per.id = l.id, model m"""
 
 
+def apply_sql(scope: str) -> str:
+    head = prelude("labelled", "tok", "word_vectors", "pleasant_words", "unpleasant_words", "model",
+                   "token_scores", "weights").rstrip("\n")
+    return head + DIRS_SQL + apply_tail(scope)
+
+
 SCOPES_SQL = {
     "group_toxic": f"toxic AND coalesce(greatest({GCOLS}), 0) > 0.5",
     "toxic": "toxic",
@@ -216,12 +229,25 @@ def m25_apply_weights_nontoxic(spark: SparkSession, sf_dir: str) -> DataFrame:
     + f"SELECT token, {', '.join(_r(c, c) for c in WEIGHT_COLUMNS)} FROM weights",
 )
 def s11_weights_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weights serialised as one JSON object per token (absent keys omitted)
-    and parsed back with ``from_json``."""
-    from pyspark.sql.types import DoubleType, MapType, StringType, StructField, StructType
-
-    w = fx.fixture_weights(fx.word_vectors(spark, sf_dir))
-    lines = w.select(F.to_json(F.create_map(F.col("token"), F.struct(*WEIGHT_COLUMNS))).alias("value"))
-    schema = MapType(StringType(), StructType([StructField(c, DoubleType()) for c in WEIGHT_COLUMNS]))
-    parsed = lines.select(F.explode(F.from_json("value", schema)).alias("token", "w"))
-    return parsed.select("token", *[F.col(f"w.{c}").alias(c) for c in WEIGHT_COLUMNS])
+    """Weights written as one JSON object per token (absent keys omitted)
+    and read back."""
+    path = scratch_path(spark, f"weights-{uuid.uuid4().hex}")
+    T.write_weights(fx.fixture_weights(fx.word_vectors(spark, sf_dir)), path)
+    return T.read_weights(spark, path)
+
+
+@query(
+    "m12_searched_weights_applied",
+    search_sql(200, gate=True, narrow=False).rsplit("SELECT token,", 1)[0].rstrip()
+    + """,
+weights AS (SELECT token, CASE WHEN kind = 'toxic' THEN a END AS add_pleasent,
+  CASE WHEN kind = 'toxic' THEN s END AS sub_unpleasent, CASE WHEN kind = 'nontoxic' THEN s END AS sub_pleasent,
+  CASE WHEN kind = 'nontoxic' THEN a END AS add_unpleasent FROM best WHERE rn = 1)"""
+    + apply_tail("true", with_scores=True),
+)
+def m12_searched_weights_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Searched weights (similarity-gated), written as JSON, read back and
+    applied to every row."""
+    path = scratch_path(spark, f"weights-{uuid.uuid4().hex}")
+    T.write_weights(m08_debias_search_gated(spark, sf_dir), path)
+    return apply_weights(spark, sf_dir, "all", T.read_weights(spark, path))

@@ -9,13 +9,13 @@ from equitext.operators import embed as E
 from equitext.operators import metrics as M
 from equitext.operators import model as Mo
 from equitext.operators import split as X
-from equitext.operators.profile import any_group, prediction_label
+from equitext.operators.profile import any_group
 from equitext.plans.oracle import prelude
 from equitext.plans.q_debias import DIRS_SQL, apply_weights
 from equitext.plans.q_profile import _r, _with, labelled
-from equitext.plans.q_split import NOGROUP, SPLIT_SQL
+from equitext.plans.q_split import _U, NOGROUP, SPLIT_SQL
 from equitext.plans.registry import query
-from equitext.session import ensure_checkpoint_dir, literal_table, materialize
+from equitext.session import literal_table, materialize
 from equitext.sources import fixtures as fx
 
 
@@ -88,12 +88,12 @@ def m04_warm_start_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Mo.gradient_step(df.withColumn("label", F.col("toxic")), wv, model, lr=0.1, bound_rows=k)
 
 
-def _incremental_sql(batches: int = 4, lr: float = 0.1, reg: float = 1e-4) -> str:
+def _incremental_sql(batches: int = 4, lr: float = 0.1, reg: float = 1e-4, salt: str = "11:batch") -> str:
     """Warm-start steps over hash-ordered mini-batches, one CTE block per step."""
     mean = "(CAST(sum(CAST(round((ts.s) * 1e12) AS BIGINT)) AS DOUBLE) / 1e12 / count(ts.s))"
     parts = [
         "m0 AS (SELECT w, b FROM model)",
-        f"""bt AS (SELECT id, toxic, CAST(floor(CAST(('0x' || substr(md5(CAST(id AS VARCHAR) || ':11:batch'), 1, 8))
+        f"""bt AS (SELECT id, toxic, CAST(floor(CAST(('0x' || substr(md5(CAST(id AS VARCHAR) || ':{salt}'), 1, 8))
   AS BIGINT) / 4294967296.0 * {batches}) AS INTEGER) AS batch FROM labelled)""",
     ]
     for i in range(batches):
@@ -151,23 +151,36 @@ def m03_train_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("m26_nongroup_baseline")
 def m26_nongroup_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Second baseline trained on rows in no group (for the router)."""
-    df = labelled(spark, sf_dir)
-    m = Mo.train_logistic(_train_features(spark, sf_dir, df.where(~any_group())))
-    return Mo.coefficient_table(spark, m)
+    """Second baseline trained on training rows in no group (for the router)."""
+    return Mo.coefficient_table(spark, Mo.train_logistic(_nongroup_features(spark, sf_dir)))
+
+
+def _nongroup_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training rows in no group."""
+    from equitext.plans.q_split import _split
+
+    df, split = _split(spark, sf_dir)
+    return _train_features(spark, sf_dir, X.split_rows(df, split, "train").where(~any_group()))
 
 
 @query("m19_group_model_train")
 def m19_group_model_train(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Group-membership model: group rows (label 1, duplicates kept) and half
-    of the other rows (label 0), sum-vector features."""
+    """Group-membership model on the training rows: group rows (label 1,
+    duplicates kept) and half of the other rows (label 0), sum-vector
+    features."""
+    return Mo.coefficient_table(spark, Mo.train_logistic(_group_features(spark, sf_dir)))
+
+
+def _group_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, label, vec): a vector is built once per row and joined by id to
+    as many labels as the row has."""
+    from equitext.plans.q_split import _split
+
     df, wv, k, dim, model = _ctx(spark, sf_dir)
-    rows = X.group_vs_rest(df, keep=["comment_text"])
-    rows = X.downsample(rows, 0.5, 7, where=F.col("group_label") == 0)
-    rows = rows.withColumn("_rid", F.monotonically_increasing_id())
-    vecs = E.doc_vectors(rows, wv, "sum", id_col="_rid", dim=dim, bound_rows=k)
-    feats = vecs.join(rows.select("_rid", F.col("group_label").alias("label")), "_rid")
-    return Mo.coefficient_table(spark, Mo.train_logistic(feats))
+    train = X.split_rows(df, _split(spark, sf_dir)[1], "train")
+    rows = X.downsample(X.group_vs_rest(train), 0.5, 7, where=F.col("group_label") == 0)
+    vecs = E.doc_vectors(train, wv, "sum", dim=dim, bound_rows=k)
+    return materialize(rows.select("id", F.col("group_label").alias("label")).join(vecs, "id"), "group-features")
 
 
 @query(
@@ -200,27 +213,11 @@ def m20_group_model_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("m21_retrain_on_errors")
 def m21_retrain_on_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Retrain on the rows the previous model got wrong, at most 3 rounds
-    or until none is left; each round's rows are written to the shared
-    checkpoint folder so lineage stays short."""
-    ensure_checkpoint_dir(spark)
-    feats = _train_features(spark, sf_dir)
-    rows, out = feats, []
-    for i in range(3):
-        n = rows.count()
-        if n == 0 or rows.select("label").distinct().count() < 2:
-            out.append((i + 1, n, None))
-            break
-        m = Mo.train_logistic(rows)
-        scored = rows.withColumn(
-            "pred", 1.0 / (1.0 + F.exp(-(F.aggregate(F.zip_with("vec", F.array(*[F.lit(w) for w in m.weights]),
-                                                              lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-                                        + F.lit(m.bias))))
-        )
-        wrong = scored.where(prediction_label("pred") != (F.col("label") == 1)).drop("pred")
-        rows = materialize(wrong, "errors")
-        out.append((i + 1, n, rows.count()))
-    return literal_table(spark, out, "iteration int, n_rows bigint, n_errors bigint")
+    """Retrain on the rows the previous model got wrong until none is left,
+    the errors stop shrinking or ten rounds are over; ``converged`` tells
+    whether no error was left."""
+    out = Mo.retrain_on_errors(_train_features(spark, sf_dir), max_rounds=10)
+    return literal_table(spark, out, "iteration int, n_rows bigint, n_errors bigint, converged boolean")
 
 
 @query("m22_cv_logistic")
@@ -267,10 +264,11 @@ def m24_router(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Mo.route(p_group, p_debias, p_base)
 
 
-@query("m05_stream_incremental_fit")
+@query("m05_stream_incremental_fit", _incremental_sql(salt="13:file"))
 def m05_stream_incremental_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Warm-start training as a stream: the comments arrive as four files,
-    each micro-batch takes one gradient step from the previous version."""
+    """Warm-start training as a stream: the comments arrive in four rounds (by
+    hash), each micro-batch takes one gradient step from the previous
+    version."""
     import uuid
 
     from equitext.operators.split import hash_uniform
@@ -281,9 +279,66 @@ def m05_stream_incremental_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = scratch_path(spark, f"stream-{uuid.uuid4().hex}")
     rows = df.select("id", "comment_text", F.col("toxic").alias("label"))
     part = F.floor(hash_uniform("id", 13, "file") * 4).cast("int")
-    rows.repartition(4, part).write.parquet(f"{base}/in")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-    q = train_stream(stream, wv, model, f"{base}/model", f"{base}/ckpt", bound_rows=k)
-    q.awaitTermination()
+    rows = materialize(rows.withColumn("part", part), "stream-rows")
+    schema = rows.drop("part").schema
+    for i in range(4):
+        # what arrives in a round, in as many files as it has, is one batch
+        rows.where(F.col("part") == i).drop("part").write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{base}/in")
+        train_stream(stream, wv, model, f"{base}/model", f"{base}/ckpt", bound_rows=k).awaitTermination()
     _, final = latest_model(spark, f"{base}/model", model)
     return Mo.coefficient_table(spark, final)
+
+
+# ---------------------------------------------------------------------------
+# Fits checked at their optimum: training set sizes and whether the penalised
+# loss has no slope left there, which SQL can state without the optimiser
+# ---------------------------------------------------------------------------
+
+_OPT_HEAD = _with(SPLIT_SQL, "labelled", memberships=True)
+_OPT_COLS = "count(*) AS n_rows, count(*) FILTER (WHERE y) AS n_pos, CAST(64 AS BIGINT) AS n_features, true AS at_optimum"
+_TRAIN = "(SELECT id FROM bsplit WHERE split = 'train')"
+
+
+def _optimum(features: DataFrame) -> DataFrame:
+    m = Mo.train_logistic(features, max_iter=300)
+    return Mo.optimum_check(features, m, tolerance=1e-2)
+
+
+@query("m03_train_optimum", _OPT_HEAD + f"SELECT {_OPT_COLS} FROM (SELECT toxic AS y FROM labelled SEMI JOIN {_TRAIN} USING (id))")
+def m03_train_optimum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity model's training rows and its slope at the fitted model."""
+    from equitext.plans.q_split import _split
+
+    df, split = _split(spark, sf_dir)
+    return _optimum(_train_features(spark, sf_dir, X.split_rows(df, split, "train")))
+
+
+@query("m26_nongroup_optimum", _OPT_HEAD + f"SELECT {_OPT_COLS} FROM (SELECT toxic AS y FROM labelled SEMI JOIN {_TRAIN} USING (id) WHERE {NOGROUP})")
+def m26_nongroup_optimum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for the model of rows in no group."""
+    return _optimum(_nongroup_features(spark, sf_dir))
+
+
+@query(
+    "m19_group_model_optimum",
+    _OPT_HEAD + f"""SELECT {_OPT_COLS} FROM (
+  SELECT true AS y FROM memberships SEMI JOIN {_TRAIN} USING (id) WHERE gscore > 0.5
+  UNION ALL SELECT false FROM labelled SEMI JOIN {_TRAIN} USING (id) WHERE {NOGROUP} AND {_U.format(seed=7)} < 0.5)""",
+)
+def m19_group_model_optimum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for the group-membership model."""
+    return _optimum(_group_features(spark, sf_dir))
+
+
+@query(
+    "m22_cv_folds",
+    prelude("labelled") + """SELECT CAST(fold AS INTEGER) AS fold, count(*) AS n_test, count(*) FILTER (WHERE toxic) AS n_pos FROM (
+  SELECT toxic, (row_number() OVER (PARTITION BY toxic ORDER BY md5(CAST(id AS VARCHAR) || ':5:fold')) - 1) % 5 + 1 AS fold
+  FROM labelled) GROUP BY fold""",
+)
+def m22_cv_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes and positives of the five stratified folds of M22 and M23."""
+    rows = labelled(spark, sf_dir).select("id", F.col("toxic").cast("int").alias("label"))
+    f = Mo.stratified_folds(rows, 5)
+    return f.groupBy("fold").agg(F.count(F.lit(1)).alias("n_test"), F.count_if(F.col("label") == 1).alias("n_pos"))

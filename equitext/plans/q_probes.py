@@ -249,7 +249,7 @@ def s06_fuzzed_csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def s09_prediction_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions written keyed by id and read back."""
     path = scratch_path(spark, f"preds-{uuid.uuid4().hex}")
-    T.write_predictions(labelled(spark, sf_dir), path)
+    T.write_predictions(labelled(spark, sf_dir).withColumn("pred", M.nan_to_null("pred")), path)
     return T.read_predictions(spark, path)
 
 
@@ -278,10 +278,10 @@ _REPORT_METRICS = ["subgroup_size", "subgroup_auc", "bpsn_auc", "bnsp_auc", "tp"
     _with(OVERALL_AUC_SQL + ",\n" + BIAS_AUC_SQL, "labelled", memberships=True)
     + f""", conf AS (SELECT subgroup, count(*) FILTER (WHERE pred > 0.5 AND toxic) AS tp,
   count(*) FILTER (WHERE pred > 0.5 AND NOT toxic) AS fp, count(*) FILTER (WHERE NOT pred > 0.5 AND toxic) AS fn,
-  count(*) FILTER (WHERE NOT pred > 0.5 AND NOT toxic) AS tn FROM memberships WHERE gscore > 0.5 GROUP BY subgroup),
+  count(*) FILTER (WHERE NOT pred > 0.5 AND NOT toxic) AS tn FROM memberships WHERE gscore > 0.5 AND pred IS NOT NULL GROUP BY subgroup),
 oconf AS (SELECT count(*) FILTER (WHERE pred > 0.5 AND toxic) AS tp,
   count(*) FILTER (WHERE pred > 0.5 AND NOT toxic) AS fp, count(*) FILTER (WHERE NOT pred > 0.5 AND toxic) AS fn,
-  count(*) FILTER (WHERE NOT pred > 0.5 AND NOT toxic) AS tn, count(*) AS n FROM labelled),
+  count(*) FILTER (WHERE NOT pred > 0.5 AND NOT toxic) AS tn, count(*) AS n FROM labelled WHERE pred IS NOT NULL),
 wide AS (SELECT 'overall' AS scope, CAST(n AS DOUBLE) AS subgroup_size, auc AS subgroup_auc,
     CAST(NULL AS DOUBLE) AS bpsn_auc, CAST(NULL AS DOUBLE) AS bnsp_auc,
     CAST(tp AS DOUBLE) AS tp, CAST(fp AS DOUBLE) AS fp, CAST(fn AS DOUBLE) AS fn, CAST(tn AS DOUBLE) AS tn
@@ -294,14 +294,5 @@ SELECT scope, metric, round(value, 6) + 0.0 AS value FROM (UNPIVOT wide ON {', '
 )
 def s13_metric_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bias report as long (scope, metric, value) rows: overall and per group."""
-    df = labelled(spark, sf_dir)
-    overall = M.confusion_counts(df).withColumnRenamed("n", "subgroup_size")
-    one = F.lit(1).alias("_one")
-    overall = overall.select("*", one).join(M.auc(df).select("auc", one), "_one").select(
-        "subgroup_size", F.col("auc").alias("subgroup_auc"),
-        F.lit(None).cast("double").alias("bpsn_auc"), F.lit(None).cast("double").alias("bnsp_auc"),
-        "tp", "fp", "fn", "tn",
-    )
-    per = M.bias_report(df)
-    rep = T.metric_report(overall, per, _REPORT_METRICS)
+    rep = T.metric_report(M.bias_summary(labelled(spark, sf_dir)))
     return rep.where(F.col("value").isNotNull())

@@ -53,7 +53,8 @@ FROM labelled""",
 def s01_comment_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Comment scan with derived label, length and any-group flag."""
     df = P.with_length(labelled(spark, sf_dir))
-    return df.select("id", "length", "toxic", "target", P.any_group().alias("in_any_group"), "pred")
+    return df.select("id", "length", "toxic", "target", P.any_group().alias("in_any_group"),
+                     M.nan_to_null("pred").alias("pred"))
 
 
 # ---------------------------------------------------------------------------
@@ -148,13 +149,13 @@ def p05_length_filtered_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     prelude("labelled", "identity_words")
     + """, kw AS (SELECT '(?i)' || string_agg(token, '|' ORDER BY k) AS pat FROM identity_words WHERE k IN (3, 5, 7))
 SELECT l.id, CAST(length(l.comment_text) AS BIGINT) AS length FROM labelled l, kw
-WHERE regexp_matches(l.comment_text, kw.pat) AND length(l.comment_text) <= 5000""",
+WHERE regexp_matches(l.comment_text, kw.pat) """,
 )
 def p06_keyword_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keyword-list filter (composite group's three words) with max length."""
+    """Keyword-list filter (composite group's three words)."""
     df = P.with_length(labelled(spark, sf_dir))
     words = fx.keyword_map(fx.word_vectors(spark, sf_dir))[fx.GROUPS[3]]
-    return P.keyword_filter(df, words, max_length=5000).select("id", "length")
+    return P.keyword_filter(df, words).select("id", "length")
 
 
 # ---------------------------------------------------------------------------
@@ -239,7 +240,7 @@ _COUNTS = """count(*) AS n,
 @query(
     "a05_overall_confusion",
     prelude("labelled")
-    + f"SELECT n, tp, fp, fn, tn, {_RATES} FROM (SELECT {_COUNTS} FROM labelled)",
+    + f"SELECT n, tp, fp, fn, tn, {_RATES} FROM (SELECT {_COUNTS} FROM labelled WHERE pred IS NOT NULL)",
 )
 def a05_overall_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """[[TP, FP], [FN, TN]], accuracy, acceptance rate, TPR, TNR, FNR, FPR."""
@@ -250,7 +251,7 @@ def a05_overall_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     "a05_subgroup_confusion",
     prelude("labelled", extra=[MEMBERSHIPS])
     + f"""SELECT subgroup, n, tp, fp, fn, tn, {_RATES} FROM (SELECT subgroup, {_COUNTS}
-FROM memberships WHERE gscore > 0.5 GROUP BY subgroup)""",
+FROM memberships WHERE gscore > 0.5 AND pred IS NOT NULL GROUP BY subgroup)""",
 )
 def a05_subgroup_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.subgroup_confusion(labelled(spark, sf_dir))
@@ -337,15 +338,14 @@ FROM overall_auc o, pm""",
 )
 def a14_final_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
     """0.25 x overall AUC + 0.75 x mean of the three power means."""
-    df = labelled(spark, sf_dir)
-    return M.final_metric(M.auc(df), M.bias_aucs(df))
+    return M.final_from_summary(M.bias_summary(labelled(spark, sf_dir)))
 
 
 @query(
     "m18_bias_report",
     _with(BIAS_AUC_SQL, "labelled", memberships=True)
     + f""", conf AS (SELECT subgroup, n, tp, fp, fn, tn, {_RATES} FROM (SELECT subgroup, {_COUNTS}
-FROM memberships WHERE gscore > 0.5 GROUP BY subgroup))
+FROM memberships WHERE gscore > 0.5 AND pred IS NOT NULL GROUP BY subgroup))
 SELECT {_BIAS_COLS.replace('subgroup,', 'b.subgroup,', 1)}, tp, fp, fn, tn, accuracy, acceptance_rate, tpr, tnr, fnr, fpr
 FROM bias b LEFT JOIN conf c ON b.subgroup = c.subgroup""",
 )

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from equitext.operators import joins as J
 from equitext.operators import split as X
+from equitext.operators.metrics import nan_to_null
 from equitext.operators.profile import any_group
 from equitext.plans.oracle import prelude
 from equitext.plans.q_profile import GCOLS, MEMBERSHIPS, _r, _with, labelled
 from equitext.plans.registry import query
+from equitext.session import derived_table
 from equitext.sources import fixtures as fx
 
 NOGROUP = f"NOT (coalesce(greatest({GCOLS}), 0) > 0.5)"
@@ -38,14 +40,9 @@ def _split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Comments and their balanced split.  Like the original's split files,
     the split is built once (per application and input files), written
     below the checkpoint folder and read back by every later query."""
-    from equitext.session import materialize
-
     df = labelled(spark, sf_dir)
-    split = fx.file_fact(
-        spark, f"{sf_dir}/documents.parquet", f"balanced-split:{fx._stamp(sf_dir)}",
-        lambda: materialize(X.balanced_split(df), "balanced-split"),
-    )
-    return df, split
+    inputs = [f"{sf_dir}/{t}.parquet" for t in ("documents", "labels")]
+    return df, derived_table(spark, "balanced-split", inputs, lambda: X.balanced_split(df))
 
 
 @query("x01_group_split", _with(SPLIT_SQL, "labelled", memberships=True) + "SELECT * FROM gsplit")
@@ -115,7 +112,7 @@ def j01_attach_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Test rows joined with their predictions by id."""
     df, split = _split(spark, sf_dir)
     test = X.split_rows(df.select("id", "toxic"), split, "test")
-    preds = df.select("id", "pred")
+    preds = df.select("id", nan_to_null("pred").alias("pred"))
     return J.attach_predictions(test, preds)
 
 

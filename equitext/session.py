@@ -6,6 +6,7 @@ Library code never creates its own session: it uses the one it is handed.
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 
@@ -37,8 +38,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder of this application.
 
     On a cluster ``spark.checkpoint.dir`` names shared storage and is used
-    as is.  Only when it is unset (local tests) is a scratch folder created
-    and registered.
+    as is; without it a cluster run stops here, since a local folder of the
+    driver is not visible to executors.  Only a local master, where driver and
+    executors are one process, gets a scratch folder of its own.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -46,6 +48,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="equitext-ckpt-")
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path
@@ -69,10 +73,63 @@ def materialize(df, name: str = "table"):
 
     spark = df.sparkSession
     path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
-    df.write.mode("overwrite").parquet(path)
+    df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.parquet(path)
 
 
+#: intermediate tables of this application that ``release`` may delete
+_WRITTEN: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the intermediate tables written so far and returns their
+    number.  Call it when no DataFrame derived from them is needed any more,
+    e.g. after each result has been stored."""
+    jvm = spark._jvm
+    conf = spark._jsc.hadoopConfiguration()
+    n = 0
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n
+
+
+def read_if_exists(spark: SparkSession, path: str):
+    """The Parquet table at ``path``, or None where there is no such path.
+    Any other failure (permission, network, a broken file) is raised."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def derived_table(spark: SparkSession, name: str, inputs: list[str], build):
+    """S4 for a table derived from Parquet inputs: read if this application
+    has it for the current files (path, size and modification time), else
+    built and written below the checkpoint folder.  The file list is read by
+    Spark, so any file system behaves alike."""
+    from pyspark.sql import functions as F
+
+    marks = []
+    for path in inputs:
+        files = spark.read.parquet(path).select(
+            "_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+        mark = files.agg(F.bit_xor(F.xxhash64(*files.columns)).alias("x"), F.count(F.lit(1)).alias("n")).first()
+        marks.append(f"{path}:{mark['x']}:{mark['n']}")
+    key = hashlib.sha256("\n".join(marks).encode()).hexdigest()[:24]
+    path = scratch_path(spark, f"{name}-{key}")
+    found = read_if_exists(spark, path)
+    if found is None:
+        build().write.parquet(path)
+        found = spark.read.parquet(path)
+    return found
+
+
 def literal_table(spark: SparkSession, rows, schema: str):
     """A small constant table built in the JVM (``range(1)`` + ``inline`` of
     literal structs).  ``createDataFrame`` on a Python list goes through a

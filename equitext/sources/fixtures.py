@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from equitext.constants import GROUPS
 from equitext.functions.text import word_tokens
 from equitext.operators.joins import lookup_join
+from equitext.session import derived_table, materialize
 
 # --- fixed values: derivation rules of the comment view ---------------------
 # group i (0-based, in GROUPS order): NULL when (doc_id + i + 1) % 5 = 0,
@@ -45,37 +46,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_FACTS: dict[tuple, object] = {}
-
-
-def file_fact(spark: SparkSession, path: str, what: str, compute):
-    """Memoise a fact about an input file (row count, scan partitions, shape)
-    for this application, keyed by path, size and modification time; a path
-    that cannot be stat-ed locally is computed every time."""
-    import os
-
-    try:
-        st = os.stat(path.replace("file:", ""))
-    except OSError:
-        return compute()
-    key = (spark.sparkContext.applicationId, path, what, st.st_size, st.st_mtime_ns)
-    if key not in _FACTS:
-        _FACTS[key] = compute()
-    return _FACTS[key]
-
-
-def spread(df: DataFrame, key: str, path: str | None = None) -> DataFrame:
-    """Hash-partition a scan by ``key`` only when it yields fewer partitions
-    than the cluster runs tasks at once (e.g. one large row group).  A scan
-    of many files is left alone, so nothing is shuffled at scale; a small
-    input is spread over every core, partitioned by the key later
-    aggregations group on."""
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partition a scan by ``key`` when it yields fewer partitions than
+    the cluster runs tasks at once (e.g. one large row group that cannot be
+    split).  This only moves rows: results are the same either way, and a scan
+    of many files is left alone, so nothing is shuffled at scale."""
     want = df.sparkSession.sparkContext.defaultParallelism
-    n = (file_fact(df.sparkSession, path, "partitions", lambda: df.rdd.getNumPartitions())
-         if path else df.rdd.getNumPartitions())
-    if n < want:
-        return df.repartition(want, key)
-    return df
+    return df.repartition(want, key) if df.rdd.getNumPartitions() < want else df
 
 
 def _group_expr(i: int) -> str:
@@ -87,26 +64,29 @@ def _group_expr(i: int) -> str:
 
 
 TARGET_EXPR = (
-    "CASE WHEN toxic = 1 THEN 0.6e0 + CAST(doc_id % 40 AS DOUBLE) / 100 "
+    "CASE WHEN doc_id % 97 = 13 THEN CAST(NULL AS DOUBLE) "
+    "WHEN toxic = 1 THEN 0.6e0 + CAST(doc_id % 40 AS DOUBLE) / 100 "
     "WHEN toxic = 0 THEN CAST(doc_id % 50 AS DOUBLE) / 100 "
     "ELSE CAST((doc_id * 7919) % 100 AS DOUBLE) / 160 END"
 )
+# predictions lean towards the label but err on both sides; some rows have
+# none, as NULL or NaN
 PRED_EXPR = (
-    "CAST((doc_id * 104729) % 101 AS DOUBLE) / 200 + "
+    "CASE WHEN doc_id % 89 = 7 THEN CAST(NULL AS DOUBLE) "
+    "WHEN doc_id % 89 = 8 THEN CAST('NaN' AS DOUBLE) ELSE "
+    "CAST((doc_id * 104729) % 101 AS DOUBLE) / 160 + "
     "CASE WHEN toxic = 1 OR (toxic IS NULL AND (doc_id * 7919) % 100 > 80) "
-    "THEN 0.2e0 ELSE 0e0 END"
+    "THEN 0.25e0 ELSE 0e0 END END"
 )
 
 
 def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Comment table: id, comment_text, target, nine group scores, pred."""
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id",
-                  f"{sf_dir}/documents.parquet")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     # Broadcast the (doc_id, toxic) side only behind its row count (Parquet
     # metadata); above the bound both sides shuffle by doc_id.
-    n_labels = file_fact(spark, f"{sf_dir}/labels.parquet", "rows", labels.count)
-    joined = lookup_join(docs, labels, "doc_id", how="left", bound_rows=n_labels)
+    joined = lookup_join(docs, labels, "doc_id", how="left", bound_rows=labels.count())
     cols = [
         F.col("doc_id").alias("id"),
         F.col("text").alias("comment_text"),
@@ -117,11 +97,6 @@ def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select(*cols)
 
 
-def with_tokens(df: DataFrame, text_col: str = "comment_text", out: str = "tokens") -> DataFrame:
-    """Adds the F1 token array; a narrow projection, no shuffle."""
-    return df.withColumn(out, word_tokens(text_col))
-
-
 def token_occurrences(df: DataFrame, id_col: str = "id", text_col: str = "comment_text") -> DataFrame:
     """(id, token), one row per token occurrence."""
     return df.select(F.col(id_col).alias("id"), F.explode(word_tokens(text_col)).alias("token"))
@@ -140,29 +115,13 @@ def document_frequency(df: DataFrame, id_col: str = "id", text_col: str = "comme
     )
 
 
-def _stamp(sf_dir: str) -> str:
-    import os
-
-    parts = []
-    for name in ("embeddings", "labels"):
-        try:
-            st = os.stat(f"{sf_dir}/{name}.parquet")
-            parts.append(f"{st.st_size}:{st.st_mtime_ns}")
-        except OSError:
-            parts.append("?")
-    return "/".join(parts)
-
-
 def embedding_shape(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
     """(rows, dim) of the embedding table in one small aggregate; vec_id is
     contiguous from 0, so rows is a proven bound on the vocabulary."""
-    def compute() -> tuple[int, int]:
-        r = table(spark, sf_dir, "embeddings").agg(
-            F.max("vec_id").alias("m"), F.max(F.size("embedding")).alias("d")
-        ).first()
-        return int(r["m"]) + 1, int(r["d"])
-
-    return file_fact(spark, f"{sf_dir}/embeddings.parquet", "shape", compute)
+    r = table(spark, sf_dir, "embeddings").agg(
+        F.max("vec_id").alias("m"), F.max(F.size("embedding")).alias("d")
+    ).first()
+    return int(r["m"]) + 1, int(r["d"])
 
 
 def embedding_rows(spark: SparkSession, sf_dir: str) -> int:
@@ -185,13 +144,11 @@ def word_vectors(spark: SparkSession, sf_dir: str, corpus: DataFrame | None = No
     file would be read.
     """
     if corpus is None:
-        # The view stands in for a word-vector input file: built once per
-        # application from the current files (keyed by their size and
-        # modification time), then read like that file would be.
-        return file_fact(
-            spark, f"{sf_dir}/documents.parquet", f"word-vectors:{_stamp(sf_dir)}",
-            lambda: word_vectors(spark, sf_dir, comments(spark, sf_dir)),
-        )
+        # The view stands in for a word-vector input file: built once for the
+        # current files, then read like that file would be.
+        inputs = [f"{sf_dir}/{t}.parquet" for t in ("documents", "labels", "embeddings")]
+        return derived_table(spark, "word-vectors", inputs,
+                             lambda: word_vectors(spark, sf_dir, comments(spark, sf_dir)))
     k = embedding_rows(spark, sf_dir)
     from equitext.operators.bow import top_k_by_df
 
@@ -201,8 +158,6 @@ def word_vectors(spark: SparkSession, sf_dir: str, corpus: DataFrame | None = No
         (F.col("vec_id") + 1).alias("r"),
         F.transform("embedding", lambda x: x.cast("double")).alias("vec"),
     )
-    from equitext.session import materialize
-
     return materialize(ranked.join(emb, "r").select("token", "r", "vec"), "word-vectors")
 
 

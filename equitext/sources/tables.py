@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, LongType, MapType, StringType, StructField, StructType
 
 from equitext.constants import GROUPS
 
@@ -86,11 +86,31 @@ def read_model(spark: SparkSession, path: str):
     return model_from_table(spark.read.parquet(path))
 
 
-def metric_report(overall: DataFrame, per_group: DataFrame, metrics: list[str]) -> DataFrame:
-    """Long (scope, metric, value) report instead of printed blocks.
-    ``overall`` is one row, ``per_group`` has a ``subgroup`` column; both
-    carry the ``metrics`` columns (cast to double)."""
-    o = overall.select(F.lit("overall").alias("scope"), *[F.col(m).cast("double").alias(m) for m in metrics])
-    g = per_group.select(F.col("subgroup").alias("scope"), *[F.col(m).cast("double").alias(m) for m in metrics])
-    both = o.unionByName(g)
-    return both.unpivot("scope", metrics, "metric", "value")
+def metric_report(summary: DataFrame) -> DataFrame:
+    """A ``bias_summary`` as long (scope, metric, value) rows instead of
+    printed blocks; a group without rows has no matrix."""
+    empty = F.col("size") == 0
+    cols = {"subgroup_size": F.col("size"), "subgroup_auc": F.col("auc"), "bpsn_auc": F.col("bpsn_auc"),
+            "bnsp_auc": F.col("bnsp_auc"), **{c: F.when(~empty, F.col(c)) for c in ("tp", "fp", "fn", "tn")}}
+    wide = summary.select("scope", *[c.cast("double").alias(n) for n, c in cols.items()])
+    return wide.unpivot("scope", list(cols), "metric", "value")
+
+
+WEIGHT_COLUMNS = ("add_pleasent", "sub_unpleasent", "sub_pleasent", "add_unpleasent")
+
+
+def write_weights(weights: DataFrame, path: str) -> None:
+    """Debias weights as text, one JSON object per token
+    (``{token: {weight: value, ...}}``, absent weights left out)."""
+    lines = weights.select(F.to_json(F.create_map(F.col("token"), F.struct(*WEIGHT_COLUMNS))).alias("value"))
+    lines.write.text(path)
+
+
+def read_weights(spark: SparkSession, path: str) -> DataFrame:
+    """(token, four weights) of a JSON weight file: one object per line
+    as ``write_weights`` leaves it, or one object for all words (which is one
+    row; a word list, small by nature).  ``{}`` for a token means no weight."""
+    schema = MapType(StringType(), StructType([StructField(c, DoubleType()) for c in WEIGHT_COLUMNS]))
+    text = spark.read.text(path).where(F.trim("value") != "")
+    parsed = text.select(F.explode(F.from_json("value", schema, {"mode": "FAILFAST"})).alias("token", "w"))
+    return parsed.select("token", *[F.col(f"w.{c}").alias(c) for c in WEIGHT_COLUMNS])

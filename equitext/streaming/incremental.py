@@ -19,15 +19,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from equitext.operators import model as Mo
+from equitext.session import read_if_exists
 from equitext.sources.fixtures import LinearModel
 
 
 def latest_model(spark: SparkSession, model_dir: str, initial: LinearModel) -> tuple[int, LinearModel]:
     """(batch id, model) of the newest version in ``model_dir``, or
     (-1, initial) when none is written yet."""
-    try:
-        versions = spark.read.parquet(model_dir)
-    except Exception:  # noqa: BLE001 - no version yet
+    versions = read_if_exists(spark, model_dir)
+    if versions is None:
         return -1, initial
     last = versions.agg(F.max("batch")).first()[0]
     if last is None:
@@ -55,18 +55,23 @@ def train_stream(
         spark = batch.sparkSession
         # The model a batch starts from is the newest version below its id,
         # so a replay of batch k recomputes version k from version k-1.
-        try:
-            prior = spark.read.parquet(model_dir).where(F.col("batch") < batch_id)
+        # Only a folder that is not there yet means "no version"; any other
+        # failure stops the query instead of restarting the training.
+        prior = read_if_exists(spark, model_dir)
+        model = initial
+        if prior is not None:
+            prior = prior.where(F.col("batch") < batch_id)
             last = prior.agg(F.max("batch")).first()[0]
-            model = initial if last is None else Mo.model_from_table(
-                prior.where(F.col("batch") == last).drop("batch")
-            )
-        except Exception:  # noqa: BLE001 - first batch
-            model = initial
+            if last is not None:
+                model = Mo.model_from_table(prior.where(F.col("batch") == last).drop("batch"))
         if batch.isEmpty():
             return
-        table = Mo.gradient_step(batch, vectors, model, lr=lr, label=label, bound_rows=bound_rows)
-        table.write.mode("overwrite").parquet(os.path.join(model_dir, f"batch={batch_id}"))
+        batch.persist()  # a step reads the batch more than once
+        try:
+            table = Mo.gradient_step(batch, vectors, model, lr=lr, label=label, bound_rows=bound_rows)
+            table.write.mode("overwrite").parquet(os.path.join(model_dir, f"batch={batch_id}"))
+        finally:
+            batch.unpersist()
 
     writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint_location)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")

@@ -8,6 +8,7 @@ from conftest import SMALL
 from equitext.operators import joins as J
 from equitext.operators import metrics as M
 from equitext.operators import model as Mo
+from equitext.operators import split as X
 from equitext.plans import q_profile
 from equitext.sources import fixtures as fx
 from equitext.sources import tables as T
@@ -17,28 +18,49 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_bucketed_auc_equals_single_window(spark, monkeypatch):
+def test_running_sums_do_not_depend_on_buckets(spark):
     import random
 
     rnd = random.Random(11)
     rows = [(rnd.random() < 0.4, round(rnd.random(), 3), f"k{rnd.randint(0, 2)}") for _ in range(3000)]
     df = spark.createDataFrame(rows, "toxic boolean, pred double, key string")
-    one = {r["key"]: r["auc"] for r in M.auc(df, ["key"]).collect()}
-    monkeypatch.setattr(M, "SINGLE_WINDOW_ROWS", 0)
-    monkeypatch.setattr(M, "AUC_BUCKETS", 16)
-    many = {r["key"]: r["auc"] for r in M.auc(df, ["key"]).collect()}
-    assert one.keys() == many.keys()
-    for k in one:
-        assert abs(one[k] - many[k]) < 1e-12
-    # and the bias AUCs through the bucketed path
+    counts = M.score_counts(df, ["key"])
+    got = [
+        sorted(tuple(r) for r in M.prefix_sums_below(counts, ["key"], "score", ["neg"], n).select(
+            "key", "score", "pos", "neg", "neg_below").collect())
+        for n in (1, 16, 512)
+    ]
+    assert got[0] == got[1] == got[2]
+
+
+def test_bias_summary_equals_separate_metrics(spark):
     lab = q_profile.labelled(spark, SMALL)
-    monkeypatch.setattr(M, "SINGLE_WINDOW_ROWS", 10 ** 9)
-    a = {r["subgroup"]: r for r in M.bias_aucs(lab).collect()}
-    monkeypatch.setattr(M, "SINGLE_WINDOW_ROWS", 0)
-    b = {r["subgroup"]: r for r in M.bias_aucs(lab).collect()}
-    for g in a:
-        for c in ("subgroup_auc", "bpsn_auc", "bnsp_auc"):
-            assert (a[g][c] is None and b[g][c] is None) or abs(a[g][c] - b[g][c]) < 1e-12
+    one = {r["scope"]: r for r in M.bias_summary(lab).collect()}
+    overall = M.auc(lab).first()
+    assert abs(one["overall"]["auc"] - overall["auc"]) < 1e-12
+    for r in M.bias_aucs(lab).collect():
+        s = one[r["subgroup"]]
+        for a, b in (("auc", "subgroup_auc"), ("bpsn_auc", "bpsn_auc"), ("bnsp_auc", "bnsp_auc")):
+            assert (s[a] is None and r[b] is None) or abs(s[a] - r[b]) < 1e-12
+    assert one["overall"]["fp"] > 0 and one["overall"]["fn"] > 0  # the fixture errs on both sides
+    for r in M.subgroup_confusion(lab).collect():
+        assert [one[r["subgroup"]][c] for c in ("tp", "fp", "fn", "tn")] == [r[c] for c in ("tp", "fp", "fn", "tn")]
+
+
+def test_bias_report_copies_no_row_per_group(spark):
+    plan = _plan(M.bias_summary(q_profile.labelled(spark, SMALL)))
+    assert "FileScan" in plan and "documents" not in plan  # reads the written score table only
+
+
+def test_split_ranks_the_boundary_bucket_only(spark):
+    df = spark.range(5000).select("id", (F.col("id") % 7 == 0).alias("toxic"))
+    h = df.withColumn("_h", X.hash_order("id", 1, "s")).withColumn("_s", F.lit("s"))
+    kept = X.keep_first(df, 0.333, "s", seed=1)
+    assert kept.count() == 1665
+    first = {r["id"] for r in h.orderBy("_h").limit(1665).select("id").collect()}
+    assert {r["id"] for r in kept.select("id").collect()} == first
+    for fraction, want in ((0.0, 0), (1.0, 5000), (0.25, 1250), (0.0001, 0)):
+        assert X.keep_first(df, fraction, "s").count() == want
 
 
 def test_lookup_join_broadcasts_only_behind_a_bound(spark):
@@ -49,6 +71,11 @@ def test_lookup_join_broadcasts_only_behind_a_bound(spark):
         assert "BroadcastHashJoin" in _plan(J.lookup_join(big, small, "k", bound_rows=10))
         assert "BroadcastHashJoin" not in _plan(J.lookup_join(big, small, "k"))
         assert "BroadcastHashJoin" not in _plan(J.lookup_join(big, small, "k", bound_rows=10 ** 9))
+        # width counts: wide rows of the same number stay out, unknown widths too
+        wide = small.withColumn("vec", F.array(F.lit(0.0)))
+        assert "BroadcastHashJoin" in _plan(J.lookup_join(big, wide, "k", bound_rows=10_000, dim=64))
+        assert "BroadcastHashJoin" not in _plan(J.lookup_join(big, wide, "k", bound_rows=1_000_000, dim=200))
+        assert "BroadcastHashJoin" not in _plan(J.lookup_join(big, wide, "k", bound_rows=10))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
