@@ -9,13 +9,17 @@ vocabulary (``CountVectorizerModel.from_vocabulary``).
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from equitext.constants import VOCAB_SIZE
+from equitext.functions import vectors as V
 from equitext.functions.text import bow_tokens
 from equitext.operators.joins import lookup_join
+from equitext.operators.model import exact_sum
 
 
 def document_frequency(df: DataFrame, text_col: str = "comment_text", tokens=bow_tokens) -> DataFrame:
@@ -107,3 +111,27 @@ def tfidf(df: DataFrame, idf: DataFrame, id_col: str = "id", text_col: str = "co
     w = j.withColumn("_v", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("_v") * F.col("_v")).over(Window.partitionBy(id_col)))
     return w.select(id_col, "token", (F.col("_v") / norm).alias("tfidf"))
+
+
+def coefficient_table(vocab: DataFrame, model) -> DataFrame:
+    """(token, s): a fitted sparse model over the vocabulary's indices.  Its
+    coefficients (at most k numbers) are on the driver already."""
+    weights = F.array(*[F.lit(float(w)) for w in model.coefficients.toArray()])
+    return vocab.select("token", F.element_at(weights, (F.col("idx") + 1).cast("int")).alias("s"))
+
+
+def score_token_sets(rows: DataFrame, coef: DataFrame, bias: float, keys: Sequence[str], tokens_col: str,
+                     bound_rows: int = VOCAB_SIZE) -> DataFrame:
+    """M6 for bag-of-words: (keys..., n_known, pred) for rows with a token
+    array; each distinct token counts once, unknown tokens not at all."""
+    occ = rows.select(*keys, F.explode_outer(F.array_distinct(tokens_col)).alias("token"))
+    j = lookup_join(occ, coef.select("token", "s"), "token", how="left", bound_rows=bound_rows)
+    per = j.groupBy(*keys).agg(F.count("s").alias("n_known"), exact_sum("s").alias("_z"))
+    z = F.coalesce("_z", F.lit(0.0)) + F.lit(float(bias))
+    return per.select(*keys, F.col("n_known").cast("bigint").alias("n_known"), V.sigmoid(z).alias("pred"))
+
+
+def score_rows(rows: DataFrame, coef: DataFrame, bias: float, keys: Sequence[str],
+               text_col: str = "comment_text") -> DataFrame:
+    """Rows with free text, tokenised and scored as ``score_token_sets``."""
+    return score_token_sets(rows.select(*keys, bow_tokens(text_col).alias("_tokens")), coef, bias, keys, "_tokens")

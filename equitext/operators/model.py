@@ -17,6 +17,7 @@ from collections.abc import Sequence
 
 from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,8 +41,14 @@ def exact_sum(c) -> Column:
     col = F.col(c) if isinstance(c, str) else c
     whole = F.floor(col)
     fraction = F.round((col - whole) * SCORE_SCALE).cast("long")
-    return F.sum(whole).cast("double") + F.sum(F.shiftright(fraction, 20)).cast("double") * (
-        (1 << 20) / SCORE_SCALE) + F.sum(fraction.bitwiseAND(F.lit((1 << 20) - 1))).cast("double") / SCORE_SCALE
+
+    def wide(x: Column) -> Column:
+        return F.sum(x).cast("decimal(38,0)")
+
+    # put together as one integer, so equal sums are equal whatever their parts
+    total = (wide(whole) * F.lit(int(SCORE_SCALE)) + wide(F.shiftright(fraction, 20)) * F.lit(1 << 20)
+             + wide(fraction.bitwiseAND(F.lit((1 << 20) - 1))))
+    return total.cast("double") / SCORE_SCALE
 
 
 def exact_mean(c) -> Column:
@@ -108,6 +115,31 @@ def train_logistic(features: DataFrame, label: str = "label", reg: float = L2, m
     return LinearModel(tuple(float(x) for x in m.coefficients), float(m.intercept))
 
 
+def train_sparse(features: DataFrame, label: str = "label", reg: float = L2, max_iter: int = 300):
+    """M3 for bag-of-words: L2 logistic regression on a sparse ``features``
+    column; the fitted model (one number per vocabulary token) is on the
+    driver."""
+    lr = LogisticRegression(featuresCol="features", labelCol="label", regParam=reg, elasticNetParam=0.0,
+                            standardization=False, maxIter=max_iter)
+    return lr.fit(features.select("features", F.col(label).cast("double").alias("label")))
+
+
+def sparse_optimum_check(features: DataFrame, model, reg: float = L2, label: str = "label",
+                         tolerance: float = 1e-2) -> DataFrame:
+    """``optimum_check`` for a sparse fit: the slope is a weighted sum of the
+    feature vectors (one ``Summarizer`` aggregate)."""
+    p = vector_to_array(F.col("probability"))[1]
+    r = model.transform(features).select((p - F.col(label).cast("double")).alias("r"), F.col(label).alias("y"), "features")
+    scaled = array_to_vector(F.transform(vector_to_array("features"), lambda x: x * F.col("r")))
+    row = r.select("r", "y", scaled.alias("g")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("y") == 1).alias("n_pos"),
+        F.avg("r").alias("b"), vector_to_array(Summarizer.mean(F.col("g"))).alias("g"))
+    w = F.array(*[F.lit(float(x)) for x in model.coefficients.toArray()])
+    slope = F.array_max(F.zip_with("g", w, lambda g, x: F.abs(g + reg * x)))
+    return row.select("n_rows", "n_pos", F.size("g").cast("bigint").alias("n_features"),
+                      (F.greatest(F.abs("b"), slope) < tolerance).alias("at_optimum"))
+
+
 def stratified_folds(rows: DataFrame, k: int, label: str = "label", id_col: str = "id", seed: int = 5) -> DataFrame:
     """Adds ``fold`` (1..k): rows are dealt to the folds in hash order inside
     each label, so every fold has its share of a rare class.

@@ -22,13 +22,13 @@ def word_probe(words: DataFrame, scores: DataFrame, bias: float) -> DataFrame:
 
 
 def fuzz(docs: DataFrame, mapping: dict[str, str], id_col: str = "id", text_col: str = "comment_text",
-         keep: Sequence[str] = ()) -> DataFrame:
+         keep: Sequence[str] = (), tokens=word_tokens) -> DataFrame:
     """A23 input: rows holding at least one mapped word, as token arrays,
     once as written (variant 'orig') and once with every mapped word
     replaced (variant 'fuzzed').  The mapping is a short word list, so it is
     a literal map applied inside each row: no join, no shuffle."""
     m = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
-    toks = docs.select(id_col, *keep, word_tokens(text_col).alias("tokens"))
+    toks = docs.select(id_col, *keep, tokens(text_col).alias("tokens"))
     hit = toks.where(F.exists("tokens", lambda t: F.element_at(m, t).isNotNull()))
     fz = F.transform("tokens", lambda t: F.coalesce(F.element_at(m, t), t))
     return hit.select(

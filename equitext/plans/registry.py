@@ -50,6 +50,7 @@ def query(name: str, sql: str | None = None):
 def load_all() -> None:
     """Import every query module so that they register."""
     from equitext.plans import (  # noqa: F401
+        q_bow,
         q_debias,
         q_model,
         q_probes,
