@@ -1,20 +1,18 @@
 """Word vectors and document vectors.
 
 Token vectors live in a table (token, vec).  Document vectors join token
-occurrences to it: the vector side is bounded by the vocabulary, so it is
-broadcast when that bound is small, and the per-document mean or sum is a
-``Summarizer`` aggregate with map-side partial aggregation (a document's
-tokens stay in the partition of its row, so the partial aggregate already
-holds one row per document).
+counts to it: the vector side is bounded by the vocabulary, so it is broadcast
+when its size in bytes is small, and the per-document mean or sum is a hash
+aggregate of plain sums with map-side partial aggregation (a document's tokens
+stay in the partition of its row, so the partial aggregate already holds one
+row per document).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from equitext.functions import vectors as V
@@ -71,23 +69,27 @@ def doc_vectors(
     """A17 (mean) / A18 (sum): (id, n_known, vec) for every row of ``docs``.
 
     Unknown tokens are skipped; a row without a known token gets the zero
-    vector (and n_known 0).  One pass: ``explode_outer`` keeps rows without
-    tokens, unknown tokens contribute a zero vector to a ``Summarizer`` sum,
-    and the mean divides by the known-token count -- no second join.
+    vector (and n_known 0).  A document is first reduced to (token, count);
+    vectors meet these pairs, and the sums are ``dim`` plain columns, so a
+    vector is neither built per occurrence nor shuffled.
     """
     if dim is None:
         raise ValueError("dim is required")
     occ = docs.select(id_col, F.explode_outer(word_tokens(text_col)).alias("token"))
-    # convert the (bounded) vector table once, not every token occurrence
-    vv = vectors.select("token", array_to_vector("vec").alias("v"))
-    j = lookup_join(occ, vv, "token", how="left", bound_rows=bound_rows, dim=dim)
-    v = F.coalesce("v", array_to_vector(V.zeros(dim)))
-    per = j.groupBy(id_col).agg(F.count("v").alias("n_known"), Summarizer.sum(v).alias("v"))
-    total = vector_to_array("v")
-    if how == "mean":
-        n = F.col("n_known")
-        total = F.when(n > 0, F.transform(total, lambda x: x / n)).otherwise(total)
-    return per.select(id_col, F.col("n_known").cast("bigint").alias("n_known"), total.alias("vec"))
+    counts = occ.groupBy(id_col, "token").agg(F.count("token").alias("cnt"))
+    j = lookup_join(counts, vectors.select("token", "vec"), "token", how="left", bound_rows=bound_rows, dim=dim)
+    per = _vector_sums(j, id_col, F.col("cnt"), F.col("cnt"), dim)
+    n = F.when(F.col("n_known") > 0, F.col("n_known")).otherwise(F.lit(1)) if how == "mean" else F.lit(1)
+    return per.select(id_col, "n_known", F.transform("vec", lambda x: x / n).alias("vec"))
+
+
+def _vector_sums(rows: DataFrame, id_col: str, count: Column, weight: Column, dim: int) -> DataFrame:
+    """(id, n_known, vec): per id the number of known occurrences and the
+    weighted vector sum; rows without a vector add nothing."""
+    sums = rows.groupBy(id_col).agg(
+        F.coalesce(F.sum(F.when(F.col("vec").isNotNull(), count)), F.lit(0)).cast("bigint").alias("n_known"),
+        *[F.coalesce(F.sum(weight * F.col("vec")[i]), F.lit(0.0)).alias(f"_v{i}") for i in range(dim)])
+    return sums.select(id_col, "n_known", F.array(*[F.col(f"_v{i}") for i in range(dim)]).alias("vec"))
 
 
 def tfidf_doc_vectors(
@@ -100,25 +102,19 @@ def tfidf_doc_vectors(
     bound_rows: int | None = None,
 ) -> DataFrame:
     """Sum over known token occurrences of vec x tfidf(doc, token),
-    divided by the number of known occurrences (not by the weight sum)."""
-    occ = docs.select(id_col, F.explode(word_tokens(text_col)).alias("token"))
-    j = lookup_join(occ, vectors.select("token", "vec"), "token", bound_rows=bound_rows)
-    j = j.join(tfidf.select(id_col, "token", "tfidf"), [id_col, "token"], "left")
-    w = F.coalesce("tfidf", F.lit(0.0))
-    scaled = j.select(id_col, array_to_vector(F.transform("vec", lambda x: x * w)).alias("v"))
-    per_doc = scaled.groupBy(id_col).agg(
-        F.count(F.lit(1)).alias("n_known"), Summarizer.sum(F.col("v")).alias("v")
-    )
-    per_doc = per_doc.select(
-        id_col, "n_known", F.transform(vector_to_array("v"), lambda x: x / F.col("n_known")).alias("vec")
-    )
-    all_docs = docs.select(id_col).join(per_doc, id_col, "left")
-    zero = V.zeros(dim) if dim else F.lit(None)
-    return all_docs.select(
-        id_col,
-        F.coalesce("n_known", F.lit(0)).cast("bigint").alias("n_known"),
-        F.coalesce("vec", zero).alias("vec"),
-    )
+    divided by the number of known occurrences (not by the weight sum).
+
+    Weights join the (id, token, count) pairs first; vectors come last, on the
+    rows that are summed next, so none crosses the network."""
+    if dim is None:
+        raise ValueError("dim is required")
+    occ = docs.select(id_col, F.explode_outer(word_tokens(text_col)).alias("token"))
+    counts = occ.groupBy(id_col, "token").agg(F.count("token").alias("cnt"))
+    weighted = counts.join(tfidf.select(id_col, "token", "tfidf"), [id_col, "token"], "left")
+    j = lookup_join(weighted, vectors.select("token", "vec"), "token", how="left", bound_rows=bound_rows, dim=dim)
+    per = _vector_sums(j, id_col, F.col("cnt"), F.col("cnt") * F.coalesce("tfidf", F.lit(0.0)), dim)
+    n = F.when(F.col("n_known") > 0, F.col("n_known")).otherwise(F.lit(1))
+    return per.select(id_col, "n_known", F.transform("vec", lambda x: x / n).alias("vec"))
 
 
 def similarity_columns(vectors: DataFrame, anchors: Sequence[Sequence[float]], out: str = "cos") -> DataFrame:

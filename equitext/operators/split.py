@@ -150,6 +150,21 @@ def balanced_split(
     return disjoint.unionByName(r)
 
 
+def seeded_shuffle(df: DataFrame, seed: int, id_col: str = "id") -> DataFrame:
+    """O3: ``df`` in a random order fixed by ``seed``, with each row's 1-based
+    ``place``.  Rows are range-partitioned by hash; the place is the rank
+    inside (first hash digits) plus the count of smaller ones."""
+    h = df.withColumn("_h", hash_order(id_col, seed, "shuffle")).withColumn(
+        "_hb", F.substring("_h", 1, HASH_BUCKET_DIGITS))
+    counts = h.groupBy("_hb").agg(F.count(F.lit(1)).alias("_c"))
+    # at most 65,536 buckets, whatever the input
+    before = Window.orderBy("_hb").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = F.broadcast(counts.select("_hb", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off")))
+    rank = F.row_number().over(Window.partitionBy("_hb").orderBy("_h"))
+    placed = h.withColumn("_r", rank).join(offsets, "_hb").withColumn("place", F.col("_off") + F.col("_r"))
+    return placed.repartitionByRange("place").sortWithinPartitions("place").drop("_h", "_hb", "_off", "_r")
+
+
 def split_rows(df: DataFrame, split: DataFrame, which: str, id_col: str = "id") -> DataFrame:
     """The rows of one side of a split (left semi join)."""
     return df.join(split.where(F.col("split") == which).select(id_col), id_col, "left_semi")

@@ -228,3 +228,54 @@ def s04_reuse_or_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     again = X.reuse_or_build(spark, path, build)
     assert len(built) == 1
     return again
+
+
+def _fraction_sql(n: int, d: int) -> str:
+    return SPLIT_SQL.replace("* 3 + 9) // 10", f"* {n} + {d - 1}) // {d}", 1)
+
+
+@query(
+    "x01_group_split_third",
+    _with(_fraction_sql(333, 1000), "labelled", memberships=True) + "SELECT * FROM gsplit",
+)
+def x01_group_split_third(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-group split with a test share of exactly 0.333."""
+    return X.group_split(labelled(spark, sf_dir), test_fraction=0.333).select("id", "subgroup", "toxic", "split")
+
+
+@query(
+    "x02_keep_quarter",
+    _with(SPLIT_SQL.replace("(n * 6) // 10", "(n * 25) // 100"), "labelled", memberships=True) + "SELECT id FROM kept",
+)
+def x02_keep_quarter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exactly floor(0.25 n) of the non-toxic rows in no group."""
+    residual = labelled(spark, sf_dir).where(~any_group() & ~F.col("toxic"))
+    return X.keep_first(residual, 0.25, "residual").select("id")
+
+
+@query(
+    "s02_split_scan",
+    _with(SPLIT_SQL, "labelled", memberships=True)
+    + "SELECT id, toxic FROM labelled SEMI JOIN (SELECT id FROM bsplit WHERE split = 'train') USING (id)",
+)
+def s02_split_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One side of a written split: partition and column pruning."""
+    import uuid
+
+    from equitext.session import scratch_path
+    from equitext.sources import tables as T
+
+    df, split = _split(spark, sf_dir)
+    path = scratch_path(spark, f"split-{uuid.uuid4().hex}")
+    X.write_split(df.select("id", "toxic", "target"), split, path)
+    return T.read_split(spark, path, "train", ["id", "toxic"])
+
+
+@query(
+    "o03_seeded_shuffle",
+    prelude("labelled")
+    + """SELECT id, CAST(row_number() OVER (ORDER BY md5(CAST(id AS VARCHAR) || ':17:shuffle')) AS BIGINT) AS place FROM labelled""",
+)
+def o03_seeded_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows in the seeded random order, with their place in it."""
+    return X.seeded_shuffle(labelled(spark, sf_dir).select("id"), 17).select("id", "place")
