@@ -340,7 +340,34 @@ def route(p_group: DataFrame, p_debias: DataFrame, p_base: DataFrame, id_col: st
     )
 
 
+def score_routes(
+    docs: DataFrame,
+    adjusted: DataFrame,
+    bias: float,
+    id_col: str = "id",
+    text_col: str = "comment_text",
+    bound_rows: int | None = None,
+) -> DataFrame:
+    """M24 where all three models share the token table (token, s, s_adj): the
+    group model sums s, the baseline averages s, the debiased model averages
+    s_adj.  One tokenising pass with three aggregates, then ``route``'s rule."""
+    occ = docs.select(id_col, F.explode_outer(word_tokens(text_col)).alias("token"))
+    j = lookup_join(occ, adjusted, "token", how="left", bound_rows=bound_rows)
+    per = j.groupBy(id_col).agg(
+        exact_sum("s").alias("_group"), exact_mean("s").alias("_base"), exact_mean("s_adj").alias("_debias"))
+
+    def p(z: str) -> Column:
+        return V.sigmoid(F.coalesce(z, F.lit(0.0)) + F.lit(float(bias)))
+
+    member = p("_group") > 0.5
+    return per.select(
+        id_col,
+        F.when(member, F.lit("debiased")).otherwise(F.lit("baseline")).alias("route"),
+        F.when(member, p("_debias")).otherwise(p("_base")).alias("pred"),
+    )
+
+
 __all__ = [
     "token_scores", "score_docs", "coefficient_table", "train_logistic", "cross_validate",
-    "gradient_step", "model_from_table", "incremental_fit", "route", "vector_to_array",
+    "gradient_step", "model_from_table", "incremental_fit", "route", "score_routes", "vector_to_array",
 ]

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from equitext.operators import debias as D
 from equitext.operators import embed as E
 from equitext.operators import metrics as M
 from equitext.operators import model as Mo
 from equitext.operators import split as X
 from equitext.operators.profile import any_group
 from equitext.plans.oracle import prelude
-from equitext.plans.q_debias import DIRS_SQL, apply_weights
+from equitext.plans.q_debias import DIRS_SQL, apply_weights, setup
 from equitext.plans.q_profile import _r, _with, labelled
 from equitext.plans.q_split import _U, NOGROUP, SPLIT_SQL
 from equitext.plans.registry import query
@@ -232,8 +233,7 @@ def m23_cv_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Mo.cross_validate(_train_features(spark, sf_dir), 5, kind="svm")
 
 
-@query(
-    "m24_router",
+_ROUTER_SQL = (
     prelude("labelled", "tok", "word_vectors", "pleasant_words", "unpleasant_words", "model",
             "token_scores", "weights").rstrip("\n")
     + DIRS_SQL
@@ -251,17 +251,27 @@ p AS (SELECT l.id, 1 / (1 + exp(-(coalesce(zg, 0.0) + m.b))) AS p_group,
   1 / (1 + exp(-(coalesce(zb, 0.0) + m.b))) AS p_base
   FROM labelled l LEFT JOIN per ON per.id = l.id, model m)
 SELECT id, CASE WHEN p_group > 0.5 THEN 'debiased' ELSE 'baseline' END AS route,
-  round(CASE WHEN p_group > 0.5 THEN p_debias ELSE p_base END, 6) + 0.0 AS pred FROM p""",
+  round(CASE WHEN p_group > 0.5 THEN p_debias ELSE p_base END, 6) + 0.0 AS pred FROM p"""
 )
+
+
+@query("m24_router", _ROUTER_SQL)
 def m24_router(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted group members go to the debiased model, others to the
     baseline (all three models given as coefficient tables)."""
+    df, wv, model, dirs, k = setup(spark, sf_dir)
+    adjusted = D.adjusted_scores(Mo.token_scores(wv, model), fx.fixture_weights(wv), model, dirs)
+    return Mo.score_routes(df, adjusted, model.bias, bound_rows=k)
+
+
+@query("m24_route_tables", _ROUTER_SQL)
+def m24_route_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from three prediction tables, joined by id."""
     df, wv, k, dim, model = _ctx(spark, sf_dir)
     scores = Mo.token_scores(wv, model)
     p_group = Mo.score_docs(df, scores, model.bias, "sum", bound_rows=k)
     p_base = Mo.score_docs(df, scores, model.bias, "mean", bound_rows=k)
-    p_debias = apply_weights(spark, sf_dir, "all")
-    return Mo.route(p_group, p_debias, p_base)
+    return Mo.route(p_group, apply_weights(spark, sf_dir, "all"), p_base)
 
 
 @query("m05_stream_incremental_fit", _incremental_sql(salt="13:file"))
