@@ -11,7 +11,6 @@ logistic link, both fitted on a bounded sample of labelled rows.
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -139,8 +138,8 @@ def char_model(counts: DataFrame) -> np.ndarray:
     """log P(third | first two), at most SYMBOLS ** 3 numbers on the driver
     whatever the input; smoothed by the bigram and unigram shares."""
     n = np.zeros(SYMBOLS**3)
-    for r in counts.collect():
-        n[r["code"]] = r["n"]
+    table = counts.toArrow()
+    n[table["code"].to_numpy()] = table["n"].to_numpy()
     tri = n.reshape(SYMBOLS, SYMBOLS, SYMBOLS)
     uni = tri.sum((0, 1)) + 1.0
     uni /= uni.sum()
@@ -271,8 +270,22 @@ def _sample(docs: DataFrame, labels: DataFrame, rows: int, folds: int) -> DataFr
         F.xxhash64("text").alias("key"), "text", "toxic").dropDuplicates(["key"]).select("text", "toxic")
 
 
-def _hits(sample: DataFrame, chars: np.ndarray, only: set[str] | None) -> DataFrame:
-    """(row, toxic, features): distinct features of each sampled row."""
+def _features(sample: DataFrame, chars: np.ndarray) -> DataFrame:
+    """(f): the distinct features of each sampled row, one row each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = _cache(chars)
+        for batch in batches:
+            out = [f for x in batch.column(0)
+                   for f in {f for w in words_of(x.as_py(), chars, cache) for f in word_features(w)}]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["f"])
+
+    return sample.select("text").mapInArrow(run, "f string")
+
+
+def _hits(sample: DataFrame, chars: np.ndarray, only: list[str]) -> DataFrame:
+    """(toxic, hits): which features of ``only`` each sampled row has."""
+    place = {f: i for i, f in enumerate(only)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _cache(chars)
@@ -280,47 +293,48 @@ def _hits(sample: DataFrame, chars: np.ndarray, only: set[str] | None) -> DataFr
             out = []
             for x in batch.column(0):
                 found = {f for w in words_of(x.as_py(), chars, cache) for f in word_features(w)}
-                out.append(list(found if only is None else found & only))
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.list_(pa.string()))],
-                                             ["toxic", "features"])
+                out.append([place[f] for f in found & place.keys()])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.list_(pa.int32()))], ["toxic", "hits"])
 
-    return sample.select("text", "toxic").mapInArrow(run, "toxic int, features array<string>")
+    return sample.select("text", "toxic").mapInArrow(run, "toxic int, hits array<int>")
 
 
-def _unlike(rows: list[set[str]], hashes: int = 16, same: int = 6) -> list[set[str]]:
+def _unlike(rows: list[np.ndarray], hashes: int = 16, same: int = 11) -> list[np.ndarray]:
     """Rows that are no near copies of an earlier one (``same`` equal
     min-hashes of ``hashes``), so that a copied text counts once.  The rows
     are those of the bounded sample."""
     seen: dict[tuple[int, int], list[int]] = {}
-    out: list[set[str]] = []
+    out: list[np.ndarray] = []
+    odd = np.uint64(0x9E3779B97F4A7C15)
     for row in rows:
-        if not row:
+        if not len(row):
             continue
-        base = np.array([zlib.crc32(f.encode()) for f in row], dtype=np.uint64)
-        marks = [((base * np.uint64(2 * k + 3) + np.uint64(k * 0x9E3779B9)) * np.uint64(0x9E3779B97F4A7C15)
-                  >> np.uint64(20)).min() for k in range(hashes)]
-        shared = Counter(i for k, m in enumerate(marks) for i in seen.get((k, int(m)), ()))
+        base = (row.astype(np.uint64) + np.uint64(1)) * odd
+        marks = [int(((base ^ (base >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9 + 2 * k)
+                      >> np.uint64(20)).min()) for k in range(hashes)]
+        shared = Counter(i for k, m in enumerate(marks) for i in seen.get((k, m), ()))
         if shared and shared.most_common(1)[0][1] >= same:
             continue
         for k, m in enumerate(marks):
-            seen.setdefault((k, int(m)), []).append(len(out))
+            seen.setdefault((k, m), []).append(len(out))
         out.append(row)
     return out
 
 
-def _choose(pos: list[set[str]], neg: Counter, n_neg: int) -> dict[str, float]:
+def _choose(names: list[str], pos: list[np.ndarray], neg: np.ndarray, n_neg: int) -> dict[str, float]:
     """Features by their toxic rows less twice their clean rows; of features
     that begin alike, the first in that order."""
-    hits = Counter(f for s in pos for f in s)
-    order = sorted((f for f in hits if hits[f] - 2 * neg[f] >= MIN_HITS),
-                   key=lambda f: (2 * neg[f] - hits[f], not f.endswith("*"), -len(f), f))
+    hits = np.bincount(np.concatenate([*pos, np.zeros(0, dtype=np.int32)]).astype(np.int64), minlength=len(names))
+    gain = hits - 2 * neg
+    order = sorted(np.flatnonzero(gain >= MIN_HITS).tolist(),
+                   key=lambda i: (-gain[i], not names[i].endswith("*"), -len(names[i]), names[i]))
     weights: dict[str, float] = {}
     stems: list[str] = []
-    for f in order:
-        stem = f.rstrip("*")
-        w = float(np.log((hits[f] + 0.5) / (len(pos) + 1)) - np.log((neg[f] + 0.5) / (n_neg + 1)))
+    for i in order:
+        stem = names[i].rstrip("*")
+        w = float(np.log((hits[i] + 0.5) / (len(pos) + 1)) - np.log((neg[i] + 0.5) / (n_neg + 1)))
         if w >= MIN_WEIGHT and not any(stem.startswith(x) or x.startswith(stem) for x in stems):
-            weights[f] = w
+            weights[names[i]] = w
             stems.append(stem)
     return weights
 
@@ -348,23 +362,25 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, folds: int
     Without labelled rows, or with one class only, the score is constant."""
     chars = char_model(char_counts(docs))
     sample = saved(_sample(docs, labels, fit_rows, folds), "tox-sample")
-    pos = [set(r[0]) for r in _hits(sample.filter("toxic = 1"), chars, None).select("features").collect()]
-    df = Counter(f for s in pos for f in s)
-    common = {f for f, n in df.items() if n >= MIN_HITS}
-    pos = _unlike(pos)
-    pos = [s & common for s in pos]
-    clean = sample.filter("toxic = 0")
-    n_neg = clean.count()
-    found = _hits(clean, chars, common).select(F.explode("features").alias("f")).groupBy("f").count()
-    neg = Counter({r["f"]: r["count"] for r in found.collect()})
-    weights = _choose(pos, neg, n_neg)
+    toxic, clean = sample.filter("toxic = 1"), sample.filter("toxic = 0")
+    common = _features(toxic, chars).groupBy("f").count().filter(F.col("count") >= MIN_HITS).select("f")
+    names = sorted(common.toArrow()["f"].to_pylist())
+    rows = _hits(toxic, chars, names).select("hits").toArrow()["hits"]
+    pos = _unlike([np.sort(x.values.to_numpy()) for x in rows])
+    n_pos, n_neg = len(rows), clean.count()
+    neg = np.zeros(len(names), dtype=np.int64)
+    found = _hits(clean, chars, names).select(F.explode("hits").alias("f")).groupBy("f").count().toArrow()
+    neg[found["f"].to_numpy()] = found["count"].to_numpy()
+    weights = _choose(names, pos, neg, n_neg)
     model = Toxicity(chars, weights)
-    if not pos or not n_neg:
-        model.bias = 0.0 if not pos and not n_neg else -3.0 if not pos else 3.0
+    if not n_pos or not n_neg:
+        model.bias = 0.0 if not n_pos and not n_neg else -3.0 if not n_pos else 3.0
         return model
-    chosen = _hits(sample, chars, set(weights)).select("toxic", "features").collect()
-    x = np.array([sum(weights[f] for f in r["features"]) for r in chosen])
-    y = np.array([float(r["toxic"]) for r in chosen])
+    chosen = list(weights)
+    found = _hits(sample, chars, chosen).toArrow()
+    value = np.array([weights[f] for f in chosen])
+    x = np.array([value[h.values.to_numpy()].sum() for h in found["hits"]])
+    y = found["toxic"].to_numpy().astype(float)
     model.slope, model.bias = _logistic(x, y)
     return model
 
