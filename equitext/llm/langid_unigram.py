@@ -221,8 +221,8 @@ def fit(docs: DataFrame, path: str, folds: int = 3, held_out: int = 1, rounds: i
     probs = None
     for _ in range(rounds):
         counts = np.zeros((len(langs), pieces.none + 1))
-        for r in _learn(rows, path, langs, probs).collect():
-            counts[r["lang"], r["piece"]] = r["n"]
+        found = _learn(rows, path, langs, probs).toArrow()
+        counts[found["lang"].to_numpy(), found["piece"].to_numpy()] = found["n"].to_numpy()
         counts = counts[:, :-1]
         pooled = counts.sum(0) + pieces.prior
         pooled /= pooled.sum()
