@@ -23,17 +23,37 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from equitext.llm.bpe_words import WordCache, fragment_model, load
+from equitext.llm.bpe_words import WordCache, common, fragment_model, load
 from equitext.llm.util import id_type, saved
 
 #: letters in a leaf; pre-tokens up to this size are encoded whole
 LEAF = 4096
 #: characters of ordinary text encoded as one piece of a long document
 PLAIN = 65_536
+#: words in a worker's cache, at most
+CACHE = 250_000
 
 #: fixed value: the tokenizer's pre-token pattern, white space dropped
 _PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
-_CONTROL = re.compile("[\x1c-\x1fİɐ-\U0010ffff]")
+
+
+def token_table(tokenizer) -> np.ndarray:
+    """Token of each id."""
+    size = tokenizer.get_vocab_size(with_added_tokens=True)
+    return np.array([tokenizer.id_to_token(i) or "" for i in range(size)], dtype=object)
+
+
+def decode_ids(tokens: np.ndarray, ids: bytes) -> str:
+    """As decode(ids, skip_special_tokens=False): the tokenizer has no
+    decoder, so tokens are joined by single spaces."""
+    return " ".join(tokens[np.frombuffer(ids, dtype="<u4")].tolist())
+
+
+def _parts(batches: Iterator[pa.RecordBatch], rows: int = 250) -> Iterator[pa.RecordBatch]:
+    """Batches in small slices, so a worker holds the results of few texts."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 class Encoder:
@@ -51,11 +71,10 @@ class Encoder:
         self.path = path
         self.tokenizer = load(path)
         self.model = self.tokenizer.model
-        self.cache = WordCache(self.model, _PATTERN)
+        self.cache = WordCache(self.model, _PATTERN, CACHE)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._fragments = None
-        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.tokens = np.array([self.tokenizer.id_to_token(i) or "" for i in range(size)], dtype=object)
+        self.tokens = token_table(self.tokenizer)
 
     def unsplit(self, text: str) -> bool:
         """Whether a run without white space exceeds a leaf."""
@@ -63,18 +82,13 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """ids of a text whose pre-tokens are short."""
-        if _CONTROL.search(text) or any(a in text for a in self.added):
+        if not common(text) or any(a in text for a in self.added):
             # rare characters: the library's own normalizer and splitter
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
             return np.array(ids, dtype="<u4").tobytes()
         cache = self.cache
         return b"".join([cache[w] for w in text.lower().split()])
 
-    def decode(self, ids: bytes) -> str:
-        """As decode(ids, skip_special_tokens=False): the tokenizer has no
-        decoder, so tokens are joined by single spaces."""
-        return " ".join(self.tokens[np.frombuffer(ids, dtype="<u4")].tolist())
-
     # --- long unsplit pre-tokens, in byte-level letters ---------------------
 
     def tokenize(self, letters: str, ends: bool) -> list[int]:
@@ -170,7 +184,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = Encoder.of(path)
-        for batch in batches:
+        for batch in _parts(batches):
             ids, texts = [], []
             for i, x in enumerate(batch.column(1)):
                 text = x.as_py() or ""
@@ -226,9 +240,9 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     tokens kept; NULL ids count as none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder.of(path)
-        for batch in batches:
-            texts = [enc.decode(x.as_py() or b"") for x in batch.column(1)]
+        tokens = token_table(load(path))
+        for batch in _parts(batches):
+            texts = [decode_ids(tokens, x.as_py() or b"") for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())],
                                              ["id", "ids", "text"])
 

@@ -8,6 +8,7 @@ own; nothing is trained and nothing of the vocabulary is copied.
 from __future__ import annotations
 
 import json
+import struct
 
 import numpy as np
 import regex
@@ -60,6 +61,24 @@ class WordCache(dict):
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= self.size:
             self.clear()
-        ids = [t.id for p in self.pattern.findall(piece) for t in self.model.tokenize(spelled(p))]
-        out = self[piece] = np.array(ids, dtype="<u4").tobytes()
+        body = piece[1:] if piece[:1] == " " else piece
+        if body.isascii() and body.isalpha():  # one pre-token, spelled as it is
+            ids = [t.id for t in self.model.tokenize(piece.replace(" ", _LETTERS[32]))]
+        else:
+            ids = [t.id for p in self.pattern.findall(piece) for t in self.model.tokenize(spelled(p))]
+        out = self[piece] = struct.pack(f"<{len(ids)}I", *ids)
         return out
+
+
+def common(text: str) -> bool:
+    """Whether all characters lie below U+0250 and none is of those that
+    Python and the library treat differently (U+001C-U+001F as white space,
+    U+0130 in lower case)."""
+    if not text.isascii():
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+            if points.max() >= 0x250 or "\u0130" in text:
+                return False
+    return not any(c in text for c in "\x1c\x1d\x1e\x1f")
