@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from equitext.llm.bpe_words import WordCache, load
+from equitext.llm.bpe_words import WordCache, common, load
 from equitext.llm.util import id_type
 from equitext.session import scratch_path
 
@@ -33,13 +33,16 @@ from equitext.session import scratch_path
 LIMIT = 18
 BLOCK = 1024
 FILE_IDS = 1_000_000
+#: words in a worker's cache, at most; files whose offsets may be broadcast
+CACHE = 600_000
+BROADCAST_FILES = 1_000_000
 END = 2
 
 #: fixed value: the tokenizer's pre-token pattern
 _PATTERN = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
-_RARE = regex.compile("[\x1c-\x1fɐ-\U0010ffff]")
-_INNER = regex.compile(r" \p{White_Space}")
+#: white space after a space, among common characters
+_INNER = [" " + w for w in "\t\n\x0b\x0c\r \x85\xa0"]
 
 
 # --- code construction ----------------------------------------------------
@@ -159,14 +162,14 @@ class Ids:
 
     def __init__(self, path: str):
         self.tokenizer = load(path)
-        self.cache = WordCache(self.tokenizer.model, _PATTERN)
+        self.cache = WordCache(self.tokenizer.model, _PATTERN, CACHE)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def encode(self, text: str) -> bytes:
         """ids as little-endian unsigned 32-bit.  A piece from one space up
         to the next is a whole number of pre-tokens, unless white space
         follows a space; then, and for rare characters, the library splits."""
-        if _RARE.search(text) or any(a in text for a in self.added) or _INNER.search(text):
+        if not common(text) or any(a in text for a in self.added) or any(w in text for w in _INNER):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         head, *rest = text.split(" ")
         cache = self.cache
@@ -206,8 +209,8 @@ def id_counts(encoded: DataFrame, size: int = 1 << 16) -> np.ndarray:
 
     counts = encoded.select("ids").mapInArrow(run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
     out = np.zeros(size, dtype=np.int64)
-    for r in counts.collect():
-        out[r["token"]] = r["n"]
+    table = counts.toArrow()
+    out[table["token"].to_numpy()] = table["n"].to_numpy()
     return out
 
 
@@ -267,10 +270,9 @@ def read_ids(spark: SparkSession, target: str) -> DataFrame:
     """(id, start, ids) per document of a file set: the number of ids before
     it and its ids, binary little-endian unsigned 32-bit, decoded from the
     files."""
-    table = spark.read.parquet(f"{target}/lengths").collect()  # at most 65,536 rows
+    table = spark.read.parquet(f"{target}/lengths").toArrow()  # at most 65,536 rows
     lengths = np.zeros(1 << 16, dtype=np.int64)
-    for r in table:
-        lengths[r["token"]] = r["bits"]
+    lengths[table["token"].to_numpy()] = table["bits"].to_numpy()
     files = spark.read.parquet(f"{target}/files")
     kind = dict(files.dtypes)["docs"].removeprefix("array<").removesuffix(">")
 
@@ -278,17 +280,15 @@ def read_ids(spark: SparkSession, target: str) -> DataFrame:
         decoder = Decoder(lengths)
         for batch in batches:
             for i in range(batch.num_rows):
-                name, n, docs, sizes, checkpoints, bits = (batch.column(k)[i] for k in range(6))
+                first, n, docs, sizes, checkpoints, bits = (batch.column(k)[i] for k in range(6))
                 ids = decoder.unpack(bits.as_py(), checkpoints.values.to_numpy(), n.as_py()).astype("<u4").tobytes()
                 ends = np.cumsum(sizes.values.to_numpy())
                 starts = ends - sizes.values.to_numpy()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([name.as_py()] * len(ends)), docs.values, pa.array(starts),
+                    [docs.values, pa.array(starts + first.as_py()),
                      pa.array([ids[4 * a:4 * b] for a, b in zip(starts, ends)], pa.binary())],
-                    ["file", "id", "at", "ids"])
+                    ["id", "start", "ids"])
 
-    decoded = files.select("file", "n", "docs", "sizes", "checkpoints", "bits").mapInArrow(
-        run, f"file bigint, id {kind}, at bigint, ids binary")
     # ranges are few (one per partition of the writer); files are summed inside
     # their range, so no window holds all files
     heads = files.select("file", "n", F.shiftright("file", 33).alias("part"))
@@ -298,7 +298,11 @@ def read_ids(spark: SparkSession, target: str) -> DataFrame:
     inside = heads.select("file", "part", F.coalesce(F.sum("n").over(
         Window.partitionBy("part").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("off"))
     offsets = inside.join(parts, "part").select("file", (F.col("base") + F.col("off")).alias("first"))
-    return decoded.join(offsets, "file").select("id", (F.col("first") + F.col("at")).alias("start"), "ids")
+    # 24 bytes a file: with up to BROADCAST_FILES of them the files stay where
+    # they are; beyond, they are joined by shuffle, before they are decoded
+    side = F.broadcast(offsets) if files.count() <= BROADCAST_FILES else offsets
+    return files.join(side, "file").select("first", "n", "docs", "sizes", "checkpoints", "bits").mapInArrow(
+        run, f"id {kind}, start bigint, ids binary")
 
 
 def fresh_target(spark: SparkSession) -> str:
