@@ -1,13 +1,16 @@
 """Main-text extraction with a site style tree.
 
 Every page is parsed once into text blocks, each with the style nodes (paths
-of containers, tag and classes) it lies under.  The pages of a host are merged
-into one style tree by aggregation: for each style node the spread of its
-contents over the host's pages, as entropy, says how alike its pages are
-there.  Branches that say the same on most pages carry little (importance near
-0) and are removed from each page.  Roles that HTML itself names (nav, aside,
-footer, class names of adverts, comments, ...) are removed by rule, so a host
-with a single page is handled too.
+of containers, tag, classes and id) it lies under.  The pages of a host are
+merged into one style tree by aggregation: for each style node the spread of
+its own texts (those of no deeper node) over the host's pages, as entropy, says
+how alike its pages are there.  The texts are the leaves of the tree.  A leaf
+is removed if its node says the same on most pages (importance near 0) and the
+text itself is on most of them; a branch thus goes as a whole only if all below
+it is unimportant, and a wrapper around menu and content keeps its content.
+Roles that HTML itself names (nav, aside, footer, class names of adverts,
+comments, ...) are removed by rule and not counted, so a host with a single
+page is handled too.
 """
 
 from __future__ import annotations
@@ -154,6 +157,9 @@ def blocks(page: str) -> list[tuple[str, bool, bool, float, tuple[int, ...]]]:
         if attrs.strip():
             a = _attributes(attrs)
             names = " ".join(sorted(a.get("class", "").split()))
+            name = a.get("id", "")
+            if name and not any(c.isdigit() for c in name):  # numbered ids differ from page to page
+                names += f"#{name}"
             main = main or a.get("role", "").lower() == "main"
             noise = noise or (
                 tag not in ("html", "body")
@@ -178,13 +184,15 @@ def blocks(page: str) -> list[tuple[str, bool, bool, float, tuple[int, ...]]]:
 def parse(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(row values id, url; host, blocks, features) of every page.
 
-    ``blocks``: text, rule (removed by rule), branches.  ``features``: the
-    page's distinct (branch, text hash) pairs, hash 0 for the branch itself
-    and hash 1 with the shape (its number of blocks) as presentation."""
+    ``blocks``: text, rule (removed by rule), leaf (hash of the text and the
+    innermost branch; NULL without one).  ``features``: of the blocks that no
+    rule removes, the page's distinct (innermost branch, kind, value): kind 0
+    is the branch itself, kind 1 its shape (number of own blocks), kind 2 a
+    leaf."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block_type = pa.list_(pa.struct([("text", pa.string()), ("rule", pa.bool_()),
-                                         ("branches", pa.list_(pa.int64()))]))
+                                         ("leaf", pa.int64())]))
         feature_type = pa.list_(pa.struct([("branch", pa.int64()), ("kind", pa.int32()), ("value", pa.int64())]))
         for batch in batches:
             hosts, texts, features = [], [], []
@@ -194,10 +202,13 @@ def parse(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
                 rows, seen, shape = [], set(), {}
                 for text, noise, main, link, branches in found:
                     menu = not has_main and link >= 0.6 and len(text.split()) <= 15
-                    rows.append({"text": text, "rule": noise or menu or (has_main and not main), "branches": branches})
-                    for b in branches:
-                        seen.add((b, 2, xxhash.xxh64_intdigest(text) - (1 << 63)))
+                    rule, leaf = noise or menu or (has_main and not main), None
+                    if branches and not rule:
+                        b = branches[-1]
+                        leaf = xxhash.xxh64_intdigest(f"{b} {text}") - (1 << 63)
+                        seen.add((b, 2, leaf))
                         shape[b] = shape.get(b, 0) + 1
+                    rows.append({"text": text, "rule": rule, "leaf": leaf})
                 seen |= {(b, 0, 0) for b in shape} | {(b, 1, n) for b, n in shape.items()}
                 hosts.append(host_of(url.as_py()))
                 texts.append(rows)
@@ -209,19 +220,27 @@ def parse(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"),
                         F.col(html_col).cast("string").alias("html"))
     return rows.mapInArrow(run, f"id {id_type(pages, id_col)}, url string, host string, blocks array<struct<text:"
-                                "string,rule:boolean,branches:array<bigint>>>, features array<struct<branch:bigint,"
+                                "string,rule:boolean,leaf:bigint>>, features array<struct<branch:bigint,"
                                 "kind:int,value:bigint>>")
 
 
+def style_counts(parsed: DataFrame) -> DataFrame:
+    """(host, branch, kind, value, n): the pages that carry each feature."""
+    pairs = parsed.select("host", F.explode("features").alias("f")).select("host", "f.branch", "f.kind", "f.value")
+    return saved(pairs.groupBy("host", "branch", "kind", "value").agg(F.count(F.lit(1)).alias("n")), "style-counts")
+
+
 def style_tree(parsed: DataFrame) -> DataFrame:
     """(host, branch, pages, importance): the merged tree of each host.
 
     Content importance of a branch on m pages is 1 less the mean of
-    log(n) / log(m) over its texts, n the pages that carry a text there;
+    log(n) / log(m) over its own texts, n the pages that carry a text there;
     presentation importance is the entropy, base m, of its shapes.
     """
-    pairs = parsed.select("host", F.explode("features").alias("f")).select("host", "f.branch", "f.kind", "f.value")
-    counts = saved(pairs.groupBy("host", "branch", "kind", "value").agg(F.count(F.lit(1)).alias("n")), "style-counts")
+    return _importance(style_counts(parsed))
+
+
+def _importance(counts: DataFrame) -> DataFrame:
     pages = counts.filter("kind = 0").select("host", "branch", F.col("n").alias("pages"))
     n, m = F.col("n").cast("double"), F.col("pages").cast("double")
     same = F.when(F.col("kind") == 2, n * F.log(n) / F.log(m))
@@ -244,11 +263,16 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     columns are not read; an empty table gives an empty result.
     """
     parsed = saved(parse(pages, id_col, url_col, html_col), "pages-parsed")
-    low = style_tree(parsed).filter((F.col("importance") < importance) & (F.col("pages") >= min_pages))
-    noise = saved(low.groupBy("host").agg(F.collect_set("branch").alias("noise")), "style-noise")
+    counts = style_counts(parsed)
+    low = _importance(counts).filter((F.col("importance") < importance) & (F.col("pages") >= min_pages))
+    # a leaf's own importance is 1 - log(n) / log(pages)
+    leaves = counts.filter("kind = 2").join(low, ["host", "branch"]).filter(
+        F.log(F.col("n").cast("double")) > (1 - importance) * F.log(F.col("pages").cast("double")))
+    noise = saved(leaves.groupBy("host").agg(F.collect_set("value").alias("noise")), "style-noise")
     size = noise.agg(F.sum(F.size("noise") * 8 + F.octet_length("host") + 64)).first()[0] or 0
     side = F.broadcast(noise) if size <= BROADCAST_BYTES else noise
     none = F.array().cast("array<bigint>")
-    kept = F.filter("blocks", lambda b: ~b["rule"] & ~F.arrays_overlap(b["branches"], F.coalesce("noise", none)))
+    kept = F.filter("blocks", lambda b: ~b["rule"] & (
+        b["leaf"].isNull() | ~F.array_contains(F.coalesce("noise", none), b["leaf"])))
     return parsed.select("id", "url", "host", "blocks").join(side, "host", "left").select(
         "id", "url", F.array_join(F.transform(kept, lambda b: b["text"]), "\n").alias("text"))

@@ -69,6 +69,21 @@ def test_importance_by_hand(spark):
     assert row["pages"] == 8 and abs(row["importance"] - 0.9 * want) < 1e-9
 
 
+def test_wrappers_keep_their_content(spark):
+    menu = "".join(f"<p>Entry {k} of the list of things</p>" for k in range(12))
+    own = lambda i: [f"Page {i} says thing {k}" for k in range(4)]
+    paragraphs = lambda i: "".join(f"<p>{t}</p>" for t in own(i))
+    sites = {
+        "wrapped": lambda i: f"<div class=page><div class=top>{menu}</div><div class=body>{paragraphs(i)}</div><div class=end>{menu}</div></div>",
+        "ids": lambda i: f"<div id=top>{menu}</div><div id=text>{paragraphs(i)}</div>",
+        "numbered": lambda i: f"<div id=a1>{menu}</div><div id=b{i}>{paragraphs(i)}</div>",
+        "flat": lambda i: f"<div class=page>{menu}{paragraphs(i)}</div>",
+    }
+    rows = [(f"{name}{i}", f"http://{name}/{i}", f"<body>{site(i)}</body>") for name, site in sites.items() for i in range(9)]
+    out = {r["id"]: r["text"] for r in H.extract(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()}
+    assert out == {f"{name}{i}": "\n".join(own(i)) for name in sites for i in range(9)}
+
+
 def test_pages_match_their_articles(spark):
     sf = "/root/testdata/sf0.01"
     from equitext.llm.queries import QUERIES
