@@ -182,8 +182,9 @@ def blocks(page: str) -> list[tuple[str, bool, bool, float, tuple[int, ...]]]:
 
 
 def parse(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(row values id, url; host, blocks, features) of every page.
+    """(row values id, url; host, page, blocks, features) of every page.
 
+    ``page``: hash of the blocks that no rule removes, so copies share it.
     ``blocks``: text, rule (removed by rule), leaf (hash of the text and the
     innermost branch; NULL without one).  ``features``: of the blocks that no
     rule removes, the page's distinct (innermost branch, kind, value): kind 0
@@ -195,14 +196,16 @@ def parse(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
                                          ("leaf", pa.int64())]))
         feature_type = pa.list_(pa.struct([("branch", pa.int64()), ("kind", pa.int32()), ("value", pa.int64())]))
         for batch in batches:
-            hosts, texts, features = [], [], []
+            hosts, copies, texts, features = [], [], [], []
             for url, page in zip(batch.column(1), batch.column(2)):
                 found = blocks(page.as_py() or "")
                 has_main = any(main and not noise for _, noise, main, _, _ in found)
-                rows, seen, shape = [], set(), {}
+                rows, seen, shape, digest = [], set(), {}, xxhash.xxh64()
                 for text, noise, main, link, branches in found:
                     menu = not has_main and link >= 0.6 and len(text.split()) <= 15
                     rule, leaf = noise or menu or (has_main and not main), None
+                    if not rule:
+                        digest.update(f"{branches[-1] if branches else ''} {text}\n".encode("utf-8", "surrogatepass"))
                     if branches and not rule:
                         b = branches[-1]
                         leaf = xxhash.xxh64_intdigest(f"{b} {text}") - (1 << 63)
@@ -211,15 +214,17 @@ def parse(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
                     rows.append({"text": text, "rule": rule, "leaf": leaf})
                 seen |= {(b, 0, 0) for b in shape} | {(b, 1, n) for b, n in shape.items()}
                 hosts.append(host_of(url.as_py()))
+                copies.append(digest.intdigest() - (1 << 63))
                 texts.append(rows)
                 features.append([{"branch": b, "kind": k, "value": v} for b, k, v in seen])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(hosts), pa.array(texts, block_type),
-                 pa.array(features, feature_type)], ["id", "url", "host", "blocks", "features"])
+                [batch.column(0), batch.column(1), pa.array(hosts), pa.array(copies, pa.int64()),
+                 pa.array(texts, block_type), pa.array(features, feature_type)],
+                ["id", "url", "host", "page", "blocks", "features"])
 
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"),
                         F.col(html_col).cast("string").alias("html"))
-    return rows.mapInArrow(run, f"id {id_type(pages, id_col)}, url string, host string, blocks array<struct<text:"
+    return rows.mapInArrow(run, f"id {id_type(pages, id_col)}, url string, host string, page bigint, blocks array<struct<text:"
                                 "string,rule:boolean,leaf:bigint>>, features array<struct<branch:bigint,"
                                 "kind:int,value:bigint>>")
 
@@ -259,11 +264,14 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     one newline.
 
     A NULL or empty page has an empty text; a NULL or odd URL belongs to the
-    host ""; repeated rows are returned each and count as pages each; other
-    columns are not read; an empty table gives an empty result.
+    host ""; repeated rows are returned each; pages of a host with the same
+    blocks count once in its tree; a page of which the tree would leave nothing
+    keeps what the rules leave; other columns are not read; an empty table
+    gives an empty result.
     """
     parsed = saved(parse(pages, id_col, url_col, html_col), "pages-parsed")
-    counts = style_counts(parsed)
+    counts = style_counts(parsed.filter(F.size("features") > 0).select("host", "page", "features")
+                          .dropDuplicates(["host", "page"]))
     low = _importance(counts).filter((F.col("importance") < importance) & (F.col("pages") >= min_pages))
     # a leaf's own importance is 1 - log(n) / log(pages)
     leaves = counts.filter("kind = 2").join(low, ["host", "branch"]).filter(
@@ -272,7 +280,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     size = noise.agg(F.sum(F.size("noise") * 8 + F.octet_length("host") + 64)).first()[0] or 0
     side = F.broadcast(noise) if size <= BROADCAST_BYTES else noise
     none = F.array().cast("array<bigint>")
-    kept = F.filter("blocks", lambda b: ~b["rule"] & (
-        b["leaf"].isNull() | ~F.array_contains(F.coalesce("noise", none), b["leaf"])))
-    return parsed.select("id", "url", "host", "blocks").join(side, "host", "left").select(
-        "id", "url", F.array_join(F.transform(kept, lambda b: b["text"]), "\n").alias("text"))
+    left = F.filter("blocks", lambda b: ~b["rule"])
+    kept = F.filter("left", lambda b: b["leaf"].isNull() | ~F.array_contains(F.coalesce("noise", none), b["leaf"]))
+    return (
+        parsed.select("id", "url", "host", left.alias("left")).join(side, "host", "left")
+        .select("id", "url", "left", kept.alias("kept"))
+        .select("id", "url", F.array_join(F.transform(F.when(F.size("kept") > 0, F.col("kept")).otherwise(F.col("left")),
+                                                      lambda b: b["text"]), "\n").alias("text")))

@@ -84,6 +84,19 @@ def test_wrappers_keep_their_content(spark):
     assert out == {f"{name}{i}": "\n".join(own(i)) for name in sites for i in range(9)}
 
 
+def test_copies_of_a_page_are_no_boilerplate(spark):
+    page = lambda i, end="": (f"<body><nav>Hit {end}</nav><article><div class=body><p>Article {i} begins</p>"
+                              f"<p>and ends {i}</p></div></article></body>")
+    text = lambda i: f"Article {i} begins\nand ends {i}"
+    rows = [(f"all{i}", "http://all/", page(0, i), text(0)) for i in range(8)]
+    rows += [(f"mix{i}", "http://mix/", page(max(0, i - 89), i), text(max(0, i - 89))) for i in range(100)]
+    # a page that says nothing but what others say keeps it
+    rows += [(f"own{i}", "http://own/", f"<div class=a>Said by all</div>{f'<p>Own {i}</p>' if i else ''}",
+              f"Own {i}" if i else "Said by all") for i in range(30)]
+    out = H.extract(spark.createDataFrame(rows, "page_id string, url string, html string, want string"))
+    assert {r["id"]: r["text"] for r in out.collect()} == {r[0]: r[3] for r in rows}
+
+
 def test_pages_match_their_articles(spark):
     sf = "/root/testdata/sf0.01"
     from equitext.llm.queries import QUERIES
