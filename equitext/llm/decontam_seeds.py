@@ -1,9 +1,12 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 A seed is a fixed mask over consecutive words; positions marked 0 are
-ignored, so a substituted word there does not break the match.  The two masks
-below find every 13-word overlap with at most two substituted words (checked
-by enumeration in the tests).  Hashes of the benchmark's masked windows are
+ignored, so a substituted word there does not break the match.  The four
+masks below together find every overlap of 13 words or more with 0.8 of the
+words equal, whichever were substituted (checked in the tests by the best
+pattern of each length that no mask fits; from 38 words on a pattern holds a
+shorter one that qualifies).  Below 0.8 the seed is the longest run of equal
+words that must be there.  Hashes of the benchmark's masked windows are
 joined with those of every training window; around each hit the two texts are
 laid side by side and the longest stretch with enough equal words is kept.
 
@@ -25,7 +28,8 @@ from pyspark.sql import functions as F
 from equitext.llm.util import id_type
 
 #: fixed values: masks for items of at least MIN_WORDS words, and for shorter
-MASKS = ("111100011", "1000101111")
+MASKS = ("111100011", "1000101111", "1110101001", "1111011")
+MASKS_FROM = 0.8
 SHORT_MASKS = ("11111",)
 MIN_WORDS = 13
 #: characters of benchmark text in a block, on average
@@ -53,6 +57,16 @@ def masked_hashes(ids: np.ndarray, mask: str) -> np.ndarray:
     return h
 
 
+def masks_for(similarity: float) -> tuple[str, ...]:
+    """Masks that miss no overlap with that share of equal words."""
+    if similarity >= MASKS_FROM:
+        return MASKS
+    s = round(similarity * 1000)
+    # k substituted words leave k + 1 runs, the longest with their mean or more
+    gone = [(n, n * (1000 - s) // 1000) for n in range(MIN_WORDS, 1000)]
+    return ("1" * max(1, min(-((k - n) // (k + 1)) for n, k in gone)),)
+
+
 class Seeds:
     """Masked windows of a block of benchmark items."""
 
@@ -67,7 +81,7 @@ class Seeds:
                 self.words.append(np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in found],
                                            dtype=np.uint64))
         self.tables = []
-        for masks, chosen in ((MASKS, [i for i, w in enumerate(self.words) if len(w) >= MIN_WORDS]),
+        for masks, chosen in ((masks_for(similarity), [i for i, w in enumerate(self.words) if len(w) >= MIN_WORDS]),
                               (SHORT_MASKS, [i for i, w in enumerate(self.words) if len(w) < MIN_WORDS])):
             for mask in masks if chosen else ():
                 h = [masked_hashes(self.words[i], mask) for i in chosen]

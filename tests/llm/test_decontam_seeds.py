@@ -13,6 +13,40 @@ def test_masks_find_two_substitutions_in_thirteen_words():
             for m in D.MASKS for o in range(13 - len(m) + 1))
 
 
+def _missed(masks, similarity, longest=60):
+    """Lengths at which some pattern with the wanted share of equal words,
+    the first and last among them, fits no mask.  Kept per state (the last
+    words, equal or not): the best sum of 1 - s for equal and -s for others."""
+    up, down = 1000 - round(similarity * 1000), round(similarity * 1000)
+    span = max(map(len, masks))
+    kept = [int(m, 2) for m in masks]
+    best, missed = {1: up} if 1 not in kept else {}, []
+    for n in range(2, longest + 1):
+        new = {}
+        for state, total in best.items():
+            for bit, gain in ((0, -down), (1, up)):
+                full = state << 1 | bit
+                if not any(full & m == m for m in kept):
+                    key = full & ((1 << span - 1) - 1)
+                    new[key] = max(new.get(key, total + gain), total + gain)
+        best = new
+        if n >= D.MIN_WORDS and any(k & 1 and total >= 0 for k, total in best.items()):
+            missed.append(n)
+    return missed
+
+
+@pytest.mark.parametrize("similarity", [0.8, 0.9, 1.0, 0.79, 0.7, 0.6, 0.5])
+def test_masks_miss_no_pattern_at_any_length(similarity):
+    assert _missed(D.masks_for(similarity), similarity) == []
+
+
+def test_three_substitutions_in_fifteen_words():
+    item = [f"w{i}" for i in range(15)]
+    for gone in itertools.combinations(range(1, 14), 3):
+        doc = " ".join("other" if i in gone else w for i, w in enumerate(item))
+        assert D.Seeds([(1, " ".join(item))], 0.8).overlaps([doc]) == [(0, 0, 0, 0, 15, 12)], gone
+
+
 def brute(doc, item):
     """Longest aligned stretch of 13 words or more with 0.8 equal words."""
     a, b = D.words(doc), D.words(item)
