@@ -94,8 +94,9 @@ class Seeds:
                 self.tables.append((mask, keys[order], item[order], at[order], bloom))
 
     def lay(self, doc: np.ndarray, item: int, shift: int) -> tuple[int, int, int, int] | None:
-        """Longest stretch of one alignment with the wanted share of equal
-        words: (start in doc, start in item, words, equal words)."""
+        """Longest stretch of one alignment that begins and ends with an equal
+        word and has the wanted share of them: (start in doc, start in item,
+        words, equal words)."""
         own = self.words[item]
         lo, hi = max(0, -shift), min(len(own), len(doc) - shift)
         same = doc[lo + shift:hi + shift] == own[lo:hi]
@@ -105,18 +106,20 @@ class Seeds:
         # equal words weigh (1 - s), others -s: sums >= 0 are stretches with share >= s
         s = round(self.similarity * 1000)
         run = np.concatenate([[0], np.cumsum(np.where(same, 1000 - s, -s))])
-        first = np.minimum.accumulate(run)
-        start = np.searchsorted(-first, -run)  # earliest start whose sum is no larger
-        length = np.arange(len(run)) - start
-        end = int(length.argmax())
-        a, b = int(start[end]), end
-        while b > a and not same[b - 1]:
-            b -= 1
-        while a < b and not same[a]:
-            a += 1
-        if b - a < MIN_WORDS:
+        at = np.flatnonzero(same)
+        if not len(at):
             return None
-        return a + lo + shift, a + lo, b - a, int(same[a:b].sum())
+        first = np.minimum.accumulate(run[at])
+        # earliest start whose sum is no larger, for a stretch up to each equal word
+        start = np.searchsorted(-first, -run[at + 1])
+        length = at + 1 - at[start]
+        n = int(length.max())
+        if n < MIN_WORDS:
+            return None
+        equal = np.where(length == n, np.arange(1, len(at) + 1) - start, 0)
+        end = int(equal.argmax())
+        a = int(at[start[end]])
+        return a + lo + shift, a + lo, n, int(equal[end])
 
     def overlaps(self, texts: list[str | None]) -> list[tuple[int, int, int, int, int, int]]:
         """(text, item, doc start, item start, words, equal words): the

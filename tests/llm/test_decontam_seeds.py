@@ -65,6 +65,20 @@ def brute(doc, item):
     return best
 
 
+def test_two_stretches_on_one_alignment():
+    r = random.Random(5)
+    patterns = ["1" * 12 + "0" * 10 + "1111101011111", "1" * 12 + "0" * 3 + "1" * 12, "0" * 20]
+    patterns += ["".join(r.choice(["1" * r.randint(1, 13), "0" * r.randint(1, 9)]) for _ in range(9)) for _ in range(200)]
+    for p in patterns:
+        item = [f"w{i}" for i in range(max(len(p), 13))]
+        doc = [w if i < len(p) and p[i] == "1" else "other" for i, w in enumerate(item)]
+        got = D.Seeds([(1, " ".join(item))], 0.8).overlaps([" ".join(doc)])
+        want = brute(" ".join(doc), " ".join(item))
+        assert got == ([(0, 0, *want)] if want else []), p
+    assert brute(" ".join(f"w{i}" if c == "1" else "x" for i, c in enumerate(patterns[0])),
+                 " ".join(f"w{i}" for i in range(len(patterns[0])))) == (22, 22, 13, 11)
+
+
 def _tables(seed):
     r = random.Random(seed)
     vocab = [f"w{i}" for i in range(60)]
