@@ -48,7 +48,13 @@ _SIGNS = "".join(LEET)
 _TOKEN = re.compile(r"\S+")
 _LEET_TOKEN = re.compile(rf"[^\W\d_][{re.escape(_SIGNS)}]|[{re.escape(_SIGNS)}][^\W\d_]")
 _RUN = re.compile(r"([^\W\d_])\1\1+")
-_SPACED = re.compile(rf"(?<!\w)(?:[^\W\d_{re.escape(_SIGNS)}][ .\-_*]|[{re.escape(_SIGNS)}][ .\-_*]){{2,}}(?:[^\W\d_]|[{re.escape(_SIGNS)}])(?!\w)")
+_MARK = rf"(?:([^\W\d_{re.escape(_SIGNS)}])(?:\1\1+)?|([{re.escape(_SIGNS)}])(?:\2\2+)?)"
+_LAST = _MARK.replace(r"\1", r"\3").replace(r"\2", r"\4")
+_SPACED = re.compile(rf"(?<!\w)(?:{_MARK}[ .\-_*]+){{2,}}{_LAST}(?!\w)")
+_GAP = re.compile(r"[ .\-_*]+")
+#: punctuation around a word; of the signs only ! and | where they trail it
+_AROUND, _TRAIL = ".,;:?*%&#\"'", "!|"
+_INSIDE = re.compile(rf"[^\W\d_][{_TRAIL}][{re.escape(_AROUND + _TRAIL)}]*[^\s{re.escape(_AROUND + _TRAIL)}]")
 
 
 def _symbol_table() -> np.ndarray:
@@ -62,10 +68,10 @@ def _symbol_table() -> np.ndarray:
 
 
 _TABLE = _symbol_table()
-_SIGN_TABLE = np.zeros(0x250, dtype=np.int8)  # 1 for a sign, 2 for a digit that is one
+_SIGN_TABLE = np.zeros(0x250, dtype=np.int8)  # 1 for a sign, 2 for one that may end a word
 for _c in LEET:
     if ord(_c) < 0x24F:
-        _SIGN_TABLE[ord(_c)] = 1 + _c.isdigit()
+        _SIGN_TABLE[ord(_c)] = 1 + (_c not in _TRAIL)
 
 
 def symbol(c: str) -> int:
@@ -85,19 +91,33 @@ def symbols(text: str) -> np.ndarray:
 
 def suspicious(text: str, syms: np.ndarray) -> bool:
     """Whether lower-cased text shows any sign of the channel: three equal
-    letters in a row, a letter beside a sign, or single letters in a row."""
+    letters in a row, a letter beside a sign, or single letters or signs in a
+    row.  True for all that ``restore`` would change."""
     letter = syms > 0
-    if len(syms) < 3:
-        return False
+    if len(syms) < 3:  # a letter and a sign
+        return len(syms) == 2 and _LEET_TOKEN.search(text) is not None
     if (letter[2:] & (syms[2:] == syms[1:-1]) & (syms[1:-1] == syms[:-2])).any():
         return True
-    alone = letter[1:-1] & ~letter[2:] & ~letter[:-2]
-    if (alone[2:] & alone[:-2]).any() or (len(syms) < 6 and letter[0] and not letter[1]):
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    sign = _SIGN_TABLE[np.minimum(points, 0x24F)]
+    # a sign before a letter, or one that may end a word after it; ! and | that
+    # only trail a word are punctuation
+    if ((sign[:-1] > 0) & letter[1:]).any() or ((sign[1:] > 1) & letter[:-1]).any():
+        return True
+    if ((sign[1:] == 1) & letter[:-1]).any() and _INSIDE.search(text):
         return True
-    sign = _SIGN_TABLE[np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), 0x24F)]
-    # a sign before a letter, or a digit after one; signs that only trail a
-    # word are punctuation
-    return bool(((sign[:-1] > 0) & letter[1:]).any() or ((sign[1:] > 1) & letter[:-1]).any())
+    # three letters or signs, stretched or not, with gaps between, the outer
+    # ones at no word
+    new = np.concatenate([[True], points[1:] != points[:-1]])
+    more = np.concatenate([~new[1:], [False]])[new]  # a run may begin or end inside
+    points, letter, sign = points[new], letter[new], sign[new]
+    at = np.flatnonzero(letter | (sign > 0))
+    if len(at) < 3:
+        return False
+    word = np.concatenate([[False], letter | (points >= 48) & (points <= 57), [False]])
+    gap = np.diff(at) > 1
+    first, last = at[:-2], at[2:]
+    return bool((gap[:-1] & gap[1:] & (more[first] | ~word[first]) & (more[last] | ~word[last + 2])).any())
 
 
 # --- character model ----------------------------------------------------
@@ -160,7 +180,9 @@ def lattice(text: str, spaced: bool) -> list[list[tuple[str, float]]]:
         j = i
         while j < len(text) and text[j] == c:
             j += 1
-        if c in LEET:
+        if c in LEET and j - i > 2:
+            cells.append([(x * n, AS_LETTER + STRETCHED) for x in LEET[c] for n in (1, 2)] + [(c * (j - i), AS_SIGN)])
+        elif c in LEET:
             for _ in range(i, j):
                 cells.append([(x, AS_LETTER) for x in LEET[c]] + [(c, AS_SIGN)])
         elif c.isalpha() and j - i > 2:
@@ -175,9 +197,9 @@ def lattice(text: str, spaced: bool) -> list[list[tuple[str, float]]]:
 
 def viterbi(cells: list[list[tuple[str, float]]], model: np.ndarray) -> str:
     """Cheapest path through the lattice under the character model."""
-    best = {(0, 0): (0.0, "")}
+    best = {(0, 0): (0.0, None)}
     for options in [*cells, [(" ", 0.0)]]:
-        new: dict[tuple[int, int], tuple[float, str]] = {}
+        new: dict[tuple[int, int], tuple[float, tuple]] = {}
         for (p, q), (cost, out) in best.items():
             for piece, price in options:
                 a, b, total = p, q, cost + price
@@ -186,20 +208,33 @@ def viterbi(cells: list[list[tuple[str, float]]], model: np.ndarray) -> str:
                     total -= float(model[a, b, s])
                     a, b = b, s
                 if (a, b) not in new or total < new[a, b][0]:
-                    new[a, b] = (total, out + piece)
+                    new[a, b] = (total, (out, piece))
         best = new
-    return min(best.values())[1][:-1]
+    out, pieces = min(best.values(), key=lambda x: x[0])[1], []
+    while out:
+        out, piece = out
+        pieces.append(piece)
+    return "".join(pieces[:0:-1])
 
 
 def restore(text: str, model: np.ndarray, cache) -> str:
     """Lower-cased text with every suspicious part decoded."""
-    text = _SPACED.sub(lambda m: cache(m[0], True), text)
+
+    def joined(m: re.Match) -> str:
+        part = m[0]
+        gaps = {len(g) for g in _GAP.findall(part)}
+        if len(gaps) == 1:
+            return cache(part, True)
+        # uneven gaps: the wider ones may part words or be noise as well
+        words = [w for w in re.split(rf"[ .\-_*]{{{min(gaps) + 1},}}", part) if w]
+        return f"{' '.join(cache(w, True) for w in words)} {cache(part, True)}"
+
+    text = _SPACED.sub(joined, text)
 
     def token(m: re.Match) -> str:
         t = m[0]
-        core = t.strip(".,;:?*%&#\"'")
-        # signs that only trail a word are punctuation, not letters
-        core = core.rstrip("$!|+")
+        # ! and | that only trail a word are punctuation, not letters
+        core = t.strip(_AROUND).rstrip(_AROUND + _TRAIL)
         if _RUN.search(core) or _LEET_TOKEN.search(core):
             return t.replace(core, cache(core, False), 1)
         return t

@@ -47,6 +47,42 @@ def test_held_out_rows_and_hidden_words(spark, fitted):
         assert T.restore(plain, model.chars, cache) == plain
 
 
+@pytest.mark.parametrize("hidden", [
+    "g r o b n i k", "g r 0 b n 1 k", "g.r.0.b.n.1.k", "g_r_0_b_n_1_k", "g  r  o  b  n  i  k", "g -r -0 -b -n -1 -k", "g r  0 b n  1 k",
+    "ggg r ooo b nnn i k", "g r 000 b n 1 k", "gr000bnik", "grrr0bn111k", "grobnik!", "gr0bnik!!.", "g r 0 b n 1 k!", "$n4rf3l", "$ n 4 r f 3 l",
+    "5 n 4 r f 3 l", "vultra$h", "vultr@$h", "v u l t r 4 $ h", "v  u  l  t  r  4  $$$  h", "vvvultr444$h"])
+def test_spacing_leetspeak_and_repetition_together(fitted, hidden):
+    model = fitted[2]
+    cache = T._cache(model.chars)
+    for text in (hidden, f"the quiet {hidden} house", f"the quiet {hidden.upper()}"):
+        words = T.words_of(text, model.chars, cache)
+        assert words & {"grobnik", "snarfel", "vultrash"}, (text, words)
+
+
+@pytest.mark.parametrize("text", ["m 0 r 0 n", "1 d 1 0 t", "h 4 t 3", "l 0 s 3 r", "1.d.1.0.t", "m  o  r  o  n", "a$$", "as+", "x@", "a$", "7 0 7"])
+def test_gate_lets_every_sign_through(fitted, text):
+    cache = T._cache(fitted[2].chars)
+    for t in (text, f"so {text} it is", f"({text})"):
+        assert T.suspicious(t, T.symbols(t)), t
+    assert not any(T.suspicious(t, T.symbols(t)) for t in ("a quiet house", "stone!! window?", "costs 400 at 10:30", "(paper) light."))
+
+
+def test_gate_is_no_narrower_than_the_channel(fitted):
+    cache = T._cache(fitted[2].chars)
+    r = random.Random(8)
+    for _ in range(4000):
+        t = "".join(r.choice("aab4$!0+2 .-_ *,é") for _ in range(r.randint(1, 9)))
+        assert T.suspicious(t, T.symbols(t)) or T.restore(t, fitted[2].chars, cache) == t, t
+
+
+def test_trailing_signs_are_letters(fitted):
+    model = fitted[2].chars
+    assert T.lattice("a$$", False)[1:] == [[("s", T.AS_LETTER), ("$", T.AS_SIGN)]] * 2
+    flat = np.zeros_like(model)
+    for text, word in (("a$$", "ass"), ("a$$!", "ass"), ("grea+", "great"), ("m o r o n  y o u", "moron"), ("m  o r  o n", "moron")):
+        assert word in T.words_of(text, flat, T._cache(flat)), text
+
+
 def test_viterbi_is_the_cheapest_path(fitted):
     model = fitted[2].chars
     import itertools
