@@ -43,10 +43,13 @@ def cosine(a: Column | str, b: Column | str) -> Column:
 
 def axpy(v: Column | str, terms: Sequence[tuple[Column | float, Column | str]]) -> Column:
     """v + sum_i c_i * d_i for scalar columns c_i and vector columns d_i."""
+
+    def add(out: Column, c: Column, d: Column) -> Column:
+        return F.zip_with(out, d, lambda x, y: x + c * y)
+
     out = _c(v)
     for coef, d in terms:
-        c = coef if isinstance(coef, Column) else F.lit(float(coef))
-        out = F.zip_with(out, _c(d), lambda x, y, c=c: x + c * y)
+        out = add(out, coef if isinstance(coef, Column) else F.lit(float(coef)), _c(d))
     return out
 
 

@@ -10,9 +10,10 @@ linear, so for every random draw only scalars are needed:
     |cand|^2  = v.v + a^2 A.A + c^2 B.B + 2a v.A + 2c v.B + 2ac A.B
 
 Each token needs six dot products (v.v, v.P, v.U and the constant P.P,
-U.U, P.U); draws are ``explode(sequence(1, n))`` with md5-seeded uniforms,
-so results do not depend on partitioning or row order; the best accepted
-draw per token is a ``max`` over a struct (no window, no sort).
+U.U, P.U); draws are elements of an array in the token's row with md5-seeded
+uniforms, so results do not depend on partitioning or row order; the best
+accepted draw per token is an ``array_max`` over structs (no window, no sort,
+no shuffle).
 """
 
 from __future__ import annotations
@@ -102,6 +103,90 @@ def _consts(model: LinearModel, dirs: Directions) -> dict[str, float]:
     return {"zP": dot(w, P), "zU": dot(w, U), "PP": dot(P, P), "UU": dot(U, U), "PU": dot(P, U)}
 
 
+def search_candidates(
+    tokens: DataFrame,
+    vectors: DataFrame,
+    model: LinearModel,
+    dirs: Directions,
+    params: SearchParams,
+    similar: DataFrame | None = None,
+    bound_rows: int | None = None,
+) -> DataFrame:
+    """(token, z0, vv, vP, vU, p0, kind) for the tokens that a rule applies to;
+    ``kind`` is "toxic" or "nontoxic"."""
+    geo = lookup_join(tokens.select("token").distinct(), token_geometry(vectors, model, dirs), "token",
+                      bound_rows=bound_rows)
+    gate = F.lit(True)
+    if similar is not None:
+        geo = geo.join(similar.select("token", F.lit(True).alias("_sim")), "token", "left")
+        gate = F.coalesce("_sim", F.lit(False))
+    p0 = F.col("p0")
+    hi = (p0 >= params.high) if params.high_inclusive else (p0 > params.high)
+    kind = F.when(hi & gate, F.lit("toxic")).when(p0 < params.low, F.lit("nontoxic"))
+    geo = geo.withColumn("p0", V.sigmoid(F.col("z0"))).withColumn("kind", kind)
+    return geo.where(F.col("kind").isNotNull()).select("token", "z0", "vv", "vP", "vU", "p0", "kind")
+
+
+def best_draws(params: SearchParams, c: dict[str, float], tries: int = 1) -> Column:
+    """J8, W3 over ``search_candidates`` rows: array of ``tries`` structs
+    (k, nd, a, s, p, z), each the best accepted one of ``params.draws / tries``
+    draws (highest p, lowest in the narrow toxic rule; then lowest draw), NULL
+    where none was accepted.
+
+    Draws are array elements inside the token's row, so no row is multiplied and
+    nothing is sorted or shuffled.  Each step's values are fields of a struct,
+    read by the next step, so nothing is computed twice.
+    """
+    per_try = params.draws // tries
+    toxic, token = F.col("kind") == "toxic", F.col("token")
+    z0, vv, vP, vU, p0 = (F.col(x) for x in ("z0", "vv", "vP", "vU", "p0"))
+    tlo, thi = params.toxic_band
+    nlo, nhi = params.nontoxic_band
+
+    def accepted(x: Column) -> Column:
+        p = x["p"]
+        t_band = (p > tlo) & ((p <= thi) if params.toxic_band_closed_hi else (p < thi))
+        if params.toxic_below_base:
+            t_band = t_band & (p < p0)
+        n_band = ((p > nlo) if params.nontoxic_band_open_lo else (p >= nlo)) & (p <= nhi) & (p > p0)
+        return F.when(toxic, t_band).otherwise(n_band) & (x["cos"] >= params.min_cos)
+
+    def geometry(x: Column) -> Column:
+        # toxic: v - s U + a P ; non-toxic: v + a U - s P
+        cP, cU = x["cP"], x["cU"]
+        return F.struct(
+            x["d"].alias("d"), x["a"].alias("a"), x["s"].alias("s"),
+            (z0 + cP * c["zP"] + cU * c["zU"]).alias("z"),
+            (vv + cP * vP + cU * vU).alias("dot"),
+            (vv + cP * cP * c["PP"] + cU * cU * c["UU"] + 2 * cP * vP + 2 * cU * vU + 2 * cP * cU * c["PU"]).alias("n2"))
+
+    def one_try(t: Column) -> Column:
+        drawn = F.transform(F.sequence(t * per_try + 1, (t + 1) * per_try), lambda d: F.struct(
+            d.alias("d"), draw(token, d, "add", params.seed).alias("a"), draw(token, d, "sub", params.seed).alias("s")))
+        shifted = F.transform(drawn, lambda x: F.struct(
+            x["d"].alias("d"), x["a"].alias("a"), x["s"].alias("s"),
+            F.when(toxic, x["a"]).otherwise(-x["s"]).alias("cP"), F.when(toxic, -x["s"]).otherwise(x["a"]).alias("cU")))
+        scored = F.transform(F.transform(shifted, geometry), lambda x: F.struct(
+            x["d"].alias("d"), x["a"].alias("a"), x["s"].alias("s"), x["z"].alias("z"), V.sigmoid(x["z"]).alias("p"),
+            F.try_divide(x["dot"], F.sqrt(x["n2"]) * F.sqrt(vv)).alias("cos")))
+        lowest = toxic & F.lit(params.toxic_pick == "lowest")
+        return F.array_max(F.transform(F.filter(scored, accepted), lambda x: F.struct(
+            F.when(lowest, -x["p"]).otherwise(x["p"]).alias("k"), (-x["d"]).alias("nd"), x["a"].alias("a"),
+            x["s"].alias("s"), x["p"].alias("p"), x["z"].alias("z"))))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(tries - 1)), one_try)
+
+
+def weight_columns(kind: Column, best: Column) -> list[Column]:
+    """The four weight columns of a chosen draw; the pair of the other kind
+    is NULL."""
+    tox, null = kind == "toxic", F.lit(None).cast("double")
+    return [F.when(tox, best["a"]).otherwise(null).alias("add_pleasent"),
+            F.when(tox, best["s"]).otherwise(null).alias("sub_unpleasent"),
+            F.when(~tox, best["s"]).otherwise(null).alias("sub_pleasent"),
+            F.when(~tox, best["a"]).otherwise(null).alias("add_unpleasent")]
+
+
 def search_weights(
     tokens: DataFrame,
     vectors: DataFrame,
@@ -127,61 +212,10 @@ def search_weights(
     Returns (token, add_pleasent, sub_unpleasent, sub_pleasent,
     add_unpleasent, p_base, p_new) for tokens with an accepted draw.
     """
-    c = _consts(model, dirs)
-    geo = lookup_join(tokens.select("token").distinct(), token_geometry(vectors, model, dirs), "token",
-                      bound_rows=bound_rows)
-    if similar is not None:
-        geo = geo.join(similar.select("token", F.lit(True).alias("_sim")), "token", "left")
-        gate = F.coalesce("_sim", F.lit(False))
-    else:
-        gate = F.lit(True)
-    p0 = V.sigmoid(F.col("z0"))
-    hi = (p0 >= params.high) if params.high_inclusive else (p0 > params.high)
-    kind = F.when(hi & gate, F.lit("toxic")).when(p0 < params.low, F.lit("nontoxic"))
-    cand = geo.withColumn("kind", kind).where(F.col("kind").isNotNull())
-    cand = cand.withColumn("d", F.explode(F.sequence(F.lit(1), F.lit(params.draws))))
-    a = draw(F.col("token"), F.col("d"), "add", params.seed)
-    s = draw(F.col("token"), F.col("d"), "sub", params.seed)
-    cand = cand.withColumn("a", a).withColumn("s", s)
-    toxic = F.col("kind") == "toxic"
-    # toxic: v - s U + a P ; non-toxic: v + a U - s P
-    cP = F.when(toxic, F.col("a")).otherwise(-F.col("s"))
-    cU = F.when(toxic, -F.col("s")).otherwise(F.col("a"))
-    z = F.col("z0") + cP * c["zP"] + cU * c["zU"]
-    dotv = F.col("vv") + cP * F.col("vP") + cU * F.col("vU")
-    n2 = (
-        F.col("vv") + cP * cP * c["PP"] + cU * cU * c["UU"]
-        + 2 * cP * F.col("vP") + 2 * cU * F.col("vU") + 2 * cP * cU * c["PU"]
-    )
-    cand = cand.withColumn("p", V.sigmoid(z)).withColumn(
-        "cos", F.try_divide(dotv, F.sqrt(n2) * F.sqrt(F.col("vv")))
-    )
-    tlo, thi = params.toxic_band
-    nlo, nhi = params.nontoxic_band
-    t_band = (F.col("p") > tlo) & ((F.col("p") <= thi) if params.toxic_band_closed_hi else (F.col("p") < thi))
-    if params.toxic_below_base:
-        t_band = t_band & (F.col("p") < p0)
-    n_band = ((F.col("p") > nlo) if params.nontoxic_band_open_lo else (F.col("p") >= nlo)) & (
-        F.col("p") <= nhi
-    ) & (F.col("p") > p0)
-    ok = F.when(toxic, t_band).otherwise(n_band) & (F.col("cos") >= params.min_cos)
-    acc = cand.where(ok)
-    # best draw: highest p (lowest for the narrow toxic rule), then lowest d
-    key = F.when(toxic & F.lit(params.toxic_pick == "lowest"), -F.col("p")).otherwise(F.col("p"))
-    best = acc.groupBy("token").agg(
-        F.max(F.struct(key.alias("k"), (-F.col("d")).alias("nd"), "a", "s", "p", "kind", "z0")).alias("b")
-    )
-    tox = F.col("b.kind") == "toxic"
-    null = F.lit(None).cast("double")
-    return best.select(
-        "token",
-        F.when(tox, F.col("b.a")).otherwise(null).alias("add_pleasent"),
-        F.when(tox, F.col("b.s")).otherwise(null).alias("sub_unpleasent"),
-        F.when(~tox, F.col("b.s")).otherwise(null).alias("sub_pleasent"),
-        F.when(~tox, F.col("b.a")).otherwise(null).alias("add_unpleasent"),
-        V.sigmoid(F.col("b.z0")).alias("p_base"),
-        F.col("b.p").alias("p_new"),
-    )
+    cand = search_candidates(tokens, vectors, model, dirs, params, similar, bound_rows)
+    best = cand.select("token", "kind", "p0", best_draws(params, _consts(model, dirs))[0].alias("b")).where("b IS NOT NULL")
+    return best.select("token", *weight_columns(F.col("kind"), F.col("b")), F.col("p0").alias("p_base"),
+                       F.col("b.p").alias("p_new"))
 
 
 def similar_tokens(vectors: DataFrame, anchors: Sequence[Sequence[float]], threshold: float) -> DataFrame:
@@ -211,6 +245,52 @@ def adjusted_scores(
     return j.select("token", "s", (F.col("s") + first + second).alias("s_adj"))
 
 
+def shifts(weights: DataFrame) -> DataFrame:
+    """(token, alpha, beta): the weights as v + alpha P + beta U; each pair
+    counts only when both of its weights exist."""
+    ap, su, sp, au = (F.col(x) for x in WEIGHT_COLUMNS)
+    first, second = ap.isNotNull() & su.isNotNull(), sp.isNotNull() & au.isNotNull()
+    zero = F.lit(0.0)
+    return weights.select(
+        "token", (F.when(first, ap).otherwise(zero) - F.when(second, sp).otherwise(zero)).alias("alpha"),
+        (F.when(second, au).otherwise(zero) - F.when(first, su).otherwise(zero)).alias("beta"))
+
+
+def debiased_features(
+    docs: DataFrame,
+    vectors: DataFrame,
+    weights: DataFrame,
+    dirs: Directions,
+    in_scope: Column,
+    id_col: str = "id",
+    text_col: str = "comment_text",
+    bound_rows: int | None = None,
+) -> DataFrame:
+    """M10, M11, M25 as training features: (id, n_known, alpha, beta, vec), the
+    mean vector of every row, with weighted token vectors where ``in_scope``.
+
+    The weighted mean is a rank-two update, mean(v_t) + mean(alpha_t) P +
+    mean(beta_t) U, so besides the ``dim`` sums of ``doc_vectors`` a row needs
+    two scalars.  They join the vocabulary before the rows meet it: one lookup,
+    one aggregate, and no vector is built per occurrence.
+    """
+    from equitext.operators.embed import vector_sums
+
+    dim = len(dirs.pleasant)
+    vocabulary = vectors.select("token", "vec").join(shifts(weights), "token", "left")
+    occ = docs.select(id_col, F.coalesce(in_scope, F.lit(False)).alias("_scope"),
+                      F.explode_outer(word_tokens(text_col)).alias("token"))
+    counts = occ.groupBy(id_col, "_scope", "token").agg(F.count("token").alias("cnt"))
+    j = lookup_join(counts, vocabulary, "token", how="left", bound_rows=bound_rows, dim=dim)
+    moved = {c: F.coalesce(F.sum(F.when(F.col("_scope"), F.col("cnt") * F.col(c))), F.lit(0.0)) for c in ("alpha", "beta")}
+    per = vector_sums(j, id_col, F.col("cnt"), F.col("cnt"), dim, moved)
+    n = F.when(F.col("n_known") > 0, F.col("n_known")).otherwise(F.lit(1))
+    mean = per.select(id_col, "n_known", (F.col("alpha") / n).alias("alpha"), (F.col("beta") / n).alias("beta"),
+                      F.transform("vec", lambda x: x / n).alias("vec"))
+    return mean.withColumn("vec", V.axpy("vec", [(F.col("alpha"), V.literal(dirs.pleasant)),
+                                                 (F.col("beta"), V.literal(dirs.unpleasant))]))
+
+
 def score_with_weights(
     docs: DataFrame,
     adjusted: DataFrame,

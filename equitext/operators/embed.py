@@ -78,18 +78,22 @@ def doc_vectors(
     occ = docs.select(id_col, F.explode_outer(word_tokens(text_col)).alias("token"))
     counts = occ.groupBy(id_col, "token").agg(F.count("token").alias("cnt"))
     j = lookup_join(counts, vectors.select("token", "vec"), "token", how="left", bound_rows=bound_rows, dim=dim)
-    per = _vector_sums(j, id_col, F.col("cnt"), F.col("cnt"), dim)
+    per = vector_sums(j, id_col, F.col("cnt"), F.col("cnt"), dim)
     n = F.when(F.col("n_known") > 0, F.col("n_known")).otherwise(F.lit(1)) if how == "mean" else F.lit(1)
     return per.select(id_col, "n_known", F.transform("vec", lambda x: x / n).alias("vec"))
 
 
-def _vector_sums(rows: DataFrame, id_col: str, count: Column, weight: Column, dim: int) -> DataFrame:
-    """(id, n_known, vec): per id the number of known occurrences and the
-    weighted vector sum; rows without a vector add nothing."""
+def vector_sums(rows: DataFrame, id_col: str, count: Column, weight: Column, dim: int,
+                more: dict[str, Column] | None = None) -> DataFrame:
+    """(id, n_known, more..., vec): per id the number of known occurrences,
+    further aggregates and the weighted vector sum; rows without a vector add
+    nothing."""
+    more = more or {}
     sums = rows.groupBy(id_col).agg(
         F.coalesce(F.sum(F.when(F.col("vec").isNotNull(), count)), F.lit(0)).cast("bigint").alias("n_known"),
+        *[c.alias(name) for name, c in more.items()],
         *[F.coalesce(F.sum(weight * F.col("vec")[i]), F.lit(0.0)).alias(f"_v{i}") for i in range(dim)])
-    return sums.select(id_col, "n_known", F.array(*[F.col(f"_v{i}") for i in range(dim)]).alias("vec"))
+    return sums.select(id_col, "n_known", *more, F.array(*[F.col(f"_v{i}") for i in range(dim)]).alias("vec"))
 
 
 def tfidf_doc_vectors(
@@ -112,7 +116,7 @@ def tfidf_doc_vectors(
     counts = occ.groupBy(id_col, "token").agg(F.count("token").alias("cnt"))
     weighted = counts.join(tfidf.select(id_col, "token", "tfidf"), [id_col, "token"], "left")
     j = lookup_join(weighted, vectors.select("token", "vec"), "token", how="left", bound_rows=bound_rows, dim=dim)
-    per = _vector_sums(j, id_col, F.col("cnt"), F.col("cnt") * F.coalesce("tfidf", F.lit(0.0)), dim)
+    per = vector_sums(j, id_col, F.col("cnt"), F.col("cnt") * F.coalesce("tfidf", F.lit(0.0)), dim)
     n = F.when(F.col("n_known") > 0, F.col("n_known")).otherwise(F.lit(1))
     return per.select(id_col, "n_known", F.transform("vec", lambda x: x / n).alias("vec"))
 

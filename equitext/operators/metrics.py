@@ -339,6 +339,21 @@ def bias_summary(
     return row.select(F.inline(F.array(*[F.col(f"s{k}") for k in range(len(scopes))])))
 
 
+def compare_models(
+    df: DataFrame, base: str, other: str, groups: Sequence[str] = GROUPS, label: str = "toxic",
+) -> DataFrame:
+    """(scope, size, and per AUC its value under both score columns and the
+    change), for "overall" and every group."""
+    aucs = ["auc", "bpsn_auc", "bnsp_auc"]
+    one, two = (bias_summary(df, groups, c, label).select(
+        "scope", F.col("size").alias(f"_n_{c}"), *[F.col(a).alias(f"{a}_{c}") for a in aucs]) for c in (base, other))
+    # a row per scope on both sides
+    both = one.join(F.broadcast(two), "scope")
+    return both.select(
+        "scope", F.col(f"_n_{base}").alias("size"), *[f"{a}_{c}" for a in aucs for c in (base, other)],
+        *[(F.col(f"{a}_{other}") - F.col(f"{a}_{base}")).alias(f"{a}_change") for a in aucs])
+
+
 def final_from_summary(summary: DataFrame, p: float = POWER, w: float = OVERALL_MODEL_WEIGHT) -> DataFrame:
     """A13/A14 of a ``bias_summary``: one row, no further scan."""
     groups = F.col("scope") != "overall"

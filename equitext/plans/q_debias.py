@@ -56,9 +56,11 @@ consts AS (SELECT {_dot('m.w', 'pv.p')} AS zP, {_dot('m.w', 'uv.u')} AS zU,
 _SIG = "1 / (1 + exp(-({z})))"
 
 
-def search_sql(draws: int, gate: bool, narrow: bool) -> str:
-    head = prelude("labelled", "tok", "word_vectors", "pleasant_words", "unpleasant_words",
-                   "identity_words", "model").rstrip("\n")
+def accepted_sql(draws: int, gate: bool, narrow: bool, head: str | None = None) -> tuple[str, str]:
+    """WITH clause up to ``acc``, the accepted draws, and their order; ``head``
+    may replace the views, e.g. by others with a fitted ``model``."""
+    head = head or prelude("labelled", "tok", "word_vectors", "pleasant_words", "unpleasant_words",
+                           "identity_words", "model").rstrip("\n")
     p0 = _SIG.format(z="z0")
     if narrow:
         toxic_kind = f"{p0} >= 0.9"
@@ -93,10 +95,16 @@ dr AS (SELECT c.*, r.d,
   FROM cand c, range(1, {draws + 1}) r(d) WHERE c.kind IS NOT NULL),
 coef AS (SELECT *, CASE WHEN kind = 'toxic' THEN a ELSE -s END AS cp,
   CASE WHEN kind = 'toxic' THEN -s ELSE a END AS cu FROM dr),
-ev AS (SELECT coef.*, {_SIG.format(z='z0 + cp * k.zP + cu * k.zU')} AS p,
+ev AS (SELECT coef.*, z0 + cp * k.zP + cu * k.zU AS z, {_SIG.format(z='z0 + cp * k.zP + cu * k.zU')} AS p,
   (vv + cp * vP + cu * vU) / (sqrt(vv + cp * cp * k.PP + cu * cu * k.UU + 2 * cp * vP + 2 * cu * vU
    + 2 * cp * cu * k.PU) * sqrt(vv)) AS cos FROM coef, consts k),
-acc AS (SELECT * FROM ev WHERE cos >= 0.8 AND CASE WHEN kind = 'toxic' THEN {t_band} ELSE {n_band} END),
+acc AS (SELECT * FROM ev WHERE cos >= 0.8 AND CASE WHEN kind = 'toxic' THEN {t_band} ELSE {n_band} END)""", key
+
+
+def search_sql(draws: int, gate: bool, narrow: bool) -> str:
+    head, key = accepted_sql(draws, gate, narrow)
+    p0 = _SIG.format(z="z0")
+    return head + f""",
 best AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY {key} DESC, d) AS rn FROM acc)
 SELECT token,
   {_r("CASE WHEN kind = 'toxic' THEN a END", 'add_pleasent')},

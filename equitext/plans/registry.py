@@ -51,11 +51,13 @@ def load_all() -> None:
     """Import every query module so that they register."""
     from equitext.plans import (  # noqa: F401
         q_bow,
+        q_chain,
         q_debias,
         q_model,
         q_probes,
         q_profile,
         q_split,
         q_text,
+        q_tries,
         q_vectors,
     )
