@@ -10,9 +10,11 @@ and the boxes of the nodes above them.
 
 For an anchor a and a box [lo, hi], coordinate i adds between a_i lo_i and
 a_i hi_i to the inner product; the sums bound every score in the box.  A
-best-first queue opens boxes by falling upper bound.  A box is skipped if it
-lies outside the score windows asked for, or if its upper bound is strictly
-below the k-th score found so far (ties go on, since they are broken by id).
+best-first queue opens boxes by falling upper bound; the anchors of a block
+share it, so a leaf's scores are one matrix product.  For an anchor a box is
+skipped if it lies outside the score windows asked for, or if its upper bound
+is strictly below the k-th score found so far (ties go on, since they are
+broken by id).
 
 Anchors come in blocks of about ``BLOCK``: a block is collected and sent to the
 tasks that scan the tiles, and its results are written before the next block
@@ -154,86 +156,88 @@ class Tree:
             lo, hi = np.minimum.reduceat(lo, first), np.maximum.reduceat(hi, first)
             self.levels.append((lo, hi, first, last))
 
-    def bounds(self, anchors: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    def bounds(self, anchors: np.ndarray, big: bool) -> list[tuple[np.ndarray, np.ndarray]]:
         """Per level, the least and the largest score that each anchor (row)
         can have in each node (column)."""
         up, down = np.maximum(anchors, 0), np.minimum(anchors, 0)
-        return [(dot(up, lo) + dot(down, hi), dot(up, hi) + dot(down, lo)) for lo, hi, _, _ in self.levels]
+        return [(dot(up, lo, big) + dot(down, hi, big), dot(up, hi, big) + dot(down, lo, big))
+                for lo, hi, _, _ in self.levels]
 
+    def big(self, anchors: np.ndarray) -> bool:
+        """Whether scores may leave the whole numbers that a double holds."""
+        return bool(anchors.size and self.vec.size
+                    and np.abs(anchors).max() * np.abs(self.vec).max() * self.vec.shape[1] >= 2.0**51)
 
-def dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact inner products of rows of whole numbers: in doubles as long as
-    those hold every partial sum, else in integers of any size."""
-    if a.size and b.size and np.abs(a).max() * np.abs(b).max() * a.shape[1] >= 2.0**51:
+
+def dot(a: np.ndarray, b: np.ndarray, big: bool = False) -> np.ndarray:
+    """Exact inner products of rows of whole numbers; ``big``: in integers of
+    any size."""
+    if big:
         a, b = (np.array([[int(x) for x in row] for row in m], dtype=object).reshape(m.shape) for m in (a, b))
     return a @ b.T
 
 
-class Best:
-    """The first ``k`` of the candidates offered: larger scores first, ties by
-    smaller id (an unknown id before all others), then by row."""
-
-    __slots__ = ("k", "floor", "cells")
-
-    def __init__(self, k: int, floor=None):
-        self.k, self.floor, self.cells = k, floor, []
+class Asks:
+    """What is asked of a block of anchors: per ask an anchor, a score window
+    (None: open) and the first ``k`` rows in it: larger scores first, ties by
+    smaller id (an unknown id before all others), then by row.  ``kth`` is what
+    a score must reach to matter: the floor, or the k-th score so far."""
 
-    def least(self):
-        """What a score must reach to matter (None: any)."""
-        return self.cells[-1][0] if len(self.cells) == self.k else self.floor
+    def __init__(self, asks: list[tuple], k: int):
+        self.k, self.anchor = k, np.array([a for a, _, _, _ in asks], dtype=np.int64)
+        bounds = [([x[i] for x in asks], default) for i, default in ((1, -math.inf), (2, math.inf), (3, -math.inf))]
+        kind = object if any(v is not None and abs(v) >= 1 << 53 for values, _ in bounds for v in values) else np.float64
+        self.low, self.high, self.kth = (
+            np.array([default if v is None else v for v in values], dtype=kind) for values, default in bounds)
+        self.cells: list[list[tuple]] = [[] for _ in asks]
 
-    def offer(self, scores, known, ids, rows):
-        least = self.least()
-        if least is not None:
-            keep = np.flatnonzero(scores >= least)
-            scores, known, ids, rows = scores[keep], known[keep], ids[keep], rows[keep]
+    def offer(self, ask: int, scores, known, ids, rows) -> None:
         if len(scores) > self.k and scores.dtype != object:
             cut = np.partition(scores, len(scores) - self.k)[len(scores) - self.k]
             keep = np.flatnonzero(scores >= cut)
             scores, known, ids, rows = scores[keep], known[keep], ids[keep], rows[keep]
-        if len(scores):
-            new = [(int(s), bool(n), int(i), int(r)) for s, n, i, r in zip(scores, known, ids, rows)]
-            self.cells = sorted(self.cells + new, key=lambda c: (-c[0], c[1], c[2], c[3]))[:self.k]
-
-
-def search(tree: Tree, bounds, anchor: int, vec: np.ndarray, wanted: np.ndarray, asks: list[tuple]) -> None:
-    """Best-first search of one anchor.  ``wanted`` marks the rows of the tile
-    that may be offered; ``asks`` are (low, high, Best): scores from ``low`` to
-    ``high`` (None: open) go to ``Best``."""
-    top = len(tree.levels) - 1
-
-    def open_asks(high_bound) -> list:
-        """The asks that a box with this upper bound, and so any box behind it
-        in the queue, can still matter to."""
-        return [a for a in asks if (a[0] is None or high_bound >= a[0])
-                and ((least := a[2].least()) is None or high_bound >= least)]
-
-    queue = [(-bounds[top][1][anchor, i], top, i) for i in range(len(tree.levels[top][0]))]
+        new = [(int(s), bool(n), int(i), int(r)) for s, n, i, r in zip(scores, known, ids, rows)]
+        self.cells[ask] = sorted(self.cells[ask] + new, key=lambda c: (-c[0], c[1], c[2], c[3]))[:self.k]
+        if len(self.cells[ask]) == self.k:
+            least = self.cells[ask][-1][0]
+            if self.kth.dtype != object and abs(least) >= 1 << 53:
+                self.kth = self.kth.astype(object)
+            self.kth[ask] = max(self.kth[ask], least)
+
+
+def search(tree: Tree, anchors: np.ndarray, asks: Asks, wanted) -> int:
+    """Best-first search of a tile for a block of anchors (rows): boxes are
+    opened by their largest upper bound, each for the asks that it still
+    matters to.  ``wanted(anchors, first, last)`` marks the rows of a leaf that
+    may be offered to each anchor.  Returns the number of scores computed."""
+    big = tree.big(anchors)
+    bounds = [(low[asks.anchor], high[asks.anchor]) for low, high in tree.bounds(anchors, big)]  # by ask
+    heads = [high.max(axis=0) for _, high in bounds]
+    top, computed = len(tree.levels) - 1, 0
+    queue = [(-heads[top][i], top, i) for i in range(len(heads[top]))]
     heapq.heapify(queue)
     while queue:
-        bound, level, i = heapq.heappop(queue)
-        left = open_asks(-bound)
-        if not left:
-            return
-        if all(high is not None and bounds[level][0][anchor, i] > high for _, high, _ in left):
+        _, level, i = heapq.heappop(queue)
+        low, high = bounds[level][0][:, i], bounds[level][1][:, i]
+        open_ = np.flatnonzero((high >= asks.kth) & (high >= asks.low) & (low <= asks.high))
+        if not len(open_):
             continue
         first, last = tree.levels[level][2][i], tree.levels[level][3][i]
         if level:
             for child in range(first, last):
-                heapq.heappush(queue, (-bounds[level - 1][1][anchor, child], level - 1, child))
-            continue
-        rows = first + np.flatnonzero(wanted[first:last])
-        if not len(rows):
+                heapq.heappush(queue, (-heads[level - 1][child], level - 1, child))
             continue
-        scores = dot(vec[None, :], tree.vec[rows])[0]
-        for low, high, best in asks:
-            inside = np.ones(len(rows), dtype=bool)
-            if low is not None:
-                inside &= (scores >= low).astype(bool)
-            if high is not None:
-                inside &= (scores <= high).astype(bool)
-            at = rows[inside]
-            best.offer(scores[inside], tree.known[at], tree.id[at], tree.row[at])
+        who, at = np.unique(asks.anchor[open_], return_inverse=True)
+        scores = dot(anchors[who], tree.vec[first:last], big)
+        computed += scores.size
+        least = np.maximum(asks.kth[open_], asks.low[open_])[:, None]
+        of_ask = scores[at]
+        hits = (of_ask >= least) & (of_ask <= asks.high[open_][:, None]) & wanted(who, first, last)[at]
+        for k in np.flatnonzero(hits.any(axis=1)):
+            rows = np.flatnonzero(hits[k])
+            here = first + rows
+            asks.offer(int(open_[k]), of_ask[k][rows], tree.known[here], tree.id[here], tree.row[here])
+    return computed
 
 
 _FOUND = "anchor bigint, ask int, score bigint, id bigint, row bigint"
@@ -245,25 +249,28 @@ def _searched(anchors: list[dict], same: bool, k: int, leaf: int):
     row, label, vec (bytes) and asks (number, low, high, floor)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_dim: dict[int, list[int]] = {}
-        vecs = [np.frombuffer(a["vec"], dtype=np.float64) for a in anchors]
-        for j, v in enumerate(vecs):
-            by_dim.setdefault(len(v), []).append(j)
-        best = [[(low, high, Best(k, floor)) for _, low, high, floor in a["asks"]] for a in anchors]
+        blocks: dict[int, tuple] = {}  # by dimension
+        for dim in {len(a["vec"]) // 8 for a in anchors}:
+            own = [a for a in anchors if len(a["vec"]) // 8 == dim]
+            vecs = np.frombuffer(b"".join(a["vec"] for a in own), dtype=np.float64).reshape(len(own), dim)
+            names = [(a["row"], ask[0]) for a in own for ask in a["asks"]]
+            asks = Asks([(j, *ask[1:]) for j, a in enumerate(own) for ask in a["asks"]], k)
+            blocks[dim] = (vecs, np.array([a["label"] for a in own]), np.array([a["row"] for a in own]), asks, names)
         for batch in batches:
             for number in range(batch.num_rows):
                 cells = batch.slice(number, 1).to_pylist()[0]
-                mine = by_dim.get(cells["dim"])
-                if not mine:
+                if cells["dim"] not in blocks:
                     continue
+                vecs, labels, rows, asks, _ = blocks[cells["dim"]]
                 tree = Tree(cells, leaf)
-                bounds = tree.bounds(np.array([vecs[j] for j in mine]).reshape(len(mine), cells["dim"]))
-                for at, j in enumerate(mine):
-                    a = anchors[j]
-                    wanted = (tree.label == a["label"]) & (tree.row != a["row"]) if same else tree.label != a["label"]
-                    search(tree, bounds, at, vecs[j], wanted, best[j])
-        out = [(a["row"], ask[0], min(max(s, _LONG[0]), _LONG[1]), i if known else None, r)
-               for a, found in zip(anchors, best) for ask, (_, _, b) in zip(a["asks"], found) for s, known, i, r in b.cells]
+
+                def wanted(who, first, last, tree=tree, labels=labels, rows=rows):
+                    alike = tree.label[None, first:last] == labels[who][:, None]
+                    return alike & (tree.row[None, first:last] != rows[who][:, None]) if same else ~alike
+
+                search(tree, vecs, asks, wanted)
+        out = [(*name, min(max(s, _LONG[0]), _LONG[1]), i if known else None, r)
+               for _, _, _, asks, names in blocks.values() for name, found in zip(names, asks.cells) for s, known, i, r in found]
         if out:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, kind) for c, kind in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))],
