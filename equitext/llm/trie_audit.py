@@ -34,7 +34,9 @@ FILTERS = "ABCDE"
 #: text bytes that one partition should hold; a prefix with more is extended
 PART_BYTES = 48 << 20
 FIRST_PREFIX = 16
-#: bound of the heavy prefixes that are broadcast (8 bytes each)
+#: a prefix with less is never extended; bound of the heavy prefixes that are
+#: broadcast (8 bytes each)
+LEAST_SHARE = 64 << 10
 MOST_HEAVY = 1 << 17
 
 _UPPER = string.ascii_uppercase.encode()
@@ -202,7 +204,7 @@ def flags(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_
     texts = rows.filter("low IS NOT NULL").select("task", "bundle", "text", "low", "high")
     total = texts.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / part_bytes))
-    keyed = _keyed(texts, max(part_bytes, total // MOST_HEAVY))
+    keyed = _keyed(texts, max(min(part_bytes, total // parts), LEAST_SHARE, total // MOST_HEAVY))
     ranged = keyed.repartitionByRange(parts, F.substring("text", 1, FIRST_PREFIX), "key")
     hits = ranged.select(*texts.columns).mapInArrow(_smallest, f"of_task int, of_bundle bigint, smallest {kind}")
     hits = saved(hits, "trie-hits")
