@@ -30,8 +30,8 @@ from equitext.llm.util import id_type, saved
 LEAF = 4096
 #: characters of ordinary text encoded as one piece of a long document
 PLAIN = 65_536
-#: words in a worker's cache, at most
-CACHE = 250_000
+#: bytes of a worker's word cache
+CACHE_BYTES = 48 << 20
 
 #: fixed value: the tokenizer's pre-token pattern, white space dropped
 _PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
@@ -71,7 +71,7 @@ class Encoder:
         self.path = path
         self.tokenizer = load(path)
         self.model = self.tokenizer.model
-        self.cache = WordCache(self.model, _PATTERN, CACHE)
+        self.cache = WordCache(self.model, _PATTERN, CACHE_BYTES)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._fragments = None
         self.tokens = token_table(self.tokenizer)
@@ -179,7 +179,19 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     NULL and empty texts have no ids; repeated rows are encoded each; other
     columns are not read; an empty table gives an empty result.
     """
+    return _encoded(docs, path, id_col, text_col, False)
+
+
+def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ids, text): ``decode(encode(docs))`` in one worker per task, with
+    one tokenizer and without sending the ids to Spark and back."""
+    return _encoded(docs, path, id_col, text_col, True)
+
+
+def _encoded(docs: DataFrame, path: str, id_col: str, text_col: str, decoded: bool) -> DataFrame:
     kind = id_type(docs, id_col)
+    schema = f"id {kind}, ids binary" + ", text string" * decoded
+    names = ["id", "ids"] + ["text"] * decoded
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,11 +203,13 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 if not enc.unsplit(text):
                     ids.append(i)
                     texts.append(enc.encode(text))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(ids, pa.int64())), pa.array(texts, pa.binary())], ["id", "ids"])
+            out = [batch.column(0).take(pa.array(ids, pa.int64())), pa.array(texts, pa.binary())]
+            if decoded:
+                out.append(pa.array([decode_ids(enc.tokens, t) for t in texts], pa.string()))
+            yield pa.RecordBatch.from_arrays(out, names)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, names = Encoder.of(path), ["row", "id", "piece", "run", "unsplit", "ends", "letters"]
+        enc, cells = Encoder.of(path), ["row", "id", "piece", "run", "unsplit", "ends", "letters"]
         row = (TaskContext.get().partitionId() + 1) << 33
         for batch in batches:
             for i, x in enumerate(batch.column(1)):
@@ -204,7 +218,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                     for n, (run, unsplit, ends, letters) in enumerate(enc.pieces(x.as_py())):
                         yield pa.RecordBatch.from_arrays(
                             [pa.array([row]), batch.column(0).slice(i, 1), pa.array([n]), pa.array([run]),
-                             pa.array([unsplit]), pa.array([ends]), pa.array([letters])], names)
+                             pa.array([unsplit]), pa.array([ends]), pa.array([letters])], cells)
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = Encoder.of(path)
@@ -223,7 +237,9 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             if g["unsplit"].iloc[0]:
                 parts = [np.array(enc.tree([p.tolist() for p in parts]), dtype="<u4")]
             out += [p.tobytes() for p in parts]
-        return pd.DataFrame({"id": pdf["id"].iloc[:1], "ids": [b"".join(out)]})
+        ids = b"".join(out)
+        found = {"id": pdf["id"].iloc[:1], "ids": [ids]}
+        return pd.DataFrame(found | {"text": [decode_ids(enc.tokens, ids)]} if decoded else found)
 
     # only texts longer than a leaf can hold an unsplit run that is
     long = rows.filter(F.char_length("text") > LEAF).mapInArrow(
@@ -231,8 +247,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     pieces = saved(long, "bpe-pieces")
     encoded = pieces.repartition("row", "piece").mapInArrow(
         leaves, f"row bigint, id {kind}, piece bigint, run bigint, unsplit boolean, ids binary")
-    joined = encoded.groupBy("row").applyInPandas(concatenate, f"id {kind}, ids binary")
-    return rows.mapInArrow(short, f"id {kind}, ids binary").union(joined)
+    joined = encoded.groupBy("row").applyInPandas(concatenate, schema)
+    return rows.mapInArrow(short, schema).union(joined)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

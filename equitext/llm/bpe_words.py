@@ -15,8 +15,10 @@ import regex
 from tokenizers import Tokenizer
 from tokenizers.models import BPE
 
-#: pieces in the cache of a worker, at most; a full cache is emptied
-CACHE = 400_000
+#: bytes that the cache of a worker holds, about; a full cache is emptied
+CACHE_BYTES = 64 << 20
+#: of a string, a bytes object and a slot of the dictionary, besides their content
+ENTRY_BYTES = 190
 
 
 def byte_letters() -> dict[int, str]:
@@ -28,6 +30,10 @@ def byte_letters() -> dict[int, str]:
 
 
 _LETTERS = byte_letters()
+_SPACE = _LETTERS[32]
+#: signs that are a pre-token of their own behind a word, at the end of a piece
+_ENDS = frozenset(".,;:!?)")
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(32)]
 
 
 def spelled(piece: str) -> str:
@@ -52,23 +58,35 @@ def fragment_model(path: str) -> BPE:
 
 
 class WordCache(dict):
-    """piece -> ids as little-endian unsigned 32-bit bytes."""
+    """piece -> ids as little-endian unsigned 32-bit bytes.  A piece of several
+    pre-tokens ("word,") is put together from theirs, so a word is encoded once
+    whatever follows it."""
 
-    def __init__(self, model, pattern: regex.Pattern, size: int = CACHE):
+    def __init__(self, model, pattern: regex.Pattern, size: int = CACHE_BYTES):
         super().__init__()
-        self.model, self.pattern, self.size = model, pattern, size
+        self.model, self.pattern, self.size, self.held = model, pattern, size, 0
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= self.size:
+        if self.held >= self.size:
             self.clear()
+            self.held = 0
         body = piece[1:] if piece[:1] == " " else piece
-        if body.isascii() and body.isalpha():  # one pre-token, spelled as it is
-            ids = [t.id for t in self.model.tokenize(piece.replace(" ", _LETTERS[32]))]
+        if body.isalpha():  # one pre-token
+            out = self._ids(piece)
+        elif body[-1:] in _ENDS and body[:-1].isalpha():
+            out = self[piece[:-1]] + self[piece[-1]]
         else:
-            ids = [t.id for p in self.pattern.findall(piece) for t in self.model.tokenize(spelled(p))]
-        out = self[piece] = struct.pack(f"<{len(ids)}I", *ids)
+            parts = self.pattern.findall(piece)
+            out = b"".join([self[p] for p in parts]) if len(parts) > 1 else b"".join(map(self._ids, parts))
+        self[piece] = out
+        self.held += ENTRY_BYTES + len(out) + len(piece) * (1 if piece.isascii() else 2)
         return out
 
+    def _ids(self, pre_token: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(
+            pre_token.replace(" ", _SPACE) if pre_token.isascii() and pre_token[1:].isalpha() else spelled(pre_token))]
+        return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else struct.pack(f"<{len(ids)}I", *ids)
+
 
 def common(text: str) -> bool:
     """Whether all characters lie below U+0250 and none is of those that

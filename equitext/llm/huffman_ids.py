@@ -33,8 +33,8 @@ from equitext.session import scratch_path
 LIMIT = 18
 BLOCK = 1024
 FILE_IDS = 1_000_000
-#: words in a worker's cache, at most; files whose offsets may be broadcast
-CACHE = 600_000
+#: bytes of a worker's word cache; files whose offsets may be broadcast
+CACHE_BYTES = 128 << 20
 BROADCAST_FILES = 1_000_000
 END = 2
 
@@ -162,7 +162,7 @@ class Ids:
 
     def __init__(self, path: str):
         self.tokenizer = load(path)
-        self.cache = WordCache(self.tokenizer.model, _PATTERN, CACHE)
+        self.cache = WordCache(self.tokenizer.model, _PATTERN, CACHE_BYTES)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def encode(self, text: str) -> bytes:

@@ -82,7 +82,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text under the word-end BPE and their decoding."""
     path = public_tokenizers.path("word_bpe_49k.json")
-    out = bpe_tree.decode(bpe_tree.encode(read(spark, sf_dir, "documents"), path), path)
+    out = bpe_tree.encode_decode(read(spark, sf_dir, "documents"), path)
     return out.select(F.col("id").alias("doc_id"), F.floor(F.octet_length("ids") / 4).alias("n_tokens"),
                       F.sha2("ids", 256).alias("ids_sha256"),
                       F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"))
