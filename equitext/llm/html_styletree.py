@@ -17,7 +17,10 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from typing import NamedTuple
 
 import pyarrow as pa
 import xxhash
@@ -35,7 +38,9 @@ PRESENTATION = 0.1
 BROADCAST_BYTES = 16_000_000
 
 #: fixed values of HTML: elements by what they do to text
-RAW = frozenset("script style noscript template title textarea iframe svg math select object canvas".split())
+RAW = frozenset("script style title textarea".split())
+SKIPPED = frozenset("noscript template iframe".split())
+EMBEDDED = frozenset("svg math select object canvas".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer "
@@ -51,15 +56,21 @@ NOISE_TAGS = frozenset("nav footer aside form button menu dialog head header lab
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar "
                         "toolbar tablist status".split())
 MAIN_TAGS = frozenset(("article", "main"))
-_NOISE_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertis\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|popup|"
-    r"modal|overlay|newsletter|subscri\w*|signup|sidebar|sidenav|side|widgets?|related|recommend\w*|shar(?:e|ing)|social|"
-    r"breadcrumbs?|menu\w*|nav|navbar|navigation|header|masthead|topbar|footer|comments?|commentlist|disqus|respond|"
-    r"replies|reply|login|search\w*|pagination|pager|skip|toolbar|alert)(?:$|[\s_-])", re.I)
+#: words that name a part which is no article, and words that go with them
+NOISE_WORDS = frozenset(
+    "ad ads adsense advert adverts banner banners breadcrumb breadcrumbs comment comments commentlist consent cookie cookies "
+    "disqus footer gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notices overlay pager "
+    "pagination popup promo promos promotion recommendations recommended related replies reply respond search share sharing "
+    "sidebar sidenav signup skip social sponsor sponsored sponsors subscribe subscription toolbar topbar widget widgets".split())
+NEUTRAL_WORDS = frozenset(
+    "area articles bar block body bottom box button buttons column container content entry footer form global head header icons inner "
+    "item items left link links list main menu nav navigation outer page panel post posts primary right row secondary section side "
+    "site slot tertiary text title top unit wrap wrapper".split())
 _ATTR = re.compile(r"""([a-zA-Z_:][\w:.-]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _MARKUP = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""",
     re.S)
+_OPENS = re.compile(r"<(?:main|article)[\s>/]", re.I)
 _HOST = re.compile(r"^[a-zA-Z][\w+.-]*://(?:[^/@?#]*@)?([^/:?#]+)")
 
 
@@ -69,24 +80,63 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
+@lru_cache(maxsize=4096)
+def noise_name(names: str) -> bool:
+    """Whether a class or id names a part that is no article.  A name counts
+    as a whole: all its words are noise or neutral words and at least one is
+    noise, so ``has-sidebar``, ``comments-open`` and ``search-engines`` don't
+    count, ``site-footer`` and ``ad-slot-3`` do."""
+    for name in re.split(r"\s+", names):
+        words = [w for w in re.split(r"[-_\d]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()) if w]
+        if words and any(w in NOISE_WORDS for w in words) and all(w in NOISE_WORDS or w in NEUTRAL_WORDS for w in words):
+            return True
+    return False
+
+
+#: of a node: kept, noise by its name, noise by what it is
+KEPT, NAMED, BARRED = 0, 1, 2
+
+
 class _Node:
-    __slots__ = ("tag", "noise", "main", "path", "branches", "link")
+    __slots__ = ("tag", "noise", "main", "path", "branch", "link")
+
+    def __init__(self, tag, noise, main, path, branch, link):
+        self.tag, self.noise, self.main, self.path, self.branch, self.link = tag, noise, main, path, branch, link
+
+
+class Block(NamedTuple):
+    """A text block: its noise (KEPT, NAMED or BARRED), whether it lies inside
+    the main element, its share of link text and its style node (None: none)."""
 
-    def __init__(self, tag, noise, main, path, branches, link):
-        self.tag, self.noise, self.main, self.path, self.branches, self.link = tag, noise, main, path, branches, link
+    text: str
+    noise: int
+    main: bool
+    link: float
+    branch: int | None
 
 
 def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(text)}
 
 
-def blocks(page: str) -> list[tuple[str, bool, bool, float, tuple[int, ...]]]:
-    """(text, noise by rule, inside main, share of link text, style nodes)
-    of every non-empty block, in page order."""
-    out: list[tuple[str, bool, bool, float, tuple[int, ...]]] = []
-    stack = [_Node("", False, False, "", (), False)]
+def _signed(text: str) -> int:
+    return xxhash.xxh64_intdigest(text) - (1 << 63)
+
+
+def blocks(page: str) -> list[Block]:
+    """Every non-empty block, in page order.
+
+    A style node is the hash of its parent's hash and its own tag and names, so
+    a page takes time and memory in proportion to its length, however deep its
+    elements nest.  A name that says noise is taken back where the page's main
+    element begins (``main``, or the first ``article`` of a page that had none),
+    and is never read from that element itself.
+    """
+    out: list[Block] = []
+    stack = [_Node("", KEPT, False, 0, None, False)]
+    depth = Counter()  # open elements by tag, so an end tag without one costs nothing
     parts: list[str] = []
-    linked = 0
+    linked, seen_main = 0, False
 
     def flush() -> None:
         nonlocal linked
@@ -96,17 +146,36 @@ def blocks(page: str) -> list[tuple[str, bool, bool, float, tuple[int, ...]]]:
             text = " ".join((html.unescape(raw) if "&" in raw else raw).split())
             if text:
                 top = stack[-1]
-                out.append((text, top.noise, top.main, min(1.0, linked / max(1, len(raw))), top.branches))
+                out.append(Block(text, top.noise, top.main, min(1.0, linked / max(1, len(raw))), top.branch))
         linked = 0
 
-    def close_to(depth: int) -> None:
-        if any(n.tag in BLOCK for n in stack[depth:]):
+    def close_to(at: int) -> None:
+        if any(n.tag in BLOCK for n in stack[at:]):
             flush()
-        del stack[depth:]
+        for n in stack[at:]:
+            depth[n.tag] -= 1
+        del stack[at:]
+
+    def close_open(tags, until, every: bool = False) -> None:
+        """Closes the nearest open element of ``tags`` (or all of them) inside
+        ``until``."""
+        if not any(depth[t] for t in tags):
+            return
+        found = None
+        for d in range(len(stack) - 1, 0, -1):
+            if stack[d].tag in tags:
+                found = d
+                if not every:
+                    break
+            elif stack[d].tag in until:
+                break
+        if found is not None:
+            close_to(found)
 
-    pos = 0
+    pos, lasts, last_tag = 0, {}, max(page.rfind(">"), page.rfind("<!"))
     while True:
-        m = _MARKUP.search(page, pos)
+        # behind the last end of a tag there is none to look for
+        m = _MARKUP.search(page, pos) if pos <= last_tag else None
         text = page[pos:m.start()] if m else page[pos:]
         if text:
             parts.append(text)
@@ -120,69 +189,85 @@ def blocks(page: str) -> list[tuple[str, bool, bool, float, tuple[int, ...]]]:
             continue
         tag, closing, attrs = tag.lower(), m[1] or m[4], m[3] or m[6] or ""
         if closing:
-            if tag == "p" and not any(n.tag == "p" for n in stack):
+            if tag == "p" and not depth["p"]:
                 flush()
-            for d in range(len(stack) - 1, 0, -1):
-                if stack[d].tag == tag:
-                    close_to(d)
-                    break
-                if stack[d].tag in CONTAINER and tag not in BLOCK:
-                    break  # an inline end tag does not close a container
+            if depth[tag]:
+                for d in range(len(stack) - 1, 0, -1):
+                    if stack[d].tag == tag:
+                        close_to(d)
+                        break
+                    if stack[d].tag in CONTAINER and tag not in BLOCK:
+                        break  # an inline end tag does not close a container
             continue
-        if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*[^>]*>", re.I).search(page, pos) if not attrs.endswith("/") else None
-            pos = end.end() if end else pos if attrs.endswith("/") else len(page)
+        if tag in RAW or tag in SKIPPED:
+            if not attrs.endswith("/"):
+                end = None
+                if lasts.get(tag, pos) >= pos:  # past the last end tag there is none to look for
+                    end = re.compile(rf"</{tag}\s*[^>]*>", re.I).search(page, pos)
+                    if not end:
+                        lasts[tag] = -1
+                if end and tag in SKIPPED and _OPENS.search(page, pos, end.start()):
+                    end = None  # not closed where it should be
+                if end:
+                    pos = end.end()
+                elif tag in RAW:
+                    pos = len(page)
             continue
         if tag in BLOCK:
+            close_open(EMBEDDED, CONTAINER, every=True)
             if tag in CLOSES_P:
-                for d in range(len(stack) - 1, 0, -1):
-                    if stack[d].tag == "p":
-                        close_to(d)
-                        break
-                    if stack[d].tag in SCOPE:
-                        break
-            for d in range(len(stack) - 1, 0, -1) if tag in SIBLINGS else ():
-                if stack[d].tag in SIBLINGS[tag]:
-                    close_to(d)
-                    break
-                if stack[d].tag in SCOPE:
-                    break
+                close_open(("p",), SCOPE)
+            if tag in SIBLINGS:
+                close_open(SIBLINGS[tag], SCOPE)
             flush()
         if tag in VOID or attrs.endswith("/") and tag not in BLOCK:
             continue
         top = stack[-1]
-        noise, main, names = top.noise, top.main, ""
-        if tag in MAIN_TAGS:
-            main = True
+        noise, main, names, a = top.noise, top.main, "", {}
         if attrs.strip():
             a = _attributes(attrs)
             names = " ".join(sorted(a.get("class", "").split()))
             name = a.get("id", "")
             if name and not any(c.isdigit() for c in name):  # numbered ids differ from page to page
                 names += f"#{name}"
-            main = main or a.get("role", "").lower() == "main"
-            noise = noise or (
-                tag not in ("html", "body")
-                and (bool(_NOISE_NAME.search(f"{a.get('class', '')} {a.get('id', '')}"))
-                     or a.get("role", "").lower() in NOISE_ROLES or "hidden" in a
-                     or a.get("aria-hidden", "").lower() == "true"
-                     or "display:none" in a.get("style", "").replace(" ", "").lower()))
-        if tag in NOISE_TAGS and not (tag == "header" and top.main):
-            noise = True
-        path, branches = top.path, top.branches
+        role = a.get("role", "").lower()
+        opens = tag == "main" or role == "main" or (tag == "article" and not seen_main and top.noise != BARRED)
+        main = main or tag in MAIN_TAGS or role == "main"
+        if opens:
+            seen_main = True
+            noise = KEPT if noise == NAMED else noise
+        elif noise == KEPT and tag not in ("html", "body") and a and noise_name(f"{a.get('class', '')} {a.get('id', '')}"):
+            noise = NAMED
+        if tag in EMBEDDED or (tag in NOISE_TAGS and not (tag == "header" and top.main)) or (a and (
+                role in NOISE_ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true"
+                or "display:none" in a.get("style", "").replace(" ", "").lower())):
+            noise = BARRED
+        path, branch = top.path, top.branch
         if tag in CONTAINER:
-            path = f"{top.path}/{tag}.{names}"
-            if tag in MAIN_TAGS or tag == "body":
-                branches = ()  # what holds the main text is never a branch to remove
-            else:
-                branches = (*branches, xxhash.xxh64_intdigest(path) - (1 << 63))
-        stack.append(_Node(tag, noise, main, path, branches, top.link or tag == "a"))
+            path = _signed(f"{top.path}/{tag}.{names}")
+            # what holds the main text is never a branch to remove
+            branch = None if tag in MAIN_TAGS or tag == "body" else path
+        stack.append(_Node(tag, noise, main, path, branch, top.link or tag == "a"))
+        depth[tag] += 1
     flush()
     return out
 
 
+def by_rule(found: list[Block]) -> list[bool]:
+    """Which blocks the rules remove: noise, what lies outside a main element
+    that has text, and, without one, runs of short linked blocks (menus; a
+    linked sentence stays).  Where that leaves nothing of a page without a main
+    element, names are not believed: only what is noise by what it is goes."""
+    has_main = any(b.main and not b.noise for b in found)
+    short = [not has_main and b.link >= 0.6 and len(b.text.split()) <= 15 and b.text[-1] not in ".!?\u2026" for b in found]
+    menu = [s and (short[i - 1] if i else False) or s and i + 1 < len(short) and short[i + 1] for i, s in enumerate(short)]
+    out = [bool(b.noise) or m or (has_main and not b.main) for b, m in zip(found, menu)]
+    return [b.noise == BARRED for b in found] if all(out) and not any(b.main for b in found) else out
+
+
 def parse(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(row values id, url; host, page, blocks, features) of every page.
+    """(row values id, url; host, page, blocks, features) of every page; saved
+    rows are numbered by ``extract``.
 
     ``page``: hash of the blocks that no rule removes, so copies share it.
     ``blocks``: text, rule (removed by rule), leaf (hash of the text and the
@@ -199,15 +284,12 @@ def parse(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
             hosts, copies, texts, features = [], [], [], []
             for url, page in zip(batch.column(1), batch.column(2)):
                 found = blocks(page.as_py() or "")
-                has_main = any(main and not noise for _, noise, main, _, _ in found)
                 rows, seen, shape, digest = [], set(), {}, xxhash.xxh64()
-                for text, noise, main, link, branches in found:
-                    menu = not has_main and link >= 0.6 and len(text.split()) <= 15
-                    rule, leaf = noise or menu or (has_main and not main), None
+                for (text, _, _, _, b), rule in zip(found, by_rule(found)):
+                    leaf = None
                     if not rule:
-                        digest.update(f"{branches[-1] if branches else ''} {text}\n".encode("utf-8", "surrogatepass"))
-                    if branches and not rule:
-                        b = branches[-1]
+                        digest.update(f"{'' if b is None else b} {text}\n".encode("utf-8", "surrogatepass"))
+                    if b is not None and not rule:
                         leaf = xxhash.xxh64_intdigest(f"{b} {text}") - (1 << 63)
                         seen.add((b, 2, leaf))
                         shape[b] = shape.get(b, 0) + 1
@@ -269,21 +351,32 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     keeps what the rules leave; other columns are not read; an empty table
     gives an empty result.
     """
-    parsed = saved(parse(pages, id_col, url_col, html_col), "pages-parsed")
+    parsed = saved(parse(pages, id_col, url_col, html_col).withColumn("row", F.monotonically_increasing_id()), "pages-parsed")
     counts = style_counts(parsed.filter(F.size("features") > 0).select("host", "page", "features")
                           .dropDuplicates(["host", "page"]))
     low = _importance(counts).filter((F.col("importance") < importance) & (F.col("pages") >= min_pages))
     # a leaf's own importance is 1 - log(n) / log(pages)
     leaves = counts.filter("kind = 2").join(low, ["host", "branch"]).filter(
         F.log(F.col("n").cast("double")) > (1 - importance) * F.log(F.col("pages").cast("double")))
-    noise = saved(leaves.groupBy("host").agg(F.collect_set("value").alias("noise")), "style-noise")
-    size = noise.agg(F.sum(F.size("noise") * 8 + F.octet_length("host") + 64)).first()[0] or 0
-    side = F.broadcast(noise) if size <= BROADCAST_BYTES else noise
+    noise = saved(leaves.select("host", F.col("value").alias("leaf")), "style-noise")
+    # a page meets its host's noise leaf by leaf; what it holds of them (at
+    # most its own blocks) is one row
+    own = parsed.select("row", "host", F.explode(F.filter("features", lambda f: f["kind"] == 2)["value"]).alias("leaf"))
+    found = saved(_join(own, noise, ["host", "leaf"], "inner").groupBy("row").agg(F.collect_set("leaf").alias("noise")),
+                  "page-noise")
     none = F.array().cast("array<bigint>")
     left = F.filter("blocks", lambda b: ~b["rule"])
     kept = F.filter("left", lambda b: b["leaf"].isNull() | ~F.array_contains(F.coalesce("noise", none), b["leaf"]))
     return (
-        parsed.select("id", "url", "host", left.alias("left")).join(side, "host", "left")
+        _join(parsed.select("row", "id", "url", left.alias("left")), found, ["row"], "left")
         .select("id", "url", "left", kept.alias("kept"))
         .select("id", "url", F.array_join(F.transform(F.when(F.size("kept") > 0, F.col("kept")).otherwise(F.col("left")),
                                                       lambda b: b["text"]), "\n").alias("text")))
+
+
+def _join(pages: DataFrame, side: DataFrame, on: list[str], how: str) -> DataFrame:
+    """Join to a written table of hosts' or pages' noise, broadcast up to
+    ``BROADCAST_BYTES`` and shuffled beyond."""
+    wide = F.size("noise") * 8 + 24 if "noise" in side.columns else F.octet_length("host") + 24
+    size = side.agg(F.sum(wide.cast("bigint"))).first()[0] or 0
+    return pages.join(F.broadcast(side) if size <= BROADCAST_BYTES else side, on, how)

@@ -1,5 +1,7 @@
 import html
+import random
 import re
+from html.parser import HTMLParser
 
 import pytest
 
@@ -18,7 +20,7 @@ PAGE = """<!DOCTYPE html><html><head><title>T &amp; x</title><style>p{}</style><
 
 def _texts(page):
     found = H.blocks(page)
-    return [t for t, noise, main, _, _ in found if main and not noise]
+    return [b.text for b, rule in zip(found, H.by_rule(found)) if not rule]
 
 
 def test_rules_on_one_page():
@@ -37,6 +39,142 @@ def test_long_and_nested_pages():
     assert _texts("<article><p>" + "x " * 200_000 + "</article>") == [" ".join(["x"] * 200_000)]
 
 
+ARTICLE = "<h1>Head</h1><p>One paragraph of text.</p><p>Another one.</p>"
+KEPT = ["Head", "One paragraph of text.", "Another one."]
+
+
+@pytest.mark.parametrize("page", [
+    f'<body><main class="content has-sidebar">{ARTICLE}</main><div class="sidebar">S</div></body>',
+    f'<body><article class="post comments-open">{ARTICLE}</article><div id="comments">C</div></body>',
+    f'<body><div class="wrap sidebar-right"><article>{ARTICLE}</article></div></body>',
+    f'<body><div class="sidebar-right"><main>{ARTICLE}</main></div></body>',
+    f'<body><article class="header-image">{ARTICLE}</article></body>',
+    f'<body><article class="search">{ARTICLE}</article></body>',
+    f'<body><div class="comment-form"><div>{ARTICLE}</div></div></body>',  # all is noise by name: names are not believed
+    f'<body><select><option>no<p></p><article>{ARTICLE}</article></body>',
+    f'<body><svg><text>no</text><article>{ARTICLE}</article></body>',
+    f'<body><object><canvas><main>{ARTICLE}</main></body>',
+    f'<body><noscript><article>{ARTICLE}</article></body>',
+    f'<body><iframe src=x><article>{ARTICLE}</article><iframe></iframe></body>',
+    f'<body><template><nav>x</nav></template><div class="site-header">H</div><div>{ARTICLE}</div><div class="footer-widgets">F</div></body>',
+    f'<body><div class=adSlot3>A</div><div>{ARTICLE}</div><div class="share-buttons">B</div><ul class="main-menu"><li>M</ul></body>',
+    f'<body><article>{ARTICLE}</article><div class="comment-list"><article class=comment>Reader</article></div></body>',
+    f'<body><ul><li><a href=1>Home</a></li><li><a href=2>About us</a></li></ul><div>{ARTICLE}</div></body>',
+])
+def test_names_of_parts(page):
+    assert _texts(page) == KEPT
+
+
+def test_what_is_named_inside_an_article():
+    page = '<article><p class="search-engines">On engines.</p><p><a href=x>A sentence that is a link.</a></p><p class=notice>N</p></article>'
+    assert _texts(page) == ["On engines.", "A sentence that is a link."]
+    assert _texts("<div><p><a href=x>A sentence that is a link.</a></p><p>Text</p></div>") == ["A sentence that is a link.", "Text"]
+
+
+def test_time_and_memory_follow_the_length():
+    import time
+    import tracemalloc
+
+    for page in ("<div class=a>" * 100_000 + "deep", "<a '" * 50_000, "<a '" * 50_000 + ">", "<select>" * 20_000,
+                 "</p></b>" * 50_000, "<script" * 20_000, "<noscript>" * 20_000, "<b>" * 20_000 + "</i>" * 20_000):
+        tracemalloc.start()
+        at = time.process_time()
+        H.blocks(page)
+        took, peak = time.process_time() - at, tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert took < 30 and peak < 200 << 20, (page[:10], took, peak)
+
+
+class _Tree(HTMLParser):
+    """An independent reading of well-formed pages as a tree."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.root = self.at = {"tag": "", "attrs": {}, "kids": [], "up": None}
+
+    def handle_starttag(self, tag, attrs):
+        node = {"tag": tag, "attrs": dict(attrs), "kids": [], "up": self.at}
+        self.at["kids"].append(node)
+        if tag not in ("br", "img", "hr"):
+            self.at = node
+
+    def handle_endtag(self, tag):
+        if self.at["tag"] == tag:
+            self.at = self.at["up"]
+
+    def handle_data(self, data):
+        self.at["kids"].append(data)
+
+
+_DROP = ("nav", "footer", "aside", "form", "script", "style", "header", "noscript", "button")
+_LINES = ("p", "div", "li", "h1", "h2", "td", "blockquote", "article", "section", "ul", "table", "tr", "br", "main", "figure")
+
+
+def tree_text(page):
+    reader = _Tree()
+    reader.feed(page)
+    mains = []
+
+    def find(node):
+        for k in node["kids"]:
+            if isinstance(k, dict):
+                mains.append(k) if k["tag"] == "main" else find(k)
+
+    find(reader.root)
+    lines = [""]
+
+    def walk(node):
+        for k in node["kids"]:
+            if isinstance(k, str):
+                lines[-1] += k
+            elif k["tag"] in _DROP or "hidden" in k["attrs"] or k["attrs"].get("class") in ("share", "comments", "ad", "related"):
+                lines.append("")
+            else:
+                if k["tag"] in _LINES:
+                    lines.append("")
+                walk(k)
+                if k["tag"] in _LINES:
+                    lines.append("")
+
+    for m in mains:
+        walk(m)
+        lines.append("")
+    return "\n".join(t for t in (" ".join(x.split()) for x in lines) if t)
+
+
+def _page(r):
+    words = lambda n: " ".join(r.choice(["alpha", "be&amp;ta", "g&eacute;", "&#233;t", "<b>bold</b>", "<a href=x>link</a>", "x  y"])
+                               for _ in range(n))
+
+    def inner(depth):
+        kind = r.choice(["p", "p", "p", "h2", "ul", "div", "blockquote", "table", "section", "drop", "br", "figure"])
+        if kind == "ul":
+            return "<ul>" + "".join(f"<li>{words(3)}</li>" for _ in range(3)) + "</ul>"
+        if kind == "table":
+            return f"<table><tr><td>{words(2)}</td><td>{words(2)}</td></tr></table>"
+        if kind == "drop":
+            return r.choice([f"<aside>{words(4)}</aside>", f'<div class="share">{words(2)}</div>', f"<form>{words(3)}</form>",
+                             "<script>if (a<b) x()</script>", f'<div class="ad">{words(5)}</div>', f"<div hidden>{words(2)}</div>"])
+        if kind == "br":
+            return f"<p>{words(3)}<br>{words(3)}</p>"
+        if kind in ("div", "section", "figure") and depth < 4:
+            return f"<{kind}>" + "".join(inner(depth + 1) for _ in range(r.randint(1, 3))) + f"</{kind}>"
+        return f"<{kind if kind in ('p', 'h2', 'blockquote') else 'p'}>{words(r.randint(1, 12))}</{kind if kind in ('p', 'h2', 'blockquote') else 'p'}>"
+
+    body = "".join(inner(0) for _ in range(r.randint(1, 8)))
+    return (f"<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style></head><body><header>Site</header><nav><ul><li>"
+            f"<a href=/>Home</a></li></ul></nav><main><article>{body}</article><div class=comments><article>{words(4)}</article></div>"
+            f"</main><footer>Foot</footer></body></html>")
+
+
+def test_random_pages_match_an_independent_tree(spark):
+    r = random.Random(21)
+    rows = [(i, f"http://host{i}/", _page(r)) for i in range(300)]
+    out = H.extract(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    want = {i: tree_text(page) for i, _, page in rows}
+    assert {x["id"]: x["text"] for x in out.collect()} == want
+
+
 def _site(n):
     """Pages of one host without any naming element: a line that is the same
     everywhere, one of a few, and the page's own text."""
