@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from equitext.llm.util import id_type
+from equitext.llm.util import fresh, id_type
 
 #: fixed values: masks for items of at least MIN_WORDS words, and for shorter
 MASKS = ("111100011", "1000101111", "1110101001", "1111011")
@@ -229,7 +229,7 @@ def drop_contaminated(docs: DataFrame, bench: DataFrame, similarity: float = 0.8
                       text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that overlap any benchmark item; all columns
     as they are."""
+    leak = fresh(docs, "leak")
     for seeds in blocks(bench, similarity):
-        docs = docs.withColumn("__leak", _flag(seeds)(F.col(text_col).cast("string"))).filter(
-            ~F.col("__leak")).drop("__leak")
+        docs = docs.withColumn(leak, _flag(seeds)(F.col(text_col).cast("string"))).filter(~F.col(leak)).drop(leak)
     return docs

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from equitext.llm.util import ascii_lower, saved
+from equitext.llm.util import ascii_lower, fresh, saved
 
 BLOCK_BYTES = 4096
 
@@ -119,10 +119,11 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Kept rows are found again by (id, SHA-256 of the normalised text); of
     several identical rows with one id, one stays.
     """
+    sha, kept_id, kept_sha = (fresh(docs, n) for n in ("sha", "kept_id", "kept_sha"))
     kept = exact_groups(docs, id_col, text_col).filter("kept").select(
-        F.col("id").alias("__id"), F.col("sha256").alias("__sha"))
+        F.col("id").alias(kept_id), F.col("sha256").alias(kept_sha))
     norm = ascii_lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    keyed = docs.withColumn("__sha", F.sha2(F.encode(norm, "UTF-8"), 256))
-    same = (F.col(id_col).eqNullSafe(F.col("__id"))) & (keyed["__sha"] == kept["__sha"])
+    keyed = docs.withColumn(sha, F.sha2(F.encode(norm, "UTF-8"), 256))
+    same = (F.col(id_col).eqNullSafe(F.col(kept_id))) & (F.col(sha) == F.col(kept_sha))
     found = keyed.join(kept, same, "left_semi")
-    return found.dropDuplicates([id_col, "__sha"]).drop("__sha")
+    return found.dropDuplicates([id_col, sha]).drop(sha)

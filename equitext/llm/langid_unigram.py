@@ -35,7 +35,7 @@ CACHE = 300_000
 BLOCK = 2_000_000
 UNKNOWN = "und"
 
-_WORD = re.compile(r"[^\W\d_]+")
+_LETTERS = re.compile(r"[^\W\d_]+")
 _START = "▁"
 _BASE = np.uint64(0x100000001B3)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -93,6 +93,15 @@ class Pieces:
                 yield j, n, self.find(h)
 
 
+def words_of(text: str) -> list[str]:
+    """Runs of letters; signs such as fractions, which Python's ``\\w`` takes
+    for word characters, are none."""
+    found = _LETTERS.findall(text)
+    if all(map(str.isalpha, found)):
+        return found
+    return [w for f in found for w in "".join(c if c.isalpha() else " " for c in f).split()]
+
+
 def _hash(piece: str) -> int:
     h = 0
     for c in piece:
@@ -184,7 +193,7 @@ def _learn(rows: DataFrame, path: str, langs: list[str], probs: np.ndarray | Non
             for k, chunks in gathered.items():
                 parts: Counter = Counter()
                 for chunk, n in chunks.items():
-                    for w in _WORD.findall(chunk):
+                    for w in words_of(chunk):
                         for q in parts_of(w):
                             parts[q] += n
                 if parts:
@@ -252,7 +261,7 @@ class _Scorer:
         owner, parts = [], []
         words = np.zeros(len(new))
         for i, c in enumerate(new):
-            for w in _WORD.findall(c):
+            for w in words_of(c):
                 words[i] += 1
                 for q in parts_of(w):
                     owner.append(i)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from equitext.llm.components import connected
-from equitext.llm.util import id_type, saved
+from equitext.llm.util import fresh, id_type, saved
 
 SEGMENTS = 4
 WIDTH = 64 // SEGMENTS
@@ -188,8 +188,9 @@ def drop_near_copies(docs: DataFrame, shingle: int = 3, radius: int = 2, seed: i
     with that id one stays.
     """
     found = near_duplicates(docs, shingle, radius, seed, id_col, text_col)
-    keep = saved(found.filter(F.col("id") == F.col("component_id")).select(F.col("id").alias("__keep")).distinct(),
+    kept_id = fresh(docs, "kept_id")
+    keep = saved(found.filter(F.col("id") == F.col("component_id")).select(F.col("id").alias(kept_id)).distinct(),
                  "simhash-kept")
     named = docs.filter(F.col(id_col).isNotNull())
-    kept = named.join(keep, named[id_col] == keep["__keep"], "left_semi").dropDuplicates([id_col])
+    kept = named.join(keep, F.col(id_col) == F.col(kept_id), "left_semi").dropDuplicates([id_col])
     return kept.unionByName(docs.filter(F.col(id_col).isNull()))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from equitext.llm.util import fold, saved
+from equitext.llm.util import fold, fresh, saved
 
 #: fixed values: characters that stand for letters
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g",
@@ -52,6 +52,10 @@ _MARK = rf"(?:([^\W\d_{re.escape(_SIGNS)}])(?:\1\1+)?|([{re.escape(_SIGNS)}])(?:
 _LAST = _MARK.replace(r"\1", r"\3").replace(r"\2", r"\4")
 _SPACED = re.compile(rf"(?<!\w)(?:{_MARK}[ .\-_*]+){{2,}}{_LAST}(?!\w)")
 _GAP = re.compile(r"[ .\-_*]+")
+#: a longer run of one character says no more than one of this length, and costs
+#: the patterns above its square
+LONG_RUN = 40
+_LONG_RUN = re.compile(rf"(.)\1{{{LONG_RUN},}}", re.S)
 #: punctuation around a word; of the signs only ! and | where they trail it
 _AROUND, _TRAIL = ".,;:?*%&#\"'", "!|"
 _INSIDE = re.compile(rf"[^\W\d_][{_TRAIL}][{re.escape(_AROUND + _TRAIL)}]*[^\s{re.escape(_AROUND + _TRAIL)}]")
@@ -229,7 +233,7 @@ def restore(text: str, model: np.ndarray, cache) -> str:
         words = [w for w in re.split(rf"[ .\-_*]{{{min(gaps) + 1},}}", part) if w]
         return f"{' '.join(cache(w, True) for w in words)} {cache(part, True)}"
 
-    text = _SPACED.sub(joined, text)
+    text = _SPACED.sub(joined, _LONG_RUN.sub(r"\1" * LONG_RUN, text))
 
     def token(m: re.Match) -> str:
         t = m[0]
@@ -251,8 +255,10 @@ def words_of(text: str | None, model: np.ndarray, cache) -> set[str]:
     return set(_WORD.findall(low))
 
 
-def _cache(model: np.ndarray):
-    return lru_cache(maxsize=100_000)(lambda part, spaced: viterbi(lattice(part, spaced), model))
+def _cache(model: np.ndarray, entries: int = 50_000, longest: int = 64):
+    """Decoder of parts that remembers at most ``entries`` short ones."""
+    held = lru_cache(maxsize=entries)(lambda part, spaced: viterbi(lattice(part, spaced), model))
+    return lambda part, spaced: (held if len(part) <= longest else held.__wrapped__)(part, spaced)
 
 
 # --- the classifier -------------------------------------------------------
@@ -437,5 +443,6 @@ def score(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, folds: i
 def drop_toxic(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, folds: int = 5) -> DataFrame:
     """``docs`` without the rows scored 0.5 or more; all columns as they are."""
     model = fit(docs, labels, fit_rows, folds)
-    marked = docs.withColumn("__toxicity", model.score()(F.col("text").cast("string")))
-    return marked.filter("__toxicity < 0.5").drop("__toxicity")
+    mark = fresh(docs, "toxicity")
+    marked = docs.withColumn(mark, model.score()(F.col("text").cast("string")))
+    return marked.filter(F.col(mark) < 0.5).drop(mark)

@@ -24,6 +24,14 @@ def id_type(df: DataFrame, col: str = "doc_id") -> str:
     return dict(df.dtypes)[col]
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def fold(id_col: str, mod: int) -> Column:
     """crc32 of the id as decimal text, modulo ``mod`` (NULL id: NULL)."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % mod

@@ -109,3 +109,11 @@ def test_held_out_accuracy(spark):
     out = QUERIES["op5_langid_unigram"](spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id")
     rows = [r for r in out.collect() if r["held_out"]]
     assert sum(r["lang"] == r["lang_pred"] for r in rows) / len(rows) > 0.98
+
+
+def test_signs_are_no_letters(spark, pieces):
+    assert L.words_of("½ ² ① Ⅷ a½b été x²") == ["a", "b", "été", "x"]
+    docs = spark.createDataFrame([(i, "the and of" if i % 2 else "der die und", "en" if i % 2 else "de") for i in range(30)]
+                                 + [(100, "½ ²", None), (101, "① Ⅷ 3", None)], "doc_id long, text string, lang string")
+    out = {r["id"]: (r["lang_pred"], r["score"]) for r in L.predict(docs, L.fit(docs, PATH)).collect()}
+    assert out[100] == out[101] == ("und", 0.0) and out[1][0] == "en"

@@ -52,7 +52,8 @@ def test_odd_documents_pass_every_stage(spark):
     odd = [(None, None, None, None, None), (None, "a", "en", "s", 1), (-1, None, None, None, None), (-1, None, None, None, None),
            (-2, "", "xx", "s", 0), (-3, "word " * 30_000, "en", "s", 5), (-4, "z" * 30_000, None, "s", 5)]
     df = docs.unionByName(spark.createDataFrame(odd, docs.schema)).withColumns(
-        {"score": F.lit(1), "id": F.lit("x"), "row": F.lit(2), "fp": F.lit(3), "name": F.lit("n")})
+        {"score": F.lit(1), "id": F.lit("x"), "row": F.lit(2), "fp": F.lit(3), "name": F.lit("n"),
+         **{c: F.lit(9) for c in ("sha", "__sha", "__id", "kept_id", "Kept_SHA", "toxicity", "__toxicity", "leak", "__leak", "__keep")}})
     cols = df.columns
     for name, stage in corpus_pipeline.STAGES[:-1]:
         df = corpus_pipeline.saved(stage(spark, df, SMALL), name)

@@ -135,3 +135,22 @@ def test_held_out_accuracy_on_the_table(spark):
     pos, neg = np.array([s for s, y in held if y]), np.array([s for s, y in held if not y])
     auc = (pos[:, None] > neg).mean() + 0.5 * (pos[:, None] == neg).mean()
     assert auc > 0.9 and (neg >= 0.5).mean() < 0.02
+
+
+@pytest.mark.parametrize("sign", list("!$|.a1 *-"))
+def test_long_runs_take_linear_time(fitted, sign):
+    import time
+
+    cache = T._cache(fitted[2].chars)
+    at = time.process_time()
+    T.words_of("h4te " + sign * 100_000 + " m o r o n", fitted[2].chars, cache)
+    assert time.process_time() - at < 1
+    # a long run says what a shorter one says
+    short, long = (T.words_of(f"h4te stu{'u' * n}pid", fitted[2].chars, cache) for n in (60, 5000))
+    assert {w for w in short if w[:3] == "hat"} == {w for w in long if w[:3] == "hat"}
+
+
+def test_cache_keeps_short_parts_only(fitted):
+    cache = T._cache(fitted[2].chars, entries=2, longest=3)
+    assert [cache(p, False) for p in ("h4t", "h4te", "4t", "h4", "h4t")] == [
+        T.viterbi(T.lattice(p, False), fitted[2].chars) for p in ("h4t", "h4te", "4t", "h4", "h4t")]
