@@ -41,7 +41,7 @@ def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, text): ids and their decoding; ids are binary,
     little-endian unsigned 32-bit."""
     path = public_tokenizers.path("word_bpe_49k.json")
-    out = bpe_tree.decode(bpe_tree.encode(docs, path), path)
+    out = bpe_tree.encode_decode(docs, path)
     return out.select(F.col("id").alias("doc_id"), F.floor(F.octet_length("ids") / 4).alias("n_tokens"), "ids", "text")
 
 
