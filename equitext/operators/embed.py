@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from equitext.functions import vectors as V
 from equitext.functions.text import word_tokens
-from equitext.operators.joins import lookup_join
+from equitext.operators.joins import HEAVY_SHARE, lookup_join
 
 
 def read_word2vec_text(spark: SparkSession, path: str) -> DataFrame:
@@ -77,7 +77,8 @@ def doc_vectors(
         raise ValueError("dim is required")
     occ = docs.select(id_col, F.explode_outer(word_tokens(text_col)).alias("token"))
     counts = occ.groupBy(id_col, "token").agg(F.count("token").alias("cnt"))
-    j = lookup_join(counts, vectors.select("token", "vec"), "token", how="left", bound_rows=bound_rows, dim=dim)
+    j = lookup_join(counts, vectors.select("token", "vec"), "token", how="left", bound_rows=bound_rows, dim=dim,
+                    heavy_share=HEAVY_SHARE)
     per = vector_sums(j, id_col, F.col("cnt"), F.col("cnt"), dim)
     n = F.when(F.col("n_known") > 0, F.col("n_known")).otherwise(F.lit(1)) if how == "mean" else F.lit(1)
     return per.select(id_col, "n_known", F.transform("vec", lambda x: x / n).alias("vec"))

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 # A side is broadcast only when its rows times its row width stay below this.
 BROADCAST_BYTES = 64 << 20
+# Share of the rows above which a key of a shuffle join is broadcast instead.
+HEAVY_SHARE = 1e-3
 # Assumed widths in bytes (values plus row overhead) of columns by type.
 _FIXED_WIDTH = {"boolean": 8, "int": 8, "bigint": 8, "double": 8, "float": 8}
 _STRING_WIDTH = 64
@@ -40,6 +42,7 @@ def lookup_join(
     how: str = "inner",
     bound_rows: int | None = None,
     dim: int | None = None,
+    heavy_share: float | None = None,
 ) -> DataFrame:
     """Join ``big`` to a lookup table, broadcasting it only behind a size bound.
 
@@ -47,14 +50,35 @@ def lookup_join(
     number of embedding rows, the length of a word list); times the row width
     (``dim``: items of its array columns) it must stay below BROADCAST_BYTES.
     Without a bound, or above the limit, it is a shuffle join: AQE may still
-    switch to a broadcast from runtime sizes and splits skewed keys.
+    switch to a broadcast from runtime sizes and splits skewed keys.  With
+    ``heavy_share`` (single key, inner or left join) keys that hold more than
+    that share of ``big`` are joined apart, see ``heavy_join``.
     """
     width = row_width(small, dim)
     if bound_rows is not None and width is not None and bound_rows * width <= BROADCAST_BYTES:
-        small = F.broadcast(small)
+        return big.join(F.broadcast(small), on, how)
+    if heavy_share is not None and isinstance(on, str) and how in ("inner", "left"):
+        return heavy_join(big, small, on, how, heavy_share)
     return big.join(small, on, how)
 
 
+def heavy_join(big: DataFrame, small: DataFrame, on: str, how: str = "inner", share: float = HEAVY_SHARE) -> DataFrame:
+    """J5 for a skewed vocabulary: a join whose frequent keys are broadcast.
+
+    ``freqItems`` names every key with more than ``share`` of the rows (and at
+    most 1 / share keys, some of them less frequent, which does no harm).  Their
+    rows of ``big`` stay where they are and meet their rows of ``small``, a
+    broadcast of at most 1 / share keys; the other rows are shuffled, and none
+    of their keys holds more than ``share`` of them.
+    """
+    heavy = [k for k in big.select(on).freqItems([on], share).first()[0] or [] if k is not None]
+    is_heavy = F.coalesce(F.col(on).isin(heavy), F.lit(False))
+    rest = big.where(~is_heavy).join(small, on, how)
+    if not heavy:
+        return rest
+    return big.where(is_heavy).join(F.broadcast(small.where(is_heavy)), on, how).unionByName(rest)
+
+
 def attach_predictions(rows: DataFrame, preds: DataFrame, key: str = "id") -> DataFrame:
     """Attach predictions (id, pred) to labelled rows by key."""
     return rows.join(preds, key, "inner")

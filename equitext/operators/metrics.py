@@ -5,11 +5,11 @@ AUC is the tie-aware rank-sum statistic computed from per-score counts:
     AUC = sum_s pos(s) * (neg_below(s) + neg(s) / 2) / (sum pos * sum neg)
 
 which equals the trapezoidal ROC area with ties.  Rows are first reduced to
-one row per (key, distinct score) with map-side partial aggregation; the
-running count of negatives is then taken inside score buckets (bounds from
-approximate quantiles), plus a per-bucket offset from a small table.  No
-window ever spans a whole key, so a single "overall" key does not become a
-single task.
+one row per (key, distinct score) with map-side partial aggregation.  The
+running count of negatives is a window over a table of at most ``BUCKET_ROWS``
+distinct scores; a larger table is cut into buckets of about that many rows
+(bounds from approximate quantiles), with a per-bucket offset from a small
+table, so a single "overall" key does not become a single task.
 """
 
 from __future__ import annotations
@@ -24,7 +24,8 @@ from pyspark.ml.feature import Bucketizer
 from equitext.constants import GROUPS, OVERALL_MODEL_WEIGHT, POWER, THRESHOLD
 from equitext.session import literal_table, materialize
 
-AUC_BUCKETS = 512
+#: rows that one window may hold
+BUCKET_ROWS = 1 << 20
 
 
 def nan_to_null(c: Column | str) -> Column:
@@ -96,23 +97,26 @@ def prefix_sums_below(
     keys: Sequence[str],
     order_col: str,
     value_cols: Sequence[str],
-    buckets: int = AUC_BUCKETS,
+    bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """For each row, ``<v>_below`` = sum of v over rows of the same keys with a
     strictly smaller ``order_col`` (rows are distinct per keys + order_col).
 
-    Exact.  The input (already reduced to distinct scores) is written
-    once to the shared checkpoint folder, so the steps below do not
-    recompute it.  Bucket bounds are approximate quantiles of ``order_col``
-    (at most ``buckets - 1`` numbers reach the driver); ``Bucketizer`` maps
-    each row to its bucket by binary search.  The running sum is a window
-    over (keys, bucket) only, plus an offset per bucket from a table of at
-    most keys x buckets rows.
+    Exact.  The input (already reduced to distinct scores) is written once to
+    the shared checkpoint folder, so the steps below do not recompute it.  A
+    table of up to ``bucket_rows`` rows is one window per key.  A larger one is
+    cut by quantiles of ``order_col`` into as many buckets as hold about that
+    many rows each, so tasks grow with the rows and no window does; the bucket
+    bounds (rows / ``bucket_rows`` numbers) reach the driver, and the sums
+    inside a bucket are offset by a running sum over the table of buckets.
     """
     keys = list(keys)
     df = materialize(df, "score-counts")
-    probs = [i / buckets for i in range(1, buckets)]
-    qs = df.approxQuantile(order_col, probs, 1.0 / (10 * buckets)) if buckets > 1 else []
+    buckets = -(-df.count() // bucket_rows)
+    before = Window.partitionBy(*keys).orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
+    if buckets <= 1:
+        return df.select("*", *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"{v}_below") for v in value_cols])
+    qs = df.approxQuantile(order_col, [i / buckets for i in range(1, buckets)], 1.0 / (4 * buckets))
     inner_splits = sorted({float(q) for q in qs if q == q and abs(q) != float("inf")})
     splits = [float("-inf"), *(inner_splits or [0.0]), float("inf")]
     b = Bucketizer(
@@ -195,52 +199,12 @@ def group_memberships(df: DataFrame, groups: Sequence[str] = GROUPS, keep: Seque
 def bias_aucs(
     df: DataFrame, groups: Sequence[str] = GROUPS, score: str = "pred", label: str = "toxic"
 ) -> DataFrame:
-    """(subgroup, subgroup_size, subgroup_auc, bpsn_auc, bnsp_auc).
-
-    One scan: each row yields one long row per group whose score is not NULL;
-    one aggregate gives per (group, score) the positive/negative counts inside
-    the subgroup (> 0.5) and in its background (<= 0.5).  The three AUCs then
-    need two running sums: subgroup negatives and background negatives.
-    """
-    y = F.col(label)
-    long = group_memberships(
-        df.where(nan_to_null(score).isNotNull() & y.isNotNull()), groups, keep=[score, label]
-    ).withColumn("_in", F.col("gscore") > THRESHOLD)
-    counts = long.groupBy("subgroup", F.col(score).alias("score")).agg(
-        F.count_if(F.col("_in") & y).alias("sub_pos"),
-        F.count_if(F.col("_in") & ~y).alias("sub_neg"),
-        F.count_if(~F.col("_in") & y).alias("bg_pos"),
-        F.count_if(~F.col("_in") & ~y).alias("bg_neg"),
-    )
-    pre = prefix_sums_below(counts, ["subgroup"], "score", ["sub_neg", "bg_neg"])
-    half_sub = F.col("sub_neg_below") + F.col("sub_neg") / 2.0
-    half_bg = F.col("bg_neg_below") + F.col("bg_neg") / 2.0
-    agg = pre.groupBy("subgroup").agg(
-        F.sum("sub_pos").alias("sp"),
-        F.sum("sub_neg").alias("sn"),
-        F.sum("bg_pos").alias("bp"),
-        F.sum("bg_neg").alias("bn"),
-        F.sum(F.col("sub_pos") * half_sub).alias("n_sub"),
-        F.sum(F.col("bg_pos") * half_sub).alias("n_bpsn"),
-        F.sum(F.col("sub_pos") * half_bg).alias("n_bnsp"),
-    )
-    sp, sn, bp, bn = (F.col(c) for c in ("sp", "sn", "bp", "bn"))
-    res = agg.select(
-        "subgroup",
-        (sp + sn).alias("subgroup_size"),
-        _auc_ratio(F.col("n_sub"), sp, sn).alias("subgroup_auc"),
-        _auc_ratio(F.col("n_bpsn"), bp, sn).alias("bpsn_auc"),
-        _auc_ratio(F.col("n_bnsp"), sp, bn).alias("bnsp_auc"),
-    )
-    # Every group gets a row, also one without any annotated row.
-    names = literal_table(df.sparkSession, [(g,) for g in groups], "subgroup string")
-    return F.broadcast(names).join(res, "subgroup", "left").select(
-        "subgroup",
-        F.coalesce("subgroup_size", F.lit(0)).cast("bigint").alias("subgroup_size"),
-        "subgroup_auc",
-        "bpsn_auc",
-        "bnsp_auc",
-    )
+    """(subgroup, subgroup_size, subgroup_auc, bpsn_auc, bnsp_auc), a row for
+    every group, also one without any annotated row; one scan, see
+    ``bias_summary``."""
+    return bias_summary(df, groups, score, label).where(F.col("scope") != "overall").select(
+        F.col("scope").alias("subgroup"), F.col("size").alias("subgroup_size"), F.col("auc").alias("subgroup_auc"),
+        "bpsn_auc", "bnsp_auc")
 
 
 def subgroup_confusion(
@@ -294,14 +258,15 @@ def final_metric(
 
 def bias_summary(
     df: DataFrame, groups: Sequence[str] = GROUPS, score: str = "pred", label: str = "toxic",
-    buckets: int = AUC_BUCKETS,
+    bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """(scope, size, auc, bpsn_auc, bnsp_auc, tp, fp, fn, tn) for "overall" and
     every group, from one scan.
 
     Rows are reduced to one row per distinct score that holds the counts of
-    all groups side by side, so no row is copied once per group.  Running
-    sums over that table give every AUC, sums of it every matrix.
+    all groups side by side, so no row is copied once per group.  Running sums
+    over that table come first; then each score unfolds to a row per scope,
+    which a partial aggregate takes in at once.
     """
     y, p = F.col("_y"), nan_to_null(score)
     src = df.where(p.isNotNull() & F.col(label).isNotNull()).select(
@@ -313,30 +278,32 @@ def bias_summary(
                    F.count_if(outside & y).alias(f"bp{i}"), F.count_if(outside & ~y).alias(f"bn{i}")]
     table = src.groupBy("score").agg(*counts).withColumn("_all", F.lit(1))
     running = ["sn", *[f"{c}{i}" for i in range(len(groups)) for c in ("sn", "bn")]]
-    pre = prefix_sums_below(table, ["_all"], "score", running, buckets)
+    pre = prefix_sums_below(table, ["_all"], "score", running, bucket_rows)
+    fields = ["sp", "sn", "bp", "bn", "sn_below", "bn_below"]
+    zero = F.lit(0).cast("bigint")
+    cells = [("overall", {"sp": F.col("sp"), "sn": F.col("sn"), "sn_below": F.col("sn_below")})]
+    cells += [(g, {c: F.col(f"{c}{i}") for c in ("sp", "sn", "bp", "bn")}
+               | {f"{c}_below": F.col(f"{c}{i}_below") for c in ("sn", "bn")}) for i, g in enumerate(groups)]
+    long = pre.select("score", F.explode(F.array(*[
+        F.struct(F.lit(name).alias("scope"), *[v.get(c, zero).alias(c) for c in fields]) for name, v in cells])).alias("c"))
+    sp, sn, bp, bn, sb, bb = (F.col(f"c.{c}") for c in fields)
     high = F.col("score") > THRESHOLD
-
-    def rank_sum(pos: str, neg: str) -> Column:
-        return F.sum(F.col(pos) * (F.col(f"{neg}_below") + F.col(neg) / 2.0))
-
-    def total(c: str, when: Column | None = None) -> Column:
-        return F.coalesce(F.sum(F.col(c) if when is None else F.when(when, F.col(c)).otherwise(0)), F.lit(0))
-
-    def fields(scope: str, i: str) -> list[Column]:
-        sp, sn, sub = f"sp{i}", f"sn{i}", [F.lit(scope).alias("scope")]
-        sub += [(total(sp) + total(sn)).alias("size"), _auc_ratio(rank_sum(sp, sn), total(sp), total(sn)).alias("auc")]
-        if i:
-            bp, bn = f"bp{i}", f"bn{i}"
-            sub += [_auc_ratio(rank_sum(bp, sn), total(bp), total(sn)).alias("bpsn_auc"),
-                    _auc_ratio(rank_sum(sp, bn), total(sp), total(bn)).alias("bnsp_auc")]
-        else:
-            sub += [F.lit(None).cast("double").alias("bpsn_auc"), F.lit(None).cast("double").alias("bnsp_auc")]
-        return sub + [total(sp, high).alias("tp"), total(sn, high).alias("fp"),
-                      total(sp, ~high).alias("fn"), total(sn, ~high).alias("tn")]
-
-    scopes = [("overall", ""), *[(g, str(i)) for i, g in enumerate(groups)]]
-    row = pre.agg(*[F.struct(*fields(s, i)).alias(f"s{k}") for k, (s, i) in enumerate(scopes)])
-    return row.select(F.inline(F.array(*[F.col(f"s{k}") for k in range(len(scopes))])))
+    per = long.groupBy("c.scope").agg(
+        F.sum(sp).alias("sp"), F.sum(sn).alias("sn"), F.sum(bp).alias("bp"), F.sum(bn).alias("bn"),
+        F.sum(sp * (sb + sn / 2.0)).alias("n_sub"), F.sum(bp * (sb + sn / 2.0)).alias("n_bpsn"),
+        F.sum(sp * (bb + bn / 2.0)).alias("n_bnsp"),
+        *[F.sum(F.when(when, c).otherwise(0)).alias(n) for n, c, when in (
+            ("tp", sp, high), ("fp", sn, high), ("fn", sp, ~high), ("tn", sn, ~high))])
+    # a scope without rows has a row as well
+    names = literal_table(df.sparkSession, [("overall",), *[(g,) for g in groups]], "scope string")
+    full = F.broadcast(names).join(per, "scope", "left")
+    count = {c: F.coalesce(c, zero) for c in ("sp", "sn", "bp", "bn", "tp", "fp", "fn", "tn")}
+    return full.select(
+        "scope", (count["sp"] + count["sn"]).alias("size"),
+        _auc_ratio(F.col("n_sub"), count["sp"], count["sn"]).alias("auc"),
+        *[F.when(F.col("scope") != "overall", _auc_ratio(F.col(n), count[a], count[b])).alias(name)
+          for n, a, b, name in (("n_bpsn", "bp", "sn", "bpsn_auc"), ("n_bnsp", "sp", "bn", "bnsp_auc"))],
+        *[count[c].alias(c) for c in ("tp", "fp", "fn", "tn")])
 
 
 def compare_models(

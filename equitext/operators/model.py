@@ -1,4 +1,4 @@
-"""Logistic models over word-vector features.
+"""Logistic models over word-vector features.
 
 Scoring pushdown: for a linear model over mean (or sum) token vectors,
 
@@ -13,9 +13,12 @@ sum_d r_d x_d = sum_t v_t * sum_d r_d cnt_dt / n_d.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from typing import NamedTuple
 
-from pyspark.ml.classification import LinearSVC, LogisticRegression
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
@@ -23,7 +26,7 @@ from pyspark.sql import functions as F
 
 from equitext.functions import vectors as V
 from equitext.functions.text import word_tokens
-from equitext.operators.joins import lookup_join
+from equitext.operators.joins import HEAVY_SHARE, lookup_join
 from equitext.session import literal_table, materialize
 from equitext.sources.fixtures import LinearModel
 
@@ -104,15 +107,95 @@ def coefficient_table(spark, model: LinearModel) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 
-def train_logistic(features: DataFrame, label: str = "label", reg: float = L2, max_iter: int = 50) -> LinearModel:
+def train_logistic(features: DataFrame, label: str = "label", reg: float = L2, max_iter: int = 50,
+                   gap: float | None = 1e-10) -> LinearModel:
     """M3: L2 logistic regression on ``vec`` (array<double>); the fitted
-    coefficients (dim + 1 numbers) come back to the driver."""
+    coefficients (dim + 1 numbers) come back to the driver.
+
+    The quasi-Newton fit is followed by Newton steps until the loss is within
+    ``gap`` of its minimum (None: no such steps), so the result is the optimum
+    and not where the optimiser happened to stop."""
     lr = LogisticRegression(
         featuresCol="features", labelCol=label, regParam=reg, elasticNetParam=0.0,
         standardization=False, maxIter=max_iter,
     )
     m = lr.fit(features.select(array_to_vector("vec").alias("features"), F.col(label).cast("double").alias(label)))
-    return LinearModel(tuple(float(x) for x in m.coefficients), float(m.intercept))
+    model = LinearModel(tuple(float(x) for x in m.coefficients), float(m.intercept))
+    return model if gap is None else newton_fit(features, model, label, reg, gap)
+
+
+class Curvature(NamedTuple):
+    """Penalised mean log-loss at a model: its value, slopes and second
+    derivatives (intercept last), rows and positives."""
+
+    n: int
+    n_pos: int
+    loss: float
+    slope: np.ndarray
+    second: np.ndarray
+
+    def step(self) -> tuple[np.ndarray, float]:
+        """Newton step, and the decrement: half the squared length of the step
+        in the metric of the second derivatives, which is how far the loss is
+        above its minimum while it is close to quadratic."""
+        delta = np.linalg.lstsq(self.second, -self.slope, rcond=None)[0]
+        return delta, float(-self.slope @ delta) / 2
+
+
+def curvature(features: DataFrame, model: LinearModel, label: str = "label", reg: float = L2) -> Curvature:
+    """One pass: every task sums its rows' weighted products, tasks' sums are
+    added by position, and (dim + 1) x (dim + 4) numbers reach the driver."""
+    size = model.dim + 1
+    coef = np.array([*model.weights, model.bias])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((size, size + 4))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            x = np.hstack([x, np.ones((batch.num_rows, 1))])
+            y = batch.column(1).to_numpy(zero_copy_only=False)
+            z = x @ coef
+            p = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
+            total[:, :size] += (x * (p * (1 - p))[:, None]).T @ x
+            total[:, size] += x.T @ (p - y)
+            total[:, size + 1:] += np.array([len(y), y.sum(), (np.logaddexp(0, z) - y * z).sum()])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(range(size), pa.int32()), pa.array(total.tolist(), pa.list_(pa.float64()))], ["pos", "sums"])
+
+    rows = features.select("vec", F.col(label).cast("double").alias("y")).mapInArrow(run, "pos int, sums array<double>")
+    sums = rows.groupBy("pos").agg(vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("s"))
+    table = np.array([r["s"] for r in sums.orderBy("pos").collect()]).reshape(-1, size + 4)  # dim + 1 rows
+    if not len(table) or not table[0, size + 1]:
+        return Curvature(0, 0, 0.0, np.zeros(size), np.eye(size))
+    n = round(table[0, size + 1])
+    penalty = np.array([reg] * model.dim + [0.0])
+    return Curvature(n, round(table[0, size + 2]), table[0, size + 3] / n + (penalty * coef * coef).sum() / 2,
+                     table[:, size] / n + penalty * coef, table[:, :size] / n + np.diag(penalty))
+
+
+def newton_fit(features: DataFrame, model: LinearModel, label: str = "label", reg: float = L2, gap: float = 1e-10,
+               max_steps: int = 30) -> LinearModel:
+    """Newton steps from ``model``, halved while the loss does not fall, until
+    the decrement is below ``gap``; a step is one pass."""
+    at = curvature(features, model, label, reg)
+    for _ in range(max_steps):
+        delta, decrement = at.step()
+        if decrement < gap:
+            break
+        scale = 1.0
+        while True:
+            coef = np.array([*model.weights, model.bias]) + scale * delta
+            tried = LinearModel(tuple(float(c) for c in coef[:-1]), float(coef[-1]))
+            there = curvature(features, tried, label, reg)
+            if there.loss < at.loss or scale < 1e-4:
+                break
+            scale /= 2
+        if there.loss >= at.loss:
+            break
+        model, at = tried, there
+    return model
 
 
 def train_sparse(features: DataFrame, label: str = "label", reg: float = L2, max_iter: int = 300):
@@ -161,63 +244,27 @@ def stratified_folds(rows: DataFrame, k: int, label: str = "label", id_col: str
         "_h", "_hb", "_r", "_off")
 
 
-def cross_validate(features: DataFrame, k: int = 5, label: str = "label", kind: str = "logistic",
-                   id_col: str = "id", seed: int = 5) -> DataFrame:
-    """K stratified folds; per fold accuracy and F1 of the positive
-    class.
-
-    Each fold trains a distributed estimator on the other folds; only the
-    per-fold metric rows are small.
-    """
-    f = stratified_folds(features, k, label, id_col, seed)
-    f = materialize(f.select("fold", "vec", F.col(label).cast("double").alias("label")), "folds").select(
-        "fold", array_to_vector("vec").alias("features"), "label")
-    results = []
-    for i in range(1, k + 1):
-        train = f.where(F.col("fold") != i)
-        test = f.where(F.col("fold") == i)
-        if kind == "svm":
-            est = LinearSVC(regParam=L2, maxIter=50)
-        else:
-            est = LogisticRegression(regParam=L2, elasticNetParam=0.0, standardization=False, maxIter=50)
-        pred = est.fit(train).transform(test)
-        y, p = F.col("label") == 1.0, F.col("prediction") == 1.0
-        m = pred.agg(
-            F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("accuracy"),
-            F.count_if(y & p).alias("tp"), F.count_if(~y & p).alias("fp"), F.count_if(y & ~p).alias("fn"),
-        ).select(
-            F.lit(i).alias("fold"), "accuracy",
-            F.try_divide(2.0 * F.col("tp"), (2 * F.col("tp") + F.col("fp") + F.col("fn")).cast("double")).alias("f1"),
-        )
-        results.append(m)
-    out = results[0]
-    for m in results[1:]:
-        out = out.unionByName(m)
-    return out
-
-
 def vector_logit(vec: str, model: LinearModel) -> Column:
     """w . x + b over an array column; the coefficients are literals."""
     return V.dot(vec, V.literal(model.weights)) + F.lit(float(model.bias))
 
 
 def optimum_check(features: DataFrame, model: LinearModel, reg: float = L2, label: str = "label",
-                  tolerance: float = 1e-2) -> DataFrame:
-    """One row (n_rows, n_pos, n_features, at_optimum): whether every partial
-    derivative of the penalised mean log-loss is below ``tolerance``."""
-    r = features.select(
-        (V.sigmoid(vector_logit("vec", model)) - F.col(label).cast("double")).alias("r"), F.col(label).alias("y"), "vec")
-    dim = len(model.weights)
-    slopes = [F.abs(F.avg(F.col("r") * F.col("vec")[i]) + F.lit(reg * model.weights[i])) for i in range(dim)]
-    return r.agg(
-        F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("y") == 1).alias("n_pos"),
-        F.lit(dim).cast("bigint").alias("n_features"),
-        (F.greatest(F.abs(F.avg("r")), *slopes) < tolerance).alias("at_optimum"))
-
-
-def retrain_on_errors(features: DataFrame, max_rounds: int, label: str = "label") -> list[tuple[int, int, int | None, bool]]:
-    """(round, rows, errors, converged) of refits on the rows that the
-    previous model got wrong.  Stops when no error is left (converged), when
+                  tolerance: float = 1e-8) -> DataFrame:
+    """One row (n_rows, n_pos, n_features, at_optimum): whether the penalised
+    mean log-loss is within ``tolerance`` of its minimum, by the Newton decrement.
+    A model without its features, or a fit that stopped half-way, is above it by
+    far: n_features / (2 n_rows) is the usual gap of features without effect."""
+    at = curvature(features, model, label, reg)
+    row = [(at.n, at.n_pos, model.dim, at.n > 0 and at.step()[1] < tolerance)]
+    return literal_table(features.sparkSession, row, "n_rows bigint, n_pos bigint, n_features bigint, at_optimum boolean")
+
+
+def retrain_on_errors(
+    features: DataFrame, max_rounds: int, label: str = "label", fit: Callable[[DataFrame], LinearModel] | None = None,
+) -> list[tuple[int, int, int | None, bool]]:
+    """(round, rows, errors, converged) of refits (by ``fit``, default the
+    quasi-Newton fit) on the rows that the previous model got wrong.  Stops when no error is left (converged), when
     only one class is left (errors unknown), when a round corrects nothing, or
     after ``max_rounds``.  Each round's rows are written to the shared
     checkpoint folder, so lineage stays one round long."""
@@ -229,7 +276,7 @@ def retrain_on_errors(features: DataFrame, max_rounds: int, label: str = "label"
         if rows.select(label).distinct().count() < 2:
             out.append((i, n, None, False))
             break
-        m = train_logistic(rows, label)
+        m = fit(rows) if fit else train_logistic(rows, label, gap=None)
         wrong = (V.sigmoid(vector_logit("vec", m)) > 0.5) != (F.col(label) == 1)
         rows = materialize(rows.where(wrong), "errors")
         left = rows.count()
@@ -259,22 +306,25 @@ def gradient_step(
     """M4: one full-batch gradient step of L2 log-loss from ``model`` over
     mean-vector features; returns the new (feature, weight) table.
 
-    Documents without a known token have x = 0: they move the bias only.
+    One tokenising pass: a document's known tokens come back from the aggregate
+    that scores it, so its residual meets them in its own row, and (token,
+    r / n) is summed before it is shuffled.  Documents without a known token
+    have x = 0: they move the bias only.
     """
     scores = token_scores(vectors, model)
-    scored = score_docs(docs, scores, model.bias, "mean", id_col, text_col, bound_rows, keep=[label])
-    resid = scored.select(
-        id_col, "n_known", (F.col("pred") - F.col(label).cast("double")).alias("r")
-    )
+    occ = docs.select(id_col, F.col(label).cast("double").alias("_y"), F.explode_outer(word_tokens(text_col)).alias("token"))
+    known = lookup_join(occ, scores, "token", how="left", bound_rows=bound_rows, heavy_share=HEAVY_SHARE)
+    per = known.groupBy(id_col, "_y").agg(
+        F.count("s").alias("n_known"), exact_mean("s").alias("_z"),
+        # the tokens of one text
+        F.collect_list(F.when(F.col("s").isNotNull(), F.col("token"))).alias("tokens"))
+    resid = materialize(per.select(
+        "n_known", (V.sigmoid(F.coalesce("_z", F.lit(0.0)) + F.lit(float(model.bias))) - F.col("_y")).alias("r"), "tokens"),
+        "residuals")
     totals = resid.agg(F.count(F.lit(1)).alias("n"), F.sum("r").alias("sum_r"))
     # token weights c_t = sum over occurrences of r_d / n_d
-    occ = docs.select(id_col, F.explode(word_tokens(text_col)).alias("token"))
-    known = lookup_join(occ, vectors.select("token"), "token", bound_rows=bound_rows)
-    c = (
-        known.join(resid.where(F.col("n_known") > 0), id_col)
-        .groupBy("token")
-        .agg(F.sum(F.col("r") / F.col("n_known")).alias("c"))
-    )
+    c = resid.select((F.col("r") / F.col("n_known")).alias("c"), F.explode("tokens").alias("token")).groupBy("token").agg(
+        F.sum("c").alias("c"))
     g = (
         c.join(vectors.select("token", "vec"), "token")
         .select("c", F.posexplode("vec").alias("pos", "x"))
@@ -368,6 +418,6 @@ def score_routes(
 
 
 __all__ = [
-    "token_scores", "score_docs", "coefficient_table", "train_logistic", "cross_validate",
+    "token_scores", "score_docs", "coefficient_table", "train_logistic",
     "gradient_step", "model_from_table", "incremental_fit", "route", "score_routes", "vector_to_array",
 ]

@@ -18,10 +18,11 @@ from equitext.operators import split as X
 from equitext.operators.profile import any_group
 from equitext.plans.oracle import prelude
 from equitext.plans.q_debias import _SIG, SCOPES_SQL, _dot, accepted_sql, scope_column, search_tokens
+from equitext.plans.q_model import FOLDS_SQL, _train_features
 from equitext.plans.q_profile import BIAS_AUC_SQL, MEMBERSHIPS, OVERALL_AUC_SQL, _r, labelled
 from equitext.plans.q_split import NOGROUP, SPLIT_SQL, _split
 from equitext.plans.registry import query
-from equitext.session import materialize
+from equitext.session import literal_table, materialize
 from equitext.sources import fixtures as fx
 
 EPOCHS, SHARDS, SEED = 2, 8, 17
@@ -49,7 +50,10 @@ def _mean_sql(name: str, how: str = "avg") -> str:
   GROUP BY t.id, pos) GROUP BY id) v USING (id), zero)"""
 
 
-def _sgd_sql(p: str, rows: str, t0: float = S.T0) -> str:
+_HINGE = "CASE WHEN (2 * r.y - 1) * ({z}) < 1 THEN 1 - 2 * r.y ELSE 0.0 END"
+
+
+def _sgd_sql(p: str, rows: str, t0: float = S.T0, slope: str = _SIG + " - r.y") -> str:
     """CTEs that fit ``{p}_m{EPOCHS}`` (w, b) to ``rows`` (id, x, y), row by row
     in each shard, averaged after each epoch."""
     u = f"CAST(('0x' || substr(md5(CAST(id AS VARCHAR) || ':{SEED}:shard'), 1, 8)) AS BIGINT) / 4294967296.0"
@@ -63,7 +67,7 @@ def _sgd_sql(p: str, rows: str, t0: float = S.T0) -> str:
   UNION ALL
   SELECT shard, k, list_transform(range(1, 65), lambda i: w[i] * (1 - eta * 0.0001) - eta * g * x[i]), b - eta * g, t0
   FROM (SELECT r.shard, r.k, v.w, v.b, v.t0, r.x, 1 / (0.0001 * (v.t0 + r.k - 1)) AS eta,
-    {_SIG.format(z=_dot('v.w', 'r.x') + ' + v.b')} - r.y AS g FROM {p}_w{e} v JOIN {p}_s r ON r.shard = v.shard AND r.k = v.k + 1))""",
+    {slope.format(z=_dot('v.w', 'r.x') + ' + v.b')} AS g FROM {p}_w{e} v JOIN {p}_s r ON r.shard = v.shard AND r.k = v.k + 1))""",
                   f"""{p}_m{e + 1} AS (SELECT list(c ORDER BY i) AS w, max(b) AS b FROM (SELECT i, sum(n * w[i]) / sum(n) AS c, sum(n * b) / sum(n) AS b
   FROM {p}_w{e} JOIN (SELECT DISTINCT shard, n AS k, n FROM {p}_s) USING (shard, k), range(1, 65) r(i) GROUP BY i))"""]
     return ",\n".join(parts)
@@ -223,3 +227,67 @@ def m24_learned_router(spark: SparkSession, sf_dir: str) -> DataFrame:
     models = {"group": (group, "sum"), "debiased": (debiased, "mean"), "full": (base, "mean"), "nongroup": (nongroup, "mean")}
     scored = S.score_models(labelled(spark, sf_dir), wv, models, bound_rows=k)
     return S.route_three(scored, "group", ["debiased", "full"], "nongroup")
+
+
+def _cv_sql(slope: str) -> str:
+    parts, tests = [], []
+    for f in range(1, 6):
+        parts += [f"cvr{f} AS (SELECT id, x, toxic AS y FROM folds JOIN mv USING (id) WHERE fold <> {f})",
+                  _sgd_sql(f"cv{f}", f"cvr{f}", slope=slope)]
+        tests.append(f"SELECT {f} AS fold, toxic AS y, {_dot('m.w', 'mv.x')} + m.b > 0 AS p FROM folds JOIN mv USING (id), cv{f}_m{EPOCHS} m WHERE fold = {f}")
+    head = prelude("labelled", "tok", "word_vectors").replace("WITH ", "WITH RECURSIVE ", 1).rstrip("\n") + f""",
+zero AS (SELECT list_transform(range(64), lambda i: CAST(0 AS DOUBLE)) AS w, CAST(0 AS DOUBLE) AS b),
+folds AS ({FOLDS_SQL}),
+{_mean_sql('mv')},
+"""
+    return head + ",\n".join(parts) + f"""
+SELECT fold, {_r('avg(CAST(y = p AS DOUBLE))', 'accuracy')},
+  {_r('2.0 * count(*) FILTER (WHERE y AND p) / nullif(2 * count(*) FILTER (WHERE y AND p) + count(*) FILTER (WHERE y <> p), 0)', 'f1')}
+FROM ({' UNION ALL '.join(tests)}) GROUP BY fold"""
+
+
+def _cross_validated(spark: SparkSession, sf_dir: str, loss: str) -> DataFrame:
+    return S.cross_validate(_train_features(spark, sf_dir), 5, loss, epochs=EPOCHS, shards=SHARDS, seed=5)
+
+
+@query("m22_cv_logistic", _cv_sql(_SIG + " - r.y"))
+def m22_cv_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """5-fold cross-validation of the logistic model: accuracy and F1, all
+    folds trained in one pass per epoch."""
+    return _cross_validated(spark, sf_dir, "log")
+
+
+@query("m23_cv_svm", _cv_sql(_HINGE))
+def m23_cv_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of a linear SVM (hinge loss)."""
+    return _cross_validated(spark, sf_dir, "hinge")
+
+
+ROUNDS = 10
+
+
+def _retrain_sql() -> str:
+    head = prelude("labelled", "tok", "word_vectors").replace("WITH ", "WITH RECURSIVE ", 1).rstrip("\n") + f""",
+zero AS (SELECT list_transform(range(64), lambda i: CAST(0 AS DOUBLE)) AS w, CAST(0 AS DOUBLE) AS b),
+{_mean_sql('mv')},
+rt0 AS (SELECT id, x, toxic AS y FROM mv JOIN labelled USING (id))"""
+    parts, out = [], []
+    for r in range(1, ROUNDS + 1):
+        parts += [_sgd_sql(f"rt{r}", f"rt{r - 1}"),
+                  f"rt{r} AS (SELECT t.* FROM rt{r - 1} t, rt{r}_m{EPOCHS} m WHERE ({_SIG.format(z=_dot('m.w', 't.x') + ' + m.b')} > 0.5) <> y)",
+                  f"""st{r} AS (SELECT n, classes, e, n > 0{f' AND p.alive AND p.classes = 2 AND p.e NOT IN (0, p.n)' if r > 1 else ''} AS alive FROM
+  (SELECT count(*) AS n, count(DISTINCT y) AS classes FROM rt{r - 1}), (SELECT count(*) AS e FROM rt{r}){f', st{r - 1} p' if r > 1 else ''})"""]
+        if r > 1:
+            parts[-1] = parts[-1].replace("SELECT n, classes, e, n > 0", "SELECT c.n, c.classes, w.e, c.n > 0").replace(
+                f"FROM rt{r - 1}), (SELECT", f"FROM rt{r - 1}) c, (SELECT").replace(f"FROM rt{r}), st", f"FROM rt{r}) w, st")
+        out.append(f"SELECT {r} AS iteration, n AS n_rows, CASE WHEN classes = 2 THEN e END AS n_errors, classes = 2 AND e = 0 AS converged FROM st{r} WHERE alive")
+    return head + ",\n" + ",\n".join(parts) + "\n" + " UNION ALL ".join(out)
+
+
+@query("m21_retrain_on_errors", _retrain_sql())
+def m21_retrain_on_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Retrain (row-order SGD) on the rows the previous model got wrong until
+    none is left, the errors stop shrinking or ten rounds are over;
+    ``converged`` tells whether no error was left."""
+    out = Mo.retrain_on_errors(_train_features(spark, sf_dir), ROUNDS, fit=_fit)
+    return literal_table(spark, out, "iteration int, n_rows bigint, n_errors bigint, converged boolean")

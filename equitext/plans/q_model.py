@@ -212,27 +212,6 @@ def m20_group_model_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.auc(rows, score="pred", label="y")
 
 
-@query("m21_retrain_on_errors")
-def m21_retrain_on_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Retrain on the rows the previous model got wrong until none is left,
-    the errors stop shrinking or ten rounds are over; ``converged`` tells
-    whether no error was left."""
-    out = Mo.retrain_on_errors(_train_features(spark, sf_dir), max_rounds=10)
-    return literal_table(spark, out, "iteration int, n_rows bigint, n_errors bigint, converged boolean")
-
-
-@query("m22_cv_logistic")
-def m22_cv_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """5-fold cross-validation of the logistic model: accuracy and F1."""
-    return Mo.cross_validate(_train_features(spark, sf_dir), 5, kind="logistic")
-
-
-@query("m23_cv_svm")
-def m23_cv_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """5-fold cross-validation of a linear SVM: accuracy and F1."""
-    return Mo.cross_validate(_train_features(spark, sf_dir), 5, kind="svm")
-
-
 _ROUTER_SQL = (
     prelude("labelled", "tok", "word_vectors", "pleasant_words", "unpleasant_words", "model",
             "token_scores", "weights").rstrip("\n")
@@ -302,7 +281,7 @@ def m05_stream_incremental_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------------------
 # Fits checked at their optimum: training set sizes and whether the penalised
-# loss has no slope left there, which SQL can state without the optimiser
+# loss is at its minimum there, which SQL can state without the optimiser
 # ---------------------------------------------------------------------------
 
 _OPT_HEAD = _with(SPLIT_SQL, "labelled", memberships=True)
@@ -311,13 +290,13 @@ _TRAIN = "(SELECT id FROM bsplit WHERE split = 'train')"
 
 
 def _optimum(features: DataFrame) -> DataFrame:
-    m = Mo.train_logistic(features, max_iter=300)
-    return Mo.optimum_check(features, m, tolerance=1e-2)
+    # the fit that the training queries return
+    return Mo.optimum_check(features, Mo.train_logistic(features))
 
 
 @query("m03_train_optimum", _OPT_HEAD + f"SELECT {_OPT_COLS} FROM (SELECT toxic AS y FROM labelled SEMI JOIN {_TRAIN} USING (id))")
 def m03_train_optimum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The toxicity model's training rows and its slope at the fitted model."""
+    """The toxicity model's training rows and whether the fit is the optimum."""
     from equitext.plans.q_split import _split
 
     df, split = _split(spark, sf_dir)
@@ -341,11 +320,14 @@ def m19_group_model_optimum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _optimum(_group_features(spark, sf_dir))
 
 
+#: (id, toxic, fold): the five stratified folds of M22 and M23
+FOLDS_SQL = """SELECT id, toxic, (row_number() OVER (PARTITION BY toxic ORDER BY md5(CAST(id AS VARCHAR) || ':5:fold')) - 1) % 5 + 1 AS fold
+  FROM labelled"""
+
+
 @query(
     "m22_cv_folds",
-    prelude("labelled") + """SELECT CAST(fold AS INTEGER) AS fold, count(*) AS n_test, count(*) FILTER (WHERE toxic) AS n_pos FROM (
-  SELECT toxic, (row_number() OVER (PARTITION BY toxic ORDER BY md5(CAST(id AS VARCHAR) || ':5:fold')) - 1) % 5 + 1 AS fold
-  FROM labelled) GROUP BY fold""",
+    prelude("labelled") + f"SELECT CAST(fold AS INTEGER) AS fold, count(*) AS n_test, count(*) FILTER (WHERE toxic) AS n_pos FROM ({FOLDS_SQL}) GROUP BY fold",
 )
 def m22_cv_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes and positives of the five stratified folds of M22 and M23."""

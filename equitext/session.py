@@ -108,19 +108,23 @@ def read_if_exists(spark: SparkSession, path: str):
         return None
 
 
+def file_mark(spark: SparkSession, path: str) -> str:
+    """A fingerprint of the files at ``path`` (names, lengths, modification
+    times).  Spark lists them and reads no row, on any file system."""
+    from pyspark.sql import functions as F
+
+    # without its content column this source reads the listing alone
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(
+        "path", "length", F.unix_micros("modificationTime").alias("t"))
+    r = files.agg(F.bit_xor(F.xxhash64("path", "length", "t")).alias("x"), F.count(F.lit(1)).alias("n")).first()
+    return f"{path}:{r['x']}:{r['n']}"
+
+
 def derived_table(spark: SparkSession, name: str, inputs: list[str], build):
     """S4 for a table derived from Parquet inputs: read if this application
     has it for the current files (path, size and modification time), else
-    built and written below the checkpoint folder.  The file list is read by
-    Spark, so any file system behaves alike."""
-    from pyspark.sql import functions as F
-
-    marks = []
-    for path in inputs:
-        files = spark.read.parquet(path).select(
-            "_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
-        mark = files.agg(F.bit_xor(F.xxhash64(*files.columns)).alias("x"), F.count(F.lit(1)).alias("n")).first()
-        marks.append(f"{path}:{mark['x']}:{mark['n']}")
+    built and written below the checkpoint folder."""
+    marks = [file_mark(spark, path) for path in inputs]
     key = hashlib.sha256("\n".join(marks).encode()).hexdigest()[:24]
     path = scratch_path(spark, f"{name}-{key}")
     found = read_if_exists(spark, path)

@@ -5,6 +5,7 @@ import tempfile
 from pyspark.sql import functions as F
 
 from conftest import SMALL
+from equitext.constants import GROUPS
 from equitext.operators import joins as J
 from equitext.operators import metrics as M
 from equitext.operators import model as Mo
@@ -28,7 +29,7 @@ def test_running_sums_do_not_depend_on_buckets(spark):
     got = [
         sorted(tuple(r) for r in M.prefix_sums_below(counts, ["key"], "score", ["neg"], n).select(
             "key", "score", "pos", "neg", "neg_below").collect())
-        for n in (1, 16, 512)
+        for n in (7, 512, M.BUCKET_ROWS)
     ]
     assert got[0] == got[1] == got[2]
 
@@ -38,15 +39,32 @@ def test_bias_summary_equals_separate_metrics(spark):
     one = {r["scope"]: r for r in M.bias_summary(lab).collect()}
     overall = M.auc(lab).first()
     assert abs(one["overall"]["auc"] - overall["auc"]) < 1e-12
-    for r in M.bias_aucs(lab).collect():
-        s = one[r["subgroup"]]
-        for a, b in (("auc", "subgroup_auc"), ("bpsn_auc", "bpsn_auc"), ("bnsp_auc", "bnsp_auc")):
-            assert (s[a] is None and r[b] is None) or abs(s[a] - r[b]) < 1e-12
+    for g in ("black", "white", "male"):
+        inside, outside, y = F.col(g) > 0.5, F.col(g) <= 0.5, F.col("toxic")
+        for name, rows in (("auc", inside), ("bpsn_auc", (outside & y) | (inside & ~y)), ("bnsp_auc", (inside & y) | (outside & ~y))):
+            assert abs(one[g][name] - M.auc(lab.where(rows)).first()["auc"]) < 1e-12
+    cut = {r["scope"]: r for r in M.bias_summary(lab, bucket_rows=5).collect()}
+    for scope, r in one.items():  # the same through buckets of five scores
+        assert all(a == b or abs(a - b) < 1e-12 for a, b in zip(r[1:], cut[scope][1:]))
     assert one["overall"]["fp"] > 0 and one["overall"]["fn"] > 0  # the fixture errs on both sides
     for r in M.subgroup_confusion(lab).collect():
         assert [one[r["subgroup"]][c] for c in ("tp", "fp", "fn", "tn")] == [r[c] for c in ("tp", "fp", "fn", "tn")]
 
 
+def test_same_aucs_under_any_number_of_partitions(spark):
+    lab = q_profile.labelled(spark, SMALL).select("id", "toxic", "pred", *GROUPS)
+    seen = set()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in (3, 300):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            near_unique = lab.withColumn("pred", F.col("pred") + F.col("id") / 1e9).repartition(parts)
+            seen.add(tuple(sorted(tuple(r) for r in M.bias_aucs(near_unique).collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(seen) == 1
+
+
 def test_bias_report_copies_no_row_per_group(spark):
     plan = _plan(M.bias_summary(q_profile.labelled(spark, SMALL)))
     assert "FileScan" in plan and "documents" not in plan  # reads the written score table only
