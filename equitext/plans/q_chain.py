@@ -193,12 +193,40 @@ def m18_debias_chain_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.compare_models(rows, "baseline", "debiased")
 
 
-_ROUTER_SQL = _chain_sql() + f""",
-{_mean_sql('sv', 'sum')},
+_GROUP_SQL = f"""{_mean_sql('sv', 'sum')},
 grp AS (SELECT v.id, v.x, true AS y FROM memberships m JOIN sv v USING (id) SEMI JOIN train t ON t.id = m.id WHERE gscore > 0.5
   UNION ALL SELECT v.id, v.x, false FROM train JOIN sv v USING (id) WHERE {NOGROUP}
     AND CAST(('0x' || substr(md5(CAST(id AS VARCHAR) || ':7:'), 1, 8)) AS BIGINT) / 4294967296.0 < 0.5),
-{_sgd_sql('grp', 'grp', SUM_T0)},
+{_sgd_sql('grp', 'grp', SUM_T0)}"""
+
+
+def _group_fit(train: DataFrame, wv: DataFrame, k: int, dim: int):
+    """Group-membership model on sum vectors: group rows (a row in k groups
+    counts k times) against half of the others."""
+    members = X.downsample(X.group_vs_rest(train), 0.5, 7, where=F.col("group_label") == 0)
+    sums = E.doc_vectors(train, wv, "sum", dim=dim, bound_rows=k)
+    return _fit(materialize(members.select("id", F.col("group_label").alias("label")).join(sums, "id"), "sgd-group"), SUM_T0)
+
+
+@query("m20_trained_group_auc", _HEAD + f""",
+{_GROUP_SQL},
+{_scores_sql('p1', f'grp_m{EPOCHS}', 'sum', 'test')},
+gm AS (SELECT id, true AS y FROM memberships SEMI JOIN test USING (id) WHERE gscore > 0.5
+  UNION ALL SELECT id, false FROM test WHERE {NOGROUP}),
+agg AS (SELECT pred AS score, count(*) FILTER (WHERE y) AS pos, count(*) FILTER (WHERE NOT y) AS neg FROM gm JOIN p1 USING (id) GROUP BY pred),
+cum AS (SELECT *, coalesce(sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nb FROM agg)
+SELECT CAST(sum(pos) AS BIGINT) AS n_pos, CAST(sum(neg) AS BIGINT) AS n_neg,
+  round(CAST(sum(pos * (nb + neg / 2.0)) AS DOUBLE) / CAST(sum(pos) * sum(neg) AS DOUBLE), 6) + 0.0 AS auc FROM cum""")
+def m20_trained_group_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group model as trained, applied to the test rows: its AUC."""
+    train, test, wv, k, dim = _parts(spark, sf_dir)
+    scored = S.score_models(test, wv, {"pred": (_group_fit(train, wv, k, dim), "sum")}, bound_rows=k)
+    rows = X.group_vs_rest(test).join(scored, "id").withColumn("y", F.col("group_label") == 1)
+    return M.auc(rows, score="pred", label="y")
+
+
+_ROUTER_SQL = _chain_sql() + f""",
+{_GROUP_SQL},
 out_rows AS (SELECT id, x, toxic AS y FROM mv JOIN train USING (id) WHERE {NOGROUP}),
 {_sgd_sql('outm', 'out_rows')},
 {_scores_sql('p1', f'grp_m{EPOCHS}', 'sum')},
@@ -218,9 +246,7 @@ def m24_learned_router(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, _, wv, k, dim = _parts(spark, sf_dir)
     base, _, debiased = debias_chain(train, wv, k, dim)
     label = F.col("toxic").cast("int").alias("label")
-    members = X.downsample(X.group_vs_rest(train), 0.5, 7, where=F.col("group_label") == 0)
-    sums = E.doc_vectors(train, wv, "sum", dim=dim, bound_rows=k)
-    group = _fit(materialize(members.select("id", F.col("group_label").alias("label")).join(sums, "id"), "sgd-group"), SUM_T0)
+    group = _group_fit(train, wv, k, dim)
     outside = train.where(~any_group())
     means = E.doc_vectors(outside, wv, "mean", dim=dim, bound_rows=k)
     nongroup = _fit(materialize(means.join(outside.select("id", label), "id"), "sgd-nongroup"))
