@@ -15,9 +15,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from equitext.constants import THRESHOLD
 from equitext.functions import vectors as V
-from equitext.functions.text import word_tokens
+from equitext.functions.text import bow_tokens, word_tokens
 from equitext.operators.joins import HEAVY_SHARE, lookup_join
+from equitext.operators.metrics import nan_to_null
 
 
 def read_word2vec_text(spark: SparkSession, path: str) -> DataFrame:
@@ -100,7 +102,7 @@ def vector_sums(rows: DataFrame, id_col: str, count: Column, weight: Column, dim
 def tfidf_doc_vectors(
     docs: DataFrame,
     vectors: DataFrame,
-    tfidf: DataFrame,
+    idf: DataFrame,
     id_col: str = "id",
     text_col: str = "comment_text",
     dim: int | None = None,
@@ -109,17 +111,28 @@ def tfidf_doc_vectors(
     """Sum over known token occurrences of vec x tfidf(doc, token),
     divided by the number of known occurrences (not by the weight sum).
 
-    Weights join the (id, token, count) pairs first; vectors come last, on the
-    rows that are summed next, so none crosses the network."""
+    One pass: a row's word tokens (which have the vectors) and bag-of-words
+    tokens (which have the weights) are counted side by side, meet one
+    vocabulary of (token, vec, idf), and the norm of the weights is one more sum
+    of the aggregate that adds the vectors, divided out of it at the end."""
     if dim is None:
         raise ValueError("dim is required")
-    occ = docs.select(id_col, F.explode_outer(word_tokens(text_col)).alias("token"))
-    counts = occ.groupBy(id_col, "token").agg(F.count("token").alias("cnt"))
-    weighted = counts.join(tfidf.select(id_col, "token", "tfidf"), [id_col, "token"], "left")
-    j = lookup_join(weighted, vectors.select("token", "vec"), "token", how="left", bound_rows=bound_rows, dim=dim)
-    per = vector_sums(j, id_col, F.col("cnt"), F.col("cnt") * F.coalesce("tfidf", F.lit(0.0)), dim)
+
+    def marked(tokens: Column, word: int) -> Column:
+        return F.transform(tokens, lambda t: F.struct(t.alias("token"), F.lit(word).alias("word")))
+
+    both = F.concat(marked(word_tokens(text_col), 1), marked(bow_tokens(text_col), 0))
+    occ = docs.select(id_col, F.explode_outer(both).alias("o")).select(id_col, "o.token", "o.word")
+    counts = occ.groupBy(id_col, "token").agg(
+        F.count_if(F.col("word") == 1).alias("cnt"), F.count_if(F.col("word") == 0).alias("tf"))
+    vocabulary = vectors.select("token", "vec").join(idf.select("token", "idf"), "token", "left")
+    j = lookup_join(counts, vocabulary, "token", how="left", bound_rows=bound_rows, dim=dim, heavy_share=HEAVY_SHARE)
+    v = F.col("tf") * F.coalesce("idf", F.lit(0.0))
+    per = vector_sums(j, id_col, F.col("cnt"), F.col("cnt") * v, dim, {"_sq": F.sum(v * v)})
     n = F.when(F.col("n_known") > 0, F.col("n_known")).otherwise(F.lit(1))
-    return per.select(id_col, "n_known", F.transform("vec", lambda x: x / n).alias("vec"))
+    by = n * F.sqrt(F.coalesce("_sq", F.lit(0.0)))
+    return per.select(id_col, "n_known", by.alias("_by"), "vec").select(
+        id_col, "n_known", F.transform("vec", lambda x: F.coalesce(F.try_divide(x, F.col("_by")), F.lit(0.0))).alias("vec"))
 
 
 def similarity_columns(vectors: DataFrame, anchors: Sequence[Sequence[float]], out: str = "cos") -> DataFrame:
@@ -140,38 +153,46 @@ def _unit(a: Sequence[float]) -> list[float]:
 
 
 def identity_proximity(
-    rows: DataFrame,
+    docs: DataFrame,
     vectors: DataFrame,
     anchors: Sequence[Sequence[float]],
-    anchor_index: DataFrame,
+    positions: dict[str, int],
     id_col: str = "id",
     text_col: str = "comment_text",
     bound_rows: int | None = None,
     self_similarity: float = 1.0 - 1e-9,
 ) -> DataFrame:
-    """Per (row, subgroup): comment length, number of known tokens whose
-    cosine to the subgroup's identity word is below 1 (the word itself, up
-    to rounding, is skipped), and their mean cosine.  ``anchor_index`` maps
-    subgroup -> k (0-based anchor position).  Unknown tokens are skipped."""
+    """Per (row, subgroup that the row is in): comment length, number of
+    known tokens whose cosine to the subgroup's identity word is below 1 (the
+    word itself, up to rounding, is skipped), and their mean cosine.
+    ``positions`` maps a group column to its 0-based anchor.  Unknown tokens are
+    skipped.
+
+    A row is tokenised once, whatever the number of its groups: the counts and
+    sums for all anchors are side by side in its aggregate, and its groups pick
+    theirs."""
     cos = similarity_columns(vectors, anchors)
-    r = rows.join(F.broadcast(anchor_index), "subgroup")
-    occ = r.select(
-        id_col, "subgroup", "k", F.length(text_col).cast("bigint").alias("comment_length"),
-        F.explode(word_tokens(text_col)).alias("token"),
-    )
-    j = lookup_join(occ, cos, "token", bound_rows=bound_rows, dim=len(anchors)).withColumn(
-        "sim", F.element_at("cos", F.col("k").cast("int") + 1)
-    )
-    j = j.where(F.col("sim") < self_similarity)
-    per = j.groupBy(id_col, "subgroup").agg(
-        F.count(F.lit(1)).alias("number_embeddings"), F.avg("sim").alias("mean_similarity")
-    )
-    base = r.select(id_col, "subgroup", F.length(text_col).cast("bigint").alias("comment_length"))
-    return base.join(per, [id_col, "subgroup"], "left").select(
-        id_col, "subgroup", "comment_length",
-        F.coalesce("number_embeddings", F.lit(0)).cast("bigint").alias("number_embeddings"),
-        "mean_similarity",
-    )
+    member = F.array(*[F.struct(F.lit(g).alias("subgroup"), F.lit(k + 1).alias("at"), nan_to_null(g).alias("g"))
+                       for g, k in positions.items()])
+    rows = docs.select(
+        id_col, F.length(text_col).cast("bigint").alias("comment_length"),
+        F.transform(F.filter(member, lambda m: m["g"] > THRESHOLD), lambda m: F.struct(m["subgroup"], m["at"])).alias("_in"),
+        F.col(text_col).alias("_text")).where(F.size("_in") > 0)
+    occ = rows.select(id_col, F.explode(word_tokens("_text")).alias("token"))
+    j = lookup_join(occ, cos, "token", bound_rows=bound_rows, dim=len(anchors))
+    used = sorted(set(positions.values()))
+    near = {k: F.when(F.col("cos")[k] < self_similarity, F.col("cos")[k]) for k in used}
+    per = j.groupBy(id_col).agg(*[F.count(x).alias(f"_n{k}") for k, x in near.items()],
+                                *[F.sum(x).alias(f"_s{k}") for k, x in near.items()])
+    slots = range(max(used) + 1)
+    counts = F.array(*[F.col(f"_n{k}") if k in near else F.lit(0).cast("bigint") for k in slots])
+    sums = F.array(*[F.col(f"_s{k}") if k in near else F.lit(None).cast("double") for k in slots])
+    each = rows.select(id_col, "comment_length", "_in").join(
+        per.select(id_col, counts.alias("_n"), sums.alias("_s")), id_col, "left").select(
+        id_col, "comment_length", "_n", "_s", F.explode("_in").alias("m"))
+    n = F.coalesce(F.element_at("_n", F.col("m.at")), F.lit(0))
+    return each.select(id_col, "m.subgroup", "comment_length", n.cast("bigint").alias("number_embeddings"),
+                       F.try_divide(F.element_at("_s", F.col("m.at")), n.cast("double")).alias("mean_similarity"))
 
 
 def exclude_words(tokens: DataFrame, stop: DataFrame, bound_rows: int | None = None) -> DataFrame:

@@ -164,8 +164,7 @@ def a19_tfidf_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = fx.comments(spark, sf_dir)
     k, dim = fx.embedding_shape(spark, sf_dir)
     wv = fx.word_vectors(spark, sf_dir)
-    tf = B.tfidf(c, B.idf_table(c, wv), bound_rows=k)
-    dv = E.tfidf_doc_vectors(c, wv, tf, dim=dim, bound_rows=k)
+    dv = E.tfidf_doc_vectors(c, wv, B.idf_table(c, wv), dim=dim, bound_rows=k)
     return dv.select("id", "n_known", V.norm("vec").alias("norm"))
 
 
@@ -194,17 +193,12 @@ FROM rows_ r LEFT JOIN agg a ON a.id = r.id AND a.subgroup = r.subgroup""",
 def a22_identity_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per group row: how many of its words sit near the group's identity
     word, and their mean cosine (the word itself excluded)."""
-    from equitext.operators.profile import bag_union
-
     df = labelled(spark, sf_dir)
     k = fx.embedding_rows(spark, sf_dir)
     wv = fx.word_vectors(spark, sf_dir)
     ident = wv.join(fx.word_list(wv, "identity").select("token", "k"), "token").orderBy("k")
     anchors = [list(r["vec"]) for r in ident.select("vec").collect()]  # 10 vectors
-    index = literal_table(spark, PROXIMITY_POSITIONS.items(), "subgroup string, k int")
-    rows = bag_union(df, keep=["id", "comment_text"])
-    res = E.identity_proximity(rows, wv, anchors, index, bound_rows=k, self_similarity=SELF_SIMILARITY)
-    return res
+    return E.identity_proximity(df, wv, anchors, PROXIMITY_POSITIONS, bound_rows=k, self_similarity=SELF_SIMILARITY)
 
 
 @query(
