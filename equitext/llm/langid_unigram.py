@@ -5,8 +5,9 @@ vocabulary.  A word's probability is the sum over all its segmentations into
 pieces, which a forward pass over its letters gives exactly; a text's score
 for a language is the sum of the logarithms over its words.  Piece
 probabilities are expected counts of forward-backward passes over the
-training texts (EM).  Words are handled many at a time: those of equal length
-form a matrix, and one numpy step advances all of them by one piece length.
+training texts: one round of EM from a prior by the vocabulary's order.  Words are
+handled many at a time: those of equal length form a matrix, and one numpy step
+advances all of them by one piece length; very long ones are walked one by one.
 """
 
 from __future__ import annotations
@@ -23,10 +24,9 @@ from pyspark.sql import functions as F
 
 from equitext.llm.util import fold, id_type
 
-#: letters in a piece, at most; letters in a part of a word, at most (longer
-#: words are scored in consecutive parts, so no probability underflows)
-LONGEST = 8
-PART = 32
+#: letters of words that are handled many at a time; longer words are walked
+#: one by one with rescaled values, so no probability underflows
+TOGETHER = 32
 #: probability of a letter that the vocabulary does not hold
 UNSEEN = 1e-9
 #: distinct pieces of text kept by a worker, and gathered before a pass
@@ -50,9 +50,10 @@ class Pieces:
         for i in range(sp.get_piece_size()):
             p = sp.id_to_piece(i)
             body = p.removeprefix(_START)
-            if p and len(p) <= LONGEST and p == p.lower() and (body == "" or body.isalpha()):
+            if p and p == p.lower() and (body == "" or body.isalpha()):
                 found.append(p)
         self.pieces = found
+        self.longest = max(map(len, found), default=1)
         self.prior = 1.0 / (np.arange(len(found)) + 10.0)  # pieces come in order of frequency
         self.prior /= self.prior.sum()
         keys = np.array([_hash(p) for p in found], dtype=np.uint64)
@@ -88,7 +89,7 @@ class Pieces:
         width = parts.shape[1]
         for j in range(width):
             h = np.zeros(len(parts), dtype=np.uint64)
-            for n in range(1, min(LONGEST, width - j) + 1):
+            for n in range(1, min(self.longest, width - j) + 1):
                 h = (h + parts[:, j + n - 1] + np.uint64(1)) * _BASE
                 yield j, n, self.find(h)
 
@@ -109,16 +110,60 @@ def _hash(piece: str) -> int:
     return h
 
 
-def parts_of(word: str) -> list[str]:
-    """Parts of a word, the first with the word-start mark."""
-    word = _START + word
-    return [word[i:i + PART] for i in range(0, len(word), PART)]
+def marked(word: str) -> str:
+    """A word with the word-start mark."""
+    return _START + word
+
+
+def _ids(pieces: Pieces, word: str) -> np.ndarray:
+    """(start, length - 1) to the piece there, ``none`` where there is none or
+    the word ends before."""
+    letters = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    width = len(letters)
+    out = np.full((width, pieces.longest), pieces.none, dtype=np.int64)
+    h = np.zeros(width, dtype=np.uint64)
+    for n in range(1, min(pieces.longest, width) + 1):
+        h = (h[:width - n + 1] + letters[n - 1:] + np.uint64(1)) * _BASE
+        out[:width - n + 1, n - 1] = pieces.find(h)
+    return out
+
+
+def _walk(ids: np.ndarray, known: np.ndarray, unseen: np.ndarray, none: int, backward: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Forward (or backward) values of one word and the logarithms that they
+    are scaled by: the true value at j is ``value[j] * exp(scale[j])``.
+    ``known`` is (pieces + 1, languages) with a last row of 0, ``unseen`` the
+    probability of a letter without a piece."""
+    width, longest = ids.shape
+    value = np.zeros((width + 1, known.shape[1]))
+    scale = np.zeros((width + 1, known.shape[1]))
+    value[width if backward else 0] = 1.0
+    so_far = np.zeros(known.shape[1])
+    for j in range(width, 0, -1) if backward else range(width):
+        # what lies ahead was added up under the scale so far
+        top = np.where(value[j] > 0, value[j], 1.0)
+        so_far = so_far + np.log(top)
+        m = min(longest, j if backward else width - j)
+        ahead = value[j - m:j + 1] if backward else value[j:j + m + 1]
+        ahead /= top
+        scale[j] = so_far
+        lengths = np.arange(1, m + 1)
+        at = ids[j - lengths, lengths - 1] if backward else ids[j, :m]
+        step = known[at]
+        if at[0] == none:
+            step[0] = unseen
+        if backward:
+            value[j - m:j] += (value[j] * step)[::-1]
+        else:
+            value[j + 1:j + m + 1] += value[j] * step
+    scale[0 if backward else width] = so_far
+    return value, scale
 
 
 def _matrices(parts: list[str], cells: int = 400_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(positions, letter matrix) of parts of equal length, in blocks."""
+    """(positions, letter matrix) of words of equal length up to TOGETHER, in
+    blocks."""
     lengths = np.array([len(p) for p in parts])
-    for n in np.unique(lengths):
+    for n in np.unique(lengths[lengths <= TOGETHER]):
         where = np.flatnonzero(lengths == n)
         step = max(1, cells // int(n))
         for at in range(0, len(where), step):
@@ -142,6 +187,10 @@ def forward(pieces: Pieces, parts: list[str], table: np.ndarray) -> np.ndarray:
                 step = np.where((ids == pieces.none)[:, None], table[-1], step)
             alpha[j + n] += alpha[j] * step
         out[pick] = np.log(alpha[-1])
+    for i, part in enumerate(parts):
+        if len(part) > TOGETHER:
+            value, scale = _walk(_ids(pieces, part), known, table[-1], pieces.none)
+            out[i] = np.log(value[-1]) + scale[-1]
     return out
 
 
@@ -167,6 +216,17 @@ def expected(pieces: Pieces, parts: list[str], counts: np.ndarray, p: np.ndarray
             beta[j] += step * beta[j + n]
         for j, n, ids, step in steps:
             total += np.bincount(ids, weights=alpha[j] * step * beta[j + n] * weight, minlength=len(total))
+    for part, count in zip(parts, counts):
+        if len(part) > TOGETHER:
+            ids = _ids(pieces, part)
+            one = known[:, None], p[-1:], pieces.none
+            (a, la), (b, lb) = (tuple(x[:, 0] for x in _walk(ids, *one, backward=back)) for back in (False, True))
+            whole = np.log(a[-1]) + la[-1]
+            for n in range(1, min(pieces.longest, len(part)) + 1):
+                at = ids[:len(part) - n + 1, n - 1]
+                step = np.where(at == pieces.none, p[-1] if n == 1 else 0.0, known[at])
+                share = a[:len(part) - n + 1] * step * b[n:] * np.exp(np.minimum(la[:len(part) - n + 1] + lb[n:] - whole, 700))
+                total += np.bincount(at, weights=share * count, minlength=len(total))
     return total
 
 
@@ -194,8 +254,7 @@ def _learn(rows: DataFrame, path: str, langs: list[str], probs: np.ndarray | Non
                 parts: Counter = Counter()
                 for chunk, n in chunks.items():
                     for w in words_of(chunk):
-                        for q in parts_of(w):
-                            parts[q] += n
+                        parts[marked(w)] += n
                 if parts:
                     p = _start(pieces) if probs is None else probs[k]
                     total[k] += expected(pieces, list(parts), np.array(list(parts.values()), dtype=float), p)
@@ -263,9 +322,8 @@ class _Scorer:
         for i, c in enumerate(new):
             for w in words_of(c):
                 words[i] += 1
-                for q in parts_of(w):
-                    owner.append(i)
-                    parts.append(q)
+                owner.append(i)
+                parts.append(marked(w))
         logs = np.zeros((len(new), self.logs.shape[1]))
         if parts and self.model.langs:
             distinct = list(dict.fromkeys(parts))

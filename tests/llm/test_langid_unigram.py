@@ -38,14 +38,14 @@ def test_forward_and_backward_sum_all_segmentations(pieces):
     table = r.random((pieces.none + 1, 2))
     table /= table.sum(0)
     place = {p: i for i, p in enumerate(pieces.pieces)}
-    words = ["▁the", "▁river", "▁été", "▁a", "▁", "ing", "▁ж日x", "▁the"]
+    words = ["▁the", "▁river", "▁été", "▁a", "▁", "ing", "▁ж日x", "▁the", "▁information"]
     logs = L.forward(pieces, words, table)
     for w, got in zip(words, logs):
         for k in range(2):
             total, counts = 0.0, np.zeros(pieces.none + 1)
             for seg in _segmentations(w):
                 ids = [place.get(s, pieces.none if len(s) == 1 else None) for s in seg]
-                if None in ids or any(len(s) > L.LONGEST for s in seg):
+                if None in ids:
                     continue
                 p = math.prod(table[i, k] for i in ids)
                 total += p
@@ -117,3 +117,23 @@ def test_signs_are_no_letters(spark, pieces):
                                  + [(100, "½ ²", None), (101, "① Ⅷ 3", None)], "doc_id long, text string, lang string")
     out = {r["id"]: (r["lang_pred"], r["score"]) for r in L.predict(docs, L.fit(docs, PATH)).collect()}
     assert out[100] == out[101] == ("und", 0.0) and out[1][0] == "en"
+
+
+def test_whole_vocabulary_and_long_words(pieces, monkeypatch):
+    assert pieces.longest > 8 and {"▁different", "▁information"} <= set(pieces.pieces)
+    r = np.random.default_rng(3)
+    table = r.random((pieces.none + 1, 3)) ** 4
+    table /= table.sum(0)
+    words = ["▁information", "▁unbelievablestories", "▁ж日xthe", "▁" + "theriver" * 3, "▁a"]
+    counts = np.arange(1.0, 6.0)
+    want = L.forward(pieces, words, table), L.expected(pieces, words, counts, np.ascontiguousarray(table[:, 1]))
+    monkeypatch.setattr(L, "TOGETHER", 0)  # all words one by one
+    got = L.forward(pieces, words, table), L.expected(pieces, words, counts, np.ascontiguousarray(table[:, 1]))
+    assert np.allclose(got[0], want[0], atol=1e-9) and np.allclose(got[1], want[1], atol=1e-9)
+    # far below the smallest double, and in time that follows the length
+    long = L.forward(pieces, ["▁" + "informationж" * 3000], table)
+    assert np.isfinite(long).all() and (long < -5000).all()
+    found = L.expected(pieces, ["▁" + "theж" * 500], np.array([2.0]), np.ascontiguousarray(table[:, 0]))
+    assert np.isfinite(found).all()
+    covered = found @ np.array([*map(len, pieces.pieces), 1])  # every letter lies in one piece
+    assert abs(covered - 2 * 2001) < 1e-6
