@@ -10,7 +10,8 @@ never shipped:
 1. stretches whose anchor occurs once are dropped (a combining aggregate);
 2. stretches that are equal as a whole settle each other, whatever their
    number; one representative goes on;
-3. groups of few different stretches go to tasks, which order their suffixes;
+3. groups of few different stretches go to tasks, which sort their suffixes
+   and compute neighbours' common prefixes;
 4. larger groups are cut: the offsets of the anchor in the window are halved,
    which lengthens the symbols that all windows of a group must share, and
    steps 2-4 repeat.  At one offset a group is one window, settled by step 2.
@@ -391,27 +392,88 @@ def kept_rows(scan: DataFrame, spans: DataFrame, fields: str, run) -> DataFrame:
     return rows.mapInArrow(task, f"id {kind}, n bigint, spans array<struct<begin:bigint,end:bigint>>, kept {fields}")
 
 
-def names(data: list[np.ndarray], starts: list[int], window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(rank, stretch) of every window start, stretch by stretch: ranks order
-    the suffixes by their first ``window`` symbols, equal ones share a rank.
-    Names of 1, 2, 4, ... symbols are paired (prefix doubling)."""
+@dataclass(frozen=True)
+class Suffixes:
+    """Window starts of many stretches in suffix order.  ``order``: the starts,
+    sorted by their first ``window`` symbols, equal ones by start.  ``lcp[i]``:
+    symbols that entry i shares with the one before it, at most ``window`` (0
+    for the first); below it in whole ``unit`` symbols."""
+
+    order: np.ndarray
+    lcp: np.ndarray
+    window: int
+    unit: int
+
+
+def suffixes(data: list[np.ndarray], starts: list[int], window: int) -> Suffixes:
+    """Suffix order and neighbours' common prefixes by prefix doubling.
+
+    Names of 1, 2, 4, ... symbols are paired, so that they sort like the symbols
+    that they stand for.  The common prefix of two neighbours is found by
+    comparing their names from the longest down."""
     flat = np.concatenate(data)
     at = np.concatenate([[0], np.cumsum([len(d) for d in data])])[:-1]
-    owner = np.repeat(np.arange(len(data)), starts)
     where = np.concatenate([a + np.arange(n) for a, n in zip(at, starts)])
-    m = 1
+    unit = m = 1
     if window >= 8 and flat.max() < 256:  # eight bytes are one first name
-        flat = np.concatenate([flat, np.zeros(7, dtype=np.uint64)])
-        flat = sum(flat[j:len(flat) - 7 + j] << np.uint64(56 - 8 * j) for j in range(8))
-        m = 8
+        padded = np.concatenate([flat, np.zeros(7, dtype=np.uint64)])
+        flat = sum(padded[j:len(padded) - 7 + j] << np.uint64(56 - 8 * j) for j in range(8))
+        unit = m = 8
+    size = len(flat) + 1
     rank = np.unique(flat, return_inverse=True)[1].astype(np.int64)
+    levels = [(m, rank.astype(np.int32))]
     while m * 2 <= window:
         # positions whose pair would leave the array are never part of a window
-        pair = rank[:-m] * (len(flat) + 1) + rank[m:]
+        pair = rank[:-m] * size + rank[m:]
         rank = np.concatenate([np.unique(pair, return_inverse=True)[1], np.zeros(m, dtype=np.int64)])
         m *= 2
-    last = rank[where] * (len(flat) + 1) + rank[where + window - m]
-    return np.unique(last, return_inverse=True)[1], owner
+        levels.append((m, rank.astype(np.int32)))
+    last = np.unique(rank[where] * size + rank[where + window - m], return_inverse=True)[1]
+    order = np.argsort(last, kind="stable")
+    lcp = np.zeros(len(order), dtype=np.int64)
+    same = last[order[1:]] == last[order[:-1]]
+    lcp[1:][same] = window
+    apart = np.flatnonzero(~same) + 1
+    one, two, found = where[order[apart - 1]], where[order[apart]], np.zeros(len(apart), dtype=np.int64)
+    for m, rank in reversed(levels):
+        fits = found + m <= window
+        # a window reaches no further than the array
+        equal = np.zeros(len(apart), dtype=bool)
+        equal[fits] = rank[(one + found)[fits]] == rank[(two + found)[fits]]
+        found[equal] += m
+    lcp[apart] = np.minimum(found, window - 1)
+    return Suffixes(order, lcp, window, unit)
+
+
+def previous_smaller(value: np.ndarray, shared: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(index, least): for each entry the nearest one before it with a smaller
+    value (-1: none), and the least of ``shared`` on the way, from behind that
+    entry up to this one (0 where there is none).
+
+    All entries step back at once: one whose candidate is not smaller takes
+    over the candidate's own, whose way it has then also walked."""
+    n = len(value)
+    index = np.arange(-1, n - 1)
+    least = np.zeros(n, dtype=np.int64) if shared is None else shared.astype(np.int64)
+    left = np.arange(n)
+    while True:
+        left = left[index[left] >= 0]
+        left = left[value[index[left]] >= value[left]]
+        if not len(left):
+            break
+        back = index[left]
+        # both sides are read before either is written
+        index[left], least[left] = index[back], np.minimum(least[left], least[back])
+    least[index < 0] = 0
+    return index, least
+
+
+def next_smaller(value: np.ndarray, shared: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The same behind each entry; ``shared[i]`` lies between i - 1 and i."""
+    n = len(value)
+    turned = None if shared is None else np.append(shared[1:], 0)[::-1]
+    index, least = previous_smaller(value[::-1], turned)
+    return np.where(index < 0, -1, n - 1 - index)[::-1], least[::-1]
 
 
 def id_order(ids: list, starts: list[int]) -> tuple[np.ndarray, np.ndarray]:

@@ -1,12 +1,12 @@
 """Suffix-array dedup of bytes by longest-previous-factor arrays.
 
 ``repeats`` brings stretches that may share a window to one task.  There the
-suffixes at all window starts are sorted by their first ``min_bytes`` bytes.
-In suffix order, the previous and next smaller positions of an entry are the
-earlier texts that share most with it; its longest previous factor reaches
-``min_bytes`` exactly when one of the two lies in the same run of equal
-names.  The mirrored arrays (previous and next larger positions) tell of later
-matches.
+suffixes at all window starts are sorted by their first ``min_bytes`` bytes and
+neighbours' common prefixes are computed.  In suffix order the previous and the
+next smaller position of an entry are the earlier starts that share most with
+it: the longest previous factor is the longer of the two common prefixes.  A
+start whose factor reaches ``min_bytes`` is a later copy; the smaller position
+that it was found at is the copy's source.
 """
 
 from __future__ import annotations
@@ -24,40 +24,36 @@ def byte_symbols(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8).astype(np.uint64)
 
 
-def _run_ends(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and last index of the run each sorted name lies in."""
-    n = len(names)
-    new = np.concatenate([[True], names[1:] != names[:-1]])
-    first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    last = np.append(np.flatnonzero(new)[1:], n) - 1
-    return first, last[np.cumsum(new) - 1]
+def factors(place: np.ndarray, lcp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(length, source, other): of each entry in suffix order the longest
+    previous factor, the entry it was found at (-1: none), and the other of the
+    two smaller positions if it shares as much (else -1).
 
-
-def factors(names: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(earlier, later): whether the longest previous / next factor at each
-    window start reaches the window length.  ``place`` orders the starts.
-
-    In suffix order with ties by place, the previous smaller position of an
-    entry inside its run is its neighbour; a run's first entry has none, nor
-    has it a next smaller one, so its previous factor is shorter.
+    ``place`` orders the starts; a factor is previous if its place is smaller.
     """
-    order = np.lexsort((place, names))
-    first, last = _run_ends(names[order])
-    earlier, later = np.zeros(len(names), dtype=bool), np.zeros(len(names), dtype=bool)
-    earlier[order] = place[order] > place[order[first]]
-    later[order] = place[order] < place[order[last]]
-    return earlier, later
+    before, up = repeats.previous_smaller(place, lcp)
+    after, down = repeats.next_smaller(place, lcp)
+    length = np.maximum(up, down)
+    source = np.where(up >= down, before, after)
+    return length, np.where(length > 0, source, -1), np.where((up == down) & (length > 0), after, -1)
 
 
 def _solver(window: int, first: bool):
     def solve(data: list[np.ndarray], ids: list, starts: list[int]) -> list[np.ndarray]:
-        names, owner = repeats.names(data, starts, window)
+        s = repeats.suffixes(data, starts, window)
+        covered = np.zeros(len(s.order), dtype=bool)
         if first:
             own, other = repeats.id_order(ids, starts)
-            earlier, _ = factors(names, other)
-            return repeats.split(earlier & (own >= 0), starts)
-        earlier, later = factors(names, np.arange(len(names)))
-        return repeats.split(earlier | later, starts)
+            # starts of one id are no copies of each other: equal places
+            length, _, _ = factors(other[s.order], s.lcp)
+            covered[s.order] = (length >= window) & (own[s.order] >= 0)
+        else:
+            length, source, also = factors(s.order, s.lcp)
+            copies = length >= window
+            covered[s.order[copies]] = True
+            for found in (source, also):
+                covered[s.order[found[copies & (found >= 0)]]] = True
+        return repeats.split(covered, starts)
 
     return solve
 

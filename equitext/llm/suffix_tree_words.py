@@ -1,11 +1,11 @@
 """Substring dedup of words by prefix-partitioned suffix trees.
 
-``repeats`` splits the suffixes that may share a window by a prefix all of
+``repeats`` splits the suffixes that may share a window by symbols that all of
 them have: a short gram at first, lengthened where a group would be too large
-for a task.  Inside a task the group's suffixes are sorted by words; the
-sorted order with the depths shared by neighbours is the subtree's outline,
-and its internal nodes of ``min_words`` depth or more are the maximal repeats.
-A leaf below such a node is a repeat of the node's smallest id.
+for a task.  Inside a task the group's suffixes are sorted by words; the common
+prefixes of neighbours give the subtree's internal nodes, as intervals of
+leaves with a depth.  The nodes of ``min_words`` depth or more are the repeats,
+and a leaf below one is removed if the node has a leaf of a smaller id.
 """
 
 from __future__ import annotations
@@ -27,22 +27,43 @@ def word_symbols(text: str) -> np.ndarray:
     return np.frombuffer(raw, dtype=np.uint64)
 
 
-def deep_nodes(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, node): leaves in suffix order and the number of the deep node
-    each hangs below.  Neighbours with equal names share the full depth."""
-    order = np.argsort(names, kind="stable")
-    new = np.concatenate([[True], names[order][1:] != names[order][:-1]])
-    return order, np.cumsum(new) - 1
+def internal_nodes(lcp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, last, depth) of the internal nodes of the tree over leaves in
+    suffix order: the leaves below a node and the words that they all share.
+
+    A common prefix of neighbours is the depth of a node that reaches from the
+    last smaller one before it to the next smaller one behind it; equal depths
+    inside one such interval are one node.
+    """
+    before, _ = repeats.previous_smaller(lcp)
+    after, _ = repeats.next_smaller(lcp)
+    first, last = np.maximum(before, 0), np.where(after < 0, len(lcp), after) - 1
+    node = np.flatnonzero(lcp > 0)
+    _, one = np.unique(first[node] * (len(lcp) + 1) + last[node], return_index=True)
+    node = node[one]
+    return first[node], last[node], lcp[node]
+
+
+def smallest_below(value: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Least value of the leaves of each node (nodes in order of ``first``)."""
+    bounds = np.stack([first, last + 1], axis=1).ravel()
+    return np.minimum.reduceat(np.append(value, np.iinfo(value.dtype).max), bounds)[::2]
 
 
 def _solver(window: int):
     def solve(data: list[np.ndarray], ids: list, starts: list[int]) -> list[np.ndarray]:
-        names, _ = repeats.names(data, starts, window)
+        s = repeats.suffixes(data, starts, window)
         own, other = repeats.id_order(ids, starts)
-        order, node = deep_nodes(names)
-        smallest = np.minimum.reduceat(other[order], np.flatnonzero(np.diff(node, prepend=-1)))
-        covered = np.zeros(len(names), dtype=bool)
-        covered[order] = smallest[node] < own[order]
+        first, last, depth = internal_nodes(s.lcp)
+        deep = depth >= window
+        first, last = first[deep], last[deep]
+        covered = np.zeros(len(s.order), dtype=bool)
+        if len(first):
+            # windows end at ``window`` words, so deep nodes do not nest
+            smallest = smallest_below(other[s.order], first, last)
+            leaves = np.repeat(first - np.concatenate([[0], np.cumsum(last - first + 1)[:-1]]), last - first + 1) + np.arange(
+                (last - first + 1).sum())
+            covered[s.order[leaves]] = np.repeat(smallest, last - first + 1) < own[s.order[leaves]]
         return repeats.split(covered, starts)
 
     return solve
