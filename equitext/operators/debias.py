@@ -213,7 +213,10 @@ def search_weights(
     add_unpleasent, p_base, p_new) for tokens with an accepted draw.
     """
     cand = search_candidates(tokens, vectors, model, dirs, params, similar, bound_rows)
-    best = cand.select("token", "kind", "p0", best_draws(params, _consts(model, dirs))[0].alias("b")).where("b IS NOT NULL")
+    # unfolding the one-element array drops tokens without an accepted draw; a
+    # filter on it would be pushed down and compute all draws a second time
+    accepted = F.filter(best_draws(params, _consts(model, dirs)), lambda b: b.isNotNull())
+    best = cand.select("token", "kind", "p0", F.explode(accepted).alias("b"))
     return best.select("token", *weight_columns(F.col("kind"), F.col("b")), F.col("p0").alias("p_base"),
                        F.col("b.p").alias("p_new"))
 
