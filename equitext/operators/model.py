@@ -207,20 +207,31 @@ def train_sparse(features: DataFrame, label: str = "label", reg: float = L2, max
     return lr.fit(features.select("features", F.col(label).cast("double").alias("label")))
 
 
+def sparse_items(features: str = "features") -> Column:
+    """Array of (index, value) of a vector column; zeros of a sparse vector are
+    not spelled out."""
+    raw = F.unwrap_udt(features)
+    indices = F.when(raw["type"] == 0, raw["indices"]).otherwise(F.sequence(F.lit(0), F.size(raw["values"]) - 1))
+    return F.zip_with(indices, raw["values"], lambda i, v: F.struct(i.alias("index"), v.alias("value")))
+
+
 def sparse_optimum_check(features: DataFrame, model, reg: float = L2, label: str = "label",
                          tolerance: float = 1e-2) -> DataFrame:
-    """``optimum_check`` for a sparse fit: the slope is a weighted sum of the
-    feature vectors (one ``Summarizer`` aggregate)."""
+    """For a sparse fit: whether every partial derivative of the penalised mean
+    log-loss is below ``tolerance``.  Only the features that a row has are read:
+    their residuals are summed by index before the shuffle."""
     p = vector_to_array(F.col("probability"))[1]
-    r = model.transform(features).select((p - F.col(label).cast("double")).alias("r"), F.col(label).alias("y"), "features")
-    scaled = array_to_vector(F.transform(vector_to_array("features"), lambda x: x * F.col("r")))
-    row = r.select("r", "y", scaled.alias("g")).agg(
-        F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("y") == 1).alias("n_pos"),
-        F.avg("r").alias("b"), vector_to_array(Summarizer.mean(F.col("g"))).alias("g"))
-    w = F.array(*[F.lit(float(x)) for x in model.coefficients.toArray()])
-    slope = F.array_max(F.zip_with("g", w, lambda g, x: F.abs(g + reg * x)))
-    return row.select("n_rows", "n_pos", F.size("g").cast("bigint").alias("n_features"),
-                      (F.greatest(F.abs("b"), slope) < tolerance).alias("at_optimum"))
+    r = materialize(model.transform(features).select(
+        (p - F.col(label).cast("double")).alias("r"), F.col(label).alias("y"), sparse_items().alias("x")), "sparse-residuals")
+    row = r.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("y") == 1).alias("n_pos"), F.avg("r").alias("b"))
+    sums = r.select("r", F.explode("x").alias("x")).groupBy(F.col("x.index").alias("index")).agg(
+        F.sum(F.col("r") * F.col("x.value")).alias("g"))
+    weights = [float(w) for w in model.coefficients.toArray()]
+    w = features.sparkSession.range(1).select(F.posexplode(F.array(*[F.lit(x) for x in weights])).alias("index", "w"))
+    slope = w.join(sums, "index", "left").select("w", F.coalesce("g", F.lit(0.0)).alias("g"), row.select("n_rows").scalar().alias("n"))
+    steepest = slope.agg(F.max(F.abs(F.col("g") / F.col("n") + reg * F.col("w"))).alias("s"))
+    return row.select("n_rows", "n_pos", F.lit(len(weights)).cast("bigint").alias("n_features"),
+                      (F.greatest(F.abs("b"), steepest.scalar()) < tolerance).alias("at_optimum"))
 
 
 def stratified_folds(rows: DataFrame, k: int, label: str = "label", id_col: str = "id", seed: int = 5) -> DataFrame:

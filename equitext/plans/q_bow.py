@@ -65,13 +65,9 @@ def m01_bow_vectoriser(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Test rows as sparse binary vectors of the stored vocabulary."""
     test = X.split_rows(*_split(spark, sf_dir), "test")
     out = B.sparse_features(test, B.vectoriser(_vocab(spark, sf_dir)))
-    from pyspark.ml.functions import vector_to_array
-
-    v = vector_to_array("features")
-    picked = F.filter(F.transform(v, lambda x, i: F.when(x != 0, i)), lambda i: i.isNotNull())
-    return out.select("id", picked.alias("p")).select(
+    return out.select("id", Mo.sparse_items().alias("p")).select(
         "id", F.size("p").cast("bigint").alias("n_terms"),
-        F.aggregate("p", F.lit(0).cast("bigint"), lambda a, i: a + i).alias("index_sum"))
+        F.aggregate("p", F.lit(0).cast("bigint"), lambda a, x: a + x["index"]).alias("index_sum"))
 
 
 def _bow_fit(spark: SparkSession, sf_dir: str):

@@ -120,3 +120,23 @@ def test_file_marks_follow_the_files_and_read_no_rows(spark, tmp_path):
     assert session.file_mark(spark, path) != first
     one = f"{MEDIUM}/labels.parquet"
     assert session.file_mark(spark, one).endswith(":1")
+
+
+def test_sparse_optimum_reads_given_features_only(spark):
+    from pyspark.ml.linalg import Vectors
+
+    r = random.Random(9)
+    rows = []
+    for i in range(300):
+        on = sorted(r.sample(range(40), r.randint(0, 8)))
+        y = int(r.random() < (0.7 if 3 in on else 0.2))
+        v = Vectors.sparse(40, on, [1.0 + (j % 2) for j in on]) if i % 3 else Vectors.dense([1.0 + (j % 2) if j in on else 0.0 for j in range(40)])
+        rows.append((v, y, on))
+    df = spark.createDataFrame([(v, y) for v, y, _ in rows], ["features", "label"])
+    got = df.select(Mo.sparse_items().alias("x")).collect()
+    for (_, _, on), g in zip(rows, got):
+        assert [(x["index"], x["value"]) for x in g["x"] if x["value"]] == [(j, 1.0 + (j % 2)) for j in on]
+    check = lambda n, tol: Mo.sparse_optimum_check(df, Mo.train_sparse(df, max_iter=n), tolerance=tol).first()
+    full = check(300, 1e-3)
+    assert (full["n_rows"], full["n_features"], full["at_optimum"]) == (300, 40, True)
+    assert not check(1, 1e-3)["at_optimum"]
