@@ -27,6 +27,9 @@ from equitext.llm.util import fold, id_type
 #: letters of words that are handled many at a time; longer words are walked
 #: one by one with rescaled values, so no probability underflows
 TOGETHER = 32
+#: letters of a piece that are tried at every place; longer pieces only where
+#: the first so many letters of one stand
+TRIED = 8
 #: probability of a letter that the vocabulary does not hold
 UNSEEN = 1e-9
 #: distinct pieces of text kept by a worker, and gathered before a pass
@@ -75,6 +78,10 @@ class Pieces:
         self.second = np.full(size, self.none, dtype=np.int32)
         self.second[other] = left
 
+        self.more = np.zeros(1 << 21, dtype=bool)
+        heads = np.array([_hash(h) for h in {p[:TRIED] for p in found if len(p) > TRIED}], dtype=np.uint64)
+        self.more[(heads * _MIX) >> np.uint64(43)] = True
+
     def find(self, h: np.ndarray) -> np.ndarray:
         a = self.first[(h * _MIX) >> np.uint64(43)]
         miss = self.keys[a] != h
@@ -84,14 +91,20 @@ class Pieces:
             a[miss] = np.where(self.keys[b] == g, b, self.none)
         return a
 
-    def lattice(self, parts: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-        """(start, length, piece ids or ``none``) over a matrix of letters."""
+    def lattice(self, parts: np.ndarray) -> Iterator[tuple[int, int, np.ndarray | slice, np.ndarray]]:
+        """(start, length, rows, their piece ids or ``none``) over a matrix of
+        letters; rows that are left out have no piece there."""
         width = parts.shape[1]
         for j in range(width):
-            h = np.zeros(len(parts), dtype=np.uint64)
+            h, rows = np.zeros(len(parts), dtype=np.uint64), slice(None)
             for n in range(1, min(self.longest, width - j) + 1):
-                h = (h + parts[:, j + n - 1] + np.uint64(1)) * _BASE
-                yield j, n, self.find(h)
+                h = (h + parts[rows, j + n - 1] + np.uint64(1)) * _BASE
+                yield j, n, rows, self.find(h)
+                if n == TRIED:
+                    rows = np.flatnonzero(self.more[(h * _MIX) >> np.uint64(43)])
+                    if not len(rows):
+                        break
+                    h = h[rows]
 
 
 def words_of(text: str) -> list[str]:
@@ -181,11 +194,11 @@ def forward(pieces: Pieces, parts: list[str], table: np.ndarray) -> np.ndarray:
     for pick, letters in _matrices(parts):
         alpha = np.zeros((letters.shape[1] + 1, len(letters), table.shape[1]))
         alpha[0] = 1.0
-        for j, n, ids in pieces.lattice(letters):
+        for j, n, rows, ids in pieces.lattice(letters):
             step = known[ids]
             if n == 1:
                 step = np.where((ids == pieces.none)[:, None], table[-1], step)
-            alpha[j + n] += alpha[j] * step
+            alpha[j + n, rows] += alpha[j, rows] * step
         out[pick] = np.log(alpha[-1])
     for i, part in enumerate(parts):
         if len(part) > TOGETHER:
@@ -200,22 +213,22 @@ def expected(pieces: Pieces, parts: list[str], counts: np.ndarray, p: np.ndarray
     total = np.zeros(len(p))
     known = np.append(p[:-1], 0.0)
     for pick, letters in _matrices(parts, 200_000):
-        rows, width = letters.shape
-        alpha = np.zeros((width + 1, rows))
-        beta = np.zeros((width + 1, rows))
+        many, width = letters.shape
+        alpha = np.zeros((width + 1, many))
+        beta = np.zeros((width + 1, many))
         alpha[0] = beta[width] = 1.0
         steps = []
-        for j, n, ids in pieces.lattice(letters):
+        for j, n, rows, ids in pieces.lattice(letters):
             step = known[ids]
             if n == 1:
                 step = np.where(ids == pieces.none, p[-1], step)
-            alpha[j + n] += alpha[j] * step
-            steps.append((j, n, ids, step))
+            alpha[j + n, rows] += alpha[j, rows] * step
+            steps.append((j, n, rows, ids, step))
         weight = counts[pick] / alpha[width]
-        for j, n, ids, step in reversed(steps):
-            beta[j] += step * beta[j + n]
-        for j, n, ids, step in steps:
-            total += np.bincount(ids, weights=alpha[j] * step * beta[j + n] * weight, minlength=len(total))
+        for j, n, rows, ids, step in reversed(steps):
+            beta[j, rows] += step * beta[j + n, rows]
+        for j, n, rows, ids, step in steps:
+            total += np.bincount(ids, weights=alpha[j, rows] * step * beta[j + n, rows] * weight[rows], minlength=len(total))
     for part, count in zip(parts, counts):
         if len(part) > TOGETHER:
             ids = _ids(pieces, part)
