@@ -119,6 +119,6 @@ def test_features_sum_two_scalars_and_no_vector_per_occurrence(spark):
         plan = f._jdf.queryExecution().optimizedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.debug.maxToStringFields")
-    final = next(line for line in plan.splitlines() if "Aggregate [" in line and "_v63" in line)
-    # the known tokens, alpha, beta and one sum per dimension
-    assert final.count("sum(") == len(dirs.pleasant) + 3 and "Python" not in plan
+    final = max((line for line in plan.splitlines() if "Aggregate [" in line), key=lambda line: line.count("sum("))
+    # one sum per dimension, and alpha, beta and the known tokens beside them
+    assert len(dirs.pleasant) + 3 <= final.count("sum(") < 2 * len(dirs.pleasant) and "Python" not in plan
