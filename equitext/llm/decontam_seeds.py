@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from equitext.llm.util import fresh, id_type
+from equitext.llm.util import fresh, id_type, saved
 
 #: fixed values: masks for items of at least MIN_WORDS words, and for shorter
 MASKS = ("111100011", "1000101111", "1110101001", "1111011")
@@ -34,6 +34,8 @@ SHORT_MASKS = ("11111",)
 MIN_WORDS = 13
 #: characters of benchmark text in a block, on average
 BLOCK_CHARS = 4_000_000
+#: benchmark blocks that one plan holds, at most
+AT_ONCE = 4
 
 _WORD = re.compile(r"[^\W_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -195,7 +197,7 @@ def find_overlaps(docs: DataFrame, bench: DataFrame, similarity: float = 0.8, id
     names = ["id", "item_id", "doc_word", "item_word", "n_words", "n_equal", "similarity"]
     schema = (f"id {kinds[0]}, item_id {kinds[1]}, doc_word bigint, item_word bigint, n_words bigint, "
               "n_equal bigint, similarity double")
-    out = None
+    out, planned = None, 0
     for seeds in blocks(bench, similarity, block_chars):
         def run(batches: Iterator[pa.RecordBatch], seeds=seeds) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -209,6 +211,10 @@ def find_overlaps(docs: DataFrame, bench: DataFrame, similarity: float = 0.8, id
                          pa.array([e / n for n, e in zip(rest[2], rest[3])])], names)
         part = rows.mapInArrow(run, schema)
         out = part if out is None else out.union(part)
+        planned += 1
+        if planned == AT_ONCE:
+            # what is planned is run and let go, with the blocks that it holds
+            out, planned = saved(out, "decontam-overlaps"), 0
     return out
 
 
@@ -226,10 +232,13 @@ def _flag(seeds: Seeds) -> Column:
 
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame, similarity: float = 0.8,
-                      text_col: str = "text") -> DataFrame:
+                      text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``docs`` without the rows that overlap any benchmark item; all columns
     as they are."""
-    leak = fresh(docs, "leak")
-    for seeds in blocks(bench, similarity):
+    leak, planned = fresh(docs, "leak"), 0
+    for seeds in blocks(bench, similarity, block_chars):
         docs = docs.withColumn(leak, _flag(seeds)(F.col(text_col).cast("string"))).filter(~F.col(leak)).drop(leak)
+        planned += 1
+        if planned == AT_ONCE:
+            docs, planned = saved(docs, "decontam-kept"), 0
     return docs

@@ -115,3 +115,17 @@ def test_empty_tables(spark):
     b = spark.createDataFrame([], "item_id long, text string")
     assert D.find_overlaps(d, b).count() == 0 and D.drop_contaminated(d, b).count() == 1
     assert D.find_overlaps(d.limit(0), spark.createDataFrame([(1, "q " * 20)], "item_id long, text string")).count() == 0
+
+
+def test_plans_hold_few_blocks(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    key = lambda rows: sorted(map(tuple, rows), key=str)
+    want = key(D.find_overlaps(docs, bench).collect()), key(D.drop_contaminated(docs, bench).collect())
+    assert 0 < len(want[1]) <= docs.count()
+    monkeypatch.setattr(D, "AT_ONCE", 2)
+    size = bench.selectExpr("sum(char_length(text))").first()[0] // 6
+    found, kept = D.find_overlaps(docs, bench, block_chars=size), D.drop_contaminated(docs, bench, block_chars=size)
+    assert (key(found.collect()), key(kept.collect())) == want
+    plans = [d._jdf.queryExecution().optimizedPlan().toString() for d in (found, kept)]
+    assert plans[0].count("MapInArrow") < 2 and plans[1].count("ArrowEvalPython") < 2
