@@ -317,25 +317,26 @@ def gradient_step(
     """M4: one full-batch gradient step of L2 log-loss from ``model`` over
     mean-vector features; returns the new (feature, weight) table.
 
-    One tokenising pass: a document's known tokens come back from the aggregate
-    that scores it, so its residual meets them in its own row, and (token,
-    r / n) is summed before it is shuffled.  Documents without a known token
-    have x = 0: they move the bias only.
+    Tokens never travel with their document: a first pass brings one residual
+    per document, which meets the document's text by id, and a second pass sums
+    (token, r / n) where that text is, before it is shuffled.  Documents without
+    a known token have x = 0: they move the bias only.
     """
     scores = token_scores(vectors, model)
-    occ = docs.select(id_col, F.col(label).cast("double").alias("_y"), F.explode_outer(word_tokens(text_col)).alias("token"))
+    rows = docs.select(id_col, F.col(label).cast("double").alias("_y"), F.col(text_col).alias("_text"))
+    occ = rows.select(id_col, "_y", F.explode_outer(word_tokens("_text")).alias("token"))
     known = lookup_join(occ, scores, "token", how="left", bound_rows=bound_rows, heavy_share=HEAVY_SHARE)
-    per = known.groupBy(id_col, "_y").agg(
-        F.count("s").alias("n_known"), exact_mean("s").alias("_z"),
-        # the tokens of one text
-        F.collect_list(F.when(F.col("s").isNotNull(), F.col("token"))).alias("tokens"))
+    per = known.groupBy(id_col, "_y").agg(F.count("s").alias("n_known"), exact_mean("s").alias("_z"))
     resid = materialize(per.select(
-        "n_known", (V.sigmoid(F.coalesce("_z", F.lit(0.0)) + F.lit(float(model.bias))) - F.col("_y")).alias("r"), "tokens"),
-        "residuals")
+        F.col(id_col).alias("_id"), F.col("_y").alias("_label"), "n_known",
+        (V.sigmoid(F.coalesce("_z", F.lit(0.0)) + F.lit(float(model.bias))) - F.col("_y")).alias("r")), "residuals")
     totals = resid.agg(F.count(F.lit(1)).alias("n"), F.sum("r").alias("sum_r"))
-    # token weights c_t = sum over occurrences of r_d / n_d
-    c = resid.select((F.col("r") / F.col("n_known")).alias("c"), F.explode("tokens").alias("token")).groupBy("token").agg(
-        F.sum("c").alias("c"))
+    # token weights c_t = sum over occurrences of r_d / n_d; unknown tokens are
+    # left out before they are summed where the vocabulary is small
+    mine = rows.join(resid.where("n_known > 0"), F.col(id_col).eqNullSafe(F.col("_id")) & F.col("_y").eqNullSafe(F.col("_label")))
+    each = mine.select(F.try_divide("r", "n_known").alias("c"), F.explode(word_tokens("_text")).alias("token"))
+    c = lookup_join(each, scores.where("s IS NOT NULL").select("token"), "token", "left_semi", bound_rows=bound_rows).groupBy(
+        "token").agg(F.sum("c").alias("c"))
     g = (
         c.join(vectors.select("token", "vec"), "token")
         .select("c", F.posexplode("vec").alias("pos", "x"))
