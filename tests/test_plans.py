@@ -1,11 +1,14 @@
 """Plan shapes and the large-data code paths, exercised on small inputs."""
 
+import re
 import tempfile
 
 from pyspark.sql import functions as F
 
 from conftest import SMALL
-from equitext.constants import GROUPS
+from equitext.constants import GROUPS, WEIGHT_COLUMNS
+from equitext.operators import debias as D
+from equitext.operators import embed as E
 from equitext.operators import joins as J
 from equitext.operators import metrics as M
 from equitext.operators import model as Mo
@@ -125,3 +128,46 @@ def test_scoring_is_one_pass(spark):
 def test_group_prevalence_is_one_aggregate(spark):
     plan = _plan(q_profile.a02_group_prevalence(spark, SMALL))
     assert plan.count("HashAggregate") <= 2 and "Window" not in plan
+
+
+def _vector_docs(spark):
+    """Rows with repeated and null ids, blank texts and words without a vector."""
+    texts = ["alpha beta alpha 2nd gamma_x", "beta delta delta", None, "", "zzz qq", "alpha", "gamma_x beta beta epsilon alpha"]
+    rows = [(i % 40 if i % 11 else None, texts[i % 7], i % 3 == 0) for i in range(300)]
+    docs = spark.createDataFrame(rows, "id long, comment_text string, s boolean")
+    words = ["alpha", "beta", "gamma_x", "delta", "epsilon", "omega"]
+    wv = spark.createDataFrame([(w, [float(k + 1), k * 0.5 - 1, -float(k)]) for k, w in enumerate(words)], "token string, vec array<double>")
+    idf = spark.createDataFrame([("alpha", 1.5), ("beta", 2.0), ("gamma_x", 0.25), ("nd", 9.0)], "token string, idf double")
+    return docs, wv, idf
+
+
+def _vector_tables(docs, wv, idf):
+    weights = wv.sparkSession.createDataFrame([("alpha", 0.5, 0.25, None, None), ("delta", None, None, 0.1, 0.2)],
+                                              "token string, " + ", ".join(f"{c} double" for c in WEIGHT_COLUMNS))
+    dirs = D.Directions((1.0, 2.0, 3.0), (0.5, -1.0, 0.0))
+    return [E.doc_vectors(docs, wv, "mean", dim=3, bound_rows=6), E.doc_vectors(docs, wv, "sum", dim=3, bound_rows=6),
+            E.tfidf_doc_vectors(docs, wv, idf, dim=3, bound_rows=6),
+            D.debiased_features(docs, wv, weights, dirs, F.col("s"), bound_rows=6).select("id", "n_known", "vec")]
+
+
+def test_document_vectors_above_the_broadcast_limit_are_the_same(spark, monkeypatch):
+    given = _vector_docs(spark)
+
+    def rows(t):
+        return {r["id"]: (r["n_known"], [round(x, 9) for x in r["vec"]]) for r in t.collect()}
+
+    want = [rows(t) for t in _vector_tables(*given)]
+    assert all(len(w) == 41 for w in want) and want[0][5][0] > 0
+    monkeypatch.setattr(J, "BROADCAST_BYTES", 0)
+    for part, block in ((1 << 28, 1 << 26), (200, 100)):
+        monkeypatch.setattr(E, "PART_BYTES", part)
+        monkeypatch.setattr(E, "BLOCK_TOKENS", block)
+        assert [rows(t) for t in _vector_tables(*given)] == want
+
+
+def test_no_document_vector_is_shuffled_per_token(spark):
+    docs, wv, idf = _vector_docs(spark)
+    for t in _vector_tables(docs, wv, idf):
+        plan = _plan(t.select("id", "vec"))
+        # tokens are not dealt out: they are counted where their text is
+        assert not re.search(r"hashpartitioning\(id#[^)]*token", plan)
