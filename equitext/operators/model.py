@@ -43,17 +43,20 @@ def exact_sum(c) -> Column:
     integer, so neither large scores nor very long documents overflow."""
     col = F.col(c) if isinstance(c, str) else c
     whole = F.floor(col)
-    fraction = F.round((col - whole) * SCORE_SCALE).cast("long")
-
-    def wide(x: Column) -> Column:
-        return F.sum(x).cast("decimal(38,0)")
-
+    # rounds half up; round() itself goes through a decimal per occurrence
+    fraction = ((col - whole) * SCORE_SCALE + 0.5).cast("long")
     # put together as one integer, so equal sums are equal whatever their parts
-    total = (wide(whole) * F.lit(int(SCORE_SCALE)) + wide(F.shiftright(fraction, 20)) * F.lit(1 << 20)
-             + wide(fraction.bitwiseAND(F.lit((1 << 20) - 1))))
+    total = F.sum(whole).cast("decimal(38,0)") * F.lit(int(SCORE_SCALE)) + wide_sum(fraction)
     return total.cast("double") / SCORE_SCALE
 
 
+def wide_sum(units: Column) -> Column:
+    """Exact sum of whole numbers (bigint) as a decimal: the two halves are
+    summed apart as integers, so no row goes through a decimal."""
+    high, low = F.shiftright(units, 20), units.bitwiseAND(F.lit((1 << 20) - 1))
+    return F.sum(high).cast("decimal(38,0)") * F.lit(1 << 20) + F.sum(low).cast("decimal(38,0)")
+
+
 def exact_mean(c) -> Column:
     """Order-independent mean of token scores; NULL when there are none."""
     col = F.col(c) if isinstance(c, str) else c

@@ -25,6 +25,7 @@ from equitext.operators.debias import (
     weight_columns,
 )
 from equitext.operators.joins import lookup_join
+from equitext.operators.model import wide_sum
 from equitext.session import materialize
 from equitext.sources.fixtures import LinearModel
 
@@ -66,10 +67,6 @@ def try_table(
         unit(F.coalesce(F.array_max("tries")["z"], z0)).alias("best_unit"))
 
 
-def _wide(x: Column) -> Column:
-    return F.sum(x.cast("decimal(38,0)"))
-
-
 def _probability(units: Column, n: Column, bias: float) -> Column:
     """Mean logit of a document from its sum; no known token: the bias."""
     mean = F.try_divide(units.cast("double") / UNIT, n.cast("double"))
@@ -98,8 +95,8 @@ def best_try(
     occ = docs.select(id_col, F.explode_outer(word_tokens(text_col)).alias("token"))
     j = lookup_join(occ, table.select("token", "units", "best_unit"), "token", how="left", bound_rows=bound_rows, dim=tries)
     per = j.groupBy(id_col).agg(
-        F.count("best_unit").alias("n_known"), _wide(F.col("best_unit")).alias("_best"),
-        *[_wide(F.col("units")[t]).alias(f"_t{t}") for t in range(tries)])
+        F.count("best_unit").alias("n_known"), wide_sum(F.col("best_unit")).alias("_best"),
+        *[wide_sum(F.col("units")[t]).alias(f"_t{t}") for t in range(tries)])
     n = F.col("n_known")
     won = per.withColumn("_w", _winner([F.col(f"_t{t}") for t in range(tries)], n, bias))
     return won.select(id_col, "n_known", (-F.col("_w.nt")).alias("best_try"), F.col("_w.p").alias("pred"),
@@ -154,7 +151,7 @@ def carried_weights(
     # tokens that nothing can change are one sum per document
     pairs = materialize(known, "carried-pairs")
     fixed = pairs.where(~F.col("open")).groupBy(id_col).agg(
-        F.sum("cnt").alias("n0"), _wide(F.col("cnt") * F.col("units")[0]).alias("u0"))
+        F.sum("cnt").alias("n0"), wide_sum(F.col("cnt") * F.col("units")[0]).alias("u0"))
     open_pairs = pairs.where("open").select(id_col, "token", "cnt", "units", "accepts")
     writers = None
     while True:
@@ -166,7 +163,7 @@ def carried_weights(
         given = F.col("writer") < F.col(id_col)  # NULL: not yet
         unit = [F.when(given, F.element_at("units", F.col("at"))).otherwise(F.col("units")[t]) for t in range(tries)]
         per = rows.groupBy(id_col).agg(
-            F.sum("cnt").alias("n1"), *[_wide(F.col("cnt") * u).alias(f"_t{t}") for t, u in enumerate(unit)],
+            F.sum("cnt").alias("n1"), *[wide_sum(F.col("cnt") * u).alias(f"_t{t}") for t, u in enumerate(unit)],
             # a document's own tokens
             F.collect_list(F.when(F.coalesce(given, F.lit(False)), None).otherwise(
                 F.struct("token", "accepts"))).alias("free"))

@@ -171,3 +171,15 @@ def test_no_document_vector_is_shuffled_per_token(spark):
         plan = _plan(t.select("id", "vec"))
         # tokens are not dealt out: they are counted where their text is
         assert not re.search(r"hashpartitioning\(id#[^)]*token", plan)
+
+
+def test_exact_sums_use_no_decimal_per_row(spark):
+    values = [0.1, -0.1, 2.5e-12, -7.25, 1e6 + 1 / 3, 0.4999999999995, None]
+    units = [int(v * 1e12) if v is not None else None for v in values]
+    big = spark.createDataFrame([(v, u) for v, u in zip(values, units)] * 50, "s double, u bigint")
+    got = big.agg(Mo.exact_sum("s").alias("s"), Mo.wide_sum(F.col("u")).alias("u"))
+    r = got.first()
+    assert r["u"] == 50 * sum(u for u in units if u is not None)
+    assert abs(r["s"] - 50 * sum(v for v in values if v is not None)) < 1e-6
+    partial = [line for line in _plan(got).splitlines() if "partial_sum" in line]
+    assert partial and not any("round(" in line or "decimal" in line for line in partial)
