@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from equitext.functions import vectors as V
 from equitext.functions.text import word_tokens
-from equitext.operators.joins import HEAVY_SHARE, lookup_join
+from equitext.operators.joins import HEAVY_SHARE, fits, lookup_join
 from equitext.session import literal_table, materialize
 from equitext.sources.fixtures import LinearModel
 
@@ -338,8 +338,10 @@ def gradient_step(
     # left out before they are summed where the vocabulary is small
     mine = rows.join(resid.where("n_known > 0"), F.col(id_col).eqNullSafe(F.col("_id")) & F.col("_y").eqNullSafe(F.col("_label")))
     each = mine.select(F.try_divide("r", "n_known").alias("c"), F.explode(word_tokens("_text")).alias("token"))
-    c = lookup_join(each, scores.where("s IS NOT NULL").select("token"), "token", "left_semi", bound_rows=bound_rows).groupBy(
-        "token").agg(F.sum("c").alias("c"))
+    names = scores.where("s IS NOT NULL").select("token")
+    small = fits(names, bound_rows)
+    c = (each.join(F.broadcast(names), "token") if small else each).groupBy("token").agg(F.sum("c").alias("c"))
+    c = c if small else c.join(names, "token")
     g = (
         c.join(vectors.select("token", "vec"), "token")
         .select("c", F.posexplode("vec").alias("pos", "x"))

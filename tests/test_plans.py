@@ -3,10 +3,12 @@
 import re
 import tempfile
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from conftest import SMALL
 from equitext.constants import GROUPS, WEIGHT_COLUMNS
+from equitext.functions.text import word_tokens
 from equitext.operators import debias as D
 from equitext.operators import embed as E
 from equitext.operators import joins as J
@@ -183,3 +185,35 @@ def test_exact_sums_use_no_decimal_per_row(spark):
     assert abs(r["s"] - 50 * sum(v for v in values if v is not None)) < 1e-6
     partial = [line for line in _plan(got).splitlines() if "partial_sum" in line]
     assert partial and not any("round(" in line or "decimal" in line for line in partial)
+
+
+def test_gradient_shuffles_no_token_list_and_counts_repeated_vectors(spark, monkeypatch):
+    docs, wv, _ = _vector_docs(spark)
+    docs = docs.withColumn("label", F.col("s"))
+    twice = wv.unionByName(wv.where("token = 'alpha'"))  # a vector that is listed twice counts as a join counts it
+    model = fx.LinearModel((0.5, -0.25, 0.125), 0.1)
+    vecs = {}
+    for r in twice.collect():
+        vecs.setdefault(r["token"], []).append(np.array(r["vec"]))
+    groups = {}
+    for r in docs.select("id", "label", word_tokens("comment_text").alias("t")).collect():
+        groups.setdefault((r["id"], r["label"]), []).extend(r["t"])
+    g, bias = np.zeros(3), 0.0
+    for (_, y), tokens in groups.items():
+        known = [v for t in tokens for v in vecs.get(t, [])]
+        x = np.mean(known, axis=0) if known else np.zeros(3)
+        r = 1 / (1 + np.exp(-(x @ model.weights + model.bias))) - y
+        bias += r
+        for t in tokens:
+            for _ in vecs.get(t, []):
+                g += r / len(known) * np.sum(vecs[t], axis=0)
+    w, n = np.array(model.weights), len(groups)
+    want = [*(w - 0.1 * (g / n + Mo.L2 * w)), model.bias - 0.1 * bias / n]
+    write, written = Mo.materialize, []
+    monkeypatch.setattr(Mo, "materialize", lambda df, name: written.extend(df.dtypes) or write(df, name))
+    for limit in (J.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(J, "BROADCAST_BYTES", limit)
+        step = Mo.gradient_step(docs, twice, model, bound_rows=7)
+        got = Mo.model_from_table(step)
+        assert np.allclose([*got.weights, got.bias], want, atol=1e-9)
+    assert written and not any(kind.startswith("array") for _, kind in written)
