@@ -133,7 +133,7 @@ def m05_incremental_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _train_features(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None):
     df, wv, k, dim, model = _ctx(spark, sf_dir)
     rows = rows if rows is not None else df
-    vecs = E.doc_vectors(rows, wv, "mean", dim=dim, bound_rows=k)
+    vecs = E.doc_vectors(rows, wv, "mean", dim=dim, bound_rows=k, chars=lambda: fx.text_chars(spark, sf_dir))
     # written once: iterative fits and folds read it instead of re-tokenising
     return materialize(vecs.join(rows.select("id", F.col("toxic").cast("int").alias("label")), "id"), "features")
 
@@ -180,7 +180,7 @@ def _group_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     df, wv, k, dim, model = _ctx(spark, sf_dir)
     train = X.split_rows(df, _split(spark, sf_dir)[1], "train")
     rows = X.downsample(X.group_vs_rest(train), 0.5, 7, where=F.col("group_label") == 0)
-    vecs = E.doc_vectors(train, wv, "sum", dim=dim, bound_rows=k)
+    vecs = E.doc_vectors(train, wv, "sum", dim=dim, bound_rows=k, chars=lambda: fx.text_chars(spark, sf_dir))
     return materialize(rows.select("id", F.col("group_label").alias("label")).join(vecs, "id"), "group-features")
 
 

@@ -117,7 +117,7 @@ def a17_doc_mean_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean of known token vectors per comment (zero vector if none), long form."""
     c = fx.comments(spark, sf_dir)
     k, dim = fx.embedding_shape(spark, sf_dir)
-    dv = E.doc_vectors(c, fx.word_vectors(spark, sf_dir), "mean", dim=dim, bound_rows=k)
+    dv = E.doc_vectors(c, fx.word_vectors(spark, sf_dir), "mean", dim=dim, bound_rows=k, chars=lambda: fx.text_chars(spark, sf_dir))
     return dv.select("id", F.posexplode("vec").alias("pos", "value")).select(
         "id", F.col("pos").cast("bigint").alias("pos"), "value"
     )
@@ -138,7 +138,7 @@ def a18_doc_sum_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sum of known token vectors per comment: (id, n_known, norm, total)."""
     c = fx.comments(spark, sf_dir)
     k, dim = fx.embedding_shape(spark, sf_dir)
-    dv = E.doc_vectors(c, fx.word_vectors(spark, sf_dir), "sum", dim=dim, bound_rows=k)
+    dv = E.doc_vectors(c, fx.word_vectors(spark, sf_dir), "sum", dim=dim, bound_rows=k, chars=lambda: fx.text_chars(spark, sf_dir))
     return dv.select(
         "id", "n_known", V.norm("vec").alias("norm"),
         F.aggregate("vec", F.lit(0.0), lambda a, x: a + x).alias("total"),
@@ -164,7 +164,7 @@ def a19_tfidf_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = fx.comments(spark, sf_dir)
     k, dim = fx.embedding_shape(spark, sf_dir)
     wv = fx.word_vectors(spark, sf_dir)
-    dv = E.tfidf_doc_vectors(c, wv, B.idf_table(c, wv), dim=dim, bound_rows=k)
+    dv = E.tfidf_doc_vectors(c, wv, B.idf_table(c, wv), dim=dim, bound_rows=k, chars=lambda: fx.text_chars(spark, sf_dir))
     return dv.select("id", "n_known", V.norm("vec").alias("norm"))
 
 

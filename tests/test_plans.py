@@ -4,6 +4,7 @@ import re
 import tempfile
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SMALL
@@ -167,6 +168,24 @@ def test_document_vectors_above_the_broadcast_limit_are_the_same(spark, monkeypa
         assert [rows(t) for t in _vector_tables(*given)] == want
 
 
+def test_routed_sums_write_no_tokens_and_copy_vectors_with_the_text_only(spark, monkeypatch):
+    docs, wv, _ = _vector_docs(spark)
+
+    def rows(t):
+        return {r["id"]: (r["n_known"], [round(x, 9) for x in r["vec"]]) for r in t.collect()}
+
+    want = rows(E.doc_vectors(docs, wv, "sum", dim=3, bound_rows=6))
+    monkeypatch.setattr(J, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(E, "BLOCK_TOKENS", 100)
+    monkeypatch.setattr(E, "materialize", lambda *_: pytest.fail("tokens are written"))
+    for part in (6 * 96, 6 * 96 // 3):  # one part of the vocabulary, and three
+        monkeypatch.setattr(E, "PART_BYTES", part)
+        got = E.doc_vectors(docs, wv, "sum", dim=3, bound_rows=6, chars=lambda: 6 * 1200)
+        assert rows(got) == want
+        # 12 blocks for one part, 4 for three: 12 tasks with one cell each
+        assert set(re.findall(r"direct_shuffle_partition_id\(cell#\d+\), (\d+)\)", _plan(got))) == {"12"}
+
+
 def test_no_document_vector_is_shuffled_per_token(spark):
     docs, wv, idf = _vector_docs(spark)
     for t in _vector_tables(docs, wv, idf):
