@@ -21,11 +21,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer, pre_tokenizers
 
-from equitext.llm.bpe_words import WordCache, common, load
+from equitext.llm.bpe_words import ENTRY_BYTES, byte_letters, load, spelled
 from equitext.llm.util import id_type
 from equitext.session import scratch_path
 
@@ -33,16 +35,20 @@ from equitext.session import scratch_path
 LIMIT = 18
 BLOCK = 1024
 FILE_IDS = 1_000_000
-#: bytes of a worker's word cache; files whose offsets may be broadcast
+#: bytes of the pre-tokens that a worker holds; pre-tokens encoded in a call;
+#: bytes of texts encoded together; files whose offsets may be broadcast
 CACHE_BYTES = 128 << 20
+LEARN = 1000
+SLICE_BYTES = 4 << 20
 BROADCAST_FILES = 1_000_000
 END = 2
 
 #: fixed value: the tokenizer's pre-token pattern
 _PATTERN = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
-#: white space after a space, among common characters
-_INNER = [" " + w for w in "\t\n\x0b\x0c\r \x85\xa0"]
+#: what the pieces of a common text have not: characters from U+0250 on, those
+#: that Python and the library treat differently, white space behind a space
+_ODD = r"[\x1c-\x1f\x{130}\x{250}-\x{10ffff}]|^ [\t\n\x0b\x0c\r\x{85}\x{a0}]"
 
 
 # --- code construction ----------------------------------------------------
@@ -150,7 +156,9 @@ class Decoder:
 # --- encoding --------------------------------------------------------------
 
 class Ids:
-    """The byte-level tokenizer of one worker, word by word."""
+    """The byte-level tokenizer of one worker.  Texts are cut into pieces and
+    each distinct piece of a slice is looked up once; the library's model
+    encodes those that the worker does not hold, many in a call."""
 
     _held: dict[str, Ids] = {}
 
@@ -160,20 +168,158 @@ class Ids:
             cls._held[path] = cls(path)
         return cls._held[path]
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, size: int = CACHE_BYTES):
         self.tokenizer = load(path)
-        self.cache = WordCache(self.tokenizer.model, _PATTERN, CACHE_BYTES)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-
-    def encode(self, text: str) -> bytes:
-        """ids as little-endian unsigned 32-bit.  A piece from one space up
-        to the next is a whole number of pre-tokens, unless white space
-        follows a space; then, and for rare characters, the library splits."""
-        if not common(text) or any(a in text for a in self.added) or any(w in text for w in _INNER):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        head, *rest = text.split(" ")
-        cache = self.cache
-        return b"".join([cache[head], *[cache[w] for w in [" " + r for r in rest]]])
+        # the same model for pre-tokens in byte-level letters, none of which is
+        # white space: a line end parts pre-tokens, byte 11 stands for a line end
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        letters = byte_letters()
+        self.letters = np.array([ord(letters[b]) for b in range(256)], dtype="<u2")
+        self.letters[[10, 11]] = 32, ord(letters[10])
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.space, self.newline = np.zeros((2, 1 << 16), dtype=bool)
+        self.space[[i for token, i in vocabulary.items() if token.startswith(letters[32])]] = True
+        self.newline[vocabulary[letters[10]]] = True
+        #: piece -> ids as little-endian unsigned 16-bit bytes
+        self.known: dict[str, bytes] = {}
+        self.size, self.held = size, 0
+
+    def _together(self, words: list[str], lead: str, opens: np.ndarray, skip: int) -> None:
+        """Encodes words, LEARN in a call; a token of ``opens`` tells where the
+        ids of each begin, ``skip`` of them its lead's."""
+        for at in range(0, len(words), LEARN):
+            part = words[at:at + LEARN]
+            text = np.frombuffer((lead + ("\n" + lead).join(part)).encode(), dtype=np.uint8)
+            text = self.letters[text].tobytes().decode("utf-16-le")
+            ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u2")
+            flat, begin = ids.tobytes(), (2 * np.flatnonzero(opens[ids])).tolist()
+            self.known.update(zip(
+                part, [flat[a + 2 * skip:b] for a, b in zip(begin, [*begin[1:], len(flat)])], strict=True))
+
+    def _learn(self, pieces: list[str]) -> None:
+        spaced, bare = [], []
+        for p in pieces:
+            if p[0] == " " and p[1:].isalpha():  # of its tokens only the first begins with a space
+                spaced.append(p)
+            elif p.isalpha():
+                bare.append(p)
+            else:
+                ids = [t.id for x in _PATTERN.findall(p) for t in self.tokenizer.model.tokenize(spelled(x))]
+                self.known[p] = _binary(ids)
+        self._together(spaced, "", self.space, 0)
+        self._together(bare, "\x0b\n", self.newline, 1)
+        self.held += sum([ENTRY_BYTES + len(p) * (1 if p.isascii() else 2) for p in pieces])
+
+    def pieces(self, pieces: list[str]) -> list[bytes]:
+        """ids of pieces, each a whole number of pre-tokens."""
+        if self.held >= self.size:
+            self.known.clear()
+            self.held = 0
+        known = self.known
+        self._learn([p for p in pieces if p not in known])
+        return [known[p] for p in pieces]
+
+    def encode(self, texts: pa.Array, end: int) -> pa.Array:
+        """ids of each text, ``end`` appended.  Where white space follows a
+        space, and for rare characters and added tokens, the library splits
+        the text."""
+        texts = texts.fill_null("").cast(pa.large_string())
+        pieces, edges = cut(texts)
+        n_pieces = np.diff(edges)
+        row = np.repeat(np.arange(len(texts)), n_pieces)
+        coded = pieces.dictionary_encode()
+        at, words = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False)
+        odd = pc.match_substring_regex(coded.dictionary, _ODD).to_numpy(zero_copy_only=False)[at]
+        double = (words == " ")[at]
+        double[(edges[1:] - 1)[n_pieces > 0]] = False
+        aside = np.bincount(row[odd | double], minlength=len(texts)) > 0
+        for a in self.added:
+            aside |= pc.match_substring(texts, a).to_numpy(zero_copy_only=False)
+
+        # values: distinct pieces, texts that the library splits, nothing, the end id
+        kept = ~aside[row]
+        used = np.flatnonzero(np.bincount(at[kept], minlength=len(words)))
+        whole = np.flatnonzero(aside)
+        values = self.pieces(words[used].tolist())
+        values += [_binary(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids) for i in whole.tolist()]
+        values += [b"", _binary([end])]
+        value = np.zeros(len(words), dtype=np.int64)
+        value[used] = np.arange(len(used))
+        value = np.where(kept, value[at], len(values) - 2)
+        value[edges[whole]] = len(used) + np.arange(len(whole))
+        value = np.insert(value, edges[1:], len(values) - 1)
+
+        size = np.fromiter(map(len, values), dtype=np.int64, count=len(values)) // 2
+        flat, begin = np.frombuffer(b"".join(values), dtype="<u2"), np.cumsum(size) - size
+        size, begin = size[value], begin[value]
+        ends = np.cumsum(size)
+        ids = np.repeat(begin - (ends - size), size)
+        ids += np.arange(len(ids))
+        ids = flat[ids]
+        offsets = np.concatenate([[0], 2 * ends[edges[1:] + np.arange(len(texts))]])
+        return pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
+
+
+def _cut_table() -> np.ndarray:
+    """Whether a pre-token begins between two bytes, where these alone tell
+    it: before every space and between letters, digits, signs and white space.
+    Left to the pattern: what follows a space (one pre-token with it) or an
+    apostrophe (it may be a contraction), and the characters from U+0080 on
+    that are no letters, with those that share their bytes."""
+    kind = np.zeros(256, dtype=np.int64)  # 0: not told
+    for b in range(128):
+        c = chr(b)
+        kind[b] = 1 if c.isalpha() else 2 if c.isdigit() else 3 if c in "\t\n\x0b\x0c\r " else 4
+    before, behind = kind.copy(), kind.copy()
+    before[0x80:0xC0] = 1  # a letter's last byte, unless 0xC2 is its first
+    before[[0x97, 0xB7, ord(" "), ord("'")]] = 0
+    behind[0xC4:0xCA] = 1
+    table = (before[:, None] > 0) & (behind > 0) & (before[:, None] != behind)
+    table[:, ord(" ")] = True
+    table[9:14, 0xC3] = True  # no white space begins with it
+    return table.ravel()
+
+
+_CUTS = _cut_table()
+_WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32, 0x85, 0xA0])
+
+
+def cut(texts: pa.LargeStringArray) -> tuple[pa.LargeStringArray, np.ndarray]:
+    """(pieces, edges): the texts in pieces, each a whole number of pre-tokens,
+    mostly one; text i has those from edges[i] up to edges[i + 1].  Holds for
+    texts of common characters without white space behind a space."""
+    at = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[at[0]:at[-1]]
+    at = at - at[0]
+    starts = np.zeros(len(data) + 1, dtype=bool)
+    starts[1:-1] = _CUTS[(data[:-1].astype(np.uint16) << 8) | data[1:]]
+    near = 1 + np.flatnonzero(data[:-1] == 0xC2)  # followers of 0xC2
+    starts[near + 1] &= data[np.minimum(near + 1, len(data) - 1)] == 32
+    # of a run of white space the last character is a pre-token of its own
+    near = 2 + np.flatnonzero(_WHITE[data[:-2]] & _WHITE[data[1:-1]])
+    starts[near] &= data[near] == 32
+    starts[at] = True
+    starts = np.flatnonzero(starts[:-1])
+    edges = np.searchsorted(starts, at)
+    offsets = pa.py_buffer(np.append(starts, len(data)))
+    return pa.LargeStringArray.from_buffers(len(starts), offsets, pa.py_buffer(data)), edges
+
+
+def _binary(ids: list[int]) -> bytes:
+    return np.array(ids, dtype="<u2").tobytes()
+
+
+def _slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """(begin, end) of runs of texts of about ``size`` bytes, a text at least."""
+    ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    begin = 0
+    while begin < len(texts):
+        before = int(ends[begin - 1]) if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, before + size, side="right")))
+        yield begin, end
+        begin = end
 
 
 def encode(docs: DataFrame, path: str, end: int = END, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -183,11 +329,10 @@ def encode(docs: DataFrame, path: str, end: int = END, id_col: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = Ids.of(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                ids = [np.append(np.frombuffer(enc.encode(x.as_py() or ""), dtype="<u4"), end).astype("<u2").tobytes()
-                       for x in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], ["id", "ids"])
+            for a, b in _slices(batch.column(1)):
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), enc.encode(part.column(1), end).cast(pa.binary())], ["id", "ids"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, f"id {id_type(docs, id_col)}, ids binary")

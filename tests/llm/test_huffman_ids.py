@@ -1,8 +1,11 @@
 import heapq
+import itertools
+import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from equitext.llm import bpe_words, huffman_ids
@@ -71,6 +74,67 @@ def test_files_match_library(spark):
     check(spark, docs, huffman_ids.read_ids(spark, target).orderBy("start").collect())
 
 
+ODD = ["\x85", "\xa0", "\x1c", "\u0130", "\u0250", "\u02bc", "日", "😀", "<|endoftext|>", "<|endof", "  "]
+
+
+def mixed_texts(seed: int, n: int = 1500) -> list:
+    r = random.Random(seed)
+    signs = list("aabTsdlv09  ''\n\n\t\r.,;(-#\x00\x0b") + [
+        "×", "÷", "²", "ª", "«", "\xad", "ė", "ķ", "é", "ß", "À", "ǅ", "ɏ", "'s", "'ll", " '", "the ", " and"]
+    out: list = [None, ""]
+    for _ in range(n):
+        of = signs + ODD * (r.random() < 0.2)
+        of = [x for x in of if x != " "] if r.random() < 0.3 else of
+        out.append("".join(r.choice(of) for _ in range(r.choice((1, 2, 3, 8, 30)))))
+    return out
+
+
+@pytest.mark.parametrize("size", [1, 700, 1 << 20])
+def test_mixed_texts_match_library(size):
+    t = bpe_words.load(PATH)
+    texts = mixed_texts(size)
+    column = pa.array(["before", *texts]).slice(1)
+    enc = huffman_ids.Ids(PATH, 20_000)  # a small store, emptied often
+    got = [x for a, b in huffman_ids._slices(column, size) for x in enc.encode(column.slice(a, b - a), 2).to_pylist()]
+    for text, ids in zip(texts, got, strict=True):
+        assert np.frombuffer(ids, "<u2").tolist() == t.encode(text or "", add_special_tokens=False).ids + [2], text
+
+
+def test_pieces_join_to_their_texts():
+    texts = [x or "" for x in mixed_texts(5)]
+    pieces, edges = huffman_ids.cut(pa.array(texts, pa.large_string()))
+    pieces = pieces.to_pylist()
+    assert ["".join(pieces[a:b]) for a, b in zip(edges, edges[1:])] == texts
+    # a word is one piece whatever follows it
+    pieces, _ = huffman_ids.cut(pa.array(["Ein wörd. Ein\nÄrd, wörd"], pa.large_string()))
+    assert pieces.to_pylist() == ["Ein", " wörd", ".", " Ein", "\n", "Ärd", ",", " wörd"]
+
+
+class Counted:
+    """A model that counts its calls."""
+
+    def __init__(self, model):
+        self.model, self.calls = model, 0
+
+    def encode_batch_fast(self, *a, **k):
+        self.calls += 1
+        return self.model.encode_batch_fast(*a, **k)
+
+
+def test_new_words_are_encoded_many_in_a_call():
+    enc = huffman_ids.Ids(PATH)
+    enc.model = Counted(enc.model)
+    words = ["".join(w) for w in itertools.product("bcdfgh", "aeiou", "lmnrst", "aeiou", "xyz")]
+    texts = pa.array([" ".join(words[i:i + 50]) + "." for i in range(0, len(words), 50)])
+    first = enc.encode(texts, 2)
+    assert 0 < enc.model.calls <= len(words) // huffman_ids.LEARN + 2
+    calls = enc.model.calls
+    assert enc.encode(texts, 2) == first and enc.model.calls == calls
+    t = bpe_words.load(PATH)
+    assert [np.frombuffer(x, "<u2").tolist() for x in first.to_pylist()] == [
+        t.encode(x, add_special_tokens=False).ids + [2] for x in texts.to_pylist()]
+
+
 def test_empty_table(spark):
     target = huffman_ids.fresh_target(spark)
     huffman_ids.write_ids(spark.createDataFrame([], "doc_id long, text string"), PATH, target)
